@@ -51,7 +51,7 @@ def release(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of df, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
