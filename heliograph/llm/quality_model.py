@@ -4,8 +4,10 @@ Tokens are runs of letters, digits and bytes above ASCII, or runs of other
 marks; they are hashed into BUCKETS.  Each bucket has a sparse random index
 vector.  A word vector is the sum, over ALL documents, of the index vectors of
 the tokens within WINDOW places of it; the sums are of integers, so they do not
-depend on the order of tasks.  A document is the mean and the mean square of its
-tokens' vectors.  A two-layer numpy network learns from at most MOST_LABELS
+depend on the order of tasks.  A document pools its tokens' vectors: their mean,
+the mean product of neighbours, place by place, and its sum over the places (how
+alike neighbours are).  Means are drawn towards 0 as by CALM tokens of nothing,
+so that a handful of words says little.  A two-layer numpy network learns from at most MOST_LABELS
 labelled documents (those whose id hashes lowest), a part of them set aside to
 calibrate the temperature of its probabilities.
 
@@ -36,6 +38,8 @@ from .cluster import plan_bytes
 BUCKETS, DIM, WINDOW = 1 << 15, 32, 2
 MOST_LABELS = 20_000
 FOLDS = 5
+CALM = 8
+FEATURES = 2 * DIM + 1
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.02, 1e-3
 THRESHOLD = 0.3
 SUM_BYTES = 256 << 20
@@ -110,20 +114,25 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the token vectors of each text."""
-    out = np.zeros((len(column), 2 * DIM), np.float32)
+    """The FEATURES of each text."""
+    out = np.zeros((len(column), FEATURES), np.float32)
     for first, offsets, raw in tv.chunks(column, CHUNK):
         ids, rows = tokens(raw, offsets)
-        if len(ids):
-            own, starts = np.unique(rows, return_index=True)
-            # pieces bound the gathered matrix, however long a text is
-            for i in range(0, len(ids), 1 << 16):
-                some = vectors[ids[i : i + (1 << 16)]]
-                cuts = np.unique(np.r_[0, starts[(starts > i) & (starts < i + len(some))] - i])
-                at = first + rows[i + cuts]
-                out[at, :DIM] += np.add.reduceat(some, cuts, axis=0)
-                out[at, DIM:] += np.add.reduceat(some * some, cuts, axis=0)
-            out[first + own] /= np.diff(np.r_[starts, len(ids)])[:, None]
+        if not len(ids):
+            continue
+        own, starts = np.unique(rows, return_index=True)
+        # pieces bound the gathered matrix, however long a text is
+        for i in range(0, len(ids), 1 << 16):
+            some = vectors[ids[i : i + (1 << 16)]]
+            cuts = np.unique(np.r_[0, starts[(starts > i) & (starts < i + len(some))] - i])
+            at = first + rows[i + cuts]
+            out[at, :DIM] += np.add.reduceat(some, cuts, axis=0)
+            before = vectors[ids[i - 1 : i] if i else ids[:1]]
+            pairs = some * np.concatenate([before, some[:-1]])
+            pairs[starts[(starts >= i) & (starts < i + len(some))] - i] = 0
+            out[at, DIM : 2 * DIM] += np.add.reduceat(pairs, cuts, axis=0)
+        out[first + own] /= (np.diff(np.r_[starts, len(ids)]) + CALM)[:, None]
+    out[:, 2 * DIM] = out[:, DIM : 2 * DIM].sum(1)
     return out
 
 
@@ -179,15 +188,15 @@ def _sample(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int)
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = pooled(b.column(3), shared.value)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 2 * DIM).cast(pa.list_(pa.float32()))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat], names=["doc_id", "quality", "order", "x"])
 
     # the chosen ids are at most MOST_LABELS rows of three numbers, so they can be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "order", "text")
     got = rows.mapInArrow(pool, "doc_id long, quality int, order long, x array<float>").toArrow()
     if not got.num_rows:
-        return Network(np.zeros((0, 2 * DIM)), np.zeros(0), np.zeros(0, bool))
-    x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, 2 * DIM)
+        return Network(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0, bool))
+    x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, FEATURES)
     order = np.lexsort((*x.T[:4], got["doc_id"].to_numpy()))
     y = (got["quality"].to_numpy()[order] == 1).astype(np.float64)
     return Network(x[order], y, got["order"].to_numpy()[order] % 5 == 0)
