@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, quality_model, quality_rules, sharding, token_counts, warc
+from . import html_text, mixing, near_dup, quality_model, quality_rules, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.count_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op8_sharding, op9_html_extraction, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
