@@ -90,7 +90,7 @@ def write(pages: DataFrame, folder: str) -> None:
     marked = candidates.unionByName(others)
     kind = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("nth") == 0), "response").otherwise("revisit")
     marked.select("page_id", "digest", header(kind).alias("header")).write.parquet(f"{folder}/headers")
-    records.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    records.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
