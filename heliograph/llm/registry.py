@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dup, quality_model, quality_rules, sharding, token_counts, warc
+from . import html_text, mixing, near_dup, quality_model, quality_rules, sharding, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixing.sorted_by_position(rows).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
