@@ -62,17 +62,16 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     distinct lengths, already aggregated, of which there are far fewer than documents.
     """
     by_length = counts.groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    longer = Window.orderBy(F.col("context_limit").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy(F.col("context_limit").desc()).rowsBetween(0, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
+    upto = Window.orderBy("context_limit").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     summed = by_length.select(
         "context_limit",
         "n_docs",
         "n_tokens",
         F.sum("n_docs").over(upto).alias("docs_within"),
         F.sum("n_tokens").over(upto).alias("tokens_within"),
-        F.coalesce(F.sum("n_docs").over(longer), zero).alias("docs_longer"),
-        F.coalesce(F.sum("n_tokens").over(longer), zero).alias("tokens_longer"),
+        (F.sum("n_docs").over(everything) - F.sum("n_docs").over(upto)).alias("docs_longer"),
+        (F.sum("n_tokens").over(everything) - F.sum("n_tokens").over(upto)).alias("tokens_longer"),
     )
     return summed.select(
         "*",
