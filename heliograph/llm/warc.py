@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_folder
+from .cluster import release, shared_folder
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -135,6 +135,7 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, folder)
+    release(spark)  # the shuffle files of the write go before those of the join are made
     return parsed(records(spark, folder))
 
 
