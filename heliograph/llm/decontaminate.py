@@ -31,7 +31,7 @@ from .cluster import release, stored
 
 SEED, SPACING, LEAST = 3, 6, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-SCORE = 0.5
+SCORE = 0.4
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 20
 #: bits of the table that sifts n-grams before the exact search
