@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, mixing, near_dup, quality_model, quality_rules, sharding, suffix_dedup, token_counts, warc
+from .oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +61,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op6_decontamination, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
