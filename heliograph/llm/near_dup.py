@@ -50,8 +50,6 @@ AGREE = 0.6
 THRESHOLD = 85
 #: members of one block, and bytes of sets in it
 BLOCK, BLOCK_BYTES = 512, 32 << 20
-#: ids up to this many are broadcast to pick texts (8 bytes each); beyond, a join picks them
-FEW = 20_000
 CHUNK = 1 << 20
 
 _LOW = tv.U64((1 << 56) - 1)
@@ -128,10 +126,9 @@ def tag() -> Column:
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """id and set of the needed nodes (id, doc_id, node), from the texts again."""
-    few = needed.count() <= FEW
     wanted = needed.select("id", F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("id", "_n", "text")
+    rows = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("id", "_n", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
