@@ -12,8 +12,11 @@ every offset without numbering the buckets across the cluster.
    the identifier at LENGTH bytes is made from those at 0, Q, 2Q ... and that
    of a run from those of its first and last string, each level reusing the
    last.  Runs alike throughout are done: all their strings occur again.
-3. Buckets that still hold unlike runs are refined to single strings, for one
-   run of each kind.
+3. In buckets that still hold unlike runs, one run of each kind is cut into
+   cells of CELL strings, placed by the least q-gram.  Cells are first put
+   together by what all their strings share, then told apart by all they cover:
+   a cell alone in its bucket is done, and so are cells alike throughout.
+4. Cells of one bucket that are unlike are refined to single strings.
 
 Names are 64 bits, and strings are only compared within a bucket, so 128 bits
 stand for a string.  Removal is judged on the input texts.
@@ -41,6 +44,8 @@ from .cluster import release, stored
 LENGTH, Q = 200, 40
 REACH = LENGTH - Q + 1
 CHUNK = 1 << 18
+#: strings of one cell, beginning side by side
+CELL = 20
 
 _A, _B = tv.U64(0x9E3779B97F4A7C15), tv.U64(0xC2B2AE3D27D4EB4F)
 
@@ -99,10 +104,10 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def find_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs of a piece: (first string, last string, bucket, identifier), and the strings that occur twice in one run."""
+    """The runs of a piece: (first string, last string, place of the least q-gram, bucket, identifier)."""
     none, names = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(raw) < LENGTH:
-        return none, none, names, names, none
+        return none, none, none, names, names
     grams = gram_ids(raw)
     least = _sliding(grams, REACH, np.minimum)
     valid = np.ones(len(least), bool)
@@ -111,96 +116,140 @@ def find_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     change = np.empty(len(least) + 1, bool)
     change[0] = change[-1] = True
     np.not_equal(least[1:], least[:-1], out=change[1:-1])
-    change[1:-1] |= valid[1:] != valid[:-1]
+    # a string that begins with its least q-gram ends a run, though the next may have the same again
+    change[1:-1] |= (valid[1:] != valid[:-1]) | (grams[: len(least) - 1] == least[:-1])
     edges = np.flatnonzero(change)
     a, b = edges[:-1], edges[1:] - 1
     keep = valid[a]
     a, b = a[keep], b[keep]
     if not len(a):
-        return none, none, names, names, none
-    parts = (b - a) // REACH + 1
-    if parts.max() > 1:  # a run's two ends must cover it
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        a, b = np.repeat(a, parts) + nth * REACH, np.repeat(b, parts)
-        b = np.minimum(b, a + REACH - 1)
+        return none, none, none, names, names
     bucket = least[a]
     ends = _join(string_ids(grams, a), string_ids(grams, b))
-    name = tv.mix64(ends + (b - a).astype(np.uint64))
-    # a least q-gram that comes twice within reach: the text repeats itself inside a run
+    # the leftmost place of the bucket's q-gram, among those that are least somewhere
     padded = np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)])
     chosen = np.flatnonzero(_sliding(padded, REACH, np.maximum) == grams)
-    order = np.argsort(grams[chosen], kind="stable")
-    value, place = grams[chosen][order], chosen[order]
-    near = (value[1:] == value[:-1]) & (place[1:] - place[:-1] < REACH)
-    twice = none
-    if near.any():
-        some = np.flatnonzero(np.isin(bucket, value[1:][near]))
-        size = b[some] - a[some] + 1
-        s = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a[some], size)
-        run, ids = np.repeat(some, size), string_ids(grams, s)
-        order = np.lexsort((ids, run))
-        same = (ids[order][1:] == ids[order][:-1]) & (run[order][1:] == run[order][:-1])
-        twice = np.unique(np.r_[order[1:][same], order[:-1][same]])
-        twice = s[twice]
-    return a, b, bucket, name, twice
+    at = np.searchsorted(chosen, b)
+    while (wrong := grams[chosen[at]] != bucket).any():
+        at[wrong] += 1
+    place = chosen[at]
+    return a, b, place, bucket, tv.mix64(ends + ((b - a) * 1024 + (place - a)).astype(np.uint64))
+
+
+def _stretches(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches [a, b] that follow each other in a row, as one."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (a[1:] > b[:-1] + 1)])
+    return row[first], a[first], b[np.r_[first[1:], len(a)] - 1]
 
 
 def _emit(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Runs of the texts; whole: with their documents, and with the strings found twice (bucket null)."""
+    """Runs of the texts; whole: with their documents, and known repeats inside a piece as stretches (bucket null).
+
+    Of runs alike in one piece one is dealt out.
+    """
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
         for first, base, offsets, raw in pieces(column):
-            a, b, bucket, name, twice = find_runs(raw, offsets)
-            if not whole:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64))], names=["bucket"])
+            a, b, place, bucket, name = find_runs(raw, offsets)
+            if not len(a):
                 continue
-            start = np.r_[a, twice]
-            if not len(start):
+            order = np.lexsort((a, name, bucket))
+            same = (bucket[order][1:] == bucket[order][:-1]) & (name[order][1:] == name[order][:-1])
+            lone = order[np.r_[True, ~same]]
+            if not whole:
+                # a bucket that repeats here is as good as two
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][np.r_[True, ~same] | np.r_[False, same & np.r_[True, ~same[:-1]]]].view(np.int64))], names=["bucket"])
                 continue
-            row = np.searchsorted(offsets, start, "right") - 1
-            at = start - offsets[row] + base
-            owner = pa.array(row + first)
-            known = pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(twice), bool)])
+            again = order[np.r_[False, same] | np.r_[same, False]]
+            row = np.searchsorted(offsets, a, "right") - 1
+            known_row, known_a, known_b = _stretches(row[again], a[again], b[again]) if len(again) else (row[:0], a[:0], b[:0])
+            owner = np.r_[row[lone], known_row]
+            start = np.r_[a[lone], known_a]
+            size = np.r_[b[lone] - a[lone] + 1, known_b - known_a + 1]
+            taken = pa.array(owner + first)
+            none = np.zeros(len(known_row), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.compute.if_else(known, pa.scalar(None, pa.int64()), pa.array(np.r_[bucket.view(np.int64), np.zeros(len(twice), np.int64)])),
-                    pa.array(np.r_[name.view(np.int64), np.zeros(len(twice), np.int64)]),
-                    batch.column(0).take(owner),
-                    batch.column(1).take(owner),
-                    pa.array(at),
-                    pa.array(np.r_[b - a + 1, np.ones(len(twice), np.int64)].astype(np.int32)),
+                    pa.array(np.r_[bucket[lone].view(np.int64), none], mask=np.r_[np.zeros(len(lone), bool), np.ones(len(none), bool)]),
+                    pa.array(np.r_[name[lone].view(np.int64), none]),
+                    batch.column(0).take(taken),
+                    batch.column(1).take(taken),
+                    pa.array(start - offsets[owner] + base),
+                    pa.array(size),
+                    pa.array(np.r_[(place - a)[lone], none].astype(np.int32)),
                 ],
-                names=["bucket", "name", "doc_id", "tk", "at", "strings"],
+                names=["bucket", "name", "doc_id", "tk", "at", "strings", "left"],
             )
 
 
-RUN = "bucket long, name long, doc_id long, tk int, at long, strings int"
+RUN = "bucket long, name long, doc_id long, tk int, at long, strings long, left int"
+ASKED = ("bucket", "at", "strings", "left", "solo")
+
+
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(row, asked rows as ASKED, q-gram identifiers, where these begin) by stretches of each text."""
+    column = batch.column(3).cast(pa.large_binary())
+    lists = batch.column(2)
+    flat = lists.flatten()
+    cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    table = np.stack([flat.field(c).to_numpy().astype(np.int64) for c in ASKED], 1) if len(flat) else np.zeros((0, len(ASKED)), np.int64)
+    for i in range(batch.num_rows):
+        raw = np.frombuffer(column[i].as_buffer(), np.uint8)
+        asked = table[cuts[i] : cuts[i + 1]]
+        asked = asked[np.argsort(asked[:, 1], kind="stable")]
+        j = 0
+        while j < len(asked):
+            low = int(asked[j, 1])
+            k = int(np.searchsorted(asked[:, 1], low + CHUNK))
+            part = asked[j:k]
+            yield i, part, gram_ids(raw[low : int((part[:, 1] + part[:, 2]).max()) + LENGTH - 1]), low
+            j = k
+
+
+def _spread(size: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of the asked runs: (bucket: what its strings share, name: all that they cover, doc_id, tk, at, strings, left, solo)."""
+    for batch in batches:
+        for i, part, grams, low in _asked(batch):
+            p, far = part[:, 1] + part[:, 3], part[:, 3]
+            near = far - part[:, 2] + 1
+            first = near // CELL
+            count = far // CELL - first + 1
+            run = np.repeat(np.arange(len(part)), count)
+            cell = first[run] + _spread(count)
+            lo, hi = np.maximum(cell * CELL, near[run]), np.minimum(cell * CELL + CELL - 1, far[run])
+            shared = p[run] - cell * CELL - low
+            z = grams[shared]
+            for offset in (Q, 2 * Q, 3 * Q, LENGTH - CELL + 1 - Q):
+                z = _join(z, grams[shared + offset])
+            z = tv.mix64(_join(z ^ cell.astype(np.uint64), part[run, 0].view(np.uint64)))
+            start, end = p[run] - hi, p[run] - lo
+            name = tv.mix64(_join(string_ids(grams, start - low), string_ids(grams, end - low)) + ((end - start) * 1024 + hi).astype(np.uint64))
+            n = len(run)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(z.view(np.int64)), pa.array(name.view(np.int64)), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int32)), pa.array(start), pa.array(end - start + 1), pa.array(hi.astype(np.int32)), pa.array(part[run, 4] == 1)],
+                names=["bucket", "name", "doc_id", "tk", "at", "strings", "left", "solo"],
+            )
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of the asked runs of each text: (bucket, id, doc_id, tk, at, solo)."""
+    """The strings of the asked cells: (bucket, name, doc_id, tk, at, solo)."""
     for batch in batches:
-        column = batch.column(3).cast(pa.large_binary())
-        for i in range(batch.num_rows):
-            raw = np.frombuffer(column[i].as_buffer(), np.uint8)
-            asked = np.array([(x["bucket"], x["at"], x["strings"], x["solo"]) for x in batch.column(2)[i].as_py()], np.int64)
-            asked = asked[np.argsort(asked[:, 1], kind="stable")]
-            j = 0
-            while j < len(asked):  # neighbouring runs of one stretch of the text at a time
-                low = int(asked[j, 1])
-                k = int(np.searchsorted(asked[:, 1], low + CHUNK))
-                part = asked[j:k]
-                grams = gram_ids(raw[low : int((part[:, 1] + part[:, 2]).max()) + LENGTH - 1])
-                size = part[:, 2]
-                s = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(part[:, 1], size)
-                ids = string_ids(grams, s - low)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part[:, 0], size)), pa.array(ids.view(np.int64)), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int32)), pa.array(s), pa.array(np.repeat(part[:, 3], size) == 1)],
-                    names=["bucket", "id", "doc_id", "tk", "at", "solo"],
-                )
-                j = k
+        for i, part, grams, low in _asked(batch):
+            size = part[:, 2]
+            at = _spread(size) + np.repeat(part[:, 1], size)
+            ids = string_ids(grams, at - low)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part[:, 0], size)), pa.array(ids.view(np.int64)), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int32)), pa.array(at), pa.array(np.repeat(part[:, 4], size) == 1)],
+                names=["bucket", "name", "doc_id", "tk", "at", "solo"],
+            )
 
 
 def _cut(raw: bytes, packed: list[int] | None) -> tuple[list[tuple[int, int]], bytes]:
@@ -221,6 +270,28 @@ def _cut(raw: bytes, packed: list[int] | None) -> tuple[list[tuple[int, int]], b
     return spans, b"".join([*kept, raw[at:]])
 
 
+def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, name, ..., solo) by kind: (bucket and name of kinds that occur twice, one row of each kind in buckets of several).
+
+    solo: false for a row that is known to occur again and only stands for its kind.
+    """
+    carried = ("doc_id", "tk", "at", "strings", "left")
+    kinds = rows.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.min("solo").alias("solo"), *[F.first(c).alias(c) for c in carried])
+    kinds = stored(kinds, "kinds")
+    again = kinds.filter("n > 1").select("bucket", "name")
+    unlike = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
+    left = kinds.join(unlike, "bucket", "left_semi").withColumn("solo", F.col("solo") & (F.col("n") == 1))
+    return again, left
+
+
+def _looked_up(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, tk, the asked rows as a list, and the text: one row for each text that is asked for."""
+    own = asked.select("doc_id", "tk", F.struct("bucket", "at", "strings", "left", F.col("solo").cast("int").alias("solo")).alias("x"))
+    own = own.groupBy("doc_id", "tk").agg(F.collect_list("x").alias("asked")).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
+    both = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")))
+    return both.dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "asked", "text")
+
+
 def duplicated(docs: DataFrame) -> DataFrame:
     """doc_id, tk (hash of the text) and packed stretches of strings (start << 20 | number) that occur elsewhere."""
     spark = docs.sparkSession
@@ -230,26 +301,28 @@ def duplicated(docs: DataFrame) -> DataFrame:
     shared = stored(shared, "buckets")
     release(spark)
     runs = some.mapInArrow(lambda b: _emit(b, True), RUN)
-    # a null bucket is a string found twice in its run; the outer join keeps it
+    # a null bucket is a stretch that repeats within its piece; the outer join keeps it
     held = runs.join(shared.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b"), "left").filter("_b IS NOT NULL OR bucket IS NULL").drop("_b")
     held = stored(held, "runs")
     release(spark)
-    open_runs = held.filter("bucket IS NOT NULL")
-    kinds = open_runs.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("tk").alias("tk"), F.first("at").alias("at"), F.first("strings").alias("strings"))
-    kinds = stored(kinds, "kinds")
-    again = kinds.filter("n > 1").select("bucket", "name")
+    open_runs = held.filter("bucket IS NOT NULL").withColumn("solo", F.lit(True))
+    again, unlike = _kinds(open_runs)
     alike = open_runs.join(again, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", "strings")
-    unlike = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
-    asked = kinds.join(unlike, "bucket", "left_semi").select("doc_id", "tk", F.struct("bucket", "at", "strings", (F.col("n") == 1).cast("int").alias("solo")).alias("run"))
-    asked = asked.groupBy("doc_id", "tk").agg(F.collect_list("run").alias("runs")).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
-    both = some.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t"))).dropDuplicates(["doc_id", "tk"])
-    strings = stored(both.select("doc_id", "tk", "runs", "text").mapInArrow(_strings, "bucket long, id long, doc_id long, tk int, at long, solo boolean"), "strings")
+
+    form = "bucket long, name long, doc_id long, tk int, at long, strings long, left int, solo boolean"
+    cells = stored(_looked_up(some, unlike).mapInArrow(_cells, form), "cells")
+    release(spark)
+    cells_again, cells_unlike = _kinds(cells)
+    alike_cells = cells.filter("solo").join(cells_again, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", "strings")
+
+    form = "bucket long, name long, doc_id long, tk int, at long, solo boolean"
+    strings = stored(_looked_up(some, cells_unlike).mapInArrow(_strings, form), "strings")
     release(spark)
-    twice = strings.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "id")
-    single = strings.filter("solo").join(twice, ["bucket", "id"], "left_semi").select("doc_id", "tk", "at", F.lit(1).alias("strings"))
+    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "name")
+    single = strings.filter("solo").join(twice, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", F.lit(1).cast("long").alias("strings"))
     inside = held.filter("bucket IS NULL").select("doc_id", "tk", "at", "strings")
-    found = alike.unionByName(single).unionByName(inside)
-    return found.groupBy("doc_id", "tk").agg(F.collect_set(F.shiftleft("at", 20).bitwiseOR(F.col("strings").cast("long"))).alias("found"))
+    found = alike.unionByName(alike_cells).unionByName(single).unionByName(inside)
+    return found.groupBy("doc_id", "tk").agg(F.collect_set(F.shiftleft("at", 20).bitwiseOR(F.col("strings"))).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
