@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import release, stored
+from .cluster import release, stored, unused
 
 SEED, SPACING, LEAST = 3, 6, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -230,6 +230,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Data
 def without_matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """The rows of docs, all their columns, that align with no item."""
     names = docs.columns
-    bad = matches(docs, benchmark, least).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct()
-    own = docs.withColumn("_own", tag())
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_t")), "left_anti").select(*names)
+    own, theirs, id_ = unused(docs, "_own", "_theirs", "_id")
+    bad = matches(docs, benchmark, least).select(F.col("doc_id").alias(id_), F.col("tag").alias(theirs)).distinct()
+    return docs.withColumn(own, tag()).join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(theirs)), "left_anti").select(*names)

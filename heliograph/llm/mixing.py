@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import stored
+from .cluster import stored, unused
 from .quality_rules import WORD
 
 MOST_PASSES = 3
@@ -131,9 +131,12 @@ def sorted_by_position(rows: DataFrame, column: str = "position") -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs in training order, each as often as the mix takes it."""
     names = docs.columns
-    tag = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source"))
-    plan = mix(docs, keys={"_tag": tag}).filter("taken > 0").groupBy("doc_id", "_tag").agg(F.flatten(F.collect_list("positions")).alias("_at"))
-    once = docs.withColumn("_tag", tag).dropDuplicates(["doc_id", "_tag"])
-    joined = once.alias("d").join(plan.withColumnsRenamed({"doc_id": "_id", "_tag": "_t"}), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_tag")))
-    rows = joined.select(*[F.col(f"d.`{c}`") for c in names], F.explode("_at").alias("_position"))
-    return sorted_by_position(rows, "_position").select(*names)
+    tag, other, own_id, at, position = unused(docs, "_tag", "_other", "_id", "_at", "_position")
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source"))
+    plan = mix(docs, keys={"_tag": key}).filter("taken > 0").groupBy("doc_id", "_tag").agg(F.flatten(F.collect_list("positions")).alias(at))
+    plan = plan.select(F.col("doc_id").alias(own_id), F.col("_tag").alias(other), at)
+    # rows alike in id, text and source share their passes: one of them stands for all
+    once = docs.withColumn(tag, key).dropDuplicates(["doc_id", tag])
+    joined = once.join(plan, F.col(own_id).eqNullSafe(F.col("doc_id")) & (F.col(other) == F.col(tag)))
+    rows = joined.select(*names, F.explode(at).alias(position))
+    return sorted_by_position(rows, position).select(*names)

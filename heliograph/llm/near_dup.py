@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import release, shuffle_parts, stored
+from .cluster import release, shuffle_parts, stored, unused
 from .quality_rules import WORD
 
 SHINGLE = 5
@@ -364,8 +364,9 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns: one of each component, and all with an empty set."""
     kept = components(docs, threshold).filter("kept AND comp IS NOT NULL")
-    chosen = kept.groupBy("comp").agg(F.min("tag").alias("_tag"), F.first("doc_id").alias("_id"))
     names = docs.columns
-    own = docs.withColumn("_own", tag()).join(chosen.select("_tag", "_id"), (F.col("_own") == F.col("_tag")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = own.dropDuplicates(["_own", "doc_id"]).select(*names)
+    own, theirs, id_ = unused(docs, "_own", "_theirs", "_id")
+    chosen = kept.groupBy("comp").agg(F.min(F.struct("tag", "doc_id")).alias("x")).select(F.col("x.tag").alias(theirs), F.col("x.doc_id").alias(id_))
+    rows = docs.withColumn(own, tag()).join(chosen, (F.col(own) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    one = rows.dropDuplicates([own, "doc_id"]).select(*names)
     return one.unionByName(docs.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

@@ -110,7 +110,7 @@ def line_fails(line: Column) -> Column:
     """Whether a line with words is to be removed."""
     visible = _visible(line)
     noisy = (visible - _visible(F.translate(line, NOISE, ""))) > visible * F.lit(NOISE_SHARE)
-    open_end = ~line.rlike(CLOSED) & ~line.rlike(f"({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}")
+    open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}")
     return noisy | open_end | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
