@@ -48,6 +48,7 @@ UNLIKELY = re.compile(
 )
 SAFE = frozenset(("html", "body", "main", "article"))
 PARAGRAPH = frozenset(("p", "td", "pre", "blockquote", "li", "dd", "div", "section", "article", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))
+CONTAINER = frozenset("div section article main body td table blockquote center details dd".split())
 #: share of the points of the best container that a sibling needs
 SIBLING = 0.2
 
@@ -237,7 +238,7 @@ def main_text(html: str | None) -> str:
                 up, level = up.parent, level + 1
     best, most = None, 0.0
     for node in nodes:
-        if node.points and node.tag not in ("html",):
+        if node.points and node.tag in CONTAINER:
             total, linked, _ = lengths[node]
             score = node.points * (1 - linked / total) if total else 0.0
             if node.tag in ("article", "main"):
