@@ -98,7 +98,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     spark = docs.sparkSession
     names = [f"v{k}" for k in range(DIM)]
     texts = docs.select("text")
-    parts = max(2 * spark.sparkContext.defaultParallelism, plan_bytes(texts) // SUM_BYTES)
+    # an unknown size counts as huge; more parts than there are change nothing
+    parts = min(max(2 * spark.sparkContext.defaultParallelism, plan_bytes(texts) // SUM_BYTES), 1_000_000)
     sums = texts.coalesce(parts).mapInArrow(_context_sums, "bucket long, n long, " + ", ".join(f"{x} long" for x in names))
     table = sums.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()
     out = np.zeros((BUCKETS, DIM))
