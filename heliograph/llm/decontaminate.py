@@ -2,9 +2,9 @@
 
 Tokens are runs of letters and digits, A-Z in lower case.  Every SEED-gram of
 the test items is counted over all training documents; of each SPACING
-neighbouring SEED-grams of an item the rarest is a seed, so seeds are rare where
-the item allows it and yet cover all of it, also when the passage itself is
-common.  A document that holds a seed is aligned with the seed's item around
+neighbouring SEED-grams of an item the rarest is a seed, and so are those about
+as rare (at most TIMES as frequent, and SLACK).  So seeds are rare where the
+item allows it and yet cover all of it, also when the passage itself is common.  A document that holds a seed is aligned with the seed's item around
 each hit; the score of the best local alignment is divided by that of the item
 with itself.
 
@@ -30,6 +30,7 @@ from . import textvec as tv
 from .cluster import release, stored, unused
 
 SEED, SPACING, LEAST = 3, 6, 8
+TIMES, SLACK = 4, 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.4
 BLOCK_BYTES = 4 << 20
@@ -73,13 +74,13 @@ class Items:
         return table
 
     def seeds(self, counts: np.ndarray) -> dict[int, list[int]]:
-        """Of each stretch of an item the rarest gram: gram -> items."""
+        """Of each stretch of an item the rarest grams: gram -> items."""
         out: dict[int, list[int]] = {}
         for item, places in enumerate(self.places):
             chosen = set()
             for i in range(max(1, len(places) - SPACING + 1)):
                 some = places[i : i + SPACING]
-                chosen.add(int(some[np.argmin(counts[some])]))
+                chosen.update(some[counts[some] <= TIMES * counts[some].min() + SLACK].tolist())
             for g in chosen:
                 out.setdefault(g, []).append(item)
         return out

@@ -1,0 +1,115 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from heliograph.llm import decontaminate as dc
+
+from .conftest import SCHEMA, prose
+
+TOKEN = re.compile("[0-9a-z\u0080-\U0010ffff]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def toks(text):
+    return TOKEN.findall((text or "").translate(LOWER))
+
+
+def smith_waterman(a, b):
+    best = 0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[j - 1] - 1))
+        best, row = max(best, *new), new
+    return best
+
+
+def test_alignment_against_the_plain_matrix():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 4, rng.integers(1, 30)).astype(np.uint64)
+        score, s, e = dc.align(a, b)
+        assert score == smith_waterman(a.tolist(), b.tolist())
+        if score:
+            assert smith_waterman(a.tolist(), b[s:e].tolist()) == score
+
+
+@pytest.fixture(scope="module")
+def case():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, noise(rng.randint(15, 50))) for i in range(12)]
+    items += [(20, items[0][1]), (21, None), (22, ""), (23, "too short"), (None, noise(20)), (24, "the same the same the same the same the same")]
+    docs = []
+    for i in range(80):
+        text, kind = noise(rng.choice([0, 5, 60, 200])), rng.random()
+        if kind < 0.6:
+            own = toks(rng.choice(items[:12])[1])
+            for _ in range(rng.choice([0, 1, 3, 6])):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice([[word()], [], [word(), word()], [own[k].upper() + ","]])
+            if kind < 0.1:
+                own = own[: len(own) // 3]
+            text += " " + " ".join(own) + " " + noise(rng.choice([0, 50]))
+        docs.append((i, text))
+    docs += [(80, None), (81, ""), (None, items[3][1]), (82, docs[2][1]), (82, docs[2][1]), (83, noise(20_000) + " " + items[5][1])]
+    return docs, items
+
+
+def test_against_full_alignment(spark, case):
+    docs, items = case
+    rows = dc.matches(spark.createDataFrame([(*d, "t") for d in docs], "doc_id long, text string, tag string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = Counter((r.doc_id, r.item_id) for r in rows)
+    want = Counter()
+    for d, text in docs:
+        t = toks(text)
+        for i, item in items:
+            own = toks(item)
+            if len(own) < dc.LEAST or len(t) > 2000:
+                continue
+            grams = {tuple(own[k : k + 3]) for k in range(len(own) - 2)}
+            if any(tuple(t[k : k + 3]) in grams for k in range(len(t) - 2)) and smith_waterman(own, t) >= dc.SCORE * 2 * len(own):
+                want[d, i] += 1
+    long_doc = {k: n for k, n in got.items() if k[0] == 83}
+    assert set(long_doc) == {(83, 5)}
+    assert {k: n for k, n in got.items() if k[0] != 83} == want and len(want) > 30
+    by = {d: (t or "").encode() for d, t in docs}
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 82 and r.score == 1.0:
+            assert toks(by[r.doc_id][r.start_byte : r.end_byte].decode()) == toks(dict(items)[r.item_id])
+
+
+def test_blocks_of_items_agree(spark, case):
+    docs, items = case
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, dc.matches(d, b).collect()))
+    size, dc.BLOCK_BYTES = dc.BLOCK_BYTES, 1000
+    try:
+        assert sorted(map(str, dc.matches(d, b).collect())) == whole
+    finally:
+        dc.BLOCK_BYTES = size
+
+
+def test_common_passages_are_still_found(spark):
+    """Seeds are the rarest of their stretch, not rare outright: a passage in most documents counts."""
+    rng = random.Random(3)
+    item = " ".join(f"q{k}" for k in range(30))
+    docs = [(i, prose(rng, 30) + " " + item) for i in range(200)]
+    rows = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(200))
+
+
+def test_without_matches(spark, nasty, nasty_rows, nothing):
+    bench = spark.createDataFrame([(1, nasty_rows[20][1])], "item_id long, text string")
+    hit = Counter(r.doc_id for r in dc.matches(nasty, bench).collect())
+    left = dc.without_matches(nasty, bench)
+    assert left.columns == nasty.columns
+    assert hit[20] == 1 and sum(hit.values()) + left.count() == len(nasty_rows)
+    assert dc.without_matches(nothing, bench).collect() == []
+    assert dc.matches(nasty, spark.createDataFrame([], "item_id long, text string")).collect() == []
+    assert SCHEMA
