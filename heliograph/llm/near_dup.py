@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import release, shuffle_parts, stored, unused
+from .cluster import discard, release, shuffle_parts, stored, unused
 from .quality_rules import WORD
 
 SHINGLE = 5
@@ -290,7 +290,9 @@ def _jump(parents: DataFrame) -> DataFrame:
         up = table.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
         further = stored(table.join(up, F.col("p") == F.col("_v"), "left").select("v", F.coalesce("_p", "p").alias("p"), (F.coalesce("_p", "p") != F.col("p")).alias("moved")), "parents")
         if further.filter("moved").limit(1).count() == 0:
+            discard(further)
             return table
+        discard(table)
         table = further.select("v", "p")
 
 
@@ -352,6 +354,7 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     more = stored(_block_links(rest, _sets(docs, needed), threshold), "blocks")
     release(spark)
     label = stored(roots(star.unionByName(more)), "labels")
+    discard(members, edges, star, first, fresh, open_members, hopeful, more)
 
     labelled = nodes.select("id", "node", "doc_id").join(label.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import release, stored
+from .cluster import discard, release, stored
 
 LENGTH, Q = 200, 40
 REACH = LENGTH - Q + 1
@@ -270,8 +270,8 @@ def _cut(raw: bytes, packed: list[int] | None) -> tuple[list[tuple[int, int]], b
     return spans, b"".join([*kept, raw[at:]])
 
 
-def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (bucket, name, ..., solo) by kind: (bucket and name of kinds that occur twice, one row of each kind in buckets of several).
+def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (bucket, name, ..., solo) by kind: (bucket and name of kinds that occur twice, one row of each kind in buckets of several, the table behind both).
 
     solo: false for a row that is known to occur again and only stands for its kind.
     """
@@ -281,7 +281,7 @@ def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = kinds.filter("n > 1").select("bucket", "name")
     unlike = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
     left = kinds.join(unlike, "bucket", "left_semi").withColumn("solo", F.col("solo") & (F.col("n") == 1))
-    return again, left
+    return again, left, kinds
 
 
 def _looked_up(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -304,15 +304,16 @@ def duplicated(docs: DataFrame) -> DataFrame:
     # a null bucket is a stretch that repeats within its piece; the outer join keeps it
     held = runs.join(shared.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b"), "left").filter("_b IS NOT NULL OR bucket IS NULL").drop("_b")
     held = stored(held, "runs")
+    discard(shared)
     release(spark)
     open_runs = held.filter("bucket IS NOT NULL").withColumn("solo", F.lit(True))
-    again, unlike = _kinds(open_runs)
+    again, unlike, kinds = _kinds(open_runs)
     alike = open_runs.join(again, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", "strings")
 
     form = "bucket long, name long, doc_id long, tk int, at long, strings long, left int, solo boolean"
     cells = stored(_looked_up(some, unlike).mapInArrow(_cells, form), "cells")
     release(spark)
-    cells_again, cells_unlike = _kinds(cells)
+    cells_again, cells_unlike, cell_kinds = _kinds(cells)
     alike_cells = cells.filter("solo").join(cells_again, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", "strings")
 
     form = "bucket long, name long, doc_id long, tk int, at long, solo boolean"
@@ -322,13 +323,15 @@ def duplicated(docs: DataFrame) -> DataFrame:
     single = strings.filter("solo").join(twice, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", F.lit(1).cast("long").alias("strings"))
     inside = held.filter("bucket IS NULL").select("doc_id", "tk", "at", "strings")
     found = alike.unionByName(alike_cells).unionByName(single).unionByName(inside)
-    return found.groupBy("doc_id", "tk").agg(F.collect_set(F.shiftleft("at", 20).bitwiseOR(F.col("strings"))).alias("found"))
+    found = stored(found.groupBy("doc_id", "tk").agg(F.collect_set(F.shiftleft("at", 20).bitwiseOR(F.col("strings"))).alias("found")), "found")
+    discard(held, kinds, cells, cell_kinds, strings)
+    release(spark)
+    return found
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every document; with_bytes: also what is left."""
-    found = stored(duplicated(docs), "found").withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
-    release(docs.sparkSession)
+    found = duplicated(docs).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tk"), "text")
     rows = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")), "left").select("doc_id", "found", "text")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
