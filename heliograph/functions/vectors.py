@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,9 +90,6 @@ def focused_similarity(a: Column | str, b: Column | str, kind: Similarity, dimen
 
 def unpack(blob: Column | str) -> Column:
     """Little-endian float32 bytes as array<float> (null where the length does not fit)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
@@ -100,9 +99,6 @@ def unpack(blob: Column | str) -> Column:
 
 def pack(v: Column | str) -> Column:
     """array<float> as little-endian float32 bytes."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(values: pd.Series) -> pd.Series:
         return values.map(lambda a: None if a is None else np.asarray(a, "<f4").tobytes())
