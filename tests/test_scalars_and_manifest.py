@@ -1,0 +1,133 @@
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from heliograph.functions import scalars as sc
+from heliograph.operators import manifest as mf
+
+
+def one(spark, column):
+    return spark.range(1).select(column).head()[0]
+
+
+@pytest.mark.parametrize(("n", "text"), [(0, "0 KB"), (2048, "2 KB"), (3 << 20, "3.0 MB"), ((5 << 30) + (1 << 29), "5.5 GB"), ((1 << 20) - 600, "1023 KB")])
+def test_file_size(spark, n, text):
+    assert one(spark, sc.file_size(F.lit(n))) == text
+
+
+def test_dates(spark):
+    assert one(spark, sc.modified_text(F.lit(1_700_000_000_000))) == "Nov 14, 2023"
+    now = datetime(2024, 1, 2, 12)
+    due = lambda last: one(spark, sc.due_daily(F.lit(last).cast("timestamp"), F.lit(now)))
+    assert due(None) and due(datetime(2024, 1, 1, 12)) and not due(datetime(2024, 1, 1, 12, 0, 1))
+
+
+@pytest.mark.parametrize(("args", "minutes"), [((60_000, 10, 20, 0), 1), ((60_000, 10, 200, 0), 19), ((60_000, 10, 200, 10), None), ((61_000, 10, 20, 5), 3)])
+def test_eta(spark, args, minutes):
+    assert one(spark, sc.eta_minutes(*map(F.lit, args))) == minutes
+
+
+@pytest.mark.parametrize(("text", "ok"), [("1.7.1", True), ("v1.7.1", False), ("01.7.1", False), ("1.7.1-beta", False), ("1.7", False), ("-1.7.1", False), ("1.7.1\n", False), ("1000000000.7.1", False), ("0.0.0", True)])
+def test_versions(spark, text, ok):
+    assert (one(spark, sc.version(F.lit(text))) is not None) == ok == (sc.parse_version(text) is not None)
+
+
+def test_newer(spark):
+    assert one(spark, sc.newer(F.lit("1.10.0"), F.lit("1.9.99"))) is True
+    assert one(spark, sc.newer(F.lit("1.9.9"), F.lit("1.9.9"))) is False
+    assert one(spark, sc.newer(F.lit("x"), F.lit("1.9.9"))) is None
+
+
+@pytest.mark.parametrize(
+    ("url", "ok"),
+    [
+        ("https://github.com/a/b", True),
+        ("https://GitHub.com:443/a", True),
+        ("http://github.com/a", False),
+        ("https://github.com.evil.org/a", False),
+        ("https://user@github.com/a", False),
+        ("https://github.com:444/a", False),
+        ("https://evil.org/github.com", False),
+        ("", False),
+        (None, False),
+    ],
+)
+def test_redirects(spark, url, ok):
+    assert one(spark, sc.redirect_allowed(F.lit(url))) is ok
+
+
+def test_packages(spark):
+    name = lambda t: one(spark, sc.package_name("P", F.lit("1.2.3"), F.lit(t)))
+    assert [name(t) for t in ("linux-x64", "linux-x64-deb", "linux-x64-arch", "windows-x64", "macos-arm64")] == ["P-1.2.3-linux-x64.tar.gz", "P-1.2.3-linux-x64.deb", "P-1.2.3-linux-x64.pkg.tar.zst", "P-1.2.3-Setup-x64.exe", "P-1.2.3-macos-arm64.dmg"]
+
+
+def test_cubic(spark):
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in (0.0, 0.5, -0.5, 1.0, 1.5, 2.0, 3.0)], "x double").select(sc.cubic_weight("x")).collect()]
+    assert got == pytest.approx([1, 0.5625, 0.5625, 0, -0.0625, 0, 0])
+
+
+def release(**x):
+    asset = {"name": "P-2.0.0-linux-x64.tar.gz", "state": "uploaded", "size": 10, "digest": "sha256:" + "a" * 64, "browser_download_url": "https://github.com/o/r/releases/download/v2.0.0/P-2.0.0-linux-x64.tar.gz"}
+    top = {"schema": 1, "tag_name": "v2.0.0", "draft": False, "prerelease": False}
+    asset |= {k[2:]: v for k, v in x.items() if k.startswith("a_")}
+    top |= {k: v for k, v in x.items() if not k.startswith("a_")}
+    top["assets"] = x.get("assets", [asset, {"name": "other"}])
+    if x.get("twice"):
+        top["assets"] = [asset, asset]
+    return json.dumps({k: v for k, v in top.items() if v != "missing"})
+
+
+def name_of(product, version, target):
+    return f"{product}-{version}-{target}.tar.gz"
+
+
+GOOD = [(release(), True), (release(a_size=10.0), True), (release(tag_name="v2.0.0"), True)]
+BAD = [
+    release(**x)
+    for x in (
+        {"a_state": "new"},
+        {"a_size": 0},
+        {"a_size": 1.5},
+        {"a_size": 3 << 30},
+        {"a_digest": "sha256:" + "A" * 64},
+        {"a_digest": "md5:1"},
+        {"a_browser_download_url": "https://evil.org/x"},
+        {"a_name": "P-2.0.0-linux-arm.tar.gz"},
+        {"twice": True},
+        {"draft": "missing"},
+        {"draft": True},
+        {"prerelease": "missing"},
+        {"schema": 2},
+        {"tag_name": "2.0.0"},
+        {"tag_name": "v2.0"},
+        {"assets": "no"},
+    )
+] + ["not json", "[]", json.dumps({"pad": "x" * 70_000})]
+
+
+def test_manifests(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*[t for t, _ in GOOD], *BAD])], "i int, t string")
+    for current, newer in (("1.9.9", True), ("2.0.0", False)):
+        rows = {r.i: r for r in mf.choose(df, "t", "P", "o/r", "linux-x64", current).collect()}
+        for i in range(len(GOOD)):
+            assert rows[i].problem is None and rows[i].is_newer is newer and rows[i].update.sha256 == "a" * 64
+        assert all(rows[i].problem and rows[i].update is None and not rows[i].is_newer for i in range(len(GOOD), len(rows)))
+    assert mf.parse(GOOD[0][0], "P", "o/r", "linux-x64", "1.0.0", name_of).size == 10
+    assert mf.parse(GOOD[0][0], "P", "o/r", "linux-x64", "2.0.0", name_of) is None
+    for text in BAD:
+        with pytest.raises(ValueError):
+            mf.parse(text, "P", "o/r", "linux-x64", "1.0.0", name_of)
+
+
+def test_checks_of_files(spark, tmp_path):
+    files = spark.createDataFrame([("a", b"abc")], "name string, content binary")
+    line = mf.checksums(files, "name", "content").head().line
+    assert line == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad  a"
+    got = spark.createDataFrame([("a", 3, b"abc"), ("b", 3, b"abd")], "path string, length long, content binary")
+    want = spark.createDataFrame([("a", 3, line[:64]), ("b", 3, line[:64])], "path string, size long, sha256 string")
+    assert {r.path: r.ok for r in mf.verified(got, want).collect()} == {"a": True, "b": False}
+    remote = spark.createDataFrame([("a", 3), ("b", None)], "k string, v int")
+    expected = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "k string, v int")
+    assert sorted((r.k, r.missing) for r in mf.differing(expected, remote, "k", ("v",)).collect()) == [("b", False), ("c", True)]
