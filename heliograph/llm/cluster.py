@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +44,15 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done."""
-    import gc
+    """Let Spark delete the shuffle files of jobs that are done.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Spark drops them when its driver collects the plans that own them, which
+    Python lets go of a moment after its own collection; so both run twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def plan_bytes(df: DataFrame) -> int:
