@@ -16,6 +16,7 @@ are dropped unless named in ``keep``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -56,12 +57,18 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
+def _class(chars: str) -> str:
+    return "[" + re.sub(r"([\\\]\[^&-])", r"\\\1", chars) + "]"
+
+
 def _visible(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+    """Characters in words."""
+    return F.length(F.regexp_replace(text, SPACE + "+", ""))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of a text are among chars."""
+    return F.length(text) - F.length(F.regexp_replace(text, _class(chars) + "+", ""))
 
 
 def _covered(starts: Column) -> Column:
@@ -106,47 +113,47 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).when(n > mask, sorted_windows()).otherwise(let(packed, lambda s: let(equal_neighbours(s), counted)))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words is to be removed."""
-    visible = _visible(line)
-    noisy = (visible - _visible(F.translate(line, NOISE, ""))) > visible * F.lit(NOISE_SHARE)
+def line_fails(line: Column, visible: Column) -> Column:
+    """Whether a line with words is to be removed; visible: its characters in words."""
+    noisy = _count(line, NOISE) > visible * F.lit(NOISE_SHARE)
     open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}")
     return noisy | open_end | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
+def _judged(line: Column) -> Column:
+    return let(_visible(line), lambda n: F.struct(line.alias("line"), n.alias("n"), line_fails(line, n).alias("fails")))
+
+
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the base counts, the cleaned text, what it lost, and the verdict ``kept``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != id_col], text.alias("_text"))
-    base = base.select(
-        "*",
-        let(word_array(F.col("_text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("_w"),
-        let(
-            F.filter(F.split(F.col("_text"), "\n", -1), lambda x: x.rlike(WORD)),
-            lambda all_lines: let(
-                F.array_distinct(all_lines),
-                lambda own: F.struct(
-                    (F.size(all_lines) - F.size(own)).cast("long").alias("n_dup_lines"),
-                    F.array_join(F.filter(own, lambda x: ~line_fails(x)), "\n").alias("cleaned_text"),
-                ),
-            ),
-        ).alias("_l"),
-    )
-    word_chars = _visible(F.col("_text"))
-    n_symbols = F.length("_text") - _without(F.col("_text"), SYMBOLS)
+
+    def counted(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
+
+    def cleaned(all_lines: Column, own: Column, good: Column) -> Column:
+        return F.struct(
+            (F.size(all_lines) - F.size(own)).cast("long").alias("n_dup_lines"),
+            F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("text"),
+            F.aggregate(good, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("left_chars"),
+        )
+
+    lines = F.filter(F.split(F.col("_text"), "\n", -1), lambda x: x.rlike(WORD))
+    by_line = let(lines, lambda every: let(F.array_distinct(every), lambda own: let(F.filter(F.transform(own, _judged), lambda x: ~x["fails"]), lambda good: cleaned(every, own, good))))
+    base = base.select("*", let(word_array(F.col("_text")), counted).alias("_w"), by_line.alias("_l"))
     failed = (F.col("_w.n_words") < LEAST_WORDS) | (100 * F.col("_w.n_repeat_words") > 50 * F.col("_w.n_words"))
     out = base.select(
         "doc_id",
         *[c for c in keep if c != id_col],
         F.col("_w.n_words").alias("n_words"),
-        word_chars.cast("long").alias("word_chars"),
-        n_symbols.cast("long").alias("n_symbols"),
+        F.col("_w.word_chars").alias("word_chars"),
+        _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         F.col("_l.n_dup_lines").alias("n_dup_lines"),
         F.col("_w.n_repeat_words").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        _visible(F.col("_l.cleaned_text")).cast("long").alias("left_chars"),
-        F.col("_l.cleaned_text").alias("cleaned_text"),
+        F.col("_l.left_chars").alias("left_chars"),
+        F.col("_l.text").alias("cleaned_text"),
     )
     verdict = ~F.col("base_failed") & (F.col("left_chars") >= F.col("word_chars") * F.lit(1 - LOSS))
     return out.withColumn("kept", verdict)
