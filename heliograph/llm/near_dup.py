@@ -19,8 +19,9 @@ Jaccard similarity of their sets (Dahlgaard, Knudsen and Thorup, 2017).
 
 No pair of a group is ever emitted beyond a spanning forest of its links, no
 group is in one task, and nothing about single documents reaches the driver.
-A link is lost only if all 25 bands miss it (under 5e-7 at similarity 0.85), or
-if its sketches agree in under AGREE of the coordinates (under 1e-9).
+A link is lost only if all 25 bands miss it (5e-5 at similarity 0.80, 5e-7 at
+0.85, under 1e-8 from 0.88), or if its sketches agree in under AGREE of the
+coordinates (under 1e-7).
 
 Defined cases: null and empty texts, and texts of separators, have an empty set
 and are linked with nothing; a null id is a document whose component is that of
@@ -47,7 +48,8 @@ SHINGLE = 5
 T, BAND = 128, 5
 BANDS = T // BAND
 AGREE = 0.6
-THRESHOLD = 85
+#: least similarity, in hundredths, of two linked documents
+THRESHOLD = 80
 #: members of one block, and bytes of sets in it
 BLOCK, BLOCK_BYTES = 512, 32 << 20
 CHUNK = 1 << 20
@@ -228,7 +230,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(group: pa.Table) -> tuple[np.ndarray, ...]:
+def _pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, ...]:
     """(ids, components, mine, agreement by rows i and j > i of unlike components and fitting sizes) of one pair of blocks."""
     ids, comp, mine, n = (group[c].to_numpy() for c in ("id", "comp", "mine", "n"))
     low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, T)
@@ -236,7 +238,7 @@ def _pairs(group: pa.Table) -> tuple[np.ndarray, ...]:
     found_i, found_j = [], []
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
-        fits = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= THRESHOLD * np.maximum(n[rest], n[i]))
+        fits = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]))
         if x != y:  # pairs inside one block are met where that block is paired with itself
             fits &= mine[rest] != mine[i]
         at = np.flatnonzero(fits) + i + 1
@@ -248,12 +250,12 @@ def _pairs(group: pa.Table) -> tuple[np.ndarray, ...]:
     return ids, comp, np.concatenate(found_i) if found_i else none, np.concatenate(found_j) if found_j else none
 
 
-def _promising(members: DataFrame) -> DataFrame:
+def _promising(members: DataFrame, threshold: int) -> DataFrame:
     """The members (bucket, id) whose sketch agrees with one of another component in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            _, _, i, j = _pairs(group)
+            _, _, i, j = _pairs(group, threshold)
             some = np.unique(np.r_[i, j]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([group["bucket"].to_numpy()[some], group["id"].to_numpy()[some]], names=["bucket", "id"])
 
@@ -267,7 +269,7 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            ids, comp, i, j = _pairs(group)
+            ids, comp, i, j = _pairs(group, threshold)
             sets_of = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["set"]]
             forest, a, b = _Forest(), [], []
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
@@ -347,7 +349,7 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     mixed = fresh.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
     open_members = fresh.join(mixed, "bucket", "left_semi").join(nodes.select("id", "n", "low"), "id")
     open_members = stored(open_members, "open")
-    hopeful = stored(_promising(open_members), "hopeful")
+    hopeful = stored(_promising(open_members, threshold), "hopeful")
     release(spark)
     rest = open_members.join(hopeful, ["bucket", "id"], "left_semi")
     needed = nodes.select("id", "doc_id", "node").join(hopeful.select("id").distinct(), "id", "left_semi")

@@ -43,7 +43,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dup.components(_table(spark, sf_dir, "documents"), threshold=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
