@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ BOILERPLATE = (
     r"\ball rights reserved\b|©|\bcopyright (\(c\)|\d{4})|\blorem ipsum\b|\benable javascript\b|\bjavascript is (disabled|required)\b|"
     r"\breleased under the .{1,40} licen[cs]e\b|\bsubscribe to our newsletter\b|\bpowered by \w+\s*$)"
 )
+#: in lower case; every match of BOILERPLATE holds one, so the pattern is tried on few lines
+CUES = ("cookie", "privacy policy", "terms ", "rights reserved", "©", "copyright", "lorem ipsum", "javascript", "released under", "newsletter", "powered by")
 #: share of its characters that a document may lose
 LOSS = 0.4
 LEAST_WORDS = 50
@@ -117,7 +120,8 @@ def line_fails(line: Column, visible: Column) -> Column:
     """Whether a line with words is to be removed; visible: its characters in words."""
     noisy = _count(line, NOISE) > visible * F.lit(NOISE_SHARE)
     open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}")
-    return noisy | open_end | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    cued = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(c) for c in CUES]))
+    return noisy | open_end | line.rlike(NAVIGATION) | (cued & line.rlike(BOILERPLATE))
 
 
 def _judged(line: Column) -> Column:

@@ -58,6 +58,13 @@ def test_lines(spark, bad, gone):
     assert (row.cleaned_text.split("\n") == LINES) == gone
 
 
+@pytest.mark.parametrize("line", ["See our Cookie Policy.", "This site USES COOKIES.", "Privacy Policy", "Terms and Conditions apply to all.", "© 2020 Somebody and others too.", "Copyright 2020 by all of them.", "Lorem ipsum dolor sit amet now.", "Please enable JavaScript to go on.", "Released under the MIT License.", "Subscribe to our newsletter today, friends.", "This page is powered by Magic"])
+def test_boilerplate_holds_a_cue(spark, line):
+    assert re.search(qr.BOILERPLATE, line) and any(c in line.lower() for c in qr.CUES)
+    row = qr.clean_lines(spark.createDataFrame([(1, "\n".join([*LINES, line]))], "doc_id long, text string")).head()
+    assert row.cleaned_text.split("\n") == LINES
+
+
 def test_verdict(spark):
     junk = [" ".join(f"w{i}{k}***" for k in range(12)) + "." for i in range(9)]
     df = spark.createDataFrame([(1, "\n".join(LINES)), (2, "\n".join(LINES[:8] + junk)), (3, "few words")], "doc_id long, text string")
