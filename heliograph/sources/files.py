@@ -50,15 +50,16 @@ def scan(spark: SparkSession, folders: list[str], with_content: bool = False) ->
     return out, reachable, errors
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, width, height, channels, data (BGR or BGRA rows from the top) and error of the images below a folder.
+def images(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    """path, width, height, channels, data (BGR or BGRA rows from the top) and error of the images below a folder, or of files.
 
     Spark's decoder reads PNG, JPEG, GIF and BMP; it neither turns images by
     their EXIF orientation nor reads WebP or SVG.
     """
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(folder).select("image.*")
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(where).select("image.*")
     bad = F.col("width") < 1
-    return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data", F.when(bad, F.lit("could not be decoded")).alias("error"))
+    path = F.regexp_replace("origin", "^file:/+", "file:/")  # as the binaryFile source writes it
+    return rows.select(path.alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data", F.when(bad, F.lit("could not be decoded")).alias("error"))
 
 
 def thumbnails_of(items: DataFrame, thumbnails: DataFrame, prefix: str = "thumb:") -> DataFrame:
