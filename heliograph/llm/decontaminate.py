@@ -173,8 +173,9 @@ def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
     found = stored(_count_hits(docs, shared), "hits")
     counts = np.zeros(len(items.grams), np.int64)
-    for row in found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a gram of the block
-        counts[row["gram"]] = row["n"]
+    table = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).toArrow()  # one row a gram of the block
+    if table.num_rows:
+        counts[table["gram"].to_numpy()] = table["n"].to_numpy()
     seeds = spark.sparkContext.broadcast(items.seeds(counts))
     known = spark.createDataFrame([(int(g),) for g in seeds.value], "seed int")
     # a row for each document with a seed; the text is looked at again only there

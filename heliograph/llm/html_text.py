@@ -42,10 +42,12 @@ NEVER = frozenset("nav footer aside form button select input menu dialog fieldse
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|pop|modal|overlay|newsletter|"
-    r"subscri\w*|sidebar|side|aside|widget|comments?|comment\w*|disqus|repl(?:y|ies)|respond|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|header|masthead|topbar|"
+    r"subscri\w*|sidebar|side|aside|widget|comments?|comment\w*|disqus|repl(?:y|ies)|respond|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|"
     r"share|sharing|social|related|recommended|login|signin|signup|register|search|pagination|pager|toolbar|disclaimer|copyright|skip|hidden|print|tags|byline)(?:$|[\s_-])",
     re.I,
 )
+#: unlikely too, but for the heading of an article
+TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 SAFE = frozenset(("html", "body", "main", "article"))
 PARAGRAPH = frozenset(("p", "td", "pre", "blockquote", "li", "dd", "div", "section", "article", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINER = frozenset("div section article main body td table blockquote center details dd".split())
@@ -141,7 +143,8 @@ def _is_cut(node: Node, inside: bool) -> bool:
         return True
     if tag in SAFE or tag not in BLOCK and tag not in ("span", "a", "ins", "small", "label"):
         return False
-    return bool(UNLIKELY.search(f"{found.get('class', '')} {found.get('id', '')}"))
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    return bool(UNLIKELY.search(names)) or not inside and bool(TOP.search(names))
 
 
 def _walk(root: Node) -> list[Node]:

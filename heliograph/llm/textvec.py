@@ -21,6 +21,8 @@ _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD6E8FEB86659FD93)
 _BYTE_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _POWERS = np.ones(1, U64)
+#: bytes hashed at a time, and the longest span that is hashed as a whole
+PIECE, LONG = 1 << 21, 1 << 16
 
 
 def mix64(x: np.ndarray | np.uint64) -> np.ndarray:
@@ -91,10 +93,33 @@ def runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each of the disjoint, ascending spans."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
+    """A 64-bit hash of the bytes of each of the disjoint, ascending spans.
+
+    Works on PIECE bytes at a time; spans over LONG bytes are hashed by blocks.
+    """
     length = ends - starts
+    out = np.empty(len(starts), U64)
+    large = length > LONG
+    if large.any():
+        out[~large] = hash_spans(raw, starts[~large], ends[~large])
+        for i in np.flatnonzero(large):
+            cuts = np.arange(starts[i], ends[i], LONG)
+            h = U64(length[i])
+            for x in hash_spans(raw, cuts, np.r_[cuts[1:], ends[i]]):
+                with np.errstate(over="ignore"):
+                    h = mix64(h * _ODD ^ x)
+            out[i] = h
+        return out
+    done = np.cumsum(length)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(done, done[i] - length[i] + PIECE, "right")))
+        out[i:j] = _hash_some(raw, starts[i:j], length[i:j])
+        i = j
+    return out
+
+
+def _hash_some(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     first = np.cumsum(length) - length
     within = np.arange(total, dtype=np.int64) - np.repeat(first, length)

@@ -44,6 +44,10 @@ def test_small_pages(page, text):
     assert ht.main_text(page) == text
 
 
+def test_headings_of_articles():
+    assert ht.main_text(f"<div class='site-header'><p>Site, with words</p></div><article><div class='entry-header'><h1>Title</h1></div><header><h2>Sub</h2></header><p>{P1}</p></article>") == f"Title Sub {P1}"
+
+
 def test_deep_and_long_pages():
     assert ht.main_text("<div>" * 20_000 + f"<p>{P1}" + "<b>" * 20_000) == P1
     assert len(ht.main_text("<article>" + f"<p>{P1}</p>" * 20_000)) == (len(P1) + 1) * 20_000 - 1

@@ -116,3 +116,18 @@ def test_hashing_spans():
     h, rows, s, e = tv.words(raw, np.array([0, 5, 8]))
     assert (s.tolist(), e.tolist(), rows.tolist()) == ([0, 3, 6], [2, 5, 8], [0, 0, 1])
     assert h[0] == h[2] != h[1]
+
+
+def test_hashing_long_texts_in_pieces():
+    rng = np.random.default_rng(8)
+    text = b" ".join(bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in [*rng.integers(1, 9, 300), tv.LONG * 3 + 5, 7, tv.LONG, tv.LONG + 1])
+    raw = np.frombuffer(text, np.uint8)
+    whole, _, s, e = tv.words(raw, np.array([0, len(raw)]))
+    piece, tv.PIECE = tv.PIECE, 100
+    try:
+        assert (tv.hash_spans(raw, s, e) == whole).all() and len(set(whole.tolist())) >= 290
+    finally:
+        tv.PIECE = piece
+    changed = raw.copy()
+    changed[int(s[300]) + tv.LONG + 3] ^= 1
+    assert (tv.hash_spans(changed, s, e) != whole).nonzero()[0].tolist() == [300]
