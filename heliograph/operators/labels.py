@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
 MOST, LEAST, BEHIND = 3, 0.23, 0.045
+#: what images are labelled with, in the order of the bank, and the text that is embedded for each (fixed values)
+PROMPT = "a photo of "
+NAMES = (
+    "a person", "a group of people", "a portrait", "a child", "a family", "a wedding", "a concert", "a sports event", "an astronaut", "a rocket",
+    "outer space", "a dog", "a cat", "a bird", "a horse", "wildlife", "an insect", "flowers", "a tree", "a forest",
+    "a mountain", "a beach", "the ocean", "a lake", "a river", "a waterfall", "snow", "a desert", "a sunset", "the night sky",
+    "a city", "a street", "a building", "a house", "an interior room", "a kitchen", "a bedroom", "an office", "a car", "a motorcycle",
+    "a bicycle", "an airplane", "a train", "a boat", "food", "a cup of coffee", "a drink", "a dessert", "fruit", "vegetables",
+    "a computer", "a phone", "a camera", "electronics", "a book", "a document", "a receipt", "a screenshot", "a website", "a chart",
+    "a map", "a handwritten note", "a drawing", "a painting", "a cartoon", "anime", "a logo", "a product", "clothing", "shoes",
+    "jewelry", "furniture", "a garden", "a bridge", "a road", "a farm", "a swimming pool", "a reflection", "a texture", "a pattern",
+    "a toy", "a game", "a colorful abstract design", "a black and white photo", "an aerial view", "a close-up photo", "an underwater scene", "a rainy scene", "a dark scene", "a bright sunny scene",
+)
+
+
+def embedded_bank(embed_text: Callable[[str], list[float] | None], names: tuple[str, ...] = NAMES) -> list[tuple[str, list[float]]]:
+    """The bank that a text model makes of the names; names it can't embed are left out."""
+    pairs = [(name, embed_text(PROMPT + name)) for name in names]
+    return [(name, v) for name, v in pairs if v is not None]
 
 
 def mean_bank(vectors: DataFrame, label: str, vector: str, dimensions: int) -> DataFrame:
@@ -20,9 +41,9 @@ def zero_shot(items: DataFrame, bank: list[tuple[str, list[float]]], key: str =
     """key and labels: up to MOST names, best first, of scores of at least LEAST and within BEHIND of the best.
 
     The bank is a fixed list of labels, so it is a constant of the plan and each
-    item is labelled row by row, without a join.
+    item is labelled row by row, without a join.  Ties go to the earlier label.
     """
-    scores = F.array(*[F.struct(F.round(-V.dot(vector, V.literal(v)), 9).alias("s"), F.lit(name).alias("name")) for name, v in sorted(bank)])
+    scores = F.array(*[F.struct(F.round(-V.dot(vector, V.literal(v)), 9).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, v) in enumerate(bank)])
     best = F.slice(F.array_sort(F.filter(scores, lambda x: x["s"].isNotNull())), 1, MOST)
     rows = items.select(key, best.alias("best"))
     good = F.filter("best", lambda x: -x["s"] >= F.greatest(F.lit(LEAST), -F.col("best")[0]["s"] - F.lit(BEHIND)))

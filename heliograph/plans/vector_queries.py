@@ -73,7 +73,7 @@ bank AS (SELECT name, list_transform(m, lambda x: x / sqrt({S.norm2('m')})) AS b
 def zero_shot_labels(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     # one row a label: the bank is as long as the list of labels
-    bank = [(r["name"], list(r["bank"])) for r in labels.mean_bank(e, "label", "embedding", DIMENSIONS).collect()]
+    bank = sorted((r["name"], list(r["bank"])) for r in labels.mean_bank(e, "label", "embedding", DIMENSIONS).collect())
     return labels.zero_shot(e, bank)
 
 

@@ -56,6 +56,12 @@ def test_labels(spark):
     assert got == {1: "cat, cow, ant", 2: "", 3: ""}
 
 
+def test_label_bank():
+    assert len(labels.NAMES) == len(set(labels.NAMES)) == 90
+    bank = labels.embedded_bank(lambda t: [float(len(t))] if t != "a photo of a cat" else None)
+    assert len(bank) == 89 and bank[0] == ("a person", [19.0])
+
+
 def test_nearest_others_in_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 8))
