@@ -223,13 +223,12 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labels: int = MOST_LABELS) -> DataFrame:
-    """The rows of docs, all their columns, that the classifier predicts to be good."""
+    """The rows of docs, all their columns, that the classifier predicts to be good.  Only texts go to Python, only scores come back."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most_labels))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         vectors, network = model.value
-        for b in batches:
-            yield b.filter(pa.array(np.asarray(network.score(pooled(b.column(at), vectors))) >= threshold))
+        return pa.array(np.asarray(network.score(pooled(texts, vectors)), np.float64))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(F.col("text")) >= threshold)

@@ -22,7 +22,7 @@ _BASE = U64(0xD6E8FEB86659FD93)
 _BYTE_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _POWERS = np.ones(1, U64)
 #: bytes hashed at a time, and the longest span that is hashed as a whole
-PIECE, LONG = 1 << 21, 1 << 16
+PIECE, LONG = 1 << 18, 1 << 16
 
 
 def mix64(x: np.ndarray | np.uint64) -> np.ndarray:
