@@ -21,7 +21,9 @@ BASE, SPREAD, TRUST = 0.04, 0.16, 0.25
 
 
 def analysed(items: DataFrame) -> DataFrame:
-    """The items with the token array of each text column (``_t_name`` and so on) and their number (``_length``)."""
+    """The items with the token array of each text column (``_t_name`` and so on) and their number (``_length``); analysed items as they are."""
+    if "_length" in items.columns:
+        return items
     rows = items.select("*", *[tokens(c).alias(f"_t_{c}") for c, _ in TEXT_COLUMNS])
     return rows.withColumn("_length", reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c, _ in TEXT_COLUMNS]))
 

@@ -26,7 +26,7 @@ from ..schema import (
     Sort,
 )
 from . import filters
-from .lexical import lexical
+from .lexical import analysed, lexical
 
 EXACT_NAME = 0.65
 FILENAME_EVIDENCE = 0.25
@@ -168,12 +168,14 @@ def page(rows: DataFrame, by: list[Column], offset: int, limit: int) -> DataFram
 class Searcher:
     """Searches over a catalog, with cursors that stay on one snapshot of the results.
 
-    A cursor's matches (id, score, evidence, reason and the sort keys) are kept
-    on disk by Spark and numbered once; later pages select by position.
+    A cursor's matches are kept by Spark until another search replaces them;
+    later pages are top-k queries over them.  keep_tokens: also keep the token
+    arrays of the items, for a session of many text searches.
     """
 
-    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, dimensions: int = DIMENSIONS) -> None:
-        self.catalog, self.embedder, self.dimensions = catalog, embedder or NoEmbedder(), dimensions
+    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, dimensions: int = DIMENSIONS, keep_tokens: bool = False) -> None:
+        self.catalog, self.embedder, self.dimensions, self.keep_tokens = catalog, embedder or NoEmbedder(), dimensions, keep_tokens
+        self._tokens: DataFrame | None = None
         self.latest = 0
         self._cursors = itertools.count(1)
         self._last: tuple[SearchRequest, SearchResult, DataFrame, list[Column]] | None = None
@@ -183,14 +185,26 @@ class Searcher:
         if self._last:
             self._last[2].unpersist()
         self._last = None
-        self.catalog = catalog or self.catalog
+        self._use(catalog or self.catalog)
+
+    def _use(self, catalog: Catalog) -> None:
+        if self._tokens is not None:
+            self._tokens.unpersist()
+        self.catalog, self._tokens = catalog, None
+
+    def _text_items(self) -> DataFrame:
+        if not self.keep_tokens:
+            return self.catalog.items
+        if self._tokens is None:
+            self._tokens = analysed(self.catalog.items.drop("embedding")).persist()
+        return self._tokens
 
     def metadata_changed(self, catalog: Catalog) -> None:
         """New notes or favorites: results that depend on them are dropped, others go on."""
         if self._last and (self._last[0].favorites or self._last[0].text):
             self.reload(catalog)
         else:
-            self.catalog = catalog
+            self._use(catalog)
 
     def plan(self, request: SearchRequest) -> tuple[DataFrame, bool, str]:
         """(matches, whether a vector ranks them, status); ValueError with a message where the subject has no vector."""
@@ -216,7 +230,7 @@ class Searcher:
             vector = self.embedder.text(request.text)
             if vector is None:
                 status = "Text matches only · no vector for this query"
-        matches = ranked(rows, request, vector, self.catalog.items)
+        matches = ranked(rows, request, vector, self._text_items())
         return matches, vector is not None, status or self._status(request, vector is not None, looks)
 
     def _status(self, request: SearchRequest, ranks: bool, looks: bool) -> str:

@@ -18,7 +18,7 @@ ITEMS_SQL = f"""SELECT d.doc_id AS id, concat('/lib/', d.source, '/', {_NAME}) A
   concat('thumb:', cast(d.doc_id % 97 AS varchar(20))) AS thumb,
   cast(16 + (d.doc_id * 7) % 257 AS int) AS width, cast(16 + (d.doc_id * 5) % 131 AS int) AS height,
   d.n_chars AS bytes, cast(d.doc_id % 31 AS bigint) AS modified, d.doc_id % 5 = 0 AS favorite,
-  CASE WHEN d.doc_id % 6 = 0 THEN coalesce(p.p_name,'') ELSE '' END AS tags, substr(d.text, 1, 400) AS ocr,
+  CASE WHEN d.doc_id % 6 = 0 THEN coalesce(p.p_name,'') ELSE '' END AS tags, d.text AS ocr,
   CASE WHEN l.quality = 1 THEN concat('good ', coalesce(split_part(p.p_name,' ',2),'')) WHEN l.toxic = 1 THEN 'toxic note' ELSE '' END AS notes,
   CASE WHEN d.doc_id % 10 = 9 THEN NULL WHEN d.doc_id % 10 = 8 THEN 'foreign' WHEN d.doc_id % 10 = 7 THEN 'legacy-v1' WHEN d.doc_id % 10 = 6 THEN 'gpu-v3' ELSE 'cpu-v3' END AS model,
   CASE WHEN d.doc_id % 17 = 3 THEN NULL ELSE e.embedding END AS embedding
@@ -26,8 +26,8 @@ FROM documents d LEFT JOIN part p ON p.p_partkey = d.doc_id LEFT JOIN labels l O
 APPEARANCES_SQL = """SELECT i.id AS photo_id, i.modified + CASE WHEN i.id % 13 = 0 THEN 1 ELSE 0 END AS modified, i.bytes AS bytes,
   cast(CASE WHEN i.id % 11 = 0 THEN 0 ELSE 1 END AS int) AS version, e.embedding AS descriptor
 FROM items i JOIN embeddings e ON e.vec_id = i.id WHERE i.id % 3 <> 0"""
-#: thumbnails: every key of the items from 0 on, and some that no item has
-THUMBNAILS_SQL = "SELECT concat('thumb:', cast(doc_id AS varchar(20))) AS key, encode(concat('preview ', cast(doc_id AS varchar(20)))) AS data FROM documents WHERE doc_id < 120"
+#: thumbnails: a key for every document; items show the first 97 of them
+THUMBNAILS_SQL = "SELECT concat('thumb:', cast(doc_id AS varchar(20))) AS key, encode(concat('preview ', cast(doc_id AS varchar(20)))) AS data FROM documents"
 FOLDERS_SQL = "SELECT DISTINCT concat('/lib/', source) AS path FROM documents"
 
 

@@ -151,6 +151,15 @@ def test_metadata_changes(many):
     assert s.search(SearchRequest(query="asset", mode=Mode.TEXT, limit=2, offset=2, cursor=named.cursor)).offset == 0
 
 
+def test_kept_tokens_give_the_same(many):
+    plain, kept = se.Searcher(many[0], None, 4), se.Searcher(many[0], None, 4, keep_tokens=True)
+    request = SearchRequest(query="asset 01*", mode=Mode.TEXT, limit=40)
+    for _ in range(2):
+        assert [(r.id, r.score) for r in plain.search(request).page.collect()] == [(r.id, r.score) for r in kept.search(request).page.collect()]
+    kept.reload()
+    assert kept._tokens is None
+
+
 def test_catalog_scans_prune(spark, tmp_path):
     catalog(spark, [item(1, embedding=one_hot(0))]).items.write.parquet(str(tmp_path / "i"))
     plan = se.metadata(Catalog(spark.read.parquet(str(tmp_path / "i"))))._jdf.queryExecution().executedPlan().toString()
