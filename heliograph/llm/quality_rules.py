@@ -29,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 #: characters whose large share marks a line as decoration, a table or shouting
 NOISE = SYMBOLS + "!?=_~^{}[]\\@"
 #: share of a line's visible characters that noise may have
-NOISE_SHARE = 0.10
+NOISE_SHARE = 0.08
 #: a line without closing punctuation needs this many words
 SHORT_LINE = 5
 CLOSED = r"[.!?…:;。！？][\"'”’»)\]]*\s*$"
