@@ -28,8 +28,8 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 #: characters whose large share marks a line as decoration, a table or shouting
 NOISE = SYMBOLS + "!?=_~^{}[]\\@"
-#: share of a line's visible characters that noise may have
-NOISE_SHARE = 0.08
+#: share of a line's visible characters that noise may have, beside a mark or so that any short line may end with
+NOISE_SHARE, FREE_MARKS = 0.08, 1
 #: a line without closing punctuation needs this many words
 SHORT_LINE = 5
 CLOSED = r"[.!?…:;。！？][\"'”’»)\]]*\s*$"
@@ -118,7 +118,7 @@ def repeated_words(words: Column) -> Column:
 
 def line_fails(line: Column, visible: Column) -> Column:
     """Whether a line with words is to be removed; visible: its characters in words."""
-    noisy = _count(line, NOISE) > visible * F.lit(NOISE_SHARE)
+    noisy = _count(line, NOISE) - FREE_MARKS > visible * F.lit(NOISE_SHARE)
     open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}")
     cued = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(c) for c in CUES]))
     return noisy | open_end | line.rlike(NAVIGATION) | (cued & line.rlike(BOILERPLATE))
