@@ -134,7 +134,12 @@ def hits(column_tokens: Column, term: Term) -> Column:
         match = (lambda x: x.startswith(first)) if term.prefix else (lambda x: x == first)
         return F.size(F.filter(column_tokens, match))
     if not term.prefix:
-        phrase = F.array(*[F.lit(w) for w in term.words])
-        here = lambda x, i: (x == first) & (F.slice(column_tokens, i + 1, len(term.words)) == phrase)
+        # the words that follow are looked up by place: a slice would copy the whole array each time
+        def here(x: Column, i: Column) -> Column:
+            found = x == first
+            for k, word in enumerate(term.words[1:], 1):
+                found = found & F.coalesce(F.get(column_tokens, i + k) == word, F.lit(False))
+            return found
+
         return F.size(F.filter(column_tokens, here))
     raise ValueError("a phrase has no prefix form")

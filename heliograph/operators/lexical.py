@@ -7,6 +7,7 @@ the only exchange is the partial aggregation that gives the corpus statistics.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,18 +46,23 @@ def term_statistics(items: DataFrame) -> DataFrame:
     return postings(items).groupBy("term").agg(F.countDistinct("id").alias("n_items"), F.count(F.lit(1)).alias("n_tokens"))
 
 
+def _counter(term: Term) -> Callable[[Column], Column]:
+    return lambda column_tokens: hits(column_tokens, term)
+
+
 def matched(rows: DataFrame, terms: list[Term]) -> DataFrame:
     """Analysed rows with the hits of each term (``_h0`` and so on, weighted in ``_f0``), whether all match, and whether all match in trusted columns."""
-    out = rows
-    for i, term in enumerate(terms):
-        found = {c: hits(F.col(f"_t_{c}"), term) for c, _ in TEXT_COLUMNS}
-        out = out.withColumns(
-            {
-                f"_h{i}": reduce(lambda a, b: a + b, found.values()),
-                f"_f{i}": reduce(lambda a, b: a + b, [found[c] * F.lit(w) for c, w in TEXT_COLUMNS]),
-                f"_r{i}": reduce(lambda a, b: a + b, [found[c] for c in TRUSTED_COLUMNS]) > 0,
-            }
-        )
+    # hits by column are made once a term (an array that the optimiser does not copy into its uses)
+    columns = F.array(*[F.col(f"_t_{c}") for c, _ in TEXT_COLUMNS])
+    out = rows.withColumns({f"_c{i}": F.transform(columns, _counter(term)) for i, term in enumerate(terms)})
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    sums = {}
+    for i in range(len(terms)):
+        found = {c: F.get(F.col(f"_c{i}"), F.lit(k)) for k, (c, _) in enumerate(TEXT_COLUMNS)}
+        sums[f"_h{i}"] = add(found.values())
+        sums[f"_f{i}"] = add([found[c] * F.lit(w) for c, w in TEXT_COLUMNS])
+        sums[f"_r{i}"] = add([found[c] for c in TRUSTED_COLUMNS]) > 0
+    out = out.withColumns(sums)
     every = lambda xs: reduce(lambda a, b: a & b, xs)
     return out.withColumns({"_all": every([F.col(f"_h{i}") > 0 for i in range(len(terms))]), "trusted": every([F.col(f"_r{i}") for i in range(len(terms))])})
 
