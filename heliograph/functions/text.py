@@ -42,8 +42,9 @@ def _c(x: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case without diacritics, precomposed or combining."""
-    return F.regexp_replace(F.translate(F.lower(_c(text)), FOLD_FROM, FOLD_TO), r"\p{M}+", "")
+    """Lower case without diacritics, precomposed or combining; ASCII texts, known by their length, need no table."""
+    low = F.lower(_c(text))
+    return F.when(F.octet_length(_c(text)) == F.length(_c(text)), low).otherwise(F.regexp_replace(F.translate(low, FOLD_FROM, FOLD_TO), r"\p{M}+", ""))
 
 
 def tokens(text: Column | str) -> Column:
