@@ -145,9 +145,9 @@ def match_reason(spark: SparkSession, d: str) -> DataFrame:
     return _page(spark, d, _BY_TEXT[3], ("reason",), paged=False).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(S.search(SearchRequest(query="red_plate_64.png", mode=Mode.TEXT), columns=_PLAIN, paged=False))
+@query(S.search(SearchRequest(query="hot_plate_100.png", mode=Mode.TEXT), columns=_PLAIN, paged=False))
 def exact_name_boost(spark: SparkSession, d: str) -> DataFrame:
-    return _page(spark, d, SearchRequest(query="red_plate_64.png", mode=Mode.TEXT), ("id", "name", "score"), paged=False)
+    return _page(spark, d, SearchRequest(query="hot_plate_100.png", mode=Mode.TEXT), ("id", "name", "score"), paged=False)
 
 
 # the lexical operator on its own
