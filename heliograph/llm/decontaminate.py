@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Tokens are runs of letters and digits, A-Z in lower case.  Every SEED-gram of
-the test items is counted over all training documents; of each SPACING
-neighbouring SEED-grams of an item the rarest is a seed, and so are those about
-as rare (at most TIMES as frequent, and SLACK).  So seeds are rare where the
-item allows it and yet cover all of it, also when the passage itself is common.  A document that holds a seed is aligned with the seed's item around
-each hit; the score of the best local alignment is divided by that of the item
-with itself.
+Tokens are runs of letters and digits, A-Z in lower case.  Every SEED-gram of a
+test item is a seed, however many documents hold it, so that an edited copy is
+found however often the edit is repeated.  A document is aligned with every item
+it shares a seed with, around each hit; the score of the best local alignment is
+divided by that of the item with itself.  Only alignments are left out whose
+tokens in common cannot reach the score.  A document that shares no SEED-gram
+with an item is not aligned with it.
 
 The test items are a query set: they are taken in blocks of about BLOCK_BYTES,
 each held by every task, however many items there are.
@@ -27,10 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import release, stored, unused
+from .cluster import stored, unused
 
-SEED, SPACING, LEAST = 3, 6, 8
-TIMES, SLACK = 4, 10
+SEED, LEAST = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.4
 BLOCK_BYTES = 4 << 20
@@ -73,16 +72,12 @@ class Items:
         table[(self.grams & tv.U64((1 << SIEVE) - 1)).astype(np.int64)] = True
         return table
 
-    def seeds(self, counts: np.ndarray) -> dict[int, list[int]]:
-        """Of each stretch of an item the rarest grams: gram -> items."""
-        out: dict[int, list[int]] = {}
+    def holders(self) -> list[list[int]]:
+        """The items of each gram."""
+        out: list[list[int]] = [[] for _ in range(len(self.grams))]
         for item, places in enumerate(self.places):
-            chosen = set()
-            for i in range(max(1, len(places) - SPACING + 1)):
-                some = places[i : i + SPACING]
-                chosen.update(some[counts[some] <= TIMES * counts[some].min() + SLACK].tolist())
-            for g in chosen:
-                out.setdefault(g, []).append(item)
+            for g in np.unique(places).tolist():
+                out[g].append(item)
         return out
 
 
@@ -149,45 +144,13 @@ def best_match(item: np.ndarray, text: np.ndarray, at: np.ndarray, least: float)
     return found
 
 
-def _count_hits(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, tag, gram): the item grams of every document, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        sieve = items.sieve()
-        for b in batches:
-            for first, offsets, raw in tv.chunks(b.column(2), CHUNK):
-                hashes, rows, _, _ = tokens(raw, offsets)
-                place, at = hits(hashes, rows, items, sieve)
-                if not len(place):
-                    continue
-                pair = np.unique((rows[at] + first) * len(items.grams) + place)
-                owner = pa.array(pair // len(items.grams))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array((pair % len(items.grams)).astype(np.int32))], names=["doc_id", "tag", "gram"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag().alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, gram int")
-
-
 def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    found = stored(_count_hits(docs, shared), "hits")
-    counts = np.zeros(len(items.grams), np.int64)
-    table = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).toArrow()  # one row a gram of the block
-    if table.num_rows:
-        counts[table["gram"].to_numpy()] = table["n"].to_numpy()
-    seeds = spark.sparkContext.broadcast(items.seeds(counts))
-    known = spark.createDataFrame([(int(g),) for g in seeds.value], "seed int")
-    # a row for each document with a seed; the text is looked at again only there
-    hit = found.join(F.broadcast(known), F.col("gram") == F.col("seed"), "left_semi").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
-    hit = stored(hit.select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), "seeded")
-    release(spark)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag().alias("tag"), "text")
-    rows = texts.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, chosen = shared.value, seeds.value
-        sieve = block.sieve()
+        block = shared.value
+        sieve, holders = block.sieve(), block.holders()
         for b in batches:
             out: list[tuple] = []
             for first, offsets, raw in tv.chunks(b.column(2), CHUNK):
@@ -195,7 +158,7 @@ def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
                 place, at = hits(hashes, owner, block, sieve)
                 by_pair: dict[tuple[int, int], list[int]] = {}
                 for g, p in zip(place.tolist(), at.tolist(), strict=True):
-                    for item in chosen.get(g, ()):
+                    for item in holders[g]:
                         by_pair.setdefault((int(owner[p]), item), []).append(p)
                 cuts = np.searchsorted(owner, np.arange(len(offsets)))
                 for (row, item), places in by_pair.items():
@@ -208,7 +171,7 @@ def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tag", "item_id", "score", "start_byte", "end_byte"])
 
-    return stored(rows.mapInArrow(run, "doc_id long, tag long, item_id long, score double, start_byte long, end_byte long"), "matches")
+    return stored(texts.mapInArrow(run, "doc_id long, tag long, item_id long, score double, start_byte long, end_byte long"), "matches")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:

@@ -104,6 +104,18 @@ def test_common_passages_are_still_found(spark):
     assert sorted(r.doc_id for r in rows) == list(range(200))
 
 
+@pytest.mark.parametrize("copies", [11, 15, 1000])
+@pytest.mark.parametrize("pristine", [0, 1])
+def test_the_same_edit_in_many_documents(spark, copies, pristine):
+    """Grams that the edit breaks, which few documents or none hold, do not push out those that are left."""
+    rng = random.Random(5)
+    own = [f"q{k}" for k in range(35)]
+    edited = " ".join(f"e{k}" if k % 7 == 3 else w for k, w in enumerate(own))  # no 8 tokens in a row are left as they were
+    docs = [(i, prose(rng, 20) + " " + (" ".join(own) if i < pristine else edited)) for i in range(copies + pristine)] + [(5000, prose(rng, 40))]
+    rows = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(copies + pristine))
+
+
 def test_without_matches(spark, nasty, nasty_rows, nothing):
     bench = spark.createDataFrame([(1, nasty_rows[20][1])], "item_id long, text string")
     hit = Counter(r.doc_id for r in dc.matches(nasty, bench).collect())
