@@ -14,7 +14,7 @@ text writer, whose line separator is the end of a WARC record, and ``read_files`
 parses such files by Content-Length.
 
 Defined cases: a null html is an empty payload; a null url gives an empty
-WARC-Target-URI; CR and LF in a url are percent-encoded; a null page_id orders
+WARC-Target-URI; a url may have any length; CR and LF in it are percent-encoded; a null page_id orders
 before others and is kept; rows alike in page_id and payload are one response
 and revisits of it; no rows give empty tables; other columns are ignored.
 """
@@ -107,12 +107,12 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 def parsed(rows: DataFrame, record: str = "record") -> DataFrame:
     """The fields of record bytes; a response's payload is held against its own digest and length."""
     whole = F.col(record)
-    # the WARC header and the HTTP header end at the first and second empty line; both are ASCII apart from the URI
-    text = F.decode(F.substring(whole, 1, 16384), "ISO-8859-1")
-    warc = F.substring_index(text, CRLF * 2, 1)
-    both = F.substring_index(text, CRLF * 2, 2)
+    # the WARC header and the HTTP header end at the first and second empty line, wherever these are: a url may have any
+    # length; a cast keeps the bytes and substring_index looks for bytes, so no payload is decoded; both headers are ASCII apart from the URI
+    head = lambda n: F.substring_index(whole.cast("string"), CRLF * 2, n).cast("binary")
+    warc = F.decode(head(1), "ISO-8859-1")
     field = lambda name: F.regexp_extract(F.col("_warc"), rf"(?m)^{name}: ?([^\r\n]*)\r?$", 1)
-    rows = rows.select(warc.alias("_warc"), F.length(both).alias("_head"), F.length(warc).alias("_first"), whole.alias("_record"))
+    rows = rows.select(warc.alias("_warc"), F.octet_length(head(2)).alias("_head"), F.length(warc).alias("_first"), whole.alias("_record"))
     rows = rows.select("*", field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest").alias("_sha1"), field("WARC-Payload-Length").cast("long").alias("payload_bytes"), field("Content-Length").cast("long").alias("_block"))
     rows = rows.withColumn("payload", F.when(F.col("record_type") == "response", F.expr("substring(_record, _head + 5)")))
     own = F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))

@@ -64,5 +64,21 @@ def test_plain_files(spark, tmp_path):
     assert sorted(str(r) for r in warc.parsed(again).drop("payload").collect()) == sorted(str(r) for r in warc.parsed(rows).drop("payload").collect())
 
 
+@pytest.mark.parametrize("size", [16_000, 17_000, 200_000])
+def test_long_urls(spark, size):
+    """A response and revisits of it whose urls alone are longer than any usual header."""
+    urls = {1: "data:,ü" + "x" * size, 2: "http://a/?q=" + "é" * size, 3: "http://short"}
+    rows = warc.archive(spark.createDataFrame([(i, u, "<p>ü</p>") for i, u in urls.items()] + [(4, "data:," + "y" * size, "")], "page_id long, url string, html string")).collect()
+    data = "<p>ü</p>".encode()
+    digest, empty = (base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (data, b""))
+    got = {r.page_id: (r.record_type, r.payload_digest, r.payload_bytes, r.refers_to, r.url, r.payload and bytes(r.payload)) for r in rows}
+    assert got == {
+        1: ("revisit", digest, len(data), 3, urls[1], None),
+        2: ("revisit", digest, len(data), 3, urls[2], None),
+        3: ("response", digest, len(data), None, urls[3], data),
+        4: ("response", empty, 0, None, "data:," + "y" * size, b""),
+    }
+
+
 def test_empty(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA)).collect() == []
