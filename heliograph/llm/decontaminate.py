@@ -1,18 +1,22 @@
 """Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Tokens are runs of letters and digits, A-Z in lower case.  Every SEED-gram of a
-test item is a seed, however many documents hold it, so that an edited copy is
+Tokens are runs of letters and digits, A-Z in lower case, and single characters
+of scripts without spaces (Chinese, Japanese, Thai, Lao, Myanmar, Khmer).  Every
+SEED-gram of a test item is a seed, however many documents hold it, so that an edited copy is
 found however often the edit is repeated.  A document is aligned with every item
 it shares a seed with, around each hit; the score of the best local alignment is
 divided by that of the item with itself.  Only alignments are left out whose
 tokens in common cannot reach the score.  A document that shares no SEED-gram
-with an item is not aligned with it.
+with an item is not aligned with it.  Items of fewer than LEAST tokens are too
+short to tell an edit from another text: they match, with score 1, documents that
+hold all their tokens in a row (the first place counts), so an item of one word
+matches every document with that word.
 
 The test items are a query set: they are taken in blocks of about BLOCK_BYTES,
 each held by every task, however many items there are.
 
-Defined cases: null texts have no tokens; items of fewer than LEAST tokens are
-too short to tell and match nothing; a null doc_id or item_id is carried as
+Defined cases: null texts have no tokens; items without tokens match
+nothing; a null doc_id or item_id is carried as
 null; equal items match alike, and so do rows alike; no rows, or no items, give
 no rows; extra columns are ignored by ``matches`` and kept by ``without_matches``.
 """
@@ -39,6 +43,10 @@ SIEVE = 22
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+#: by the first two bytes of a character: scripts without spaces, U+2E80 to U+A4CF, U+F900 to U+FAFF, U+20000 on, and four of Asia's south-east
+_LONE = np.zeros((256, 256), bool)
+_LONE[0xE2, 0xBA:0xC0] = _LONE[0xE3:0xEA, 0x80:0xC0] = _LONE[0xEA, 0x80:0x94] = _LONE[0xEF, 0xA4:0xAC] = _LONE[0xF0, 0xA0:0xC0] = True
+_LONE[0xE0, 0xB8:0xBC] = _LONE[0xE1, 0x80:0x83] = _LONE[0xE1, 0x9E:0xA0] = True
 
 
 def tag() -> Column:
@@ -48,7 +56,16 @@ def tag() -> Column:
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(hash, row, start, end) of every token."""
     raw = tv.lower_ascii(raw)
-    starts, ends = tv.runs(_KIND[raw], offsets)
+    kind = _KIND[raw]
+    lead = np.flatnonzero(raw[:-1] >= 0xE0)
+    lead = lead[_LONE[raw[lead], raw[lead + 1]]]
+    width = 3 + (raw[lead] >= 0xF0)
+    fits = lead + width <= len(raw)
+    lead, width = lead[fits], width[fits]
+    lone = (2 + np.arange(len(lead)) % 2).astype(np.uint8)  # neighbours differ, so each is a run
+    for k in range(4):
+        kind[lead[k < width] + k] = lone[k < width]
+    starts, ends = tv.runs(kind, offsets)
     return tv.hash_spans(raw, starts, ends), np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
@@ -57,12 +74,17 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None]) -> None:
         self.ids, self.tokens = [], []
+        #: items under LEAST tokens: length -> hash of the whole -> ids
+        self.short: dict[int, dict[int, list]] = {}
         for i, text in zip(ids, texts, strict=True):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             own = tokens(raw, np.array([0, len(raw)]))[0]
             if len(own) >= LEAST:
                 self.ids.append(i)
                 self.tokens.append(own)
+            elif len(own):
+                whole = int(tv.windows(own, np.zeros(len(own), np.int64), len(own))[0][0])
+                self.short.setdefault(len(own), {}).setdefault(whole, []).append(i)
         grams = [tv.windows(t, np.zeros(len(t), np.int64), SEED)[0] for t in self.tokens]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.places = [np.searchsorted(self.grams, g) for g in grams]
@@ -92,6 +114,20 @@ def hits(hashes: np.ndarray, rows: np.ndarray, items: Items, sieve: np.ndarray)
     return place[good], at[good]
 
 
+def short_hits(hashes: np.ndarray, rows: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, object]]:
+    """(row, first token, token after the last, item id) of the first place of every short item in a row."""
+    for n, ids in items.short.items():
+        grams, at = tv.windows(hashes, rows, n)
+        some = np.flatnonzero(np.isin(grams, np.array(list(ids), np.uint64)))
+        seen = set()
+        for g, p in zip(grams[some].tolist(), at[some].tolist(), strict=True):
+            row = int(rows[p])
+            if (row, g) not in seen:
+                seen.add((row, g))
+                for i in ids[g]:
+                    yield row, p, p + n, i
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: the best local score and the tokens of text, [start, end), that it spans."""
     n = len(text)
@@ -167,6 +203,9 @@ def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
                     if score >= least:
                         base = int(offsets[row])
                         out.append((b.column(0)[first + row].as_py(), b.column(1)[first + row].as_py(), block.ids[item], score, int(starts[lo + s]) - base, int(ends[lo + e - 1]) - base))
+                for row, s, e, i in short_hits(hashes, owner, block):
+                    base = int(offsets[row])
+                    out.append((b.column(0)[first + row].as_py(), b.column(1)[first + row].as_py(), i, 1.0, int(starts[s]) - base, int(ends[e - 1]) - base))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tag", "item_id", "score", "start_byte", "end_byte"])
@@ -184,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Data
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         held = Items([r["item_id"] for r in part], [r["text"] for r in part])
-        if held.ids:
+        if held.ids or held.short:
             found = _block(docs, held, least)
             out = found if out is None else out.unionByName(found)
     if out is None:

@@ -116,6 +116,22 @@ def test_the_same_edit_in_many_documents(spark, copies, pristine):
     assert sorted(r.doc_id for r in rows) == list(range(copies + pristine))
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Short items match whole; a script without spaces is cut into characters."""
+    chinese = "春天的河水慢慢流过古老的石桥，孩子们在岸边放风筝。𠀀𠀁"
+    edited = chinese.replace("慢慢", "静静").replace("孩子", "学生")
+    items = [(1, "Paris, France"), (2, "paris france"), (3, "one two three four five six seven"), (4, chinese), (5, "石桥边"), (6, "?!"), (7, "ไทย")]
+    docs = [(1, "ü in PARIS - France; again Paris france"), (2, "paris is in france"), (3, "zero one two three four five six seven."), (4, "one two three four five six 7"), (5, "x" + edited + "完"), (6, "上石桥边去"), (7, "石桥的边"), (8, "ภาษาไทย"), (None, "?!")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = dc.matches(d, b).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (1, 2), (3, 3), (5, 4), (6, 5), (8, 7)]
+    by = {i: text.encode() for i, text in docs}
+    spans = {r.item_id: (r.score, by[r.doc_id][r.start_byte : r.end_byte].decode()) for r in rows}
+    assert spans[1] == spans[2] == (1.0, "PARIS - France") and spans[5] == (1.0, "石桥边") and spans[7] == (1.0, "ไทย")
+    assert 0.4 <= spans[4][0] < 1 and spans[4][1] in edited
+    assert sorted(r.doc_id or 0 for r in dc.without_matches(d, b).collect()) == [0, 2, 4, 7]
+
+
 def test_without_matches(spark, nasty, nasty_rows, nothing):
     bench = spark.createDataFrame([(1, nasty_rows[20][1])], "item_id long, text string")
     hit = Counter(r.doc_id for r in dc.matches(nasty, bench).collect())
