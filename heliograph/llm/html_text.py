@@ -6,7 +6,7 @@ tag, role, class or id) are cut off.  Each paragraph then passes points for its
 length and commas to its ancestors, less with each level; a container's points
 are discounted by its link density.  The container with most points is kept,
 raised to the article or main element around it, and with it the siblings that
-score well.  Its text is given block by block, in page order.
+score well; outside article and main, also those that hold prose, however short.  Its text is given block by block, in page order.
 
 Defined cases: a null, empty or tag-only html gives an empty text; a page
 without any scoring paragraph gives what is left of its body; ties go to the
@@ -266,8 +266,10 @@ def main_text(html: str | None) -> str:
                 total, linked, _ = lengths[c]
                 good = c.points >= max(10, SIBLING * most) and c.tag in BLOCK
                 prose = c.tag == "p" and total >= 80 and linked < 0.25 * total
+                # where no article or main marks the whole, parts beside the best one that hold prose belong to it, however short
+                part = best.tag not in ("article", "main") and (c.points > 0 or c.tag == "p") and c.tag in BLOCK and linked < 0.25 * total
                 heading = c.tag in ("h1", "h2") and best.tag not in ("article", "main") and total > 0 and linked < 0.5 * total
-                if good or prose or heading:
+                if good or prose or part or heading:
                     kept.append(c)
     kept.sort(key=order.__getitem__)
     return " ".join(x for n in kept for x in (_blocks(n, lengths)))

@@ -73,3 +73,12 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(str, ht.extract(df).collect())) == sorted(["Row(page_id=1, url=None, text='', n_chars=0)"] * 2 + ["Row(page_id=None, url='u', text='x', n_chars=1)"])
     assert ht.extract(df.limit(0)).collect() == []
+
+
+def test_short_sections_beside_a_long_one():
+    """Without article or main, an introduction, conclusion and notes beside the longest section stay; link lists go."""
+    long = "".join(f"<p>Paragraph {k} of the body, with commas, and more, words, than the rest of the page has.</p>" for k in range(8))
+    links = "".join(f"<li><a href='/{k}'>Some other page {k}</a></li>" for k in range(6))
+    page = f"<html><body><div><section><p>A short introduction, as it is.</p></section><section>{long}</section><p>Brief remark.</p><section><p>In short, it ends.</p></section><div><ul>{links}</ul></div><div class='footer'><p>All rights, reserved here.</p></div></div></body></html>"
+    text = ht.main_text(page)
+    assert text.startswith("A short introduction, as it is. Paragraph 0") and text.endswith("Brief remark. In short, it ends.")
