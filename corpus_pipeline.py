@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heliograph.llm import decontaminate, mixing, near_dup, quality_model, sharding
-from heliograph.llm.cluster import discard, release, stored
+from heliograph.llm.cluster import discard, scratch, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as spare:  # a stage's own tables go once its result is written
+            docs = spare(stored(stage(spark, docs, sf_dir), f"pipeline-{name}"))
         if before is not None:
             discard(before)
         before = docs
-        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import discard, release, shuffle_parts, stored, unused
+from .cluster import discard, shuffle_parts, stored, unused
 from .quality_rules import WORD
 
 SHINGLE = 5
@@ -291,11 +291,10 @@ def _jump(parents: DataFrame) -> DataFrame:
     while True:
         up = table.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
         further = stored(table.join(up, F.col("p") == F.col("_v"), "left").select("v", F.coalesce("_p", "p").alias("p"), (F.coalesce("_p", "p") != F.col("p")).alias("moved")), "parents")
-        if further.filter("moved").limit(1).count() == 0:
-            discard(further)
-            return table
         discard(table)
-        table = further.select("v", "p")
+        if further.filter("moved").limit(1).count() == 0:
+            return further
+        table = further
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -315,7 +314,6 @@ def roots(links: DataFrame) -> DataFrame:
         again = edges.join(left, "a").join(right, "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         edges = stored(again, "links")
         if edges.limit(1).count() == 0:
-            release(spark)
             return found.select("v", F.col("p").alias("root"))
 
 
@@ -329,18 +327,15 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     filled = rows.filter("n_shingles > 0")
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    release(spark)
     exploded = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last")
     members = stored(exploded.join(buckets.select("bucket", "hub"), "bucket"), "members")
-    release(spark)
 
     # star: each node against the least node of its buckets
     edges = stored(members.filter("id != hub").groupBy("id").agg(F.min("hub").alias("hub")), "edges")
     ends = edges.select("id").unionByName(edges.select(F.col("hub").alias("id"))).distinct()
     needed = nodes.select("id", "doc_id", "node").join(ends, "id", "left_semi")
     star = stored(_star_links(_sets(docs, needed), edges, threshold), "star")
-    release(spark)
     first = roots(star)
 
     # blocks: buckets that hold several components after that
@@ -350,11 +345,9 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     open_members = fresh.join(mixed, "bucket", "left_semi").join(nodes.select("id", "n", "low"), "id")
     open_members = stored(open_members, "open")
     hopeful = stored(_promising(open_members, threshold), "hopeful")
-    release(spark)
     rest = open_members.join(hopeful, ["bucket", "id"], "left_semi")
     needed = nodes.select("id", "doc_id", "node").join(hopeful.select("id").distinct(), "id", "left_semi")
     more = stored(_block_links(rest, _sets(docs, needed), threshold), "blocks")
-    release(spark)
     label = stored(roots(star.unionByName(more)), "labels")
     discard(members, edges, star, first, fresh, open_members, hopeful, more)
 

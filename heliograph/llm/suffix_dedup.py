@@ -19,12 +19,15 @@ every offset without numbering the buckets across the cluster.
 4. Cells of one bucket that are unlike are refined to single strings.
 
 Names are 64 bits, and strings are only compared within a bucket, so 128 bits
-stand for a string.  Removal is judged on the input texts.
+stand for a string; 128 bits of id and text (``ka``, ``kb``) stand for a row.
+Removal is judged on the input texts.  A bucket may hold any share of the runs:
+hot ones are dealt into parts where a table is joined on the bucket alone.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing;
 cuts fall between bytes, also inside a character; rows alike, with one id or
-several, are copies of each other; a null id is kept as null; no rows give no
-rows; other columns are ignored.
+several, are copies of each other; unlike texts under one id, or under no id, are
+judged apart; a null id is kept as null; no rows give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import discard, release, stored
+from .cluster import discard, row_key, spread_join, stored
 
 LENGTH, Q = 200, 40
 REACH = LENGTH - Q + 1
@@ -180,11 +183,12 @@ def _emit(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
                     pa.array(size),
                     pa.array(np.r_[(place - a)[lone], none].astype(np.int32)),
                 ],
-                names=["bucket", "name", "doc_id", "tk", "at", "strings", "left"],
+                names=["bucket", "name", "ka", "kb", "at", "strings", "left"],
             )
 
 
-RUN = "bucket long, name long, doc_id long, tk int, at long, strings long, left int"
+KEY = ("ka", "kb")
+RUN = "bucket long, name long, ka long, kb long, at long, strings long, left int"
 ASKED = ("bucket", "at", "strings", "left", "solo")
 
 
@@ -214,7 +218,7 @@ def _spread(size: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of the asked runs: (bucket: what its strings share, name: all that they cover, doc_id, tk, at, strings, left, solo)."""
+    """The cells of the asked runs: (bucket: what its strings share, name: all that they cover, ka, kb, at, strings, left, solo)."""
     for batch in batches:
         for i, part, grams, low in _asked(batch):
             p, far = part[:, 1] + part[:, 3], part[:, 3]
@@ -233,13 +237,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = tv.mix64(_join(string_ids(grams, start - low), string_ids(grams, end - low)) + ((end - start) * 1024 + hi).astype(np.uint64))
             n = len(run)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(z.view(np.int64)), pa.array(name.view(np.int64)), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int32)), pa.array(start), pa.array(end - start + 1), pa.array(hi.astype(np.int32)), pa.array(part[run, 4] == 1)],
-                names=["bucket", "name", "doc_id", "tk", "at", "strings", "left", "solo"],
+                [pa.array(z.view(np.int64)), pa.array(name.view(np.int64)), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(start), pa.array(end - start + 1), pa.array(hi.astype(np.int32)), pa.array(part[run, 4] == 1)],
+                names=["bucket", "name", "ka", "kb", "at", "strings", "left", "solo"],
             )
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of the asked cells: (bucket, name, doc_id, tk, at, solo)."""
+    """The strings of the asked cells: (bucket, name, ka, kb, at, solo)."""
     for batch in batches:
         for i, part, grams, low in _asked(batch):
             size = part[:, 2]
@@ -247,8 +251,8 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = string_ids(grams, at - low)
             n = len(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part[:, 0], size)), pa.array(ids.view(np.int64)), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int32)), pa.array(at), pa.array(np.repeat(part[:, 4], size) == 1)],
-                names=["bucket", "name", "doc_id", "tk", "at", "solo"],
+                [pa.array(np.repeat(part[:, 0], size)), pa.array(ids.view(np.int64)), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(at), pa.array(np.repeat(part[:, 4], size) == 1)],
+                names=["bucket", "name", "ka", "kb", "at", "solo"],
             )
 
 
@@ -270,70 +274,75 @@ def _cut(raw: bytes, packed: list[int] | None) -> tuple[list[tuple[int, int]], b
     return spans, b"".join([*kept, raw[at:]])
 
 
-def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (bucket, name, ..., solo) by kind: (bucket and name of kinds that occur twice, one row of each kind in buckets of several, the table behind both).
+def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (bucket, name, ..., solo): a row of each kind with its number ``n``, and the buckets (bucket, n) of several kinds.
 
     solo: false for a row that is known to occur again and only stands for its kind.
     """
-    carried = ("doc_id", "tk", "at", "strings", "left")
+    carried = (*KEY, "at", "strings", "left")
     kinds = rows.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.min("solo").alias("solo"), *[F.first(c).alias(c) for c in carried])
     kinds = stored(kinds, "kinds")
-    again = kinds.filter("n > 1").select("bucket", "name")
-    unlike = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
-    left = kinds.join(unlike, "bucket", "left_semi").withColumn("solo", F.col("solo") & (F.col("n") == 1))
-    return again, left, kinds
+    return kinds, stored(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "unlike")
+
+
+def _unlike(kinds: DataFrame, buckets: DataFrame) -> DataFrame:
+    """A row of each kind in the buckets of several."""
+    left = spread_join(kinds, buckets.select("bucket"), "bucket", buckets, F.col("name"))
+    return left.withColumn("solo", F.col("solo") & (F.col("n") == 1))
+
+
+def _again(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Where the rows (bucket, name, ka, kb, at, strings) of kinds (bucket, name, n) that occur twice are; one kind may have any share of them."""
+    kind = F.struct("bucket", "name").alias("kind")
+    twice = kinds.filter("n > 1").select(kind, "n")
+    return spread_join(rows.select(kind, *KEY, "at", "strings"), twice.select("kind"), "kind", twice, F.xxhash64("ka", "at")).drop("kind")
 
 
 def _looked_up(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc_id, tk, the asked rows as a list, and the text: one row for each text that is asked for."""
-    own = asked.select("doc_id", "tk", F.struct("bucket", "at", "strings", "left", F.col("solo").cast("int").alias("solo")).alias("x"))
-    own = own.groupBy("doc_id", "tk").agg(F.collect_list("x").alias("asked")).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
-    both = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")))
-    return both.dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "asked", "text")
+    """ka, kb, the asked rows as a list, no longer than the text, and the text: one row for each text that is asked for."""
+    own = asked.select(*KEY, F.struct("bucket", "at", "strings", "left", F.col("solo").cast("int").alias("solo")).alias("x"))
+    own = own.groupBy(*KEY).agg(F.collect_list("x").alias("asked"))
+    return texts.join(own, list(KEY)).dropDuplicates(list(KEY)).select(*KEY, "asked", "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, ka and kb (names of the row), and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).select("doc_id", F.col("_key.a").alias("ka"), F.col("_key.b").alias("kb"), "text")
 
 
 def duplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (hash of the text) and packed stretches of strings (start << 20 | number) that occur elsewhere."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tk"), "text")
-    some = texts.filter(F.octet_length("text") >= LENGTH)
-    shared = some.select("text").mapInArrow(lambda b: _emit(b, False), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    """ka, kb and packed stretches of strings (start << 20 | number) that occur elsewhere."""
+    some = _keyed(docs).filter(F.octet_length("text") >= LENGTH).select(*KEY, "text")
+    shared = some.select("text").mapInArrow(lambda b: _emit(b, False), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(shared, "buckets")
-    release(spark)
     runs = some.mapInArrow(lambda b: _emit(b, True), RUN)
     # a null bucket is a stretch that repeats within its piece; the outer join keeps it
-    held = runs.join(shared.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b"), "left").filter("_b IS NOT NULL OR bucket IS NULL").drop("_b")
+    held = spread_join(runs, shared.select("bucket", F.lit(True).alias("_shared")), "bucket", shared, F.col("name"), "left").filter("_shared OR bucket IS NULL").drop("_shared")
     held = stored(held, "runs")
     discard(shared)
-    release(spark)
     open_runs = held.filter("bucket IS NOT NULL").withColumn("solo", F.lit(True))
-    again, unlike, kinds = _kinds(open_runs)
-    alike = open_runs.join(again, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", "strings")
-
-    form = "bucket long, name long, doc_id long, tk int, at long, strings long, left int, solo boolean"
-    cells = stored(_looked_up(some, unlike).mapInArrow(_cells, form), "cells")
-    release(spark)
-    cells_again, cells_unlike, cell_kinds = _kinds(cells)
-    alike_cells = cells.filter("solo").join(cells_again, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", "strings")
-
-    form = "bucket long, name long, doc_id long, tk int, at long, solo boolean"
-    strings = stored(_looked_up(some, cells_unlike).mapInArrow(_strings, form), "strings")
-    release(spark)
-    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "name")
-    single = strings.filter("solo").join(twice, ["bucket", "name"], "left_semi").select("doc_id", "tk", "at", F.lit(1).cast("long").alias("strings"))
-    inside = held.filter("bucket IS NULL").select("doc_id", "tk", "at", "strings")
+    kinds, mixed = _kinds(open_runs)
+    alike = _again(open_runs, kinds)
+
+    form = "bucket long, name long, ka long, kb long, at long, strings long, left int, solo boolean"
+    cells = stored(_looked_up(some, _unlike(kinds, mixed)).mapInArrow(_cells, form), "cells")
+    cell_kinds, cells_mixed = _kinds(cells)
+    alike_cells = _again(cells.filter("solo"), cell_kinds)
+
+    form = "bucket long, name long, ka long, kb long, at long, solo boolean"
+    strings = stored(_looked_up(some, _unlike(cell_kinds, cells_mixed)).mapInArrow(_strings, form), "strings")
+    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"))
+    single = _again(strings.filter("solo").withColumn("strings", F.lit(1).cast("long")), stored(twice.filter("n > 1"), "twice"))
+    inside = held.filter("bucket IS NULL").select(*KEY, "at", "strings")
     found = alike.unionByName(alike_cells).unionByName(single).unionByName(inside)
-    found = stored(found.groupBy("doc_id", "tk").agg(F.collect_set(F.shiftleft("at", 20).bitwiseOR(F.col("strings"))).alias("found")), "found")
-    discard(held, kinds, cells, cell_kinds, strings)
-    release(spark)
+    found = stored(found.groupBy(*KEY).agg(F.collect_set(F.shiftleft("at", 20).bitwiseOR(F.col("strings"))).alias("found")), "found")
+    discard(held, kinds, mixed, cells, cell_kinds, cells_mixed, strings)
     return found
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every document; with_bytes: also what is left."""
-    found = duplicated(docs).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tk"), "text")
-    rows = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")), "left").select("doc_id", "found", "text")
+    rows = _keyed(docs).join(duplicated(docs), list(KEY), "left").select("doc_id", "found", "text")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,31 @@ def test_spans_and_bytes(spark):
     got = {r.doc_id: r for r in sd.remove_repeats(df, with_bytes=True).collect()}
     assert bytes(got[1].kept) == b"AA" and bytes(got[2].kept) == b"BB"
     assert [(s.start, s.end) for s in got[1].spans] == [(2, 242)]
+
+
+def test_rows_whose_short_hashes_agree(spark):
+    """Unlike texts of one 32-bit hash, under one id and under none: the lone one keeps every byte."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(200_000).select(F.concat(*[F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 256) for k in "abcde"]).alias("t"))
+    a, b = next(r["x"] for r in texts.groupBy(F.hash("t").alias("h")).agg(F.sort_array(F.collect_list("t")).alias("x")).filter("size(x) > 1").orderBy("h").collect())
+    rows = [(5, a[:-1] + "A"), (6, a), (6, b), (1, a), (None, b[:-1] + "B"), (None, a), (None, "p" + b[::-1])]
+    for lone in (5, 6, None):
+        some = [(lone, a), (lone, b), (1, a)]
+        got = {(r[0], r[1], r[4]): r[2] for r in run(spark, some)}
+        assert got[lone, 320, hashlib.sha256(b.encode()).hexdigest()] == 0
+        assert sorted(run(spark, some), key=key) == sorted(brute(some), key=key)
+    assert sorted(run(spark, rows), key=key) == sorted(brute(rows), key=key)
+
+
+def test_hot_buckets_in_parts(spark, monkeypatch):
+    """One passage in most texts, in unlike surroundings: its buckets are dealt out."""
+    from heliograph.llm import cluster
+
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = noise(230)
+    rows = [(i, noise(rng.choice([0, 40, 170])) + passage + noise(rng.choice([0, 90, 210]))) for i in range(60)]
+    monkeypatch.setattr(cluster, "LEAST_HOT", 4)
+    monkeypatch.setattr(cluster, "HOT", 40)
+    assert sorted(run(spark, rows)) == sorted(brute(rows))
