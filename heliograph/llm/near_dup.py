@@ -10,22 +10,32 @@ Jaccard similarity of their sets (Dahlgaard, Knudsen and Thorup, 2017).
 
 1. Documents with equal sets become one node (128-bit digest of the set).
 2. Bands of BAND coordinates put nodes into buckets.
-3. Star: each node is held against the least node of its buckets, on full sets.
+3. Star: each node is held against the least node of its buckets, on full sets;
+   these links are parents, so pointer jumping gives the first components.
 4. Blocks: buckets that still hold several components are cut into blocks of
-   bounded size; every pair of blocks goes to one task.  Members whose sketch
-   agrees with none of another component are put aside first; the rest is
-   compared on full sets, until all in a block that can be linked are.
-5. Components by hooking to the least neighbour and pointer jumping.
+   bounded size, those of the largest component apart; every pair of blocks, but
+   for pairs inside the largest component, goes to one task.  So a bucket costs in proportion to its
+   members where few lie outside its largest component.  Members whose sketch agrees
+   with none of another component are put aside first; the rest is compared on
+   full sets, until all in a block that can be linked are.
+5. Wide buckets, with over WIDE members outside the largest component, are
+   clouds of texts that are alike in part.  There members meet by shingle: of
+   two similar sets, the rarest (1 - threshold) of each must have a shingle in
+   common, in any order of shingles that all share.  Rarest first, what a cloud has
+   in common comes last, and its members do not meet.  This loses no link.
+6. Components of the components by hooking to the least neighbour and pointer jumping.
 
 No pair of a group is ever emitted beyond a spanning forest of its links, no
 group is in one task, and nothing about single documents reaches the driver.
+Hot buckets, hubs, components and sets are dealt into parts where tables are joined on them.
 A link is lost only if all 25 bands miss it (5e-5 at similarity 0.80, 5e-7 at
 0.85, under 1e-8 from 0.88), or if its sketches agree in under AGREE of the
 coordinates (under 1e-7).
 
 Defined cases: null and empty texts, and texts of separators, have an empty set
 and are linked with nothing; a null id is a document whose component is that of
-its texts' other ids, or null; rows alike are linked; no rows give no rows;
+its texts' other ids, or null; unlike texts under one id, or under no id, are
+documents of their own; rows alike are linked; no rows give no rows;
 other columns are ignored by ``components`` and kept by ``keep_one``.
 """
 
@@ -41,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import discard, shuffle_parts, stored, unused
+from .cluster import discard, row_key, shuffle_parts, spread_join, stored, unused
 from .quality_rules import WORD
 
 SHINGLE = 5
@@ -50,8 +60,8 @@ BANDS = T // BAND
 AGREE = 0.6
 #: least similarity, in hundredths, of two linked documents
 THRESHOLD = 80
-#: members of one block, and bytes of sets in it
-BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: members of one block, and bytes of sets in it; members outside the largest component from which a bucket is wide
+BLOCK, BLOCK_BYTES, WIDE = 512, 32 << 20, 8192
 CHUNK = 1 << 20
 
 _LOW = tv.U64((1 << 56) - 1)
@@ -119,27 +129,34 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, node (digest of the set), n_shingles, bands, low (8 bits a coordinate) and tag (of id and text) of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag().alias("tag"))
-    return rows.mapInArrow(_sketches, "doc_id long, node binary, n_shingles long, bands array<long>, low binary, tag long")
+    return rows.mapInArrow(_sketches, f"doc_id long, node binary, n_shingles long, bands array<long>, low binary, tag {TAG}")
+
+
+TAG = "struct<a: long, b: long>"
 
 
 def tag() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+    """Names a row by its id and text."""
+    return row_key(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """id and set of the needed nodes (id, doc_id, node), from the texts again."""
-    wanted = needed.select("id", F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("id", "_n", "text")
+    """id and set of the needed nodes (id, tag of a row that has it), from the texts again."""
+    rows = docs.select(tag().alias("tag"), "text").join(needed.select("id", "tag").hint("merge"), "tag").select("id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
+            # rows alike follow each other in the sorted join: one is enough
+            own = b.column(0).to_numpy()
+            fresh = np.flatnonzero(own != np.r_[own[:1] + 1 if last is None else [last], own[:-1]])
+            last = int(own[-1]) if len(own) else last
+            b = b.take(pa.array(fresh))
             ids, out, held = [], [], 0
-            for i, elements in shingle_sets(b.column(2)):
-                if _digest(elements) == b.column(1)[i].as_py():  # an id may stand for other texts, too
-                    ids.append(b.column(0)[i].as_py())
-                    out.append(elements.tobytes())
-                    held += len(out[-1])
+            for i, elements in shingle_sets(b.column(1)):
+                ids.append(b.column(0)[i].as_py())
+                out.append(elements.tobytes())
+                held += len(out[-1])
                 if held > BLOCK_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "set"])
                     ids, out, held = [], [], 0
@@ -166,9 +183,9 @@ def _star_links(sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
     A hub's set goes once to each of its salts; members follow it in a sorted
     partition, so a task holds one hub's set and one member's at a time.
     """
-    sizes = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    salted = edges.join(sizes.withColumn("parts", parts), "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sizes = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    salted = spread_join(edges, sizes.select("hub", parts.alias("parts")), "hub", sizes, F.col("id")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     hubs = sizes.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("role"))
     roles = salted.select("hub", "id", "salt", F.lit(1).alias("role")).unionByName(hubs)
     rows = roles.join(sets, "id").select("hub", "salt", "role", "id", "set")
@@ -202,12 +219,30 @@ class _Forest:
         return x
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """The buckets that hold several components: bucket, n, top (the largest of them) and few (members outside it)."""
+    mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("bucket", "n")
+    mixed = stored(mixed, "mixed")
+    by_comp = spread_join(members, mixed.select("bucket"), "bucket", mixed, F.col("id")).groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    tops = by_comp.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("x"))
+    tops = stored(tops.select("bucket", "n", F.col("x.comp").alias("top"), (F.col("n") - F.col("x.m")).alias("few")), "several")
+    discard(mixed)
+    return tops
+
+
 def _blocks(members: DataFrame, weight: str) -> DataFrame:
-    """members (bucket, ...) -> a row for each pair of blocks that a member is in; ``mine`` tells its block."""
-    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum(weight) / F.lit(BLOCK_BYTES))).cast("int").alias("parts"))
-    rows = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other", "parts")
+    """members (bucket, id, comp, top, ...) -> a row for each pair of blocks that a member is in; ``mine`` tells its block.
+
+    The largest component's blocks come first; they are paired with those of the others, which are paired with all.
+    """
+    size = lambda own: F.greatest(F.ceil(F.sum(own.cast("long")) / F.lit(BLOCK)), F.ceil(F.sum(F.when(own, F.col(weight)).otherwise(0)) / F.lit(BLOCK_BYTES))).cast("int")
+    major = F.col("comp") == F.col("top")
+    sizes = members.groupBy("bucket").agg(size(major).alias("a"), size(~major).alias("b"), F.count(F.lit(1)).alias("n")).filter("a > 0 AND b > 0")
+    rows = spread_join(members, sizes.select("bucket", "a", "b"), "bucket", sizes.select("bucket", "n"), F.col("id"))
+    h = F.xxhash64("id")
+    rows = rows.withColumn("mine", F.when(major, F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.col("b"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(major, F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)))
+    return rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other", "a", "b")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -265,19 +300,19 @@ def _promising(members: DataFrame, threshold: int) -> DataFrame:
 
 
 def _block_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links, on full sets, that join all of a block that can be joined."""
+    """Links between components, on full sets, that join all of a block that can be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            ids, comp, i, j = _pairs(group, threshold)
+            _, comp, i, j = _pairs(group, threshold)
             sets_of = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["set"]]
             forest, a, b = _Forest(), [], []
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
                 u, v = forest.root(int(comp[p])), forest.root(int(comp[q]))
                 if u != v and similar(sets_of[p], sets_of[q], threshold):
                     forest.up[u] = v
-                    a.append(int(ids[p]))
-                    b.append(int(ids[q]))
+                    a.append(int(comp[p]))
+                    b.append(int(comp[q]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = _blocks(members.withColumn("w", F.col("n") * 8), "w").join(sets, "id").select("bucket", "x", "y", "mine", "id", "comp", "n", "low", "set")
@@ -285,12 +320,67 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _rare(sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """bucket (a shingle) and id: the shingles by which a set must meet every set that is similar to it.
+
+    A set of n shares threshold * n with any that is similar, so one of its first n - threshold * n + 1
+    is among the first of the other; the order is by number of sets, then by value.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x)], names=["id", "shingle"])
+
+    every = stored(sets.mapInArrow(explode, "id long, shingle long"), "shingles")
+    counts = stored(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    shared = spread_join(every, counts.select("shingle", F.col("n").alias("f")), "shingle", counts, F.col("id"))
+    by_set = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s")).join(sizes, "id")
+    # shingles of one set only come first in the order and are left out
+    first = F.size("s") - F.floor((F.col("n") * F.lit(threshold) + 99) / 100).cast("int") + 1
+    out = stored(by_set.select("id", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)))).alias("x")).select(F.col("x.shingle").alias("bucket"), "id"), "rare")
+    discard(every, counts)
+    return out
+
+
+def _links_between(docs: DataFrame, nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links between the components of members (bucket, id, comp), on full sets."""
+    sketch_of = nodes.select("id", "n", "low")
+    places = lambda ids: nodes.select("id", "tag").join(ids.distinct(), "id", "left_semi")
+    several = _several(members)
+    opened = spread_join(members, several.select("bucket", "top", "few"), "bucket", several, F.col("id")).join(sketch_of, "id")
+    opened = stored(opened, "open")
+    narrow = opened.filter(F.col("few") <= WIDE)
+    hopeful = stored(_promising(narrow, threshold), "hopeful")
+    rest = narrow.join(hopeful, ["bucket", "id"], "left_semi")
+    out = stored(_block_links(rest, _sets(docs, places(hopeful.select("id"))), threshold), "blocks")
+    wide = opened.filter(F.col("few") > WIDE).select("id", "comp", "n", "low").dropDuplicates(["id"])
+    if several.filter(F.col("few") > WIDE).limit(1).count():
+        wide = stored(wide, "wide")
+        sets = stored(_sets(docs, places(wide.select("id"))), "sets")
+        met = _rare(sets, wide.select("id", "n"), threshold)
+        rare = met.join(wide.select("id", "comp"), "id")
+        several_rare = _several(rare)
+        close = stored(spread_join(rare, several_rare.select("bucket", "top"), "bucket", several_rare, F.col("id")).join(sketch_of, "id"), "close")
+        near = stored(_promising(close, threshold), "near")
+        out = stored(out.unionByName(_block_links(close.join(near, ["bucket", "id"], "left_semi"), sets, threshold)), "blocks")
+        discard(wide, sets, met, several_rare, close, near)
+    discard(several, opened, hopeful)
+    return out
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _jump(parents: DataFrame) -> DataFrame:
     """(v, p) with p <= v -> (v, root), by pointer jumping."""
     table = stored(parents, "parents")
     while True:
-        up = table.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
-        further = stored(table.join(up, F.col("p") == F.col("_v"), "left").select("v", F.coalesce("_p", "p").alias("p"), (F.coalesce("_p", "p") != F.col("p")).alias("moved")), "parents")
+        up = table.select(F.col("v").alias("p"), F.col("p").alias("_p"))
+        both = spread_join(table.select("v", "p"), up, "p", _counted(table, "p"), F.col("v"), "left")
+        further = stored(both.select("v", F.coalesce("_p", "p").alias("p"), (F.coalesce("_p", "p") != F.col("p")).alias("moved")), "parents")
         discard(table)
         if further.filter("moved").limit(1).count() == 0:
             return further
@@ -298,8 +388,7 @@ def _jump(parents: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """(v, root) for every end of the links (a, b): the least end of its component."""
-    spark = links.sparkSession
+    """(v, p) for every end of the links (a, b): p is the least end of its component."""
     edges = stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     found = None
     while True:
@@ -308,13 +397,13 @@ def roots(links: DataFrame) -> DataFrame:
         if found is None:
             found = step
         else:
-            s = step.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
-            found = stored(found.join(s, F.col("p") == F.col("_v"), "left").select("v", F.coalesce("_p", "p").alias("p")), "roots")
+            s = step.select(F.col("v").alias("p"), F.col("p").alias("_p"))
+            found = stored(spread_join(found.select("v", "p"), s, "p", _counted(found, "p"), F.col("v"), "left").select("v", F.coalesce("_p", "p").alias("p")), "roots")
         left, right = step.select(F.col("v").alias("a"), F.col("p").alias("ra")), step.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        again = edges.join(left, "a").join(right, "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = stored(again, "links")
+        again = spread_join(spread_join(edges, left, "a", _counted(edges, "a"), F.col("b")), right, "b", _counted(edges, "b"), F.col("a"))
+        edges = stored(again.filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
         if edges.limit(1).count() == 0:
-            return found.select("v", F.col("p").alias("root"))
+            return found.select("v", "p")
 
 
 def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -322,39 +411,38 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     ``tag`` (of id and text) and ``comp`` (null for an empty set) tell rows of one id apart.
     """
-    spark = docs.sparkSession
     rows = stored(sketched(docs), "sketches")
     filled = rows.filter("n_shingles > 0")
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    firsts = [F.first(c).alias(name) for c, name in (("tag", "tag"), ("n_shingles", "n"), ("bands", "bands"), ("low", "low"))]
+    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *firsts)
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     exploded = nodes.select("id", F.explode("bands").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last")
-    members = stored(exploded.join(buckets.select("bucket", "hub"), "bucket"), "members")
+    buckets = exploded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub != last").drop("last")
+    buckets = stored(buckets, "buckets")
+    members = stored(spread_join(exploded, buckets.select("bucket", "hub"), "bucket", buckets, F.col("id")), "members")
 
     # star: each node against the least node of its buckets
     edges = stored(members.filter("id != hub").groupBy("id").agg(F.min("hub").alias("hub")), "edges")
     ends = edges.select("id").unionByName(edges.select(F.col("hub").alias("id"))).distinct()
-    needed = nodes.select("id", "doc_id", "node").join(ends, "id", "left_semi")
-    star = stored(_star_links(_sets(docs, needed), edges, threshold), "star")
-    first = roots(star)
+    star = stored(_star_links(_sets(docs, nodes.select("id", "tag").join(ends, "id", "left_semi")), edges, threshold), "star")
+    first = _jump(star.distinct().select(F.col("a").alias("v"), F.col("b").alias("p")))
+    own = first.select(F.col("v").alias("id"), F.col("p").alias("root"))
 
     # blocks: buckets that hold several components after that
-    fresh = members.join(first.withColumnRenamed("v", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
-    fresh = stored(fresh, "labelled")
-    mixed = fresh.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    open_members = fresh.join(mixed, "bucket", "left_semi").join(nodes.select("id", "n", "low"), "id")
-    open_members = stored(open_members, "open")
-    hopeful = stored(_promising(open_members, threshold), "hopeful")
-    rest = open_members.join(hopeful, ["bucket", "id"], "left_semi")
-    needed = nodes.select("id", "doc_id", "node").join(hopeful.select("id").distinct(), "id", "left_semi")
-    more = stored(_block_links(rest, _sets(docs, needed), threshold), "blocks")
-    label = stored(roots(star.unionByName(more)), "labels")
-    discard(members, edges, star, first, fresh, open_members, hopeful, more)
-
-    labelled = nodes.select("id", "node", "doc_id").join(label.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = labelled.join(least, "comp").select(F.col("node").alias("_node"), "component_id", "comp")
-    out = rows.select("doc_id", "n_shingles", "node", "tag").join(by_node, F.col("node") == F.col("_node"), "left")
+    fresh = stored(members.join(own, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "labelled")
+    discard(buckets, members, edges, star)
+    more = _links_between(docs, nodes, fresh, threshold)
+    discard(fresh)
+    up = roots(more).select(F.col("v").alias("comp"), F.col("p").alias("top"))
+    discard(more)
+
+    labelled = nodes.select("id", "node", "doc_id", "copies").join(own, "id", "left").withColumn("comp", F.coalesce("root", "id"))
+    labelled = spread_join(labelled, up, "comp", _counted(own, "root").withColumnRenamed("root", "comp"), F.col("id"), "left").withColumn("comp", F.coalesce("top", "comp"))
+    labelled = stored(labelled.select("id", "node", "doc_id", "copies", "comp"), "labels")
+    discard(first)
+    least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_node = spread_join(labelled, least.drop("n"), "comp", least.select("comp", "n"), F.col("id")).select("node", "component_id", "comp")
+    out = spread_join(rows.select("doc_id", "n_shingles", "node", "tag"), by_node, "node", nodes.select("node", F.col("copies").alias("n")), F.col("tag"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tag", "comp")
 
@@ -363,8 +451,7 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns: one of each component, and all with an empty set."""
     kept = components(docs, threshold).filter("kept AND comp IS NOT NULL")
     names = docs.columns
-    own, theirs, id_ = unused(docs, "_own", "_theirs", "_id")
-    chosen = kept.groupBy("comp").agg(F.min(F.struct("tag", "doc_id")).alias("x")).select(F.col("x.tag").alias(theirs), F.col("x.doc_id").alias(id_))
-    rows = docs.withColumn(own, tag()).join(chosen, (F.col(own) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
-    one = rows.dropDuplicates([own, "doc_id"]).select(*names)
+    own, theirs = unused(docs, "_own", "_theirs")
+    chosen = kept.groupBy("comp").agg(F.min("tag").alias(theirs)).select(theirs)
+    one = docs.withColumn(own, tag()).join(chosen, F.col(own) == F.col(theirs), "left_semi").dropDuplicates([own]).select(*names)
     return one.unionByName(docs.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

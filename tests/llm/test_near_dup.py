@@ -77,6 +77,63 @@ def test_large_groups_in_small_blocks(spark):
         nd.BLOCK = block
 
 
+def clouds(seed):
+    """Texts that share most of a template, beside real copies of some of them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(2):
+        template = [word() for _ in range(90)]
+        for _ in range(40):
+            text = template + [word() for _ in range(rng.randint(20, 40))]
+            rows.append(" ".join(text))
+            if rng.random() < 0.4:
+                text[-rng.randint(1, 9)] = word()
+                rows.append(" ".join(text))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_wide_buckets_meet_by_rare_shingles(spark, monkeypatch, threshold):
+    met = []
+    rare = nd._rare
+    monkeypatch.setattr(nd, "WIDE", 3)
+    monkeypatch.setattr(nd, "BLOCK", 5)
+    monkeypatch.setattr(nd, "_rare", lambda *x: met.append(rare(*x)) or met[-1])
+    rows = clouds(threshold)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), threshold) == brute(rows, threshold)
+    assert met
+
+
+def test_rare_shingles_of_similar_sets_meet(spark):
+    rng = np.random.default_rng(2)
+    heavy = rng.integers(0, 2**62, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        a = np.unique(np.r_[heavy[rng.random(60) < 0.95], rng.integers(0, 2**62, 15, dtype=np.uint64)])
+        sets += [a, np.unique(np.r_[a[rng.random(len(a)) < 0.93], rng.integers(0, 2**62, 3, dtype=np.uint64)])]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "id long, set binary")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "id long, n long")
+    buckets = {}
+    for r in nd._rare(df, sizes, 80).collect():
+        buckets.setdefault(r.bucket, set()).add(r.id)
+    met = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
+    every = [(i, j) for j in range(len(sets)) for i in range(j)]
+    alike = {(i, j) for i, j in every if nd.similar(sets[i], sets[j], 80)}
+    assert alike and alike <= met and len(met) < len(every) / 4
+
+
+def test_texts_without_ids(spark, monkeypatch):
+    """Unlike texts under no id, or under one, are told apart; copies are spread over parts."""
+    from heliograph.llm import cluster
+
+    monkeypatch.setattr(cluster, "LEAST_HOT", 4)
+    monkeypatch.setattr(cluster, "HOT", 16)
+    rows = [(None if i % 3 else 7, t) for i, t in chains(5)] + [(1000 + i, "one two three four five six seven") for i in range(30)] + [(None, "alike alike " * 9)] * 20
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
 def test_sketch_concentrates():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 400, 5000):
