@@ -13,7 +13,8 @@ hold all their tokens in a row (the first place counts), so an item of one word
 matches every document with that word.
 
 The test items are a query set: they are taken in blocks of about BLOCK_BYTES,
-each held by every task, however many items there are.
+each held by every task: benchmarks up to that size take one scan of the documents,
+larger ones a scan for each block.
 
 Defined cases: null texts have no tokens; items without tokens match
 nothing; a null doc_id or item_id is carried as
@@ -31,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import stored, unused
+from .cluster import row_key, stored, unused
 
 SEED, LEAST = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
 CHUNK = 1 << 20
 #: bits of the table that sifts n-grams before the exact search
 SIEVE = 22
@@ -49,8 +50,12 @@ _LONE[0xE2, 0xBA:0xC0] = _LONE[0xE3:0xEA, 0x80:0xC0] = _LONE[0xEA, 0x80:0x94] =
 _LONE[0xE0, 0xB8:0xBC] = _LONE[0xE1, 0x80:0x83] = _LONE[0xE1, 0x9E:0xA0] = True
 
 
+MATCHES = "doc_id long, tag struct<a: long, b: long>, item_id long, score double, start_byte long, end_byte long"
+
+
 def tag() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+    """Names a row by its id and text."""
+    return row_key(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -69,11 +74,16 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tv.hash_spans(raw, starts, ends), np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
+def _spread(size: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
 class Items:
-    """A block of test items: their tokens and SEED-grams."""
+    """A block of test items in flat arrays: their tokens, and the SEED-grams with the items that hold each."""
 
     def __init__(self, ids: list, texts: list[str | None]) -> None:
-        self.ids, self.tokens = [], []
+        self.ids, own_tokens = [], []
         #: items under LEAST tokens: length -> hash of the whole -> ids
         self.short: dict[int, dict[int, list]] = {}
         for i, text in zip(ids, texts, strict=True):
@@ -81,26 +91,52 @@ class Items:
             own = tokens(raw, np.array([0, len(raw)]))[0]
             if len(own) >= LEAST:
                 self.ids.append(i)
-                self.tokens.append(own)
+                own_tokens.append(own)
             elif len(own):
                 whole = int(tv.windows(own, np.zeros(len(own), np.int64), len(own))[0][0])
                 self.short.setdefault(len(own), {}).setdefault(whole, []).append(i)
-        grams = [tv.windows(t, np.zeros(len(t), np.int64), SEED)[0] for t in self.tokens]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        self.places = [np.searchsorted(self.grams, g) for g in grams]
+        self.flat = np.concatenate(own_tokens) if own_tokens else np.zeros(0, np.uint64)
+        self.cuts = np.cumsum([0, *map(len, own_tokens)])
+        #: each token by its place among the distinct ones
+        self.words, self.flat_words = np.unique(self.flat, return_inverse=True)
+        item = np.repeat(np.arange(len(own_tokens)), np.diff(self.cuts))
+        grams, at = tv.windows(self.flat, item, SEED)
+        self.grams, place = np.unique(grams, return_inverse=True)
+        held = np.unique(np.stack([place, item[at]]), axis=1) if len(grams) else np.zeros((2, 0), np.int64)
+        self.holders = held[1].astype(np.int32)
+        self.holder_cuts = np.searchsorted(held[0], np.arange(len(self.grams) + 1))
+
+    def tokens(self, item: int) -> np.ndarray:
+        return self.flat[self.cuts[item] : self.cuts[item + 1]]
 
     def sieve(self) -> np.ndarray:
         table = np.zeros(1 << SIEVE, bool)
         table[(self.grams & tv.U64((1 << SIEVE) - 1)).astype(np.int64)] = True
         return table
 
-    def holders(self) -> list[list[int]]:
-        """The items of each gram."""
-        out: list[list[int]] = [[] for _ in range(len(self.grams))]
-        for item, places in enumerate(self.places):
-            for g in np.unique(places).tolist():
-                out[g].append(item)
-        return out
+    def candidates(self, text: np.ndarray, place: np.ndarray, at: np.ndarray, least: float, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, first tokens of the hits) of the items that one text shares a gram with and enough tokens for the score.
+
+        marks: one False for each distinct token, and left so.
+        """
+        size = self.holder_cuts[place + 1] - self.holder_cuts[place]
+        item = self.holders[np.repeat(self.holder_cuts[place], size) + _spread(size)]
+        order = np.argsort(item, kind="stable")
+        item, hit = item[order], np.repeat(at, size)[order]
+        cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        some = item[cuts]
+        own = np.unique(text)
+        seen = np.searchsorted(self.words, own)
+        seen[seen == len(self.words)] = 0
+        seen = seen[self.words[seen] == own]
+        marks[seen] = True
+        lengths = self.cuts[some + 1] - self.cuts[some]
+        held = marks[self.flat_words[np.repeat(self.cuts[some], lengths) + _spread(lengths)]]
+        enough = MATCH * np.add.reduceat(held.astype(np.int64), np.cumsum(lengths) - lengths) >= least * MATCH * lengths
+        marks[seen] = False
+        ends = np.r_[cuts[1:], len(item)]
+        for k in np.flatnonzero(enough).tolist():
+            yield int(some[k]), hit[cuts[k] : ends[k]]
 
 
 def hits(hashes: np.ndarray, rows: np.ndarray, items: Items, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,31 +222,29 @@ def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        sieve, holders = block.sieve(), block.holders()
+        sieve, marks = block.sieve(), np.zeros(len(block.words), bool)
         for b in batches:
             out: list[tuple] = []
             for first, offsets, raw in tv.chunks(b.column(2), CHUNK):
                 hashes, owner, starts, ends = tokens(raw, offsets)
                 place, at = hits(hashes, owner, block, sieve)
-                by_pair: dict[tuple[int, int], list[int]] = {}
-                for g, p in zip(place.tolist(), at.tolist(), strict=True):
-                    for item in holders[g]:
-                        by_pair.setdefault((int(owner[p]), item), []).append(p)
+                of_hit = owner[at]
                 cuts = np.searchsorted(owner, np.arange(len(offsets)))
-                for (row, item), places in by_pair.items():
-                    lo = int(cuts[row])
-                    score, s, e = best_match(block.tokens[item], hashes[lo : cuts[row + 1]], np.array(places) - lo, least)
-                    if score >= least:
-                        base = int(offsets[row])
-                        out.append((b.column(0)[first + row].as_py(), b.column(1)[first + row].as_py(), block.ids[item], score, int(starts[lo + s]) - base, int(ends[lo + e - 1]) - base))
+                for row in np.unique(of_hit).tolist():
+                    lo, some = int(cuts[row]), slice(*np.searchsorted(of_hit, [row, row + 1]).tolist())
+                    text, base = hashes[lo : cuts[row + 1]], int(offsets[row])
+                    for item, places in block.candidates(text, place[some], at[some] - lo, least, marks):
+                        score, s, e = best_match(block.tokens(item), text, places, least)
+                        if score >= least:
+                            out.append((b.column(0)[first + row].as_py(), b.column(1)[first + row].as_py(), block.ids[item], score, int(starts[lo + s]) - base, int(ends[lo + e - 1]) - base))
                 for row, s, e, i in short_hits(hashes, owner, block):
                     base = int(offsets[row])
                     out.append((b.column(0)[first + row].as_py(), b.column(1)[first + row].as_py(), i, 1.0, int(starts[s]) - base, int(ends[e - 1]) - base))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.struct([("a", pa.int64()), ("b", pa.int64())]), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tag", "item_id", "score", "start_byte", "end_byte"])
 
-    return stored(texts.mapInArrow(run, "doc_id long, tag long, item_id long, score double, start_byte long, end_byte long"), "matches")
+    return stored(texts.mapInArrow(run, MATCHES), "matches")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
@@ -227,13 +261,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Data
             found = _block(docs, held, least)
             out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, tag long, item_id long, score double, start_byte long, end_byte long")
+        return spark.createDataFrame([], MATCHES)
     return out
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """The rows of docs, all their columns, that align with no item."""
     names = docs.columns
-    own, theirs, id_ = unused(docs, "_own", "_theirs", "_id")
-    bad = matches(docs, benchmark, least).select(F.col("doc_id").alias(id_), F.col("tag").alias(theirs)).distinct()
-    return docs.withColumn(own, tag()).join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(theirs)), "left_anti").select(*names)
+    own, theirs = unused(docs, "_own", "_theirs")
+    bad = matches(docs, benchmark, least).select(F.col("tag").alias(theirs)).distinct()
+    return docs.withColumn(own, tag()).join(bad, F.col(own) == F.col(theirs), "left_anti").select(*names)

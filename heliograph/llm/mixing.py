@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import stored, unused
+from .cluster import row_key, spread_join, stored, unused
 from .quality_rules import WORD
 
 MOST_PASSES = 3
@@ -85,7 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES
     ``keys`` names further columns to carry, by expression.
     """
     keys = keys or {}
-    shuffled = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # rows without an id are told apart by their text
+    shuffled = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.coalesce(F.col("text"), F.lit(""))))).cast("binary"))
     rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled.alias("order"), *[c.alias(k) for k, c in keys.items()]), "mix-sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n = by_source.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
@@ -131,12 +132,11 @@ def sorted_by_position(rows: DataFrame, column: str = "position") -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs in training order, each as often as the mix takes it."""
     names = docs.columns
-    tag, other, own_id, at, position = unused(docs, "_tag", "_other", "_id", "_at", "_position")
-    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source"))
-    plan = mix(docs, keys={"_tag": key}).filter("taken > 0").groupBy("doc_id", "_tag").agg(F.flatten(F.collect_list("positions")).alias(at))
-    plan = plan.select(F.col("doc_id").alias(own_id), F.col("_tag").alias(other), at)
+    tag, position = unused(docs, "_tag", "_position")
+    key = row_key(F.col("doc_id"), F.col("text"), F.col("source"))
+    plan = stored(mix(docs, keys={tag: key}).filter("taken > 0").select(tag, F.explode("positions").alias(position)), "mix-plan")
     # rows alike in id, text and source share their passes: one of them stands for all
-    once = docs.withColumn(tag, key).dropDuplicates(["doc_id", tag])
-    joined = once.join(plan, F.col(own_id).eqNullSafe(F.col("doc_id")) & (F.col(other) == F.col(tag)))
-    rows = joined.select(*names, F.explode(at).alias(position))
+    once = docs.withColumn(tag, key).dropDuplicates([tag])
+    passes = plan.groupBy(tag).agg(F.count(F.lit(1)).alias("n"))
+    rows = spread_join(plan, once, tag, passes, F.col(position))
     return sorted_by_position(rows, position).select(*names)

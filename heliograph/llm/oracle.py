@@ -44,7 +44,7 @@ def op2() -> str:
             cases.append(f"WHEN share * {whole!r}::DOUBLE <= {done!r}::DOUBLE THEN {t0!r}::DOUBLE + {step}")
         times.append(f"WHEN class = {k} THEN CASE {' '.join(cases)} ELSE {knots[-1][0]!r}::DOUBLE END")
     return f"""
-    WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+    WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '#' || coalesce(text, ''))) AS o FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     c AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)} AS class FROM s),
     w AS (SELECT *, CASE class {weights} END::BIGINT AS weight, source_size * {most} AS cap FROM c),

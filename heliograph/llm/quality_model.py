@@ -17,7 +17,8 @@ with the input (one per SUM_BYTES).
 
 Defined cases: a null or empty text has the zero vector and the score of that;
 a null id hashes as the empty text (held out, as crc32 0); of several labels of
-an id the largest quality counts, null ones do not; without labels of both
+an id the largest quality counts, null ones do not; of several documents under a
+labelled id the one whose features sort first teaches; without labels of both
 classes every score is the share of good labels (0.5 without labels); repeated
 rows score alike; no rows give no rows; other columns, whatever their names, are
 ignored by ``scores`` and kept by ``keep_good``.
@@ -194,11 +195,12 @@ def _sample(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int)
 
     # the chosen ids are at most MOST_LABELS rows of three numbers, so they can be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "order", "text")
-    got = rows.mapInArrow(pool, "doc_id long, quality int, order long, x array<float>").toArrow()
+    # of several rows of an id the one whose features sort first teaches, so at most ``most`` rows come back
+    got = rows.mapInArrow(pool, "doc_id long, quality int, order long, x array<float>").groupBy("doc_id", "quality", "order").agg(F.min("x").alias("x")).toArrow()
     if not got.num_rows:
         return Network(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0, bool))
     x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, FEATURES)
-    order = np.lexsort((*x.T[:4], got["doc_id"].to_numpy()))
+    order = np.argsort(got["doc_id"].to_numpy())
     y = (got["quality"].to_numpy()[order] == 1).astype(np.float64)
     return Network(x[order], y, got["order"].to_numpy()[order] % 5 == 0)
 
