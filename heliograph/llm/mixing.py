@@ -26,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import row_key, spread_join, stored, unused
+from .cluster import row_key, shuffle_parts, spread_join, stored, unused
 from .quality_rules import WORD
 
 MOST_PASSES = 3
+#: sources that one task may order
+FEW_SOURCES = 100_000
 WEIGHTS = (1, 2, 3)
 #: a schedule per weight, as (time, intensity) knots of integral 1: light sources fade, heavy ones grow
 SCHEDULES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
@@ -56,27 +58,48 @@ def time_of(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out.otherwise(F.lit(knots[-1][0]))
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
-    """source, source_size -> source, source_size, class, weight, target.  One row a source: the windows are over sources, not documents."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("class", F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("class") + 1).cast("long")
-    ranked = ranked.withColumn("weight", weight).withColumn("limit", F.col("source_size") * most)
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str], few: bool = False) -> DataFrame:
+    """rows with the sums of some columns over all rows before each, under the given names, and over all rows (``all_`` and the name).
+
+    Rows are dealt into ranges of the order; what the ranges before hold is one row a range, and the rest a sum inside a range.
+    few: there are so few rows that one task may hold them; the sums are the same.
+    """
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if few:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for name, c in sums.items()], *[F.sum(c).over(everything).alias(f"all_{name}") for name, c in sums.items()])
+    dealt = stored(rows.repartitionByRange(shuffle_parts(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    # one row a range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums], *[F.sum(f"_{name}").over(everything).alias(f"all_{name}") for name in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{name}") for name, c in sums.items()])
+    out = out.join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
+    return out.select(*rows.columns, *[(F.col(f"_{name}") + F.col(f"_in_{name}")).alias(name) for name in sums], *[f"all_{name}" for name in sums])
+
+
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, few: bool = False) -> DataFrame:
+    """source, source_size -> source, source_size, class, weight, target.
+
+    There may be as many sources as hosts: they are in one task only where few says that they have been counted and fit.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    ranked = running(sources.withColumn("one", F.lit(1).cast("long")), [by_name], {"rank": "one"}, few)
+    ranked = ranked.select("source", "source_size", F.pmod(F.col("rank"), F.lit(len(weights))).cast("int").alias("class"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("class") + 1).cast("long")
+    ranked = ranked.withColumn("weight", weight).withColumn("limit", F.col("source_size") * most).withColumn("ratio", F.col("limit") / F.col("weight"))
+    filled = running(ranked, [F.col("ratio"), by_name], {"limit_before": "limit", "weight_before": "weight", "size_before": "source_size"}, few)
+    # a source is at its limit if what is left for it and those after it, shared by weight, would fill it: that holds for the first sources in order, up to one
+    exact = lambda x, digits: x.cast(f"decimal({digits},0)")
+    words, weight_left = F.col("all_size_before"), F.col("all_weight_before") - F.col("weight_before")
+    filled = filled.withColumn("capped", exact(F.col("limit"), 20) * exact(weight_left, 17) < exact(words - F.col("limit_before"), 20) * exact(F.col("weight"), 17))
     zero = F.lit(0).cast("long")
-    left = ranked.select(
-        "*",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), zero)).alias("words_left"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), zero)).alias("weight_left"),
-    )
-    full = F.col("limit") * F.col("weight_left") < F.col("words_left") * F.col("weight")
-    left = left.withColumn("capped", F.min(full).over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)))
-    open_words = F.sum("source_size").over(everything) - F.sum(F.when(F.col("capped"), F.col("limit")).otherwise(zero)).over(everything)
-    open_weight = F.sum(F.when(F.col("capped"), zero).otherwise(F.col("weight"))).over(everything)
-    target = F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(open_words * F.col("weight") / open_weight)
-    return left.select("source", "source_size", "class", "weight", target.alias("target"))
+    rest = filled.agg(F.sum(F.when(F.col("capped"), F.col("limit")).otherwise(zero)).alias("given"), F.sum(F.when(F.col("capped"), zero).otherwise(F.col("weight"))).alias("open_weight"))
+    share = (words - F.col("given")) * F.col("weight") / F.col("open_weight")
+    target = F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(share)
+    # one row of numbers
+    return filled.join(F.broadcast(rest), F.lit(True)).select("source", "source_size", "class", "weight", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, most: int = MOST_PASSES, seed: str = SEED, keys: dict[str, Column] | None = None) -> DataFrame:
@@ -89,12 +112,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES
     shuffled = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.coalesce(F.col("text"), F.lit(""))))).cast("binary"))
     rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled.alias("order"), *[c.alias(k) for k, c in keys.items()]), "mix-sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    n = by_source.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    n, n_sources = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     digits = 3 + max(0, (max(n, 1) // 200_000_000).bit_length() + 3) // 4
     rows = rows.withColumn("bucket", F.substring("order", 1, digits))
     blocks = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     blocks = blocks.select("source", "bucket", (F.sum("held").over(Window.partitionBy("source").orderBy("bucket")) - F.col("held")).alias("offset"))
-    plan = targets(by_source.drop("n"), weights, most)
+    plan = targets(by_source.drop("n"), weights, most, n_sources <= FEW_SOURCES)
     starts = blocks.withColumnRenamed("source", "_s").join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     placed = rows.withColumn("before", F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", *keys)) - F.col("size"))
     placed = placed.withColumnsRenamed({"source": "_s", "bucket": "_b"}).join(starts, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_b") == F.col("bucket")))

@@ -54,6 +54,27 @@ def test_targets_are_met(spark):
     assert again == {i: (r.taken, r.positions) for i, r in out.items()}
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_targets_of_many_sources(spark, few):
+    import random
+
+    rng = random.Random(6)
+    sizes = {f"host{i}": rng.choice([0, 1, 5, 5, 40, 300, 9000]) for i in range(400)} | {None: 70}
+    got = {r.source: r.target for r in mx.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5), few=few).collect()}
+    want = water_fill(sizes)
+    assert len(got) == 401 and all(abs(got[s] - t) <= 1e-6 * max(t, 1) for s, t in want.items())
+
+
+def test_rows_alike_and_without_ids(spark):
+    rows = [(None, f"w{i} " * 10, "a") for i in range(40)] + [(3, "same words here", "a")] * 50 + [(9, "w " * 900, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mx.mix(df).collect()
+    placed = [r.position for r in out if r.doc_id is None and r.position is not None]
+    assert len(out) == len(rows) and len(set(placed)) == len(placed) > 10
+    want = sum(len(r.positions) for r in out if r["size"])
+    assert mx.mixed_documents(df).count() == want
+
+
 def test_caps_are_shared_again(spark):
     rows = [(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, "w " * 10, "c")]
     out = {r.doc_id: r.target for r in mx.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
