@@ -1,12 +1,27 @@
 """HTML extraction by tree scoring.
 
 A page is parsed into a tree by a small tokenizer with the usual implied end
-tags.  Parts that are never the article (menus, adverts, forms and the like, by
-tag, role, class or id) are cut off.  Each paragraph then passes points for its
-length and commas to its ancestors, less with each level; a container's points
-are discounted by its link density.  The container with most points is kept,
-raised to the article or main element around it, and with it the siblings that
-score well; outside article and main, also those that hold prose, however short.  Its text is given block by block, in page order.
+tags.  What never holds the article (scripts, buttons, media and the like) goes
+first.  Other parts are judged by tag, role, class and id, and by the prose they
+hold, that is the characters outside links:
+
+* marked parts (nav, footer, aside, hidden ones, and those whose names say
+  advert, menu, notice, sidebar, comments ...) are cut off, unless half of the page's prose
+  and its main element or first heading are in them, as when a tag is not closed;
+* doubtful parts (form, fieldset, header, and names that say both, as in
+  ``entry related-topic``) are cut off, unless half of the prose around them is in them.
+
+A name counts by the words that it is about: ``site-footer`` is a footer,
+``has-sidebar``, ``no-sidebar`` and ``comments-open`` tell of a state.
+
+Each paragraph then passes points for its length and commas to its ancestors,
+less with each level; a container's points are discounted by its link density.
+The container with most points is kept, raised to the article or main element
+around it, or else to the outermost one that holds siblings like it or half as much
+prose again, and with it the siblings that score well; outside article and main, also those that
+hold prose, however short.  Its text is given block by block, in page order;
+lists and divisions that are nearly all links are menus and left out, inside of article
+only where the links are short.
 
 Defined cases: a null, empty or tag-only html gives an empty text; a page
 without any scoring paragraph gives what is left of its body; ties go to the
@@ -29,7 +44,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg annotation".split())
+#: of these, those that are parsed on where no end tag follows, and may close themselves
+OPEN = frozenset(("svg", "template", "annotation"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -38,19 +55,36 @@ BLOCK = frozenset(
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tr"), "tbody": ("thead", "tbody", "tr"), "tfoot": ("tbody", "tr")}
 KEEPS_P = frozenset(("option", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "html", "body", "legend"))
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "object", "ul", "ol", "dl", "select"))
-NEVER = frozenset("nav footer aside form button select input menu dialog fieldset object embed audio video canvas map".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|pop|modal|overlay|newsletter|"
-    r"subscri\w*|sidebar|side|aside|widget|comments?|comment\w*|disqus|repl(?:y|ies)|respond|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|"
-    r"share|sharing|social|related|recommended|login|signin|signup|register|search|pagination|pager|toolbar|disclaimer|copyright|skip|hidden|print|tags|byline)(?:$|[\s_-])",
-    re.I,
+NEVER = frozenset("button select input menu dialog object embed audio video canvas map head annotation-xml".split()) | RAW
+MARKED = frozenset(("nav", "footer", "aside"))
+DOUBTFUL = frozenset(("form", "fieldset"))
+ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: words that mark a part where a name is that word, ends in it, or begins with it before a word of SHAPES
+NOUNS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsors sponsored promo promos promotion banner banners "
+    "cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription "
+    "sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer share sharing social related recommended "
+    "recommendations login signin signup register search pagination pager toolbar disclaimer copyright skip hidden tags "
+    "comment comments commentlist disqus reply replies respond".split()
 )
-#: unlikely too, but for the heading of an article
-TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+#: of these, those that mark a part wherever a name begins with them
+PREFIXES = frozenset("ad ads advert adsense sponsor sponsored promo cookie cookies consent gdpr newsletter sidebar nav navbar breadcrumb breadcrumbs footer pagination comment comments disqus popup".split())
+SHAPES = frozenset(
+    "area bar block body box button buttons col column container content form group heading icons inner item items layer left links list main message news "
+    "outer overlay pane panel popup posts articles stories region right row section stack strip text title toggle top bottom widget wrap wrapper".split()
+)
+#: first or last words of a name that tells of a state, or of another part
+STATES = frozenset("has no not non with without is show hide open opened closed enabled disabled active inactive visible supported allowed on off ready above below before after".split())
+#: names of the heading of a page, which is not that of an article
+TOP = frozenset(("header", "masthead", "topbar"))
+POSITIVE = frozenset("article content entry post story main body page text blog single".split())
 SAFE = frozenset(("html", "body", "main", "article"))
+#: elements whose names are judged
+NAMED = BLOCK | {"span", "a", "ins", "small", "label"}
 PARAGRAPH = frozenset(("p", "td", "pre", "blockquote", "li", "dd", "div", "section", "article", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINER = frozenset("div section article main body td table blockquote center details dd".split())
+#: characters, on average, that the links of a menu have at most
+MENU_LINK = 24
 #: share of the points of the best container that a sibling needs
 SIBLING = 0.2
 
@@ -67,26 +101,30 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; texts are decoded."""
     root = Node("html", None)
-    stack, opened = [root], {"html": 1}
+    #: the open elements, and by tag their places
+    stack, opened = [root], {"html": [0]}
     scopes: list[int] = []
-    at, end = 0, len(html)
+    unclosed: set[str] = set()
+    at, end, last = 0, len(html), html.rfind(">")
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            opened[stack.pop().tag] -= 1
+            opened[stack.pop().tag].pop()
         while scopes and scopes[-1] >= depth:
             scopes.pop()
 
     def close(names: tuple[str, ...]) -> None:
         """Close the innermost of the names above the last scope."""
-        if any(opened.get(n) for n in names):
-            low = scopes[-1] if scopes else 0
-            for k in range(len(stack) - 1, low - (stack[low].tag in names), -1):
-                if stack[k].tag in names:
-                    pop_to(k)
-                    return
+        k = max((opened[n][-1] for n in names if opened.get(n)), default=0)
+        low = scopes[-1] if scopes else 0
+        if k > low or k and k == low and stack[low].tag in names:
+            pop_to(k)
 
     while at < end:
+        if at > last:  # no tag can end any more
+            rest = html[at:] if not html.startswith("<!--", at) else ""
+            stack[-1].children.append(unescape(rest))
+            break
         m = TOKEN.match(html, at)
         at = m.end()
         name = m[2] or m[5]
@@ -98,10 +136,7 @@ def parse(html: str) -> Node:
         name = name.lower()
         if m[1] or m[4]:
             if opened.get(name) and name != "html":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        pop_to(k)
-                        break
+                pop_to(opened[name][-1])
             elif name == "br":
                 stack[-1].children.append(" ")
             continue
@@ -115,52 +150,114 @@ def parse(html: str) -> Node:
                 close(("tr",))
         node = Node(name, stack[-1], (m[3] or m[6] or ""))
         stack[-1].children.append(node)
+        shut = (m[3] or "").endswith("/")
         if name in RAW:
-            stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(html, at)
+            if shut and name in OPEN:
+                continue
+            stop = None if name in unclosed else END[name].search(html, at)
             if stop is None:
-                at = end if name not in ("svg", "math", "template") else at
+                unclosed.add(name)
+                at = end if name not in OPEN else at
             else:
-                shut = html.find(">", stop.end())
-                at = end if shut < 0 else shut + 1
-        elif name not in VOID and not (m[3] or "").endswith("/") or name in BLOCK and name != "hr":
+                close_at = html.find(">", stop.end())
+                at = end if close_at < 0 else close_at + 1
+        elif name not in VOID and not shut or name in BLOCK and name != "hr":
+            opened.setdefault(name, []).append(len(stack))
             stack.append(node)
-            opened[name] = opened.get(name, 0) + 1
             if name in SCOPE:
                 scopes.append(len(stack) - 1)
     return root
 
 
-def _is_cut(node: Node, inside: bool) -> bool:
-    tag = node.tag
-    if tag in NEVER or tag == "head" or tag == "header" and not inside:
-        return True
-    if not node.attributes or node.attributes.isspace():
-        return False
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    if tag in SAFE or tag not in BLOCK and tag not in ("span", "a", "ins", "small", "label"):
-        return False
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(UNLIKELY.search(names)) or not inside and bool(TOP.search(names))
+END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def _about(name: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id marks a part, the heading of a page, or what may be the article."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    while len(words) > 1 and words[-1].isdigit():
+        words.pop()
+    if not words or words[0] in STATES or words[-1] in STATES:
+        return False, False, False
+    first, last = words[0], words[-1]
+    marks = last in NOUNS or first in PREFIXES or first in NOUNS and all(w in SHAPES for w in words[1:])
+    return marks, last in TOP, not marks and any(w in POSITIVE for w in words) and all(w in POSITIVE or w in SHAPES for w in words)
+
+
+def _grade(node: Node, inside: bool) -> int:
+    """0: kept, 1: doubtful, 2: marked; inside: of an article or main element."""
+    tag, found = node.tag, {}
+    out = 2 if tag in MARKED else 1 if tag in DOUBTFUL or tag == "header" and not inside else 0
+    if node.attributes and not node.attributes.isspace():
+        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
+    if not found:
+        return out
+    role = found.get("role", "").lower()
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in ROLES or HIDDEN.search(found.get("style", "")):
+        return 2
+    if role in ("form", "banner"):
+        out = max(out, 1)
+    if tag in SAFE or tag not in NAMED:
+        return out
+    about = [_about(name) for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    if any(x[0] for x in about):
+        return 1 if any(x[2] for x in about) else 2
+    return max(out, 1) if not inside and any(x[1] for x in about) else out
+
+
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _walk(root: Node) -> list[Node]:
     """All elements that are not cut off, parents before children."""
-    out, todo = [], [(root, False)]
+    out, todo = [], [root]
     while todo:
-        node, inside = todo.pop()
-        if node.parent is not None and _is_cut(node, inside):
+        node = todo.pop()
+        if node.tag in NEVER:
             node.cut = True
+        if node.cut:
             continue
         out.append(node)
-        inside = inside or node.tag in ("article", "main")
-        todo += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
+def _cut_off(root: Node) -> list[Node]:
+    """Cut off marked parts, then doubtful ones; the elements that are left."""
+    nodes = _walk(root)
+    scope: dict[Node, Node] = {}  # the article or main element around each, or the page
+    grades: dict[Node, int] = {}
+    for node in nodes:
+        up = node.parent
+        scope[node] = root if up is None else up if up.tag in ("article", "main") else scope[up]
+        grades[node] = 0 if up is None else _grade(node, scope[node] is not root)
+    for grade in (2, 1):
+        if grade not in grades.values():
+            continue
+        lengths = _lengths(nodes)
+        heads: dict[Node, int] = {}
+        articles: dict[Node, int] = {}
+        first = next((n for n in nodes if n.tag == "h1"), None)
+        for node in reversed(nodes):
+            below = [c for c in node.children if isinstance(c, Node) and c in heads]
+            heads[node] = (node.tag == "main" or node is first) + sum(heads[c] for c in below)
+            articles[node] = (node.tag in ("article", "main") and grades[node] < 2) + sum(articles[c] for c in below)
+        for node in nodes:
+            if grades[node] != grade or node.parent.cut:
+                node.cut = node.parent is not None and node.parent.cut
+                continue
+            (total, linked, _), (all_total, all_linked, _) = lengths[node], lengths[scope[node]]
+            holds = total > linked and 2 * (total - linked) >= all_total - all_linked
+            if grade == 2:
+                holds = holds and heads[node] > 0
+            elif scope[node] is root:
+                holds = holds and (articles[node] > 0 or articles[root] == 0)
+            node.cut = not holds
+        nodes = [n for n in nodes if not n.cut]
+    return nodes
+
+
 def _lengths(nodes: list[Node]) -> dict[Node, tuple[int, int, int]]:
     """Visible characters, those inside links, and links, of each element."""
     out: dict[Node, tuple[int, int, int]] = {}
@@ -190,7 +287,7 @@ def _own_text(node: Node) -> str:
     return " ".join("".join(parts).split())
 
 
-def _blocks(top: Node, lengths: dict) -> Iterator[str]:
+def _blocks(top: Node, lengths: dict, in_article: bool) -> Iterator[str]:
     """The texts of the blocks below top, in page order."""
     parts: list[str] = []
     todo: list[Node | str | None] = [None, *reversed(top.children)]
@@ -203,7 +300,7 @@ def _blocks(top: Node, lengths: dict) -> Iterator[str]:
                 yield text
         elif isinstance(c, str):
             parts.append(c)
-        elif c.cut or c.tag in ("ul", "ol", "div", "p", "table", "section") and _is_menu(lengths.get(c)):
+        elif c.cut or c.tag in ("ul", "ol", "div", "section") and _is_menu(lengths.get(c), in_article):
             continue
         elif c.tag in BLOCK:
             todo.append(None)
@@ -215,8 +312,34 @@ def _blocks(top: Node, lengths: dict) -> Iterator[str]:
             todo += reversed(c.children)
 
 
-def _is_menu(length: tuple[int, int, int] | None) -> bool:
-    return length is not None and length[2] >= 3 and length[1] > 0.8 * length[0]
+def _is_menu(length: tuple[int, int, int] | None, in_article: bool) -> bool:
+    """Nearly all links; in an article the links of a menu are also short, unlike those of a list of references."""
+    return length is not None and length[2] >= 3 and length[1] > 0.8 * length[0] and (not in_article or length[1] <= MENU_LINK * length[2])
+
+
+def _class(node: Node) -> str:
+    found = CLASS.search(node.attributes or "")
+    return found[0] if found else ""
+
+
+CLASS = re.compile(r"""\bclass\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+
+
+def _raised(best: Node, lengths: dict) -> Node:
+    """The outermost container around best with siblings like the branch that holds best, or with half as much prose again."""
+    top = node = best
+    while node.parent is not None and node.tag not in ("body", "html"):
+        own, more, alike = lengths[node], 0, False
+        for c in node.parent.children:
+            if isinstance(c, Node) and c is not node and c in lengths and c.tag in BLOCK:
+                total, linked, _ = lengths[c]
+                if c.points > 0 and linked < 0.25 * total:
+                    more += total - linked
+                    alike = alike or c.tag == node.tag and _class(c) == _class(node)
+        if alike or 2 * more >= own[0] - own[1]:
+            top = node.parent
+        node = node.parent
+    return top
 
 
 def main_text(html: str | None) -> str:
@@ -224,7 +347,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    nodes = _walk(root)
+    nodes = _cut_off(root)
     lengths = _lengths(nodes)
     order = {n: k for k, n in enumerate(nodes)}
     for node in nodes:
@@ -251,14 +374,16 @@ def main_text(html: str | None) -> str:
                 best, most = node, score
     if best is None:
         body = next((n for n in nodes if n.tag == "body"), root)
-        return " ".join(_blocks(body, lengths))
-    up = best
+        return " ".join(_blocks(body, lengths, False))
+    up, found = best, None
     while up is not None:
         if up.tag in ("article", "main"):
-            best = up
+            found = up
             if up.tag == "article":
                 break
         up = up.parent
+    best = found or _raised(best, lengths)
+    in_article = best.tag == "article"
     kept = [best]
     if best.parent is not None and best.tag != "body":
         for c in best.parent.children:
@@ -267,12 +392,12 @@ def main_text(html: str | None) -> str:
                 good = c.points >= max(10, SIBLING * most) and c.tag in BLOCK
                 prose = c.tag == "p" and total >= 80 and linked < 0.25 * total
                 # where no article or main marks the whole, parts beside the best one that hold prose belong to it, however short
-                part = best.tag not in ("article", "main") and (c.points > 0 or c.tag == "p") and c.tag in BLOCK and linked < 0.25 * total
-                heading = c.tag in ("h1", "h2") and best.tag not in ("article", "main") and total > 0 and linked < 0.5 * total
+                part = found is None and (c.points > 0 or c.tag == "p") and c.tag in BLOCK and linked < 0.25 * total
+                heading = c.tag in ("h1", "h2") and found is None and total > 0 and linked < 0.5 * total
                 if good or prose or part or heading:
                     kept.append(c)
     kept.sort(key=order.__getitem__)
-    return " ".join(x for n in kept for x in (_blocks(n, lengths)))
+    return " ".join(x for n in kept for x in (_blocks(n, lengths, in_article)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
