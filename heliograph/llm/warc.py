@@ -9,9 +9,10 @@ fails the job.  Of records with equal payloads the one with the largest page_id
 is a response, the others are revisits that refer to it (WARC 1.1, profile
 identical-payload-digest) and have no block.
 
-Only SQL functions are used.  ``export`` writes plain WARC files through Spark's
-text writer, whose line separator is the end of a WARC record, and ``read_files``
-parses such files by Content-Length.
+Only SQL functions are used.  ``export`` writes WARC files of about a given size,
+plain or gzipped, through Spark's text writer, whose line separator is the end of a WARC record.
+``read_files`` streams such files, and others of any size, gzipped in one member or one a record,
+and cuts them by Content-Length; a record at a time is in memory.
 
 Defined cases: a null html is an empty payload; a null url gives an empty
 WARC-Target-URI; a url may have any length; CR and LF in it are percent-encoded; a null page_id orders
@@ -23,16 +24,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_folder
+from .cluster import delete, shared_folder, spread_join, stored, swept
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: about the size of an exported file
+FILE_BYTES = 256 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -79,18 +83,22 @@ def write(pages: DataFrame, folder: str) -> None:
     payloads then take one shuffle, in which each digest keeps one copy.
     """
     records = _records(pages)
-    thin = records.drop("payload")
+    spark = pages.sparkSession
+    thin = stored(records.drop("payload"), "warc-digests")
     # of equal payloads the largest page_id responds: an aggregation with map-side combine, then a join on the digest
-    answers = thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
-    own = thin.join(answers, "digest")
+    answers = stored(thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")), "warc-answers")
+    own = spread_join(thin, answers.select("digest", "refers_to"), "digest", answers.select("digest", "n"), F.xxhash64("page_id", "url"))
     # repeated rows of the responding page: only the first of them responds
     twins = Window.partitionBy("digest", "page_id").orderBy("url")
     candidates = own.filter(F.col("page_id").eqNullSafe(F.col("refers_to"))).withColumn("nth", F.row_number().over(twins) - 1)
     others = own.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).withColumn("nth", F.lit(0))
     marked = candidates.unionByName(others)
     kind = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("nth") == 0), "response").otherwise("revisit")
-    marked.select("page_id", "digest", header(kind).alias("header")).write.parquet(f"{folder}/headers")
-    records.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    with swept(spark):
+        marked.select("page_id", "digest", header(kind).alias("header")).write.parquet(f"{folder}/headers")
+        records.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    delete(spark, thin._stored_at)
+    delete(spark, answers._stored_at)
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,28 +146,54 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return parsed(records(spark, folder))
 
 
-def export(rows: DataFrame, folder: str, records_a_file: int = 10_000) -> None:
-    """Plain WARC files of record bytes: each record, then the two line ends that close it."""
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_a_file).text(folder)
-
-
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of a WARC file, by Content-Length."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        size = next(int(x.split(b":", 1)[1]) for x in data[at:stop].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        yield data[at : stop + 4 + size]
-        at = stop + 4 + size + 4
+def export(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES, compression: str | None = None) -> None:
+    """WARC files of about file_bytes each of record bytes: each record, then the two line ends that close it.  compression: None or gzip."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("record").cast("long")), F.lit(0))).head()[0]
+    files = max(1, -(-total // file_bytes))
+    text = rows.repartition(files, F.xxhash64("record")).select(F.col("record").cast("string").alias("value"))
+    text.write.option("lineSep", CRLF * 2).option("compression", compression or "none").text(folder)
+
+
+def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a WARC file that comes in pieces, by Content-Length; ValueError if it ends inside one."""
+    held, need = bytearray(), None
+    for piece in pieces:
+        held += piece
+        while True:
+            if need is None:
+                while held[:2] == b"\r\n":
+                    del held[:2]
+                stop = held.find(b"\r\n\r\n")
+                if stop < 0:
+                    break
+                size = [x.split(b":", 1)[1] for x in bytes(held[:stop]).split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                if not held.startswith(b"WARC/") or not size:
+                    raise ValueError("not a WARC record")
+                need = stop + 4 + int(size[0])
+            if len(held) < need:
+                break
+            yield bytes(held[:need])
+            del held[:need]
+            need = None
+    if held.strip(b"\r\n"):
+        raise ValueError("the file ends inside a record")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The record bytes in plain WARC files; one file, of bounded size, is in memory at a time."""
+    """The record bytes in WARC files, plain or gzipped.
+
+    Spark's text source streams and unpacks a file in pieces that end with an empty line.  A session of its
+    own sees to it that each file is one task: what a file holds is only known from its start.
+    """
+    apart = spark.newSession()
+    for name, value in (("maxPartitionBytes", 1 << 62), ("openCostInBytes", 1 << 45), ("minPartitionNum", 1 << 30)):
+        apart.conf.set(f"spark.sql.files.{name}", value)
+    lines = apart.read.option("lineSep", CRLF * 2).text(folder).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                for record in split_records(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
+        rows = ((path, value.as_py()) for b in batches for value, path in zip(b.column(0), b.column(1).to_pylist(), strict=True))
+        for _, own in groupby(rows, key=lambda x: x[0]):
+            for record in split_records(piece + b"\r\n\r\n" for _, piece in own):
+                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(cut, "record binary")
+    return lines.mapInArrow(cut, "record binary")

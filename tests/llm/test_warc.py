@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,16 +57,58 @@ def test_damage_is_found(spark, tmp_path):
         warc.records(spark, f"file://{tmp_path}/b").collect()
 
 
-def test_plain_files(spark, tmp_path):
+@pytest.mark.parametrize("compression", [None, "gzip"])
+def test_files(spark, tmp_path, compression):
     warc.write(frame(spark), f"file://{tmp_path}/a")
     rows = warc.records(spark, f"file://{tmp_path}/a")
-    warc.export(rows, f"file://{tmp_path}/files", records_a_file=3)
+    warc.export(rows, f"file://{tmp_path}/files", file_bytes=300_000, compression=compression)
+    files = [p for p in (tmp_path / "files").iterdir() if p.name.startswith("part-")]
+    assert len(files) > 1 and all(p.name.endswith(".gz") == bool(compression) for p in files)
     again = warc.read_files(spark, f"file://{tmp_path}/files")
     assert sorted(bytes(r.record) for r in rows.collect()) == sorted(bytes(r.record) for r in again.collect())
     assert sorted(str(r) for r in warc.parsed(again).drop("payload").collect()) == sorted(str(r) for r in warc.parsed(rows).drop("payload").collect())
 
 
-@pytest.mark.parametrize("size", [16_000, 17_000, 200_000])
+def test_files_of_others(spark, tmp_path):
+    """Gzipped record by record, blocks that end or begin with line ends or hold what looks like a record, and files larger than a split."""
+    blocks = [b"", b"\r\n", b"x\r\n", b"\r\n\r\n", b"a\r\n\r\n\r\nb", b"\r", b"\xff\x00\xfe" * 9, b"WARC/1.0\r\nContent-Length: 5\r\n\r\nzzzzz", b"q" * 300_000]
+    records = [b"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length: %d\r\n\r\n" % len(b) + b for b in blocks]
+    end = b"\r\n\r\n"
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(r + end) for r in records))
+    (tmp_path / "two.warc").write_bytes(b"".join(r + end for r in records[::-1]))
+    (tmp_path / "three.warc").write_bytes(end.join(records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = Counter(bytes(r.record) for r in warc.read_files(spark, f"file://{tmp_path}").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == Counter(records * 3)
+
+
+def test_records_in_any_pieces():
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(b) + b for b in (b"", b"ab\r\n", b"\r\n\r\ncd")]
+    data = b"".join(r + b"\r\n\r\n" for r in records)
+    for size in (1, 2, 3, 7, 1000):
+        assert list(warc.split_records(data[i : i + size] for i in range(0, len(data), size))) == records
+    for bad in (data[:-9], b"no record\r\n\r\n", b"WARC/1.1\r\nX: y\r\n\r\n"):
+        with pytest.raises(ValueError, match="record"):
+            list(warc.split_records(iter([bad])))
+
+
+def test_one_payload_in_most_pages(spark, monkeypatch):
+    from heliograph.llm import cluster
+
+    monkeypatch.setattr(cluster, "LEAST_HOT", 4)
+    monkeypatch.setattr(cluster, "HOT", 10)
+    rows = [(i, f"u{i}", "same" if i % 3 else f"own {i}") for i in range(90)] + [(None, "u", "same")] * 5
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    same = [r for r in got if r.payload_bytes == 4]
+    assert len(got) == 95 and len(same) == 65 and [r.page_id for r in same if r.record_type == "response"] == [89]
+    assert all(r.refers_to == 89 for r in same if r.record_type == "revisit")
+
+
+@pytest.mark.parametrize("size", [16_000, 17_000, 1_000_000])
 def test_long_urls(spark, size):
     """A response and revisits of it whose urls alone are longer than any usual header."""
     urls = {1: "data:,ü" + "x" * size, 2: "http://a/?q=" + "é" * size, 3: "http://short"}
