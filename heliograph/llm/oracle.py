@@ -104,7 +104,7 @@ def op10() -> str:
     quiet = lambda x: f"translate({x}, {_quoted(q.NOISE)}, '')"
     fails = (
         f"({visible('x')} - {visible(quiet('x'))}) - {q.FREE_MARKS} > {visible('x')} * {q.NOISE_SHARE}::DOUBLE"
-        f" OR (NOT regexp_matches(x, {_quoted(q.CLOSED)}) AND NOT regexp_matches(x, {_quoted(f'^{q.SPACE}*({q.WORD}+{q.SPACE}+){{{q.SHORT_LINE - 1}}}{q.WORD}')}))"
+        f" OR (NOT regexp_matches(x, {_quoted(q.CLOSED)}) AND NOT regexp_matches(x, {_quoted(f'^{q.SPACE}*({q.WORD}+{q.SPACE}+){{{q.SHORT_LINE - 1}}}{q.WORD}')}) AND NOT regexp_matches(x, {_quoted(q.LONG_UNSPACED)}))"
         f" OR regexp_matches(x, {_quoted(q.NAVIGATION)}) OR regexp_matches(x, {_quoted(q.BOILERPLATE)})"
     )
     return f"""

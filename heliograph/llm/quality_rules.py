@@ -1,7 +1,9 @@
 """Quality rules: line-first cleaning.
 
 Each line of a text is held against rules on its own (punctuation, navigation,
-boilerplate, repetition of an earlier line).  Lines that fail are removed; a
+boilerplate, repetition of an earlier line).  The words of navigation and boilerplate are those of the
+corpus's languages; a line that many documents share is not held against them, as
+copies of good documents share all their lines.  Lines that fail are removed; a
 document that loses too large a share of its characters is rejected, as is one
 that fails the base rules (too few words, or too many words in repeated
 three-word windows).
@@ -30,22 +32,40 @@ SYMBOLS = "#*$%&|<>"
 NOISE = SYMBOLS + "!?=_~^{}[]\\@"
 #: share of a line's visible characters that noise may have, beside a mark or so that any short line may end with
 NOISE_SHARE, FREE_MARKS = 0.08, 1
-#: a line without closing punctuation needs this many words
-SHORT_LINE = 5
-CLOSED = r"[.!?…:;。！？][\"'”’»)\]]*\s*$"
-NAVIGATION = (
-    r"(?i)^\W*(home|menu|search|log ?in|log ?out|sign ?(in|up|out)|register|contact( us)?|about( us)?|next|previous|back( to top)?|top|share|"
-    r"subscribe|follow us|read more|show more|load more|click here|skip to content|sitemap|rss|faq|help|print|comments?)"
-    r"(\W+(home|menu|search|log ?in|log ?out|sign ?(in|up|out)|register|contact( us)?|about( us)?|next|previous|back( to top)?|top|share|"
-    r"subscribe|follow us|read more|show more|load more|click here|skip to content|sitemap|rss|faq|help|print|comments?))*\W*$"
+#: a line without closing punctuation needs this many words, or letters of scripts that put no spaces between words
+SHORT_LINE, SHORT_UNSPACED = 5, 10
+#: Thai and Lao, Myanmar, Khmer, kana and Chinese characters (Java and RE2 read this alike)
+UNSPACED = r"\x{0E01}-\x{0EDF}\x{1000}-\x{109F}\x{1780}-\x{17DD}\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+LONG_UNSPACED = f"[{UNSPACED}](?:[^{UNSPACED}]*[{UNSPACED}]){{{SHORT_UNSPACED - 1}}}"
+CLOSED = r"[.!?…:;。！？｡؟۔।॥။។][\"'”’»)\]」』]*\s*$"
+#: what a line of navigation is made of, in English, German, French and Spanish; letters beyond ASCII in both cases, as neither engine need fold them
+_LINKS = (
+    r"home|menu|search|log ?in|log ?out|sign ?(in|up|out)|register|contact( us)?|about( us)?|next|previous|back( to top)?|top|share|"
+    r"subscribe|follow us|read more|show more|load more|click here|skip to content|sitemap|rss|faq|help|print|comments?|"
+    r"startseite|men[üÜ]|suchen?|anmelden|abmelden|einloggen|registrieren|kontakt|[üÜ]ber uns|weiter(lesen)?|zur[üÜ]ck|nach oben|teilen|abonnieren|"
+    r"folgen sie uns|mehr (lesen|anzeigen|laden)|hilfe|drucken|kommentare?|impressum|datenschutz|hier klicken|zum inhalt springen|"
+    r"accueil|rechercher?|(se )?connecter|d?[éÉ]?connexion|s['’]inscrire|contactez-nous|[àÀ] propos|suivant|pr[éÉ]c[éÉ]dent|retour( en haut)?|haut de page|"
+    r"partager|s['’]abonner|suivez-nous|lire la suite|en savoir plus|(voir|afficher) plus|plan du site|aide|imprimer|commentaires?|cliquez ici|aller au contenu|mentions l[éÉ]gales|"
+    r"inicio|men[úÚ]|buscar|b[úÚ]squeda|(iniciar|cerrar) sesi[óÓ]n|registrarse|contacto|acerca de( nosotros)?|qui[éÉ]nes somos|siguiente|anterior|volver( arriba)?|arriba|"
+    r"compartir|suscribirse|s[íÍ]guenos|(leer|ver|mostrar|cargar) m[áÁ]s|mapa del sitio|ayuda|imprimir|comentarios?|haga clic aqu[íÍ]|saltar al contenido|aviso legal"
 )
+NAVIGATION = rf"(?i)^\W*({_LINKS})(\W+({_LINKS}))*\W*$"
 BOILERPLATE = (
     r"(?i)(\bcookie (policy|settings|notice)|\b(uses|accept( all)?) cookies\b|\bprivacy policy\b|\bterms (of|and) (use|service|conditions)\b|"
     r"\ball rights reserved\b|©|\bcopyright (\(c\)|\d{4})|\blorem ipsum\b|\benable javascript\b|\bjavascript is (disabled|required)\b|"
-    r"\breleased under the .{1,40} licen[cs]e\b|\bsubscribe to our newsletter\b|\bpowered by \w+\s*$)"
+    r"\breleased under the .{1,40} licen[cs]e\b|\blicensed under (the )?(.{1,40}licen[cs]e\b|cc[ -])|\bsubscribe to our newsletter\b|\bpowered by \w+\s*$|"
+    r"\balle rechte vorbehalten\b|\bverwende[nt] cookies\b|\bcookies? (akzeptieren|zulassen)\b|\bdatenschutz(erkl[äÄ]rung|bestimmungen)|\bnutzungsbedingungen\b|"
+    r"\ballgemeine gesch[äÄ]ftsbedingungen\b|\b(unseren )?newsletter (abonnieren|bestellen)\b|\baktivieren sie javascript\b|"
+    r"\btous droits r[éÉ]serv[éÉ]s|\butilis(e|ent|ons) des cookies\b|\baccepter (tous )?les cookies\b|\bpolitique de confidentialit[éÉ]|\bconditions (g[éÉ]n[éÉ]rales|d['’]utilisation)|"
+    r"\babonnez-vous [àÀ] notre (newsletter|lettre)\b|\bactive[rz] javascript\b|"
+    r"\btodos los derechos reservados\b|\b(utiliza|utilizamos|usa|usamos) cookies\b|\baceptar (todas )?las cookies\b|\bpol[íÍ]tica de (privacidad|cookies)\b|"
+    r"\bt[éÉ]rminos (y condiciones|de uso|del servicio)\b|\bcondiciones (de uso|generales)\b|\bsuscr[íÍ]bete a nuestr[oa]\b|\bactiv[ae]r? javascript\b)"
 )
 #: in lower case; every match of BOILERPLATE holds one, so the pattern is tried on few lines
-CUES = ("cookie", "privacy policy", "terms ", "rights reserved", "©", "copyright", "lorem ipsum", "javascript", "released under", "newsletter", "powered by")
+CUES = (
+    "cookie", "privac", "terms ", "reserv", "vorbehalten", "©", "copyright", "lorem ipsum", "javascript", "released under", "licensed under", "newsletter", "powered by",
+    "datenschutz", "bedingungen", "tous droits", "confidentialit", "conditions ", "abonnez", "rminos ", "condiciones ", "bete a nuestr",
+)
 #: share of its characters that a document may lose
 LOSS = 0.4
 LEAST_WORDS = 50
@@ -119,7 +139,7 @@ def repeated_words(words: Column) -> Column:
 def line_fails(line: Column, visible: Column) -> Column:
     """Whether a line with words is to be removed; visible: its characters in words."""
     noisy = _count(line, NOISE) - FREE_MARKS > visible * F.lit(NOISE_SHARE)
-    open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}")
+    open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}") & ~line.rlike(LONG_UNSPACED)
     cued = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(c) for c in CUES]))
     return noisy | open_end | line.rlike(NAVIGATION) | (cued & line.rlike(BOILERPLATE))
 

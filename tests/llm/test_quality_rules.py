@@ -65,6 +65,37 @@ def test_boilerplate_holds_a_cue(spark, line):
     assert row.cleaned_text.split("\n") == LINES
 
 
+OTHERS = [
+    "Alle Rechte vorbehalten, 2021, Beispiel GmbH.", "Wir verwenden Cookies, um diese Seite besser zu machen.", "Bitte lesen Sie unsere Datenschutzerklärung und die Nutzungsbedingungen.", "Jetzt unseren Newsletter abonnieren und nichts verpassen.",
+    "Tous droits réservés, 2021, la société.", "Ce site utilise des cookies pour mesurer son audience.", "Voir notre POLITIQUE DE CONFIDENTIALITÉ pour en savoir plus.", "Abonnez-vous à notre newsletter dès maintenant, merci.", "Consultez les conditions générales de vente ici, merci.",
+    "Todos los derechos reservados, 2021, la empresa.", "Este sitio utiliza cookies para mejorar la experiencia.", "Lea nuestra Política de Privacidad antes de seguir, gracias.", "Aplican los TÉRMINOS Y CONDICIONES de este sitio.", "Suscríbete a nuestro boletín para no perderte nada.",
+    "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0, as said.",
+]
+MENUS = ["Startseite | Über uns | Kontakt | Impressum | Datenschutz.", "Zurück – Weiter – Nach oben – Teilen – Drucken.", "Accueil · À propos · Contactez-nous · Plan du site · Mentions légales.", "Précédent Suivant Retour en haut Partager Imprimer.", "Inicio / Quiénes somos / Contacto / Aviso legal / Buscar.", "Iniciar sesión, Registrarse, Menú, Ayuda, Síguenos."]
+
+
+@pytest.mark.parametrize("k", range(2))
+def test_other_languages(spark, k):
+    lines = (OTHERS, MENUS)[k]
+    rows = [(i, "\n".join([*LINES, x])) for i, x in enumerate(lines)]
+    for r in qr.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.cleaned_text.split("\n") == LINES, lines[r.doc_id]
+    if not k:
+        assert all(re.search(qr.BOILERPLATE, x) and any(c in x.lower() for c in qr.CUES) for x in lines)
+
+
+@pytest.mark.parametrize("line", ["春天的河水慢慢流过古老的石桥孩子们在岸边放风筝", "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำ", "これは長い日本語の文で句点がない", "Menüs und Datenschutz in der alten Stadt", "El menú del día es bueno y barato", "La conférence commence demain à Paris, au calme."])
+def test_lines_that_stay(spark, line):
+    row = qr.clean_lines(spark.createDataFrame([(1, "\n".join([*LINES, line, "短い行", "目次"]))], "doc_id long, text string")).head()
+    assert row.cleaned_text.split("\n") == [*LINES, line]
+
+
+def test_a_text_without_spaces_keeps_its_lines(spark):
+    lines = [f"第{i}行的文字没有空格也没有句号但是足够长" for i in range(40)]
+    row = qr.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).head()
+    assert row.cleaned_text.split("\n") == lines and row.base_failed  # 40 words by the base count
+
+
 def test_verdict(spark):
     junk = [" ".join(f"w{i}{k}***" for k in range(12)) + "." for i in range(9)]
     df = spark.createDataFrame([(1, "\n".join(LINES)), (2, "\n".join(LINES[:8] + junk)), (3, "few words")], "doc_id long, text string")
