@@ -131,3 +131,80 @@ def test_hashing_long_texts_in_pieces():
     changed = raw.copy()
     changed[int(s[300]) + tv.LONG + 3] ^= 1
     assert (tv.hash_spans(changed, s, e) != whole).nonzero()[0].tolist() == [300]
+
+
+# independent versions: pooling token by token, a network by numeric gradients, and the temperature by search
+
+
+def naive_pool(text, vectors):
+    kind = lambda b: 0 if b in b" \t\n\x0b\x0c\r" else 1 if chr(b).isalnum() and b < 128 or b >= 128 else 2
+    raw, ids, at = (text or "").encode(), [], 0
+    while at < len(raw):
+        end = at
+        while end < len(raw) and kind(raw[end]) == kind(raw[at]):
+            end += 1
+        if kind(raw[at]):
+            span = np.frombuffer(raw, np.uint8)
+            ids.append(int(tv.hash_spans(span, np.array([at]), np.array([end]))[0] & np.uint64(qm.BUCKETS - 1)))
+        at = end
+    mean, pairs = np.zeros(qm.DIM), np.zeros(qm.DIM)
+    for k, i in enumerate(ids):
+        mean += vectors[i]
+        if k:
+            pairs += vectors[i] * vectors[ids[k - 1]]
+    if ids:
+        mean, pairs = mean / (len(ids) + qm.CALM), pairs / (len(ids) + qm.CALM)
+    return np.r_[mean, pairs, pairs.sum()]
+
+
+def test_pooling_token_by_token():
+    vectors = np.random.default_rng(1).normal(size=(qm.BUCKETS, qm.DIM)).astype(np.float32)
+    texts = ["one two  three", None, "", " \n", "a*b ***c é,ü 12", "same same same", "word " * 700 + "end"]
+    got = qm.pooled(pa.array(texts), vectors)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, naive_pool(text, vectors), atol=2e-4)
+
+
+def test_network_against_numeric_gradients(monkeypatch):
+    monkeypatch.setattr(qm, "STEPS", 4)
+    monkeypatch.setattr(qm, "HIDDEN", 3)
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(40, 5)), (rng.random(40) < 0.6).astype(float)
+    x[:, 0] += y
+    aside = np.arange(40) % 5 == 0
+    net = qm.Network(x, y, aside, seed=7)
+    mean, scale = x[~aside].mean(0), x[~aside].std(0) + 1e-6
+    z, t = np.clip((x[~aside] - mean) / scale, -8, 8), y[~aside]
+    draw = np.random.default_rng(7)
+    p = np.concatenate([draw.normal(0, 5**-0.5, (5, 3)).ravel(), np.zeros(3), draw.normal(0, 3**-0.5, 3), np.zeros(1)])
+
+    def logit(p, z):
+        return np.tanh(z @ p[:15].reshape(5, 3) + p[15:18]) @ p[18:21] + p[21]
+
+    def loss(p):
+        u = logit(p, z)
+        return np.mean(np.logaddexp(0, u) - t * u) + qm.DECAY / 2 * (np.sum(p[:15] ** 2) + np.sum(p[18:21] ** 2))
+
+    m = v = np.zeros(22)
+    for step in range(1, 5):
+        g = np.array([(loss(p + e) - loss(p - e)) / 2e-6 for e in np.eye(22) * 1e-6])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p - qm.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    own = np.concatenate([a.ravel() for a in net.layers])
+    assert np.allclose(own, p, atol=1e-4)
+    # the temperature: the best of a finer search is no better than a step of the grid
+    u, goal = logit(p, np.clip((x[aside] - mean) / scale, -8, 8)), y[aside]
+    nll = lambda s: np.mean(np.logaddexp(0, u / s) - goal * u / s)
+    fine = min(np.linspace(0.25, 8, 20_000), key=nll)
+    assert abs(np.log(net.temperature / fine)) <= np.log(8 / 0.25) / 60 + 1e-3
+    scores = 1 / (1 + np.exp(-logit(p, np.clip((x - mean) / scale, -8, 8)) / net.temperature))
+    assert np.allclose(net.score(x), scores, atol=1e-3)
+
+
+def test_many_rows_under_a_labelled_id(spark, corpus):
+    """One row of an id teaches, the same one on every run, however many there are."""
+    docs, labels = corpus
+    extra = spark.createDataFrame([(6, f"river stone number {k}", "x") for k in range(300)], docs.schema)
+    many = docs.unionByName(extra)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, round(r.score, 9))
+    assert sorted(map(key, qm.scores(many, labels).collect())) == sorted(map(key, qm.scores(many.repartition(7), labels).collect()))
