@@ -61,7 +61,7 @@ AGREE = 0.6
 #: least similarity, in hundredths, of two linked documents
 THRESHOLD = 80
 #: members of one block, and bytes of sets in it; members outside the largest component from which a bucket is wide
-BLOCK, BLOCK_BYTES, WIDE = 512, 32 << 20, 8192
+BLOCK, BLOCK_BYTES, WIDE = 256, 32 << 20, 8192
 CHUNK = 1 << 20
 
 _LOW = tv.U64((1 << 56) - 1)
@@ -237,11 +237,13 @@ def _blocks(members: DataFrame, weight: str) -> DataFrame:
     """
     size = lambda own: F.greatest(F.ceil(F.sum(own.cast("long")) / F.lit(BLOCK)), F.ceil(F.sum(F.when(own, F.col(weight)).otherwise(0)) / F.lit(BLOCK_BYTES))).cast("int")
     major = F.col("comp") == F.col("top")
-    sizes = members.groupBy("bucket").agg(size(major).alias("a"), size(~major).alias("b"), F.count(F.lit(1)).alias("n")).filter("a > 0 AND b > 0")
+    sizes = members.groupBy("bucket").agg(size(major).alias("a"), size(~major).alias("b"), size(F.lit(True)).alias("all"), F.count(F.lit(1)).alias("n")).filter("a > 0 AND b > 0")
+    # a bucket that fits is one block
+    sizes = sizes.select("bucket", "n", F.when(F.col("all") > 1, F.col("a")).otherwise(0).alias("a"), F.when(F.col("all") > 1, F.col("b")).otherwise(1).alias("b"))
     rows = spread_join(members, sizes.select("bucket", "a", "b"), "bucket", sizes.select("bucket", "n"), F.col("id"))
-    h = F.xxhash64("id")
-    rows = rows.withColumn("mine", F.when(major, F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.col("b"))).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.when(major, F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)))
+    h, first = F.xxhash64("id"), major & (F.col("a") > 0)
+    rows = rows.withColumn("mine", F.when(first, F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.col("b"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(first, F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)))
     return rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other", "a", "b")
 
 
