@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +20,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, also where body uses it for each element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def literal(vector: Iterable[float]) -> Column:
-    return F.lit([float(x) for x in vector])
+    """A constant vector; one text instead of a literal for each place, which the optimiser folds."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in vector)), ",").cast("array<double>")
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -44,17 +51,18 @@ def usable(v: Column | str, model: Column | str | None, dimensions: int) -> Colu
     return known & F.coalesce(good, F.lit(False))
 
 
+def _divided(v: Column, length: Column, kind: str = "double") -> Column:
+    return let(length, lambda n: F.transform(v, lambda x: (x.cast("double") / n).cast(kind)))
+
+
 def normalized(v: Column | str, strict: bool = False) -> Column:
     """The vector at length 1; strict: an error, else null, where that is undefined."""
-    length = F.sqrt(norm2(v))
-    scaled = F.transform(_c(v), lambda x: x.cast("double") / length)
-    wrong = F.raise_error(F.lit("Cannot normalize this vector")).cast("array<double>") if strict else F.lit(None).cast("array<double>")
-    return F.when(finite(v) & (norm2(v) >= LEAST_NORM), scaled).otherwise(wrong)
+    wrong = F.raise_error(F.lit("This vector has no direction")).cast("array<double>") if strict else F.lit(None).cast("array<double>")
+    return F.when(finite(v) & (norm2(v) >= LEAST_NORM), _divided(_c(v), F.sqrt(norm2(v)))).otherwise(wrong)
 
 
 def normalized_or_zero(v: Column | str, good: Column, dimensions: int) -> Column:
-    length = F.sqrt(norm2(v))
-    return F.when(good, F.transform(_c(v), lambda x: (x.cast("double") / length).cast("float"))).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dimensions))
+    return F.when(good, _divided(_c(v), F.sqrt(norm2(v)), "float")).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dimensions))
 
 
 def parts(kind: Similarity, dimensions: int) -> list[tuple[int, int]]:
@@ -76,31 +84,41 @@ def projected(v: Column | str, kind: Similarity, dimensions: int) -> Column:
     """The focused groups at length 1 (nothing stays nothing); whole vectors unchanged."""
     if kind in (Similarity.SUBJECT, Similarity.APPEARANCE):
         return F.transform(_c(v), lambda x: x.cast("double"))
-    own = focused(v, kind, dimensions)
-    length = F.sqrt(norm2(own))
-    return F.transform(own, lambda x: F.when(norm2(own) > LEAST_NORM, x.cast("double") / length).otherwise(F.lit(0.0)))
+    zeros = lambda own: F.transform(own, lambda x: F.lit(0.0))
+    return let(focused(v, kind, dimensions), lambda own: let(norm2(own), lambda n: F.when(n > LEAST_NORM, _divided(own, F.sqrt(n))).otherwise(zeros(own))))
 
 
 def focused_similarity(a: Column | str, b: Column | str, kind: Similarity, dimensions: int) -> Column:
     """Cosine over the groups of a focus, without projecting either side."""
-    x, y = focused(a, kind, dimensions), focused(b, kind, dimensions)
-    both = norm2(x) * norm2(y)
-    return F.when((norm2(x) > LEAST_NORM) & (norm2(y) > LEAST_NORM), dot(x, y) / F.sqrt(both)).otherwise(F.lit(0.0))
+    both = lambda x, y: let(norm2(x), lambda m: let(norm2(y), lambda n: F.when((m > LEAST_NORM) & (n > LEAST_NORM), dot(x, y) / F.sqrt(m * n)).otherwise(F.lit(0.0))))
+    return let(focused(a, kind, dimensions), lambda x: let(focused(b, kind, dimensions), lambda y: both(x, y)))
 
 
 def unpack(blob: Column | str) -> Column:
     """Little-endian float32 bytes as array<float> (null where the length does not fit)."""
-    @F.pandas_udf("array<float>")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+    @F.arrow_udf("array<float>")
+    def decode(blobs: pa.Array) -> pa.Array:
+        blobs = blobs.cast(pa.binary())
+        sizes = pc.binary_length(blobs).fill_null(0).to_numpy(zero_copy_only=False)
+        bad = pc.or_(blobs.is_null(), pa.array(sizes % 4 != 0))
+        whole = pc.if_else(bad, pa.scalar(b"", pa.binary()), blobs)
+        ends = np.r_[0, np.cumsum(np.where(bad.to_numpy(zero_copy_only=False), 0, sizes) // 4)].astype(np.int32)
+        offsets = pa.array(ends, mask=np.r_[bad.to_numpy(zero_copy_only=False), False])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(whole.to_pylist()), "<f4")))
 
     return decode(_c(blob))
 
 
 def pack(v: Column | str) -> Column:
     """array<float> as little-endian float32 bytes."""
-    @F.pandas_udf("binary")
-    def encode(values: pd.Series) -> pd.Series:
-        return values.map(lambda a: None if a is None else np.asarray(a, "<f4").tobytes())
+
+    @F.arrow_udf("binary")
+    def encode(vectors: pa.Array) -> pa.Array:
+        vectors = vectors.cast(pa.list_(pa.float32()))
+        bounds = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+        data = np.ascontiguousarray(vectors.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False), "<f4").tobytes()
+        spans = np.r_[0, np.cumsum(np.where(vectors.is_null().to_numpy(zero_copy_only=False), 0, np.diff(bounds)))]
+        return pa.array([None if null else data[4 * a : 4 * b] for null, a, b in zip(vectors.is_null().to_pylist(), spans, spans[1:], strict=False)], pa.binary())
 
     return encode(_c(v))

@@ -31,15 +31,18 @@ def nearest_others(vectors: DataFrame, k: int, key: str = "vec_id", vector: str
     def multiply(key_: tuple, table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy(zero_copy_only=False)
         ids = table["id"].to_numpy()
-        matrix = np.array(table["v"].to_pylist(), np.float64)
+        matrix = np.asarray(table["v"].combine_chunks().flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
         mine, theirs = ids[asks], ids[~asks]
         out: list[tuple] = []
         if len(mine) and len(theirs):
             scores = np.round(matrix[asks] @ matrix[~asks].T, 9)
+            scores[mine[:, None] == theirs] = -np.inf
+            # the k greatest, with all that tie with the last of them
+            least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
             for i, own in enumerate(mine):
-                order = np.lexsort((theirs, -scores[i]))
-                order = order[theirs[order] != own][:k]
-                out += [(int(own), int(theirs[j]), float(scores[i, j])) for j in order]
+                some = np.flatnonzero(scores[i] >= least[i])
+                order = some[np.lexsort((theirs[some], -scores[i, some]))][:k]
+                out += [(int(own), int(theirs[j]), float(scores[i, j])) for j in order if scores[i, j] > -np.inf]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({"query": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

@@ -33,7 +33,8 @@ def embedded_bank(embed_text: Callable[[str], list[float] | None], names: tuple[
 
 def mean_bank(vectors: DataFrame, label: str, vector: str, dimensions: int) -> DataFrame:
     """label and the mean vector of its rows, at length 1: one aggregation, no exploded places."""
-    means = vectors.groupBy(label).agg(F.array(*[F.avg(F.col(vector)[k].cast("double")) for k in range(dimensions)]).alias("_mean"))
+    places = ", ".join(f"avg(CAST(`{vector}`[{k}] AS DOUBLE))" for k in range(dimensions))
+    means = vectors.groupBy(label).agg(F.expr(f"array({places})").alias("_mean"))
     return means.select(F.col(label).cast("string").alias("name"), V.normalized("_mean").alias("bank"))
 
 
