@@ -72,17 +72,21 @@ def parse_version(text: str) -> tuple[int, int, int] | None:
     return tuple(map(int, m.groups())) if m else None
 
 
+#: name of a package by the pattern of its target: what follows product and release, with the groups of the pattern (fixed values)
+PACKAGES = (
+    (r"^(.*)-deb$", r"$1.deb"),
+    (r"^(.*)-arch$", r"$1.pkg.tar.zst"),
+    (r"^windows-([^-]*).*$", r"Setup-$1.exe"),
+    (r"^(macos-.*)$", r"$1.dmg"),
+    (r"^(.*)$", r"$1.tar.gz"),
+)
+
+
 def package_name(product: str, release: Column | str, target: Column | str) -> Column:
-    """The file name of a release for a target such as linux-x64, linux-x64-deb, windows-x64 or macos-arm64."""
-    v, t = _c(release), _c(target)
-    start = F.concat(F.lit(f"{product}-"), v, F.lit("-"))
-    return (
-        F.when(t.endswith("-deb"), F.concat(start, F.regexp_replace(t, "-deb$", ""), F.lit(".deb")))
-        .when(t.endswith("-arch"), F.concat(start, F.regexp_replace(t, "-arch$", ""), F.lit(".pkg.tar.zst")))
-        .when(t.startswith("windows-"), F.concat(start, F.lit("Setup-"), F.substring_index(F.regexp_replace(t, "^windows-", ""), "-", 1), F.lit(".exe")))
-        .when(t.startswith("macos-"), F.concat(start, t, F.lit(".dmg")))
-        .otherwise(F.concat(start, t, F.lit(".tar.gz")))
-    )
+    """The file name of a release for a target such as linux-x64, linux-x64-deb, windows-x64 or macos-arm64: by the first pattern that fits."""
+    t = _c(target)
+    ends = [F.when(t.rlike(pattern), F.regexp_replace(t, pattern, name)) for pattern, name in PACKAGES]
+    return F.concat(F.lit(f"{product}-"), _c(release), F.lit("-"), F.coalesce(*ends))
 
 
 def redirect_allowed(url: Column | str, hosts: tuple[str, ...] = DOWNLOAD_HOSTS) -> Column:

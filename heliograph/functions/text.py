@@ -10,6 +10,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a", "an", "the", "of", "in", "on", "at", "to", "and", "with", "photo", "image")
 MOST_TERMS = 32
 TOKEN = r"[\p{L}\p{N}]+"
-BOUNDARY = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
+#: combining marks belong to the letter before them, so a decomposed name is cut as the composed one (look-behind needs a limit)
+_M = r"\p{M}{0,8}"
+BOUNDARY = rf"(?<=[\p{{Ll}}\p{{N}}]{_M})(?=\p{{Lu}})|(?<=\p{{Lu}}{_M})(?=\p{{Lu}}{_M}\p{{Ll}})|(?<=\p{{L}}{_M})(?=\p{{N}})|(?<=\p{{N}})(?=\p{{L}})"
 
 
 def _fold_table() -> tuple[str, str]:
@@ -52,8 +55,18 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def composed(text: Column | str) -> Column:
+    """The text in Unicode normalisation form C.  SQL has no word for it; names that are ASCII, as nearly all, are only looked at."""
+
+    @F.arrow_udf("string")
+    def nfc(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return nfc(_c(text))
+
+
 def search_name(name: Column | str) -> Column:
-    """The readable words of an identifier, or '' where nothing would change."""
+    """The readable words of an identifier, or '' where nothing would change.  A save composes the name first."""
     spaced = F.regexp_replace(_c(name), BOUNDARY, " ")
     return F.when(spaced == _c(name), F.lit("")).otherwise(spaced)
 

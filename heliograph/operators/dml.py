@@ -1,18 +1,17 @@
 """Changes to a catalog, each a pure function from old tables to new ones.
 
-Parquet has no row updates, so a writer computes the new table and swaps it in
-(``publish``): the files go to a folder of their own, and a small pointer file
-names the folder that is current.
+Parquet has no row updates, so a writer computes the new table and swaps it in:
+the files go to a folder of their own, and a small file names the folder that is
+current (``versions``; ``publish`` for a table on its own).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import NOTES_LIMIT
+from .versions import Versions
 
 #: what a save leaves as it was
 KEPT = ("id", "favorite", "notes")
@@ -102,24 +101,12 @@ def shared_results(rows: DataFrame, hash_column: str, known: DataFrame, result:
 
 def publish(df: DataFrame, root: str) -> str:
     """Write a new version of a table below root and make it current; returns its folder."""
-    spark = df.sparkSession
-    folder = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs = at.getFileSystem(conf)
-    part = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(part, True)
-    out.write(bytearray(folder.encode()))
-    out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"{root}/CURRENT could not be replaced")
-    return folder
+    versions = Versions(df.sparkSession, root)
+    folder, _ = versions.stage("table", df)
+    versions.commit({"table": folder})
+    return f"{root}/{folder}"
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The current version of a published table."""
-    return spark.read.parquet(spark.read.text(f"{root}/CURRENT").head()[0])
+    return Versions(spark, root).table("table")

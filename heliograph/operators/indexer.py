@@ -4,71 +4,112 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
+import os
+import socket
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import images as I
-from ..functions.text import search_name
-from ..schema import APPEARANCE_VERSION, APPEARANCES, CURRENT_MODELS, FOLDERS, ITEMS, THUMBNAILS, Catalog
+from ..functions.text import composed, search_name
+from ..schema import APPEARANCE_VERSION, APPEARANCES, CURRENT_MODELS, FOLDERS, ITEMS, TEXT_COLUMNS, THUMBNAILS, Catalog
 from ..sources import files as S
-from . import dml, indexing, labels, stats
+from . import dml, indexing, labels, lexical, stats
+from .versions import Versions
 
-TABLES = {"items": ITEMS, "appearances": APPEARANCES, "thumbnails": THUMBNAILS, "folders": FOLDERS}
+POSTINGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("term", T.StringType())])
+LENGTHS = T.StructType([T.StructField("id", T.LongType()), T.StructField("length", T.LongType())])
+TABLES = {"items": ITEMS, "appearances": APPEARANCES, "thumbnails": THUMBNAILS, "folders": FOLDERS, "postings": POSTINGS, "lengths": LENGTHS}
 FILES_A_BATCH = 5_000
+#: images that a model is given at once (fixed value)
+EMBED_BATCH = 16
 DESCRIPTOR = 512
 
 
 class Library:
-    """The four tables below a folder, each in published versions; one writer at a time."""
+    """The tables below a folder, which change together; one writer at a time.
+
+    The full-text index (``postings`` in the order of terms, ``lengths``) goes with
+    the items: it is made anew for those alone whose texts change.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        for name, schema in TABLES.items():
-            if not self._exists(f"{self.root}/{name}/CURRENT"):
-                dml.publish(spark.createDataFrame([], schema), f"{self.root}/{name}")
-
-    def _path(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _exists(self, path: str) -> bool:
-        at, fs = self._path(path)
-        return fs.exists(at)
+        self.versions = Versions(spark, self.root)
+        missing = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items() if name not in self.versions.current()[1]}
+        if missing:
+            self.versions.publish(**missing)
 
     def table(self, name: str) -> DataFrame:
-        return dml.current(self.spark, f"{self.root}/{name}")
+        return self.versions.table(name, TABLES[name])
 
     def catalog(self) -> Catalog:
-        return Catalog(*(self.table(n) for n in TABLES))
+        """All tables of one state."""
+        folders = self.versions.current()[1]
+        t = {name: self.spark.read.schema(schema).parquet(f"{self.root}/{folders[name]}") for name, schema in TABLES.items()}
+        return Catalog(t["items"], t["appearances"], t["thumbnails"], t["folders"], lexical.Index(t["postings"], t["lengths"]))
+
+    def stage(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        return self.versions.stage(name, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]))
 
     def publish(self, **tables: DataFrame) -> None:
-        for name, df in tables.items():
-            dml.publish(df.select(*[f.name for f in TABLES[name]]), f"{self.root}/{name}")
+        """Make new versions of some tables current, all at once; with the items goes their index."""
+        self.commit({name: self.stage(name, df) for name, df in tables.items()})
+
+    def commit(self, staged: dict[str, tuple[str, DataFrame]]) -> None:
+        """Make staged tables current, all at once, and the index of the items with them."""
+        if "items" in staged:
+            staged = staged | self._reindexed(self.table("items"), staged["items"][1])
+        self.versions.commit({name: folder for name, (folder, _) in staged.items()})
+
+    def _reindexed(self, old: DataFrame, new: DataFrame) -> dict[str, tuple[str, DataFrame]]:
+        text = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c, _ in TEXT_COLUMNS])
+        both = old.select("id", text.alias("a")).join(new.select("id", text.alias("b")), "id", "full")
+        changed = both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("id")
+        if changed.limit(1).count() == 0:
+            return {}
+        fresh = new.join(changed, "id", "left_semi")
+        lengths = self.table("lengths").join(changed, "id", "left_anti").unionByName(lexical.lengths(fresh))
+        return {"postings": self.stage("postings", lexical.sorted_postings(lexical.updated_postings(self.table("postings"), new, changed))), "lengths": self.stage("lengths", lengths)}
 
     @contextmanager
     def writer(self) -> Iterator[None]:
-        """Held by one writer; another gets an error, as the lock file can be made once only."""
-        at, fs = self._path(f"{self.root}/LOCK")
-        try:
-            fs.create(at, False).close()
-        except Exception as e:
-            raise RuntimeError(f"{self.root} is being written by another process") from e
+        """Held by one writer; another gets an error, as the lock file can be made once only.  The lock of a process of this machine that is gone is void."""
+        own = json.dumps({"host": socket.gethostname(), "pid": os.getpid()})
+        if not self.versions.create("LOCK", own):
+            if self._held() or not self.versions.create("LOCK", own):
+                raise RuntimeError(f"{self.root} is being written by another process")
         try:
             yield
         finally:
-            fs.delete(at, False)
+            self.versions.delete("LOCK")
+
+    def _held(self) -> bool:
+        try:
+            holder = json.loads(self.versions.read("LOCK"))
+            if holder["host"] != socket.gethostname():
+                return True
+            os.kill(holder["pid"], 0)
+        except ProcessLookupError:
+            self.versions.delete("LOCK")
+            return False
+        except Exception:  # a lock that can't be read, or a process that may not be asked, counts as held
+            return True
+        return True
 
     def remove_folder(self, folder: str) -> None:
         """Forget a folder and all that came from it; its files stay."""
         with self.writer():
             c = self.catalog()
-            self.publish(**dict(zip(TABLES, dml.remove_folder(c.items, c.appearances, c.thumbnails, c.folders, folder), strict=True)))
+            names = ("items", "appearances", "thumbnails", "folders")
+            self.publish(**dict(zip(names, dml.remove_folder(c.items, c.appearances, c.thumbnails, c.folders, S.canonical(self.spark, folder)), strict=True)))
 
     def set_notes(self, item: int, notes: str) -> None:
         with self.writer():
@@ -79,13 +120,30 @@ class Library:
             self.publish(items=dml.set_favorite(self.table("items"), F.col("id") == item, F.lit(favorite)))
 
 
+LOOKED = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("path", "folder", "name")],
+        *[T.StructField(n, T.LongType()) for n in ("modified", "bytes")],
+        T.StructField("embed", T.BooleanType()),
+        *[T.StructField(n, T.IntegerType()) for n in ("width", "height")],
+        T.StructField("hash", T.StringType()),
+        T.StructField("descriptor", T.ArrayType(T.FloatType())),
+        T.StructField("thumbnail", T.BinaryType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("model", T.StringType()),
+    ]
+)
+VECTORS = T.StructType([T.StructField("hash", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+
 def _looked_at(images: DataFrame) -> DataFrame:
-    """path, width, height, hash (of the model input), descriptor, thumbnail, error."""
+    """path, width, height, hash (of the model input), descriptor, thumbnail, error; an image at a time is decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for r in b.to_pylist():
+            for k in range(b.num_rows):
+                r = {name: b.column(name)[k].as_py() for name in ("path", "width", "height", "channels", "data", "error")}
                 try:
                     if r["error"]:
                         raise ValueError(r["error"])
@@ -101,17 +159,41 @@ def _looked_at(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "path string, width int, height int, hash string, descriptor array<float>, thumbnail binary, error string")
 
 
+class Model:
+    """What embeds model inputs (3 x 224 x 224 floats).
+
+    one: a vector of one input.  many: the vectors of up to EMBED_BATCH stacked inputs, used where given.
+    fallback: as one; takes over the inputs of a batch that fails.
+    """
+
+    def __init__(self, one: Callable[[np.ndarray], Sequence[float]], many: Callable[[np.ndarray], Sequence[Sequence[float]]] | None = None, fallback: Callable[[np.ndarray], Sequence[float]] | None = None) -> None:
+        self.one, self.many, self.fallback = one, many, fallback
+
+    def vectors(self, inputs: list[np.ndarray]) -> list[np.ndarray]:
+        try:
+            out = self.many(np.stack(inputs)) if self.many else [self.one(x) for x in inputs]
+            if len(out) != len(inputs):
+                raise ValueError("not a vector for each input")
+        except Exception:
+            if not self.many and not self.fallback:
+                raise
+            out = [(self.fallback or self.one)(x) for x in inputs]
+        return [np.asarray(v, np.float32) for v in out]
+
+
 class Indexer:
     """Scans folders into a library.
 
-    embed turns a model input (3 x 224 x 224 floats) into a vector; without it
-    items have no vectors.  Files go in batches: each is decoded, embedded (equal
-    images once), labelled and published before the next, so a stop between
-    batches keeps what is done.
+    embed turns a model input into a vector (a function of one input, or a Model); without it
+    items have no vectors.  Files go in batches: each is decoded and embedded (equal
+    images once), and what was found is kept below ``pending``.  At the end all batches are
+    merged into the library's tables, which are written once and change at once; a scan that was
+    stopped merges what it has, and batches that a crash has left are merged by the next scan.
     """
 
-    def __init__(self, library: Library, embed: Callable[[np.ndarray], list[float]] | None = None, model: str = CURRENT_MODELS[0], bank: list[tuple[str, list[float]]] | None = None) -> None:
-        self.library, self.embed, self.model, self.bank = library, embed, model, bank
+    def __init__(self, library: Library, embed: Callable[[np.ndarray], Sequence[float]] | Model | None = None, model: str = CURRENT_MODELS[0], bank: list[tuple[str, list[float]]] | None = None) -> None:
+        self.library, self.model, self.bank = library, model, bank
+        self.embed = Model(embed) if embed is not None and not isinstance(embed, Model) else embed
         self.cancelled = False
 
     def cancel(self) -> None:
@@ -125,8 +207,10 @@ class Indexer:
     def _scan(self, folders: list[str] | None, force: bool, appearance_only: bool, files_a_batch: int) -> dict:
         began, spark, lib = time.monotonic(), self.library.spark, self.library
         out = {"changed": 0, "skipped": 0, "failed": 0, "inference": 0, "reused": 0, "batches": 0, "errors": [], "cancelled": False}
+        self._merge()
         if folders:
-            lib.publish(folders=dml.insert_or_ignore(lib.table("folders"), spark.createDataFrame([(f,) for f in folders], FOLDERS), "path"))
+            known = spark.createDataFrame([(S.canonical(spark, f),) for f in folders], FOLDERS)
+            lib.publish(folders=dml.insert_or_ignore(lib.table("folders"), known, "path"))
         names = folders or [r["path"] for r in lib.table("folders").orderBy("path").collect()]
         found, reachable, problems = S.scan(spark, names)
         out["errors"] += problems
@@ -141,11 +225,10 @@ class Indexer:
                 out["cancelled"] = True
                 break
             self._batch(spark.createDataFrame(batch, jobs.schema), [r["path"] for r in batch], out)
-        if not self.cancelled and not appearance_only and reachable:
-            folders_seen = spark.createDataFrame([(f,) for f in reachable], "folder string")
-            lib.publish(items=dml.prune_unseen(lib.table("items"), found.select("folder", "path").distinct(), folders_seen))
-            kept = lib.table("items")
-            lib.publish(appearances=dml.cascade(lib.table("appearances"), kept), thumbnails=dml.prune_thumbnails(lib.table("thumbnails"), kept))
+        if self.cancelled or appearance_only or not reachable:
+            self._merge()
+        else:
+            self._merge(found.select("folder", "path").distinct(), spark.createDataFrame([(f,) for f in reachable], "folder string"))
         files.unpersist()
         classified.unpersist()
         out["errors"] = out["errors"][: indexing.MOST_ERRORS]
@@ -153,52 +236,90 @@ class Indexer:
         return out
 
     def _dimensions(self) -> int:
-        return len(self.embed(np.zeros((3, I.SIDE, I.SIDE), np.float32))) if self.embed else 0
+        return len(self.embed.vectors([np.zeros((3, I.SIDE, I.SIDE), np.float32)])[0]) if self.embed else 0
 
     def _batch(self, jobs: DataFrame, paths: list[str], out: dict) -> None:
+        """Decode and embed some files; the results wait below ``pending``."""
         spark, lib = jobs.sparkSession, self.library
+        at = f"{lib.root}/pending/{out['batches']:09d}"
         raw = S.images(spark, paths)
-        seen = _looked_at(raw).join(jobs, "path").persist()
         # files that changed while they were read are left to the next scan
         now = spark.read.format("binaryFile").load(paths).select("path", F.unix_millis("modificationTime").alias("_m"), F.col("length").alias("_b"))
-        checked = seen.join(now, "path", "left").withColumn("error", F.when(F.col("error").isNull() & ~((F.col("_m") == F.col("modified")) & (F.col("_b") == F.col("bytes"))).eqNullSafe(F.lit(True)), F.lit("changed while it was read")).otherwise(F.col("error"))).drop("_m", "_b").persist()
-        good, bad = indexing.split_errors(checked)
-        out["errors"] += [f"{r['path']}: {r['error']}" for r in indexing.error_log(bad, "path").collect()]
-        out["failed"] += bad.count()
+        same = ((F.col("_m") == F.col("modified")) & (F.col("_b") == F.col("bytes"))).eqNullSafe(F.lit(True))
+        checked = _looked_at(raw).join(jobs, "path").join(now, "path", "left").withColumn("error", F.when(F.col("error").isNull() & ~same, F.lit("changed while it was read")).otherwise(F.col("error")))
+        checked.withColumn("model", F.lit(self.model if self.embed else None).cast("string")).select(*[f.name for f in LOOKED]).write.parquet(f"{at}/looked")
+        looked = spark.read.schema(LOOKED).parquet(f"{at}/looked")
+        good, bad = indexing.split_errors(looked)
         new = good.filter("embed")
+        vectors = self._vectors(raw, new) if self.embed else spark.createDataFrame([], VECTORS)
+        vectors.write.parquet(f"{at}/vectors")  # with this the batch is complete
+        counts = looked.agg(F.count(F.when(F.col("error").isNull(), 1)).alias("good"), F.count("error").alias("bad"), F.count(F.when(F.col("error").isNull() & F.col("embed"), 1)).alias("new")).head()
+        if counts["bad"]:
+            out["errors"] += [f"{r['path']}: {r['error']}" for r in indexing.error_log(bad, "path").collect()]
+        out["failed"] += counts["bad"]
+        out["changed"] += counts["good"]
         if self.embed:
-            vectors = self._vectors(raw, new).persist()
-            distinct = vectors.count()
+            distinct = spark.read.schema(VECTORS).parquet(f"{at}/vectors").count()
             out["inference"] += distinct
-            out["reused"] += new.count() - distinct
-            new = new.join(vectors, "hash")
-        else:
-            new = new.withColumn("embedding", F.lit(None).cast("array<float>"))
-        key = F.concat(F.lit("thumb:"), F.sha2("thumbnail", 256))
-        new = new.withColumn("id", F.abs(F.xxhash64("path")) % (1 << 62)).withColumn("thumb", key)
+            out["reused"] += counts["new"] - distinct
+        out["batches"] += 1
+
+    def _merge(self, seen: DataFrame | None = None, reachable: DataFrame | None = None) -> None:
+        """Bring waiting batches into the tables, and with seen forget items of reachable folders that were not seen; all tables change at once."""
+        spark, lib = self.library.spark, self.library
+        waiting = [f"{lib.root}/pending/{name}" for name in lib.versions.names("pending") if lib.versions.exists(f"pending/{name}/vectors/_SUCCESS")]
+        c = lib.catalog()
+        items, thumbnails, appearances = c.items, c.thumbnails, c.appearances
+        if waiting:
+            good, _ = indexing.split_errors(spark.read.schema(LOOKED).parquet(*[f"{at}/looked" for at in waiting]))
+            vectors = spark.read.schema(VECTORS).parquet(*[f"{at}/vectors" for at in waiting]).dropDuplicates(["hash"])
+            rows = self._rows(good.filter("embed").join(vectors, "hash", "left"))
+            items = dml.upsert(items, rows.select(*[f.name for f in ITEMS]))
+            thumbnails = dml.insert_or_ignore(thumbnails, rows.select(F.col("thumb").alias("key"), F.col("thumbnail").alias("data")), "key")
+        gone = False
+        if seen is not None:
+            left = dml.prune_unseen(items, seen, reachable)
+            gone = c.items.join(reachable, "folder", "left_semi").join(seen, ["folder", "path"], "left_anti").limit(1).count() > 0
+            items = left
+        if waiting or gone:
+            staged = {"items": lib.stage("items", items)}
+            items = staged["items"][1]
+            if waiting:
+                offered = good.select("path", "modified", "bytes", F.lit(APPEARANCE_VERSION).alias("version"), "descriptor")
+                appearances = dml.guarded_replace(appearances, items, offered)
+            if seen is not None:
+                thumbnails = dml.prune_thumbnails(thumbnails, items)
+            staged["appearances"] = lib.stage("appearances", dml.cascade(appearances, items))
+            staged["thumbnails"] = lib.stage("thumbnails", thumbnails)
+            lib.commit(staged)
+        lib.versions.delete("pending")
+
+    def _rows(self, new: DataFrame) -> DataFrame:
+        """Items of the decoded files."""
+        new = new.withColumns({"id": F.abs(F.xxhash64("path")) % (1 << 62), "thumb": F.concat(F.lit("thumb:"), F.sha2("thumbnail", 256))})
         if self.bank and self.embed:
-            new = new.join(labels.zero_shot(new.select("path", "embedding"), self.bank, key="path").withColumnRenamed("labels", "tags"), "path")
+            new = new.join(labels.zero_shot(new.filter("embedding IS NOT NULL").select("path", "embedding"), self.bank, key="path").withColumnRenamed("labels", "tags"), "path", "left").fillna("", ["tags"])
         else:
             new = new.withColumn("tags", F.lit(""))
-        rows = new.withColumns({"search_name": search_name("name"), "favorite": F.lit(False), "ocr": F.lit(""), "notes": F.lit(""), "model": F.lit(self.model if self.embed else None).cast("string")})
-        lib.publish(items=dml.upsert(lib.table("items"), rows.select(*[f.name for f in ITEMS])), thumbnails=dml.insert_or_ignore(lib.table("thumbnails"), rows.select(F.col("thumb").alias("key"), F.col("thumbnail").alias("data")), "key"))
-        offered = good.select("path", "modified", "bytes", F.lit(APPEARANCE_VERSION).alias("version"), "descriptor")
-        lib.publish(appearances=dml.guarded_replace(lib.table("appearances"), lib.table("items"), offered))
-        out["changed"] += good.count()
-        out["batches"] += 1
-        for df in (seen, checked):
-            df.unpersist()
+        return new.withColumns({"search_name": search_name(composed("name")), "favorite": F.lit(False), "ocr": F.lit(""), "notes": F.lit("")})
 
     def _vectors(self, raw: DataFrame, rows: DataFrame) -> DataFrame:
-        """hash and embedding: equal images are embedded once."""
-        embed = self.embed
+        """hash and embedding: equal images are embedded once, EMBED_BATCH at a time."""
+        model = self.embed
         one = rows.groupBy("hash").agg(F.min("path").alias("_path"))
         chosen = raw.join(one, F.col("path") == F.col("_path")).select("hash", "width", "height", "channels", "data")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
             for b in batches:
-                vectors = [np.asarray(embed(I.model_input(I.pixels(r["data"], r["height"], r["width"], r["channels"]))), np.float32) for r in b.to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["hash", "embedding"])
+                for k in range(b.num_rows):
+                    r = {name: b.column(name)[k].as_py() for name in b.schema.names}
+                    yield r["hash"], I.model_input(I.pixels(r["data"], r["height"], r["width"], r["channels"]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = inputs(batches)
+            while some := list(itertools.islice(rest, EMBED_BATCH)):
+                vectors = model.vectors([x for _, x in some])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in some]), pa.array(vectors, pa.list_(pa.float32()))], names=["hash", "embedding"])
 
         return chosen.mapInArrow(run, "hash string, embedding array<float>")
 

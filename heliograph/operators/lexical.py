@@ -1,38 +1,73 @@
 """Full-text search: boolean terms, BM25 over weighted columns, trusted evidence.
 
-A row's tokens are an array per column, so matching and scoring are row-local;
-the only exchange is the partial aggregation that gives the corpus statistics.
-``postings`` is the inverted index in long form, for callers that keep one.
+Two ways give the same evidence.  ``evidence`` scans: a row's tokens are an array
+per column, made where a word of the query is somewhere in the row's text, so
+matching and scoring are row-local.  ``Index`` holds the tokens as postings in the
+order of terms, as a library publishes them; a query reads those of its terms alone.
+Either way the corpus statistics and the best score, a row of numbers each, come to the driver
+first, so that the plan of the answer reads its source once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Term, hits, parse_query, tokens
+from ..functions.text import TOKEN, Term, fold, hits, parse_query, tokens
 from ..schema import TEXT_COLUMNS, TRUSTED_COLUMNS, Mode
+from .layout import dealt
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 BASE, SPREAD, TRUST = 0.04, 0.16, 0.25
 
 
+def _sum(xs) -> Column:
+    return reduce(lambda a, b: a + b, xs)
+
+
+def _all(xs) -> Column:
+    return reduce(lambda a, b: a & b, xs)
+
+
+def _any(xs) -> Column:
+    return reduce(lambda a, b: a | b, xs)
+
+
 def analysed(items: DataFrame) -> DataFrame:
     """The items with the token array of each text column (``_t_name`` and so on) and their number (``_length``); analysed items as they are."""
     if "_length" in items.columns:
         return items
-    rows = items.select("*", *[tokens(c).alias(f"_t_{c}") for c, _ in TEXT_COLUMNS])
-    return rows.withColumn("_length", reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c, _ in TEXT_COLUMNS]))
+    rows = dealt(items, "id").select("*", *[tokens(c).alias(f"_t_{c}") for c, _ in TEXT_COLUMNS])
+    return rows.withColumn("_length", _sum([F.size(f"_t_{c}") for c, _ in TEXT_COLUMNS]))
+
+
+def _holds(term: Term) -> Column:
+    """Whether a row's folded texts have every word of a term somewhere, be it inside of other words: cheaper than tokens, and true wherever the term matches."""
+    return _all([_any([F.col(f"_f_{c}").contains(word) for c, _ in TEXT_COLUMNS]) for word in term.words])
+
+
+def near(items: DataFrame, terms: list[Term]) -> DataFrame:
+    """Items as ``analysed``, but with tokens only in rows that may match a term, and ``_near``: whether all terms may match."""
+    if "_length" in items.columns:
+        return items.withColumn("_near", F.lit(True))
+    rows = dealt(items, "id").select("*", *[fold(F.coalesce(F.col(c), F.lit(""))).alias(f"_f_{c}") for c, _ in TEXT_COLUMNS])
+    rows = rows.withColumns({f"_n{i}": _holds(t) for i, t in enumerate(terms)})
+    some, none = _any([F.col(f"_n{i}") for i in range(len(terms))]), F.array().cast("array<string>")
+    words = {f"_t_{c}": F.when(some, F.regexp_extract_all(F.col(f"_f_{c}"), F.lit(TOKEN), F.lit(0))).otherwise(none) for c, _ in TEXT_COLUMNS}
+    length = _sum([F.regexp_count(F.col(f"_f_{c}"), F.lit(TOKEN)) for c, _ in TEXT_COLUMNS])
+    rows = rows.withColumns(words | {"_length": length, "_near": _all([F.col(f"_n{i}") for i in range(len(terms))])})
+    return rows.drop(*[f"_f_{c}" for c, _ in TEXT_COLUMNS], *[f"_n{i}" for i in range(len(terms))])
 
 
 def postings(items: DataFrame) -> DataFrame:
     """id, col, pos, term of every token."""
     arrays = [F.struct(F.lit(c).alias("col"), tokens(c).alias("words")) for c, _ in TEXT_COLUMNS]
-    rows = items.select("id", F.explode(F.array(*arrays)).alias("x")).select("id", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"))
+    rows = dealt(items, "id").select("id", F.explode(F.array(*arrays)).alias("x")).select("id", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"))
     return rows.select("id", "col", F.col("pos").cast("long").alias("pos"), "term")
 
 
@@ -55,40 +90,110 @@ def matched(rows: DataFrame, terms: list[Term]) -> DataFrame:
     # hits by column are made once a term (an array that the optimiser does not copy into its uses)
     columns = F.array(*[F.col(f"_t_{c}") for c, _ in TEXT_COLUMNS])
     out = rows.withColumns({f"_c{i}": F.transform(columns, _counter(term)) for i, term in enumerate(terms)})
-    add = lambda xs: reduce(lambda a, b: a + b, xs)
-    sums = {}
+    sums = []
     for i in range(len(terms)):
         found = {c: F.get(F.col(f"_c{i}"), F.lit(k)) for k, (c, _) in enumerate(TEXT_COLUMNS)}
-        sums[f"_h{i}"] = add(found.values())
-        sums[f"_f{i}"] = add([found[c] * F.lit(w) for c, w in TEXT_COLUMNS])
-        sums[f"_r{i}"] = add([found[c] for c in TRUSTED_COLUMNS]) > 0
-    out = out.withColumns(sums)
-    every = lambda xs: reduce(lambda a, b: a & b, xs)
-    return out.withColumns({"_all": every([F.col(f"_h{i}") > 0 for i in range(len(terms))]), "trusted": every([F.col(f"_r{i}") for i in range(len(terms))])})
-
-
-def bm25(rows: DataFrame, terms: list[Term]) -> DataFrame:
-    """Matched rows with ``relevance``: corpus statistics are over all rows, whatever is filtered later."""
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"), *[F.sum((F.col(f"_h{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
-    known = rows.join(F.broadcast(stats), F.lit(True))  # one row of numbers
+        sums.append(_sum(found.values()).alias(f"_h{i}"))
+        sums.append(_sum([found[c] * F.lit(w) for c, w in TEXT_COLUMNS]).alias(f"_f{i}"))
+        sums.append((_sum([found[c] for c in TRUSTED_COLUMNS]) > 0).alias(f"_r{i}"))
+    # a generator of one row: the optimiser would copy what is counted into filters and scores above it, but for this
+    kept = [c for c in out.columns if not c.startswith(("_c", "_t_"))]
+    out = out.select(*kept, F.inline(F.array(F.struct(*sums))))
+    return out.withColumns({"_all": _all([F.col(f"_h{i}") > 0 for i in range(len(terms))]), "trusted": _all([F.col(f"_r{i}") for i in range(len(terms))])})
+
+
+def _having(n: int) -> list[Column]:
+    """The number of rows that match each term."""
+    return [F.coalesce(F.sum((F.col(f"_h{i}") > 0).cast("long")), F.lit(0)).alias(f"n{i}") for i in range(n)]
+
+
+def _relevance(n: int, mean: float, having: list[int]) -> Column:
+    """BM25 of a matched row, from the number of rows, their mean length, and the rows that have each term."""
     score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+    for i, m in enumerate(having):
+        idf = F.log((F.lit(n) - F.lit(m) + 0.5) / (F.lit(m) + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         f = F.col(f"_f{i}")
-        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_length") / F.col("mean")))
-    return known.filter("_all").withColumn("relevance", score)
-
-
-def lexical(items: DataFrame, query: str, mode: Mode = Mode.HYBRID, scope: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame | None:
+        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_length") / F.lit(mean)))
+    return score
+
+
+def _scaled(best: float | None) -> Column:
+    """Evidence of 0.04 to 0.20 by relevance, and 0.25 more where the match is trusted."""
+    relevance = F.col("relevance")
+    share = F.lit(BASE) + F.lit(SPREAD) * relevance / F.lit(best) if best and best > 0 else relevance
+    return share + F.when(F.col("trusted"), F.lit(TRUST)).otherwise(F.lit(0.0))
+
+
+def evidence(items: DataFrame, terms: list[Term], scope: Column | None = None, only: bool = False) -> DataFrame:
+    """items with ``relevance``, ``trusted`` and ``lexical`` where they match and are in scope, else null (only: those that do); statistics are over all items."""
+    every, names = near(items, terms), [c for c in items.columns if c != "_length" and not c.startswith("_t_")]
+    counted = matched(every, terms).agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"), *_having(len(terms))).head()
+    relevance = _relevance(counted["n"], counted["mean"] or 1.0, [counted[f"n{i}"] for i in range(len(terms))])
+    found = F.col("_all") if scope is None else F.col("_all") & scope
+    hits_only = matched(every.filter("_near"), terms).filter(found).withColumn("relevance", relevance)
+    best = hits_only.agg(F.max("relevance")).head()[0]
+    if only:
+        return hits_only.withColumn("lexical", _scaled(best)).select(*names, "relevance", "trusted", "lexical")
+    rows = matched(every, terms).withColumn("relevance", F.when(found, relevance))
+    good = F.col("relevance").isNotNull()
+    return rows.select(*names, "relevance", F.when(good, F.col("trusted")).alias("trusted"), F.when(good, _scaled(best)).alias("lexical"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (id, col, pos, term), best in the order of terms, and the length (id, length) of every item."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def _hits(self, term: Term) -> DataFrame:
+        """id and col of every hit of a term."""
+        first = self.postings.filter(F.col("term").startswith(term.words[0]) if term.prefix else F.col("term") == term.words[0]).select("id", "col", "pos")
+        for k, word in enumerate(term.words[1:], 1):
+            after = self.postings.filter(F.col("term") == word).select("id", "col", (F.col("pos") - k).alias("pos"))
+            first = first.join(after, ["id", "col", "pos"], "left_semi")
+        return first.select("id", "col")
+
+    def evidence(self, terms: list[Term], ids: DataFrame | None = None) -> DataFrame:
+        """id, relevance, trusted and lexical of the items that match; ids: those in scope."""
+        every = reduce(lambda a, b: a.unionByName(b), [self._hits(t).withColumn("i", F.lit(i)) for i, t in enumerate(terms)])
+        weight = reduce(lambda x, y: x.when(F.col("col") == y[0], F.lit(y[1])), TEXT_COLUMNS[1:], F.when(F.col("col") == TEXT_COLUMNS[0][0], F.lit(TEXT_COLUMNS[0][1])))
+        sums = []
+        for i in range(len(terms)):
+            own = F.col("i") == i
+            sums += [F.count(F.when(own, 1)).alias(f"_h{i}"), F.coalesce(F.sum(F.when(own, weight)), F.lit(0.0)).alias(f"_f{i}"), (F.count(F.when(own & F.col("col").isin(*TRUSTED_COLUMNS), 1)) > 0).alias(f"_r{i}")]
+        rows = every.groupBy("id").agg(*sums)
+        having = rows.agg(*_having(len(terms))).head()
+        corpus = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).head()
+        rows = rows.filter(_all([F.col(f"_h{i}") > 0 for i in range(len(terms))]))
+        rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
+        rows = rows.join(self.lengths.select("id", F.col("length").alias("_length")), "id")
+        rows = rows.select("id", _relevance(corpus["n"], corpus["mean"] or 1.0, list(having)).alias("relevance"), _all([F.col(f"_r{i}") for i in range(len(terms))]).alias("trusted"))
+        best = rows.agg(F.max("relevance")).head()[0]
+        return rows.withColumn("lexical", _scaled(best))
+
+
+def sorted_postings(rows: DataFrame) -> DataFrame:
+    """Postings in the order of terms, so that the statistics of a file's row groups tell a reader which terms are where."""
+    return rows.repartitionByRange("term").sortWithinPartitions("term", "id", "col", "pos")
+
+
+def lengths(items: DataFrame) -> DataFrame:
+    """id and length (tokens) of every item."""
+    return items.select("id", _sum([F.regexp_count(fold(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN)) for c, _ in TEXT_COLUMNS]).cast("long").alias("length"))
+
+
+def indexed(items: DataFrame) -> Index:
+    return Index(postings(items), lengths(items))
+
+
+def lexical(items: DataFrame, query: str, mode: Mode = Mode.HYBRID, scope: Column | None = None, keep: tuple[str, ...] = (), index: Index | None = None) -> DataFrame | None:
     """id, relevance, trusted and lexical (evidence of 0.04 to 0.20, and 0.25 more where trusted) of the items that match; None without terms."""
     terms = parse_query(query, keep_stop_words=mode is Mode.TEXT)
     if not terms:
         return None
-    rows = bm25(matched(analysed(items), terms), terms)
-    if scope is not None:
-        rows = rows.filter(scope)
-    rows = rows.select("id", *keep, "relevance", "trusted")
-    best = rows.agg(F.max("relevance").alias("best"))
-    scaled = F.when(F.col("best") > 0, F.lit(BASE) + F.lit(SPREAD) * F.col("relevance") / F.col("best")).otherwise(F.col("relevance"))
-    return rows.join(F.broadcast(best), F.lit(True)).withColumn("lexical", scaled + F.when(F.col("trusted"), F.lit(TRUST)).otherwise(F.lit(0.0))).drop("best")
+    if index is not None:
+        rows = index.evidence(terms, None if scope is None else items.filter(scope))
+        return rows.join(items.select("id", *keep), "id") if keep else rows
+    return evidence(items, terms, scope, only=True).select("id", *keep, "relevance", "trusted", "lexical")

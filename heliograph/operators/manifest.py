@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import re
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import newer, package_name, parse_version
+from ..functions.scalars import newer, package_name, version
 
 MOST_BYTES, MOST_PACKAGE = 64 << 10, 2 << 30
 ASSET = T.StructType([T.StructField("name", T.StringType()), T.StructField("state", T.StringType()), T.StructField("size", T.DoubleType()), T.StructField("digest", T.StringType()), T.StructField("browser_download_url", T.StringType())])
 MANIFEST = T.StructType([T.StructField("schema", T.IntegerType()), T.StructField("tag_name", T.StringType()), T.StructField("draft", T.BooleanType()), T.StructField("prerelease", T.BooleanType()), T.StructField("assets", T.ArrayType(ASSET))])
 
 
-@dataclass(frozen=True)
-class Release:
-    version: str
-    name: str
-    sha256: str
-    url: str
-    size: int
-
-
 def choose(manifests: DataFrame, column: str, product: str, repository: str, target: str, current: str) -> DataFrame:
     """manifests with ``problem`` (null: none), ``update`` (name, sha256, url, size of the package) and ``is_newer``.
 
@@ -38,44 +25,24 @@ def choose(manifests: DataFrame, column: str, product: str, repository: str, tar
     release = F.substring("_m.tag_name", 2, 64)
     rows = rows.withColumn("_version", F.when(F.col("_m.tag_name").startswith("v"), release).otherwise(F.lit("")))
     rows = rows.withColumn("_name", package_name(product, F.col("_version"), F.lit(target)))
-    strict = r"^(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})$"
-    well = (F.octet_length(column) <= MOST_BYTES) & (F.col("_m.schema") == 1) & (F.col("_m.draft") == F.lit(False)) & (F.col("_m.prerelease") == F.lit(False)) & F.col("_m.assets").isNotNull() & F.col("_version").rlike(strict)
+    well = (F.octet_length(column) <= MOST_BYTES) & (F.col("_m.schema") == 1) & (F.col("_m.draft") == F.lit(False)) & (F.col("_m.prerelease") == F.lit(False)) & F.col("_m.assets").isNotNull() & version("_version").isNotNull()
     rows = rows.withColumn("_own", F.filter("_m.assets", lambda a: a["name"] == F.col("_name")))
     url = F.concat(F.lit(f"https://github.com/{repository}/releases/download/"), F.col("_m.tag_name"), F.lit("/"), F.col("_name"))
     asset = F.get(F.col("_own"), F.lit(0))
     fits = (F.size("_own") == 1) & (asset["state"] == "uploaded") & asset["digest"].rlike("^sha256:[a-f0-9]{64}$") & (asset["size"] > 0) & (asset["size"] <= MOST_PACKAGE) & (asset["size"] == F.floor(asset["size"])) & (asset["browser_download_url"] == url)
-    problem = F.when(~F.coalesce(well, F.lit(False)), "Invalid update metadata.").when(F.size("_own") == 0, "This release has no package for this platform.").when(~F.coalesce(fits, F.lit(False)), "Invalid update package.")
+    problem = F.when(~F.coalesce(well, F.lit(False)), "the manifest is not valid").when(F.size("_own") == 0, "the release has nothing for this platform").when(~F.coalesce(fits, F.lit(False)), "the package is not as it should be")
     rows = rows.withColumn("problem", problem)
     update = F.struct(F.col("_version").alias("version"), asset["name"].alias("name"), F.substring(asset["digest"], 8, 64).alias("sha256"), url.alias("url"), asset["size"].cast("long").alias("size"))
     rows = rows.withColumn("update", F.when(F.col("problem").isNull(), update))
     return rows.withColumn("is_newer", F.col("problem").isNull() & newer("_version", F.lit(current))).drop("_m", "_version", "_name", "_own")
 
 
-def parse(text: str, product: str, repository: str, target: str, current: str, name_of) -> Release | None:
-    """The same for one manifest on the driver: the newer release, None if it is not newer; ValueError if it is not valid."""
-    if len(text.encode()) > MOST_BYTES or parse_version(current) is None:
-        raise ValueError("Invalid update metadata.")
-    try:
-        root = json.loads(text)
-    except ValueError:
-        raise ValueError("Invalid update metadata.") from None
-    tag = root.get("tag_name") if isinstance(root, dict) else None
-    release = tag[1:] if isinstance(tag, str) and tag.startswith("v") else ""
-    number = parse_version(release)
-    if not isinstance(root, dict) or root.get("schema") != 1 or number is None or root.get("draft") is not False or root.get("prerelease") is not False or not isinstance(root.get("assets"), list):
-        raise ValueError("Invalid update metadata.")
-    name, found = name_of(product, release, target), None
-    for a in root["assets"]:
-        if not isinstance(a, dict) or a.get("name") != name:
-            continue
-        url, size = f"https://github.com/{repository}/releases/download/{tag}/{name}", a.get("size")
-        whole = isinstance(size, (int, float)) and not isinstance(size, bool) and 0 < size <= MOST_PACKAGE and size == int(size)
-        if found or a.get("state") != "uploaded" or not re.fullmatch("sha256:[a-f0-9]{64}", str(a.get("digest"))) or not whole or a.get("browser_download_url") != url:
-            raise ValueError("Invalid update package.")
-        found = Release(release, name, a["digest"][7:], url, int(size))
-    if found is None:
-        raise ValueError("This release has no package for this platform.")
-    return found if number > parse_version(current) else None
+def newest(spark: SparkSession, text: str, product: str, repository: str, target: str, current: str) -> Row | None:
+    """The package that one manifest offers beyond the current version, None if it is not newer; ValueError with the problem otherwise."""
+    row = choose(spark.createDataFrame([(text,)], "text string"), "text", product, repository, target, current).head()
+    if row.problem:
+        raise ValueError(row.problem)
+    return row.update if row.is_newer else None
 
 
 def differing(expected: DataFrame, remote: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

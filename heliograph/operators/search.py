@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Protocol
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import stem
+from ..functions.text import parse_query, stem
 from ..schema import (
     APPEARANCE_VERSION,
     CATALOG_TEXT_LIMIT,
@@ -26,11 +27,12 @@ from ..schema import (
     Sort,
 )
 from . import filters
-from .lexical import analysed, lexical
+from .lexical import Index, analysed, evidence, lexical
 
 EXACT_NAME = 0.65
 FILENAME_EVIDENCE = 0.25
 COLUMNS = ("id", "path", "folder", "name", "thumb", "width", "height", "bytes", "modified", "favorite", "tags", "ocr", "notes")
+#: why a result matches, in words that callers may show (fixed values)
 REASONS = {Similarity.SHAPE: "Shape and detail", Similarity.COLOR: "Color palette", Similarity.APPEARANCE: "Appearance similarity", Similarity.SUBJECT: "Subject similarity"}
 
 
@@ -65,10 +67,14 @@ class FixedEmbedder(NoEmbedder):
         return self.vectors.get(path)
 
 
-def metadata(catalog: Catalog) -> DataFrame:
-    """What browsing shows: no vectors are read, long texts are cut."""
+def shown(rows: DataFrame) -> DataFrame:
+    """What browsing shows of rows: no vectors, long texts are cut."""
     short = {c: F.substring(c, 1, CATALOG_TEXT_LIMIT).alias(c) for c in ("ocr", "notes")}
-    return catalog.items.select(*[short.get(c, F.col(c)) for c in COLUMNS])
+    return rows.select(*[short.get(c, F.col(c)) for c in COLUMNS], *[c for c in ("score", "evidence", "reason") if c in rows.columns])
+
+
+def metadata(catalog: Catalog) -> DataFrame:
+    return shown(catalog.items)
 
 
 def semantic(catalog: Catalog, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -105,19 +111,28 @@ def exact_name(query: str) -> Column:
     return F.when((F.lower("name") == query.lower()) | (F.lower(stem("name")) == query.lower()), F.lit(EXACT_NAME)).otherwise(F.lit(0.0))
 
 
-def ranked(rows: DataFrame, request: SearchRequest, query_vector: list[float] | None, text_items: DataFrame | None = None) -> DataFrame:
+def ranked(rows: DataFrame, request: SearchRequest, query_vector: list[float] | None, text_items: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """The matches of a request with ``score``, ``evidence`` and ``reason``, not yet ordered.
 
     rows: the catalog in the form that the request needs, with ``vector`` and
-    ``semantic_available`` if there is a query vector.  text_items: the items
-    whose full text is searched (rows, if they have it).
+    ``semantic_available`` if there is a query vector.  The full text is searched in rows, in one pass with the
+    vectors, or in text_items (analysed) or an index where these are given.
     """
-    text = request.text
-    limits = [c for c in (filters.scope(request), filters.without_subject(request)) if c is not None]
-    out = rows
-    for c in limits:
-        out = out.filter(c)
+    text, scope = request.text, filters.scope(request)
     semantic_search = query_vector is not None
+    out = rows
+    lexical_column: Column = F.lit(None).cast("double")
+    if text and (request.mode is not Mode.VISUAL or not semantic_search):
+        terms = parse_query(request.query, keep_stop_words=request.mode is Mode.TEXT)
+        if terms and (index is not None or text_items is not None):
+            hits = lexical(text_items if text_items is not None else rows, request.query, request.mode, scope, index=index)
+            out = out.join(hits.select("id", "lexical"), "id", "left")
+        elif terms:
+            out = evidence(rows, terms, scope, only=not semantic_search)
+        if terms:
+            lexical_column = F.col("lexical")
+    for c in (scope, filters.without_subject(request)):
+        out = out if c is None else out.filter(c)
     if semantic_search:
         if request.has_reference:
             out = out.filter("semantic_available")
@@ -125,25 +140,21 @@ def ranked(rows: DataFrame, request: SearchRequest, query_vector: list[float] |
         has_vector = F.col("semantic_available")
     else:
         cosine, has_vector = F.lit(0.0), F.lit(False)
-    out = out.withColumns({"_cosine": cosine, "_has": has_vector})
-    evidence, found = F.lit(0.0), F.lit(False)
-    if text and (request.mode is not Mode.VISUAL or not semantic_search):
-        hits = lexical(text_items if text_items is not None else rows, request.query, request.mode, filters.scope(request), keep=())
-        if hits is not None:
-            out = out.join(hits.select("id", "lexical"), "id", "left")
-            evidence, found = F.coalesce("lexical", F.lit(0.0)), F.col("lexical").isNotNull()
-    score = F.col("_cosine") + evidence
+    out = out.withColumns({"_cosine": cosine, "_has": has_vector, "_lexical": lexical_column})
+    found = F.coalesce("_lexical", F.lit(0.0))
+    score = F.col("_cosine") + found
     if text:
         if request.mode is not Mode.VISUAL:
             score = score + exact_name(text)
-        out = out.filter(F.col("_has") | found)
-    out = out.withColumns({"score": score, "evidence": evidence})
+        out = out.filter(F.col("_has") | F.col("_lexical").isNotNull())
+    out = out.withColumns({"score": score, "evidence": found})
     if request.has_reference:
         other = F.lit(REASONS[request.similarity])
     else:
         other = F.lit("Visual meaning" if semantic_search else "")
+    # in words that callers may show (fixed values)
     reason = F.when(F.col("evidence") >= FILENAME_EVIDENCE, F.lit("Filename / description match")).when(F.col("evidence") > 0, F.lit("Text found in labels or image")).otherwise(other)
-    return out.withColumn("reason", reason).drop("_cosine", "_has", "lexical", "vector", "semantic_available")
+    return shown(out.withColumn("reason", reason))
 
 
 def order(request: SearchRequest, by_score: bool) -> list[Column]:
@@ -170,7 +181,8 @@ class Searcher:
 
     A cursor's matches are kept by Spark until another search replaces them;
     later pages are top-k queries over them.  keep_tokens: also keep the token
-    arrays of the items, for a session of many text searches.
+    arrays of the items, for a session of many text searches.  A catalog with
+    an index is searched by that.
     """
 
     def __init__(self, catalog: Catalog, embedder: Embedder | None = None, dimensions: int = DIMENSIONS, keep_tokens: bool = False) -> None:
@@ -192,9 +204,9 @@ class Searcher:
             self._tokens.unpersist()
         self.catalog, self._tokens = catalog, None
 
-    def _text_items(self) -> DataFrame:
+    def _text_items(self) -> DataFrame | None:
         if not self.keep_tokens:
-            return self.catalog.items
+            return None
         if self._tokens is None:
             self._tokens = analysed(self.catalog.items.drop("embedding")).persist()
         return self._tokens
@@ -206,17 +218,17 @@ class Searcher:
         else:
             self._use(catalog)
 
-    def plan(self, request: SearchRequest) -> tuple[DataFrame, bool, str]:
-        """(matches, whether a vector ranks them, status); ValueError with a message where the subject has no vector."""
+    def plan(self, request: SearchRequest) -> tuple[DataFrame, bool, Callable[[], str]]:
+        """(matches, whether a vector ranks them, what gives the status); ValueError with a message where the subject has no vector."""
         wants_vector = request.has_reference or bool(request.text) and request.mode is not Mode.TEXT
         looks = request.has_reference and request.similarity is not Similarity.SUBJECT
-        status, vector = "", None
+        vector, without = None, False
         if looks:
             rows = appearance(self.catalog, request.similarity, self.dimensions)
         elif wants_vector:
             rows = semantic(self.catalog, self.dimensions)
         else:
-            rows = metadata(self.catalog)
+            rows = self.catalog.items
         if request.similar_id is not None:
             own = rows.filter(F.col("id") == request.similar_id).filter("semantic_available").select("vector").head()
             if own is None:
@@ -228,12 +240,16 @@ class Searcher:
                 raise ValueError("The reference could not be read.")
         elif wants_vector:
             vector = self.embedder.text(request.text)
-            if vector is None:
-                status = "Text matches only · no vector for this query"
-        matches = ranked(rows, request, vector, self._text_items())
-        return matches, vector is not None, status or self._status(request, vector is not None, looks)
-
-    def _status(self, request: SearchRequest, ranks: bool, looks: bool) -> str:
+            without = vector is None
+        if without:  # text alone decides
+            rows = self.catalog.items
+        matches = ranked(rows, request, vector, self._text_items(), self.catalog.index)
+        return matches, vector is not None, lambda: self._status(request, vector is not None, looks, without)
+
+    def _status(self, request: SearchRequest, ranks: bool, looks: bool, without: bool) -> str:
+        """What to say of a search, in words that callers may show (fixed values)."""
+        if without:
+            return "Text matches only · no vector for this query"
         if looks:
             focus = {Similarity.SHAPE: "shape and detail", Similarity.COLOR: "color palette"}.get(request.similarity, "color, silhouette and edges")
             return f"Appearance · {focus}"
@@ -264,7 +280,7 @@ class Searcher:
                 last[2].unpersist()
             kept = matches.persist()
             by = order(request, ranks or bool(request.text))
-            result = SearchResult(request.generation, next(self._cursors), 0, kept.count(), ranks, status)
+            result = SearchResult(request.generation, next(self._cursors), 0, kept.count(), ranks, status())
             self._last = last = (request, result, kept, by)
         _, result, kept, by = last
         offset = min(request.offset, result.total) if goes_on else 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from enum import Enum
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -128,9 +129,10 @@ class SearchResult:
 
 @dataclass(frozen=True)
 class Catalog:
-    """The tables of a library; appearances, thumbnails and folders may be missing."""
+    """The tables of a library; appearances, thumbnails and folders may be missing, and so may the full-text index."""
 
     items: DataFrame
     appearances: DataFrame | None = None
     thumbnails: DataFrame | None = None
     folders: DataFrame | None = None
+    index: Any = None

@@ -26,18 +26,28 @@ def described(files: DataFrame, folder: str) -> DataFrame:
     return files.select("path", F.lit(folder).alias("folder"), F.substring_index("path", "/", -1).alias("name"), F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
 
 
+def canonical(spark: SparkSession, folder: str) -> str:
+    """One spelling of a folder: with its scheme, without relative steps, symbolic links (where the file system resolves them) or a slash at the end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = fs.makeQualified(at)
+    if at.toUri().getScheme() == "file":
+        return "file:" + os.path.realpath(at.toUri().getPath())
+    return (fs.resolvePath(at) if fs.exists(at) else at).toString()
+
+
 def scan(spark: SparkSession, folders: list[str], with_content: bool = False) -> tuple[DataFrame, list[str], list[str]]:
     """(files, reachable folders, errors): folders that can't be read are reported, and are not reachable.
 
-    Folders are taken in order; a file below two of them belongs to the first.
+    Folders are taken in order, each in its canonical spelling; a file below two of them belongs to the first.
     """
     reachable, errors, out = [], [], None
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for k, folder in enumerate(folders):
+    for k, folder in enumerate(dict.fromkeys(canonical(spark, f) for f in folders)):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(conf)
         if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
-            errors.append(f"Folder unavailable; previous index retained: {folder}")
+            errors.append(f"{folder} cannot be read; what is known of it stays")
             continue
         reachable.append(folder)
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -77,7 +87,7 @@ def vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
 
 def manifest_text(path: str, most: int = 64 << 10) -> str:
     if os.path.getsize(path) > most:
-        raise ValueError("Invalid update metadata.")
+        raise ValueError("the manifest is too long")
     return Path(path).read_text("utf-8")
 
 

@@ -34,7 +34,7 @@ def folder(tmp_path):
 
 def test_scan(spark, folder):
     rows, reachable, errors = files.scan(spark, [f"file://{folder}", f"file://{folder}/sub", f"file://{folder}/none"])
-    assert len(reachable) == 2 and len(errors) == 1 and "retained" in errors[0]
+    assert len(reachable) == 2 and len(errors) == 1 and "stays" in errors[0]
     out = dml.first_root_wins(rows).collect()
     assert sorted(r.name for r in out) == ["alpha.png", "blue.PNG", "broken.png", "red.png"]
     assert {r.ordinal for r in out} == {0} and all(r.bytes > 0 and r.modified > 10**12 for r in out)

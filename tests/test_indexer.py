@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 
 from heliograph.functions import images
-from heliograph.operators.indexer import Indexer, Library
+from heliograph.functions.text import Term
+from heliograph.operators.indexer import Indexer, Library, Model
 from heliograph.operators.search import FixedEmbedder, Searcher
-from heliograph.schema import SearchRequest, Similarity
+from heliograph.operators.versions import Versions
+from heliograph.schema import Catalog, Mode, SearchRequest, Similarity
 
 from .test_files_and_images import flat
 
@@ -58,7 +60,7 @@ def test_life_of_a_library(setup, spark):
     assert (forced["inference"], forced["batches"]) == (2, 3)
 
     gone = indexer.scan([f"file:{root}", f"file:{root}-offline"])
-    assert "retained" in gone["errors"][0] and names(library) == ["BlueShield2.png", "red_sword.png"]
+    assert "stays" in gone["errors"][0] and names(library) == ["BlueShield2.png", "red_sword.png"]
 
     s = Searcher(library.catalog(), FixedEmbedder({"green": embed(images.model_input(flat((0, 255, 0))))}), 4)
     assert s.search(SearchRequest(query="green")).page.head()["name"] == "red_sword.png"
@@ -87,3 +89,110 @@ def test_one_writer_and_cancelling(setup):
     indexer = Indexer(library)
     indexer.cancel()
     assert indexer.scan([f"file:{root}"])["cancelled"] and names(library) == []
+
+
+def test_a_crash_between_batches_keeps_them(setup, spark, monkeypatch):
+    root, library = setup
+    indexer = Indexer(library, embed)
+    whole, calls = indexer._batch, []
+
+    def stops(*args):
+        if calls:
+            raise KeyboardInterrupt
+        calls.append(1)
+        whole(*args)
+
+    monkeypatch.setattr(indexer, "_batch", stops)
+    with pytest.raises(KeyboardInterrupt):
+        indexer.scan([f"file:{root}"], files_a_batch=1)
+    assert names(library) == [] and library.versions.names("pending") == ["000000000"]
+    again = Indexer(library, embed).scan()
+    assert (again["changed"], again["skipped"]) == (2, 1) and len(names(library)) == 3 and library.versions.names("pending") == []
+
+
+def test_a_cancelled_scan_keeps_what_is_done(setup):
+    root, library = setup
+    indexer = Indexer(library, embed)
+    whole = indexer._batch
+    indexer._batch = lambda *args: (whole(*args), indexer.cancel())
+    assert indexer.scan([f"file:{root}"], files_a_batch=1)["cancelled"] and len(names(library)) == 1
+
+
+def test_index_and_scan_agree(setup, spark):
+    root, library = setup
+    indexer = Indexer(library, embed)
+    indexer.scan([f"file:{root}"])
+    one = [r.id for r in library.table("items").collect() if r["name"] == "red_sword.png"][0]
+    library.set_notes(one, "a blue shield and the red copy")
+    (root / "copy.png").unlink()
+    indexer.scan()
+    for query in ("red", "blue shield", '"blue shield"', "sh*", "the red", "nothing"):
+        by_index = library.catalog()
+        by_scan = Catalog(by_index.items, by_index.appearances)
+        rows = [[(r.id, round(r.score, 9), r.reason) for r in Searcher(c, None, 4).search(SearchRequest(query=query, mode=Mode.TEXT)).page.collect()] for c in (by_index, by_scan)]
+        assert rows[0] == rows[1], query
+        assert bool(rows[0]) == (query != "nothing")
+    plan = library.catalog().index._hits(Term(("red",)))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,red)" in plan
+    assert "StringStartsWith(term,re)" in library.catalog().index._hits(Term(("re",), True))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_states_change_at_once(spark, tmp_path):
+    v = Versions(spark, f"file://{tmp_path}/v")
+    assert v.current() == (0, {})
+    v.publish(a=spark.range(1), b=spark.range(2))
+    first = v.table("a")
+    for k in range(2, 6):
+        v.publish(a=spark.range(k))
+        assert v.table("a").count() == k and v.table("b").count() == 2
+        if k == 2:
+            assert first.count() == 1  # a reader of the state before goes on
+    assert len(v.names("a")) == 3 and len(v.names("b")) == 1 and len(v.names("states")) == 3
+    number, _ = v.current()
+    assert v.create(f"states/{number + 1:012d}", "{")  # a writer that is not done, or never will be
+    assert v.current()[0] == number
+    assert not v.create(f"states/{number + 1:012d}", "{}")
+    v.publish(b=spark.range(9))
+    assert v.current()[0] == number + 2 and v.table("a").count() == 5 and v.table("b").count() == 9
+
+
+def test_a_lock_of_a_dead_process_is_void(setup):
+    import json
+    import socket
+    import subprocess
+    import sys
+
+    _, library = setup
+    gone = subprocess.Popen([sys.executable, "-c", ""])
+    gone.wait()
+    library.versions.create("LOCK", json.dumps({"host": socket.gethostname(), "pid": gone.pid}))
+    with library.writer():
+        assert library.versions.exists("LOCK")
+    library.versions.create("LOCK", json.dumps({"host": "another", "pid": gone.pid}))
+    with pytest.raises(RuntimeError), library.writer():
+        pass
+
+
+def test_models_get_batches_and_fall_back():
+    sizes = []
+
+    def many(x):
+        sizes.append(len(x))
+        if (x[:, 0, 0, 0] > 90).any():
+            raise MemoryError
+        return x[:, :, 0, 0]
+
+    inputs = [np.full((3, 2, 2), k, np.float32) for k in (1, 2, 99)]
+    model = Model(lambda x: x[:, 0, 0], many, fallback=lambda x: x[:, 0, 0] * 10)
+    assert [v.tolist() for v in model.vectors(inputs[:2])] == [[1] * 3, [2] * 3]
+    assert [v.tolist() for v in model.vectors(inputs)] == [[10] * 3, [20] * 3, [990] * 3]
+    assert sizes == [2, 3]
+    with pytest.raises(ZeroDivisionError):
+        Model(lambda x: 1 / 0).vectors(inputs)
+
+
+def test_one_spelling_of_a_folder(setup, spark, tmp_path):
+    root, library = setup
+    (tmp_path / "link").symlink_to(root)
+    Indexer(library).scan([f"file://{tmp_path}/link/", f"file:{root}/../pics"])
+    assert [r.path for r in library.table("folders").collect()] == [f"file:{root}"] and len(names(library)) == 3

@@ -91,3 +91,14 @@ def test_incremental_postings(spark):
 
 def test_no_python_in_lexical_plans(spark):
     assert "Python" not in analysed(items(spark, NAMES))._jdf.queryExecution().toString()
+
+
+def test_decomposed_names(spark):
+    import unicodedata
+
+    names = ["ÉpéeBleue12.png", "MüllerÄpfelÜ3b.PNG", "naïveCafé", "plain_name"]
+    rows = [(n, unicodedata.normalize("NFD", n)) for n in names]
+    out = spark.createDataFrame(rows, "c string, d string").select("c", tx.composed("d").alias("n"), tx.search_name("c").alias("x"), tx.search_name("d").alias("y"), tx.search_name(tx.composed("d")).alias("z")).collect()
+    for r in out:
+        assert r.n == r.c and r.z == r.x and unicodedata.normalize("NFC", r.y) == r.x
+    assert out[0].x == "Épée Bleue 12.png"
