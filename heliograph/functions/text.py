@@ -132,6 +132,16 @@ def parse_query(text: str, keep_stop_words: bool = False) -> list[Term]:
     return out
 
 
+def parsed(queries: Column | str, keep_stop_words: bool = False) -> Column:
+    """The terms of a column of queries as texts: the words of a phrase with spaces, a star behind a prefix."""
+
+    @F.arrow_udf("array<string>")
+    def parse(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [" ".join(x.words) + "*" * x.prefix for x in parse_query(t, keep_stop_words)] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return parse(_c(queries))
+
+
 def query_tokens(text: Column | str) -> Column:
     """The words of a column of queries, in lower case (phrases and stars aside)."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN), F.lit(0))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars, text
+from ..functions import scalars, text, vectors
 from ..sources import catalog as C
-from ..sources.catalog import table
+from ..sources.catalog import run_sql, table
 from ..streaming import events
 from . import sql as S
 from .base import query
@@ -141,3 +141,72 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
 )
 def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     return events.debounced(table(spark, d, "events"), "user_id", "ts", "1 hour", F.col("event_type"))
+
+
+# text, vectors and files through the functions that the engine uses them with
+
+_DECOMPOSED = "SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 300), 'é', concat('e', chr(769))), 'ü', concat('u', chr(776))), 'ä', concat('a', chr(776))), 'ñ', concat('n', chr(771))) AS t FROM documents"
+
+
+@query(f"SELECT doc_id, nfc_normalize(t) AS composed FROM ({_DECOMPOSED})")
+def nfc_names(spark: SparkSession, d: str) -> DataFrame:
+    # a mark is named by its letter: chr() of SQL ends at 255
+    sql = _DECOMPOSED
+    for code in (769, 771, 776):
+        sql = sql.replace(f"chr({code})", f"'{chr(code)}'")
+    return run_sql(spark, d, sql).select("doc_id", text.composed("t").alias("composed"))
+
+
+@query("SELECT doc_id, strip_accents(lower(substr(text, 1, 300))) AS folded FROM documents")
+def fold_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.fold(F.substring("text", 1, 300)).alias("folded"))
+
+
+@query("SELECT vec_id, octet_length(encode('')) + 4 * len(embedding) AS n_bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v, true AS whole FROM embeddings")
+def blob_codec(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("blob", vectors.pack("embedding"))
+    back = vectors.unpack("blob")
+    return rows.select("vec_id", F.octet_length("blob").alias("n_bytes"), F.transform(back, lambda x: F.round(x.cast("double"), 6)).alias("v"), vectors.finite("embedding").alias("whole"))
+
+
+_MANIFESTS = """SELECT p_partkey, concat('{"schema":', CASE p_partkey % 9 WHEN 1 THEN '2' ELSE '1' END, ',"tag_name":"', CASE p_partkey % 9 WHEN 2 THEN '' ELSE 'v' END, p_size, '.', p_partkey % 7, '.0",',
+    CASE p_partkey % 9 WHEN 3 THEN '' ELSE '"draft":false,' END, '"prerelease":', CASE p_partkey % 9 WHEN 4 THEN 'true' ELSE 'false' END, ',"assets":[{"name":"App-', p_size, '.', p_partkey % 7, '.0-linux-',
+    CASE p_partkey % 9 WHEN 5 THEN 'arm' ELSE 'x64' END, '.tar.gz","state":"', CASE p_partkey % 9 WHEN 6 THEN 'new' ELSE 'uploaded' END, '","size":', p_partkey + 1, CASE p_partkey % 9 WHEN 7 THEN '.5' ELSE '' END,
+    ',"digest":"sha256:', repeat('ab', 32), '","browser_download_url":"https://github.com/o/r/releases/download/v', p_size, '.', p_partkey % 7, '.0/App-', p_size, '.', p_partkey % 7, '.0-linux-x64.tar.gz"}]}') AS manifest, p_size FROM part"""
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 9 IN (1, 2, 3, 4) THEN 'the manifest is not valid' WHEN p_partkey % 9 = 5 THEN 'the release has nothing for this platform' WHEN p_partkey % 9 IN (6, 7) THEN 'the package is not as it should be' END AS problem,
+    CASE WHEN p_partkey % 9 IN (0, 8) THEN p_partkey + 1 END AS size, p_partkey % 9 IN (0, 8) AND [p_size, p_partkey % 7, 0] > [25, 3, 0] AS is_newer FROM ({_MANIFESTS})"""
+)
+def manifest_choice(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.manifest import choose
+
+    sql = _MANIFESTS.replace("{", "{{").replace("}", "}}")  # braces are marks of the formatter
+    rows = choose(run_sql(spark, d, sql), "manifest", "App", "o/r", "linux-x64", "25.3.0")
+    return rows.select("p_partkey", "problem", F.col("update.size").alias("size"), "is_newer")
+
+
+@query("SELECT concat('/d/', doc_id) AS path, doc_id % 7 NOT IN (2, 5) AS ok FROM documents WHERE text IS NOT NULL")
+def file_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Size and whole content of files against what is expected; some are expected otherwise."""
+    from ..operators.manifest import verified
+
+    rows = table(spark, d, "documents").filter("text IS NOT NULL").select(F.concat(F.lit("/d/"), "doc_id").alias("path"), "doc_id", F.col("text").cast("binary").alias("content"))
+    files = rows.select("path", F.octet_length("content").cast("long").alias("length"), "content")
+    size = F.octet_length("content").cast("long") + (F.col("doc_id") % 7 == 2).cast("long")
+    wanted = F.sha2(F.when(F.col("doc_id") % 7 == 5, F.lit(b"?")).otherwise(F.col("content")), 256)
+    return verified(files, rows.select("path", size.alias("size"), wanted.alias("sha256")))
+
+
+@query(f"WITH items AS ({C.ITEMS_SQL}), t AS ({C.THUMBNAILS_SQL}) SELECT id, t.key, decode(t.data) AS preview FROM items LEFT JOIN t ON t.key = items.thumb AND items.thumb LIKE 'thumb:%'")
+def thumbnail_fetch(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import thumbnails_of
+
+    rows = thumbnails_of(C.items(spark, d), C.thumbnails(spark, d))
+    return rows.select("id", "key", F.col("data").cast("string").alias("preview"))
+
+
+@query("SELECT event_id, greatest(least(value, 50.0::DOUBLE), 10.0::DOUBLE) AS clamped FROM events")
+def clamped_values(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", scalars.clamp("value", 10.0, 50.0).alias("clamped"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters, search
-from ..operators.lexical import lexical
+from ..operators.lexical import indexed, lexical
 from ..schema import DIMENSIONS, Mode, Orientation, SearchRequest, Similarity, Sort
 from ..sources import catalog as C
 from ..sources.catalog import table
@@ -84,6 +86,27 @@ def similar_plus_text(spark: SparkSession, d: str) -> DataFrame:
     return _page(spark, d, _PLUS)
 
 
+_FILE = SearchRequest(reference_path="/outside/picture.png", query="red", similarity=Similarity.SUBJECT)
+
+
+@query(S.search(_FILE, _VECTOR))
+def similar_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """A picture outside of the catalog, embedded on the way."""
+    rows = C.catalog(spark, d)
+    own = search.semantic(rows).filter("id = 0").select("vector").head()["vector"]
+    searcher = search.Searcher(rows, search.FixedEmbedder({_FILE.reference_path: list(own)}))
+    found, ranks, _ = searcher.plan(_FILE)
+    return search.page(found, search.order(_FILE, ranks), 0, _FILE.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
+
+
+@query(S.search(_VISUAL))
+def visual_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Without a vector for the query the text decides."""
+    searcher = search.Searcher(C.catalog(spark, d))
+    rows, ranks, _ = searcher.plan(_VISUAL)
+    return search.page(rows, search.order(_VISUAL, True), 0, _VISUAL.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
+
+
 # orders and pages
 
 _SORTS = {s: SearchRequest(query="red", mode=Mode.TEXT, sort=s, limit=50) for s in Sort}
@@ -135,6 +158,20 @@ def page_second(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "name", F.round("score", 6).alias("score"))
 
 
+_WALK = SearchRequest(query="red", mode=Mode.TEXT, limit=60)
+
+
+@query(S.search(_WALK, columns="id"))
+def page_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of one cursor: no row twice, none left out."""
+    from dataclasses import replace
+
+    searcher, request = search.Searcher(C.catalog(spark, d)), replace(_WALK, limit=20)
+    first = searcher.search(request)
+    pages = [first.page, *(searcher.search(replace(request, offset=k, cursor=first.cursor)).page for k in (20, 40))]
+    return reduce(lambda a, b: a.unionByName(b), [p.select("id") for p in pages])
+
+
 @query(S.search(_SCOPED, columns="count(*) AS total", paged=False))
 def result_total(spark: SparkSession, d: str) -> DataFrame:
     return _page(spark, d, _SCOPED, ("id",), paged=False).agg(F.count(F.lit(1)).alias("total"))
@@ -179,6 +216,28 @@ def lexical_phrase(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, '"of the" red').select("id", F.round("relevance", 6).alias("relevance"))
 
 
+@query(_lexical_sql("red or", _REL, Mode.TEXT))
+def lexical_operators(spark: SparkSession, d: str) -> DataFrame:
+    """Operators, brackets and quotes are words or nothing."""
+    return _lexical(spark, d, 'red") -or:*', Mode.TEXT).select("id", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"WITH items AS ({C.ITEMS_SQL}), {S.lexical('the of', Mode.HYBRID)} SELECT id, relevance FROM lex")
+def lexical_no_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Stop words alone find nothing in a search that describes."""
+    request = SearchRequest(query="the of")
+    rows, _, _ = search.Searcher(C.catalog(spark, d)).plan(request)
+    return rows.select("id", F.col("score").alias("relevance"))
+
+
+@query(_lexical_sql('"of the" re*', f"{_REL}, trusted, round(lexical, 6) AS lexical", Mode.TEXT, S.scope(SearchRequest(favorites=True))))
+def lexical_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same evidence from postings."""
+    items = C.items(spark, d)
+    rows = lexical(items, '"of the" re*', Mode.TEXT, filters.scope(SearchRequest(favorites=True)), index=indexed(items))
+    return rows.select("id", F.round("relevance", 6).alias("relevance"), "trusted", F.round("lexical", 6).alias("lexical"))
+
+
 @query(_lexical_sql("pla*", _REL))
 def lexical_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, "pla*").select("id", F.round("relevance", 6).alias("relevance"))
@@ -207,6 +266,21 @@ def parse_query_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", words.alias("words"), F.size(words).alias("n"))
 
 
+_ASKED = """SELECT item_id, w, concat('"', w[1], ' ', w[2], '"  ', w[3], '* the (', w[4], ') -"') AS mixed, array_to_string(w, ' ') AS whole
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)"""
+
+
+@query(
+    f"""SELECT item_id, list_concat([strip_accents(w[1] || ' ' || w[2])], list_transform(list_filter([w[3] || '*', w[4]], lambda x: replace(x, '*', '') NOT IN ({S.STOPS})), lambda x: strip_accents(x))) AS mixed,
+    list_transform(list_filter(w, lambda x: x NOT IN ({S.STOPS})), lambda x: strip_accents(x))[1:{text.MOST_TERMS}] AS whole FROM ({_ASKED})"""
+)
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Whole queries: phrases, prefixes, stop words, operators as data, and the most terms that count."""
+    w = text.query_tokens("text")
+    mixed = F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('"  '), w[2], F.lit("* the ("), w[3], F.lit(') -"'))
+    return table(spark, d, "benchmark").select("item_id", text.parsed(mixed).alias("mixed"), text.parsed(F.array_join(w, " ")).alias("whole"))
+
+
 @query(f"SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({S.STOPS})) AS words FROM benchmark")
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", text.without_stop_words(text.query_tokens("text")).alias("words"))

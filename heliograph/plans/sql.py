@@ -75,6 +75,8 @@ def _hits(column: str, term: Term) -> str:
 def lexical(query: str, mode: Mode = Mode.HYBRID, where: str = "true") -> str:
     """CTEs that end in lex(id, relevance, trusted, lexical), over items."""
     terms = parse_query(query, mode is Mode.TEXT)
+    if not terms:
+        return "lex AS (SELECT id, 0::DOUBLE AS relevance, false AS trusted, 0::DOUBLE AS lexical FROM items WHERE false)"
     fields = [f"{tokens(search_name('name') if c == 'search_name' else c)} AS t_{c}" for c, _ in TEXT_COLUMNS]
     counts = []
     for i, t in enumerate(terms):
@@ -111,8 +113,8 @@ def vectors(kind: Similarity) -> str:
 def search(r: SearchRequest, query_vector: str | None = None, columns: str = "id, name, round(score, 6) AS score, reason", paged: bool = True) -> str:
     """The page of a request.  query_vector: SQL of a vector, where text has one."""
     text, ctes = r.text, []
-    by_vector = r.similar_id is not None or query_vector is not None and r.mode is not Mode.TEXT
-    kind = r.similarity if r.similar_id is not None else Similarity.SUBJECT
+    by_vector = r.similar_id is not None or query_vector is not None and (r.has_reference or r.mode is not Mode.TEXT)
+    kind = r.similarity if r.has_reference else Similarity.SUBJECT
     ctes.append(f"items AS ({ITEMS_SQL})")
     if kind is not Similarity.SUBJECT:
         ctes.append(f"app AS ({APPEARANCES_SQL})")
@@ -125,6 +127,8 @@ def search(r: SearchRequest, query_vector: str | None = None, columns: str = "id
     where = [scope(r)]
     if r.similar_id is not None:
         where += [f"id <> {r.similar_id}", "available"]
+    elif r.reference_path:
+        where += [f"path <> '{r.reference_path}'", "available"]
     cosine = f"CASE WHEN available THEN {dot('vector', own)} ELSE 0 END" if by_vector else "0::DOUBLE"
     exact = f"CASE WHEN lower(name) = '{text.lower()}' OR lower(regexp_replace(name, '\\.[^.]*$', '')) = '{text.lower()}' THEN {EXACT_NAME}::DOUBLE ELSE 0 END" if text and r.mode is not Mode.VISUAL else "0"
     evidence = "coalesce(lex.lexical, 0::DOUBLE)" if uses_text else "0::DOUBLE"
@@ -132,8 +136,8 @@ def search(r: SearchRequest, query_vector: str | None = None, columns: str = "id
         where.append(("available OR " if by_vector else "") + ("lex.id IS NOT NULL" if uses_text else "false"))
     source = "vec" if by_vector else "items"
     joined = f"{source} s" + (" LEFT JOIN lex USING (id)" if uses_text else "")
-    other = REASONS[r.similarity] if r.similar_id is not None else "Visual meaning" if by_vector else ""
-    ctes.append(f"scored AS (SELECT id, name, width, height, modified, {cosine} + {evidence} + {exact} AS score, {evidence} AS evidence FROM {joined} WHERE {' AND '.join(f'({w})' for w in where)})")
+    other = REASONS[r.similarity] if r.has_reference else "Visual meaning" if by_vector else ""
+    ctes.append(f"scored AS (SELECT id, name, path, width, height, modified, {cosine} + {evidence} + {exact} AS score, {evidence} AS evidence FROM {joined} WHERE {' AND '.join(f'({w})' for w in where)})")
     ctes.append(f"result AS (SELECT *, CASE WHEN evidence >= 0.25 THEN 'Filename / description match' WHEN evidence > 0 THEN 'Text found in labels or image' ELSE '{other}' END AS reason FROM scored)")
     base = "modified DESC, id DESC"
     by = {Sort.NEWEST: base, Sort.OLDEST: "modified ASC, id DESC", Sort.NAME: f"lower(name), {base}", Sort.LARGEST: f"width::BIGINT * height DESC, {base}", Sort.RELEVANCE: f"score DESC, {base}" if by_vector or text else base}[r.sort]
