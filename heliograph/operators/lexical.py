@@ -128,11 +128,16 @@ def _scaled(best: float | None) -> Column:
 def evidence(items: DataFrame, terms: list[Term], scope: Column | None = None, only: bool = False) -> DataFrame:
     """items with ``relevance``, ``trusted`` and ``lexical`` where they match and are in scope, else null (only: those that do); statistics are over all items."""
     every, names = near(items, terms), [c for c in items.columns if c != "_length" and not c.startswith("_t_")]
-    counted = matched(every, terms).agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"), *_having(len(terms))).head()
-    relevance = _relevance(counted["n"], counted["mean"] or 1.0, [counted[f"n{i}"] for i in range(len(terms))])
-    found = F.col("_all") if scope is None else F.col("_all") & scope
+    n, found = len(terms), F.col("_all") if scope is None else F.col("_all") & scope
+    # one pass: rows that count alike are one group, whose shortest row scores best
+    alike = [*[f"_f{i}" for i in range(n)], *[(F.col(f"_h{i}") > 0).cast("long").alias(f"_h{i}") for i in range(n)], F.coalesce(found, F.lit(False)).alias("_found")]
+    groups = matched(every, terms).groupBy(*alike).agg(F.count(F.lit(1)).alias("rows"), F.sum("_length").alias("tokens"), F.min("_length").alias("_length")).persist()
+    having = [F.coalesce(F.sum(F.col("rows") * F.col(f"_h{i}")), F.lit(0)) for i in range(n)]
+    rows, total, *having = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), *having).head()
+    relevance = _relevance(rows, total / rows if total else 1.0, having)
+    best = groups.filter("_found").agg(F.max(relevance)).head()[0]
+    groups.unpersist()
     hits_only = matched(every.filter("_near"), terms).filter(found).withColumn("relevance", relevance)
-    best = hits_only.agg(F.max("relevance")).head()[0]
     if only:
         return hits_only.withColumn("lexical", _scaled(best)).select(*names, "relevance", "trusted", "lexical")
     rows = matched(every, terms).withColumn("relevance", F.when(found, relevance))
