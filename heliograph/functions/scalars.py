@@ -55,16 +55,15 @@ def cubic_weight(x: Column | str) -> Column:
 
 
 def version(text: Column | str) -> Column:
-    """Three numbers of a strict version, or null."""
+    """The three numbers of a strict version as a struct, which compares in order, or null."""
     t = _c(text)
-    numbers = F.array(*[F.regexp_extract(t, VERSION, k).cast("int") for k in (1, 2, 3)])
-    return F.when(t.rlike(VERSION) & ~t.endswith("\n"), F.try_element_at(F.array(numbers), F.lit(1)))
+    numbers = [F.regexp_extract(t, VERSION, k + 1).try_cast("int").alias(name) for k, name in enumerate(("major", "minor", "patch"))]
+    return F.when(t.rlike(VERSION) & ~t.endswith("\n"), F.struct(*numbers))
 
 
 def newer(a: Column | str, b: Column | str) -> Column:
     """Whether version a is greater than version b (null: one is no version)."""
-    x, y = version(a), version(b)
-    return (x[0] > y[0]) | ((x[0] == y[0]) & ((x[1] > y[1]) | ((x[1] == y[1]) & (x[2] > y[2]))))
+    return version(a) > version(b)
 
 
 def parse_version(text: str) -> tuple[int, int, int] | None:

@@ -145,7 +145,7 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 # text, vectors and files through the functions that the engine uses them with
 
-_DECOMPOSED = "SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 300), 'é', concat('e', chr(769))), 'ü', concat('u', chr(776))), 'ä', concat('a', chr(776))), 'ñ', concat('n', chr(771))) AS t FROM documents"
+_DECOMPOSED = "SELECT doc_id, replace(replace(replace(replace(text, 'é', concat('e', chr(769))), 'ü', concat('u', chr(776))), 'ä', concat('a', chr(776))), 'ñ', concat('n', chr(771))) AS t FROM documents"
 
 
 @query(f"SELECT doc_id, nfc_normalize(t) AS composed FROM ({_DECOMPOSED})")
@@ -157,9 +157,9 @@ def nfc_names(spark: SparkSession, d: str) -> DataFrame:
     return run_sql(spark, d, sql).select("doc_id", text.composed("t").alias("composed"))
 
 
-@query("SELECT doc_id, strip_accents(lower(substr(text, 1, 300))) AS folded FROM documents")
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def fold_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.fold(F.substring("text", 1, 300)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", text.fold("text").alias("folded"))
 
 
 @query("SELECT vec_id, octet_length(encode('')) + 4 * len(embedding) AS n_bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v, true AS whole FROM embeddings")
