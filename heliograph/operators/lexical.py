@@ -55,7 +55,9 @@ def near(items: DataFrame, terms: list[Term]) -> DataFrame:
     """Items as ``analysed``, but with tokens only in rows that may match a term, and ``_near``: whether all terms may match."""
     if "_length" in items.columns:
         return items.withColumn("_near", F.lit(True))
-    rows = dealt(items, "id").select("*", *[fold(F.coalesce(F.col(c), F.lit(""))).alias(f"_f_{c}") for c, _ in TEXT_COLUMNS])
+    # a generator of one row: folding would be copied into each of its uses, but for this
+    folded = F.struct(*[fold(F.coalesce(F.col(c), F.lit(""))).alias(f"_f_{c}") for c, _ in TEXT_COLUMNS])
+    rows = dealt(items, "id").select("*", F.inline(F.array(folded)))
     rows = rows.withColumns({f"_n{i}": _holds(t) for i, t in enumerate(terms)})
     some, none = _any([F.col(f"_n{i}") for i in range(len(terms))]), F.array().cast("array<string>")
     words = {f"_t_{c}": F.when(some, F.regexp_extract_all(F.col(f"_f_{c}"), F.lit(TOKEN), F.lit(0))).otherwise(none) for c, _ in TEXT_COLUMNS}
