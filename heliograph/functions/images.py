@@ -24,15 +24,39 @@ VISIBLE, MATTE, FIT = 8, 128, 208
 GROUP_WEIGHTS = (0.30, 0.15, 0.20, 0.20, 0.15)
 GROUP_ENDS = (0, 192, 256, 320, 448, 512)
 THUMBNAIL = (420, 320)
+#: the EXIF tag of the orientation (fixed value)
+ORIENTATION = 0x0112
 
 
-def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+def pixels(data: bytes, height: int, width: int, channels: int, turn: int = 1) -> np.ndarray:
+    """The image as shown, height x width; turn: how its rows are stored, 1 to 8 (see ``orientation``)."""
+    a = np.frombuffer(data, np.uint8).reshape(*((width, height) if turn > 4 else (height, width)), channels)
+    if turn > 4:
+        a = a.transpose(1, 0, 2)
+    a = a[:: -1 if turn in (3, 4, 7, 8) else 1, :: -1 if turn in (2, 3, 6, 7) else 1]
     if channels == 1:
         return np.repeat(a, 3, 2)
     return a[:, :, [2, 1, 0, 3][:channels]]
 
 
+def orientation(head: bytes) -> int:
+    """The EXIF orientation (1 to 8) in the first segments of a JPEG file; 1 where none is stated or the header is broken."""
+    at = 2
+    while head[:2] == b"\xff\xd8" and head[at : at + 1] == b"\xff" and at + 4 <= len(head):
+        size = int.from_bytes(head[at + 2 : at + 4], "big")
+        tiff = head[at + 10 : at + 2 + size]
+        if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0" and tiff[:2] in (b"II", b"MM"):
+            number = lambda x, n: int.from_bytes(tiff[x : x + n], "little" if tiff[:2] == b"II" else "big")  # noqa: B023, E731
+            first = number(4, 4)
+            entries = range(first + 2, min(first + 2 + 12 * number(first, 2), len(tiff) - 11), 12)
+            found = next((number(x + 8, 2) for x in entries if number(x, 2) == ORIENTATION), 1)
+            return found if 1 <= found <= 8 else 1
+        if head[at + 1] == 0xDA or size < 2:  # the image itself
+            break
+        at += 2 + size
+    return 1
+
+
 @lru_cache(64)
 def _cubic_weights(source: int, scaled: int, offset: int, count: int) -> tuple[int, np.ndarray]:
     """(first source place, count x places) integer weights of an antialiased cubic resize, in units of 2 ** -22."""
@@ -198,7 +222,7 @@ def png(image: np.ndarray) -> bytes:
 
 
 def described(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = descriptor, column: str = "descriptor") -> DataFrame:
-    """images (path, width, height, channels, data, error) -> path, the kernel's floats, error.
+    """images (path, width, height, channels, data, turn, error) -> path, the kernel's floats, error.
 
     An image that fails has its error, and the others go on.
     """
@@ -210,11 +234,11 @@ def described(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = de
                 try:
                     if row["error"]:
                         raise ValueError(row["error"])
-                    vectors.append(np.asarray(kernel(pixels(row["data"], row["height"], row["width"], row["channels"]))).reshape(-1))
+                    vectors.append(np.asarray(kernel(pixels(row["data"], row["height"], row["width"], row["channels"], row["turn"]))).reshape(-1))
                     errors.append(None)
                 except Exception as e:  # one bad image is one row's error
                     vectors.append(None)
                     errors.append(str(e) or type(e).__name__)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("path")), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["path", column, "error"])
 
-    return images.select("path", "width", "height", "channels", "data", "error").mapInArrow(run, f"path string, {column} array<float>, error string")
+    return images.select("path", "width", "height", "channels", "data", "turn", "error").mapInArrow(run, f"path string, {column} array<float>, error string")

@@ -143,11 +143,11 @@ def _looked_at(images: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for k in range(b.num_rows):
-                r = {name: b.column(name)[k].as_py() for name in ("path", "width", "height", "channels", "data", "error")}
+                r = {name: b.column(name)[k].as_py() for name in ("path", "width", "height", "channels", "data", "turn", "error")}
                 try:
                     if r["error"]:
                         raise ValueError(r["error"])
-                    a = I.pixels(r["data"], r["height"], r["width"], r["channels"])
+                    a = I.pixels(r["data"], r["height"], r["width"], r["channels"], r["turn"])
                     digest = I.model_input(a).tobytes()
                     out.append((r["path"], r["width"], r["height"], hashlib.blake2b(digest, digest_size=32).hexdigest(), I.descriptor(a), I.thumbnail(a), None))
                 except Exception as e:  # one bad image is one row's error
@@ -307,13 +307,13 @@ class Indexer:
         """hash and embedding: equal images are embedded once, EMBED_BATCH at a time."""
         model = self.embed
         one = rows.groupBy("hash").agg(F.min("path").alias("_path"))
-        chosen = raw.join(one, F.col("path") == F.col("_path")).select("hash", "width", "height", "channels", "data")
+        chosen = raw.join(one, F.col("path") == F.col("_path")).select("hash", "width", "height", "channels", "data", "turn")
 
         def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
             for b in batches:
                 for k in range(b.num_rows):
                     r = {name: b.column(name)[k].as_py() for name in b.schema.names}
-                    yield r["hash"], I.model_input(I.pixels(r["data"], r["height"], r["width"], r["channels"]))
+                    yield r["hash"], I.model_input(I.pixels(r["data"], r["height"], r["width"], r["channels"], r["turn"]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = inputs(batches)

@@ -7,13 +7,18 @@ import json
 import os
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.images import orientation
+
 FILE_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 #: formats that Spark's image source decodes
 FORMATS = ("png", "jpg", "jpeg", "gif", "bmp")
+#: EXIF is the first segment of a JPEG file, or follows one or two others; a segment has at most 65537 bytes
+EXIF_WITHIN = 2 + 3 * 65537
 
 
 def supported(files: DataFrame, formats: tuple[str, ...] = FORMATS) -> DataFrame:
@@ -60,16 +65,35 @@ def scan(spark: SparkSession, folders: list[str], with_content: bool = False) ->
     return out, reachable, errors
 
 
+def turns(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    """path and turn (2 to 8) of the JPEG files below a folder, or among files, that are stored turned or mirrored."""
+
+    @F.arrow_udf("int")
+    def stated(heads: pa.Array) -> pa.Array:
+        return pa.array([orientation(h.as_py()) for h in heads], pa.int32())
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(where)
+    return rows.select("path", stated(F.substring("content", 1, EXIF_WITHIN)).alias("turn")).filter("turn > 1")
+
+
 def images(spark: SparkSession, where: str | list[str]) -> DataFrame:
-    """path, width, height, channels, data (BGR or BGRA rows from the top) and error of the images below a folder, or of files.
+    """path, width, height, channels, data (BGR or BGRA rows as stored), turn and error of the images below a folder, or of files.
 
-    Spark's decoder reads PNG, JPEG, GIF and BMP; it neither turns images by
-    their EXIF orientation nor reads WebP or SVG.
+    Spark's decoder reads PNG, JPEG, GIF and BMP, not WebP or SVG.  Width and
+    height are those of the image as it is shown; ``turn`` is the EXIF orientation of a JPEG (1: as stored),
+    which ``pixels`` follows.  For files that the caller names, a list on the driver, what is turned goes to every
+    task; for a folder, Spark chooses the join.
     """
     rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(where).select("image.*")
     bad = F.col("width") < 1
     path = F.regexp_replace("origin", "^file:/+", "file:/")  # as the binaryFile source writes it
-    return rows.select(path.alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data", F.when(bad, F.lit("could not be decoded")).alias("error"))
+    turned = turns(spark, where)
+    if isinstance(where, list):
+        turned = F.broadcast(turned)
+    rows = rows.withColumn("path", path).join(turned, "path", "left")
+    turn, lying = F.coalesce("turn", F.lit(1)), F.coalesce(F.col("turn") > 4, F.lit(False))
+    width, height = F.when(lying, F.col("height")).otherwise(F.col("width")), F.when(lying, F.col("width")).otherwise(F.col("height"))
+    return rows.select("path", width.alias("width"), height.alias("height"), F.col("nChannels").alias("channels"), "data", turn.alias("turn"), F.when(bad, F.lit("could not be decoded")).alias("error"))
 
 
 def thumbnails_of(items: DataFrame, thumbnails: DataFrame, prefix: str = "thumb:") -> DataFrame:

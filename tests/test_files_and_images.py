@@ -1,4 +1,5 @@
 import hashlib
+import struct
 
 import numpy as np
 import pytest
@@ -50,6 +51,49 @@ def test_images_and_errors(spark, folder):
     assert images.pixels(red.data, red.height, red.width, red.channels)[0, 0].tolist() == [255, 0, 0]
 
 
+def exif(turn, order="<"):
+    """A segment that states an orientation."""
+    tiff = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HIHHHIIHHIHHI", 42, 8, 2, 0x0100, 3, 1, 7, 0x0112, 3, 1, turn, 0, 0)
+    return b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("turn", range(1, 9))
+def test_orientation(turn, order):
+    jfif = b"\xff\xe0" + struct.pack(">H", 16) + bytes(14)
+    for head in (exif(turn, order), jfif + exif(turn, order)):
+        assert images.orientation(b"\xff\xd8" + head + b"\xff\xda\0\2") == turn
+    shown = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    ways = [lambda a: a, lambda a: a[:, ::-1], lambda a: a[::-1, ::-1], lambda a: a[::-1], lambda a: a.swapaxes(0, 1), lambda a: np.rot90(a), lambda a: a[::-1, ::-1].swapaxes(0, 1), lambda a: np.rot90(a, -1)]
+    stored = np.ascontiguousarray(ways[turn - 1](shown))  # what a camera that is held so writes
+    assert (images.pixels(stored.tobytes(), 2, 3, 1, turn)[:, :, :1] == shown).all()
+
+
+@pytest.mark.parametrize("head", [b"", b"\xff\xd8", b"\xff\xd8\xff\xe1", b"\xff\xd8\xff\xe1\0\0", b"\x89PNG", b"\xff\xd8" + exif(9), b"\xff\xd8" + exif(6)[:20], b"\xff\xd8\xff\xda\0\4" + exif(6)])
+def test_no_orientation(head):
+    assert images.orientation(head) == 1
+
+
+def test_turned_photographs(spark, tmp_path):
+    """A photograph from a camera on its side is upright, also without its neighbours being JPEG."""
+    jvm = spark.sparkContext._jvm
+    plain = jvm.java.awt.image.BufferedImage(48, 32, 1)
+    for x in range(24):
+        for y in range(32):
+            plain.setRGB(x, y, 0xFF0000)
+    at = tmp_path / "upright.jpg"
+    assert jvm.javax.imageio.ImageIO.write(plain, "jpg", jvm.java.io.File(str(at)))
+    raw = at.read_bytes()
+    (tmp_path / "side.JPEG").write_bytes(raw[:2] + exif(6) + raw[2:])
+    (tmp_path / "other.png").write_bytes(images.png(flat((1, 2, 3))))
+    for where in (f"file://{tmp_path}", [f"file://{tmp_path}/{n}" for n in ("upright.jpg", "side.JPEG", "other.png")]):
+        out = {r.path.rsplit("/", 1)[1]: r for r in files.images(spark, where).collect()}
+        assert {n: (r.width, r.height, r.turn) for n, r in out.items()} == {"upright.jpg": (48, 32, 1), "side.JPEG": (32, 48, 6), "other.png": (64, 64, 1)}
+        a = images.pixels(out["side.JPEG"].data, 48, 32, 3, 6)
+        assert a[:20, :, 0].min() > 150 and a[28:, :, 0].max() < 100  # its left half is on top
+    assert files.images(spark, [f"file://{tmp_path}/other.png"]).head().turn == 1
+
+
 #: SHA-256 of the model input of a pattern, by width and height (fixed values)
 INPUTS = {
     (224, 4096): "e3f3d75f5ac33fb38cac7643eaa87ee68df4561e5bb9d6a8c6ec3a3bfb870923",
