@@ -37,6 +37,8 @@ SHORT_LINE, SHORT_UNSPACED = 5, 10
 #: Thai and Lao, Myanmar, Khmer, kana and Chinese characters (Java and RE2 read this alike)
 UNSPACED = r"\x{0E01}-\x{0EDF}\x{1000}-\x{109F}\x{1780}-\x{17DD}\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
 LONG_UNSPACED = f"[{UNSPACED}](?:[^{UNSPACED}]*[{UNSPACED}]){{{SHORT_UNSPACED - 1}}}"
+#: closing marks, what may follow them, and both as a pattern
+MARKS, BEHIND = ".!?…:;。！？｡؟۔।॥။។", "\"'”’»)]」』"
 CLOSED = r"[.!?…:;。！？｡؟۔।॥။។][\"'”’»)\]」』]*\s*$"
 #: what a line of navigation is made of, in English, German, French and Spanish; letters beyond ASCII in both cases, as neither engine need fold them
 _LINKS = (
@@ -136,10 +138,16 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).when(n > mask, sorted_windows()).otherwise(let(packed, lambda s: let(equal_neighbours(s), counted)))
 
 
+def _closed(line: Column) -> Column:
+    """Whether CLOSED matches, looked for from the end alone."""
+    end = F.rtrim(F.rtrim(line, F.lit(" \t\n\v\f\r")), F.lit(BEHIND))
+    return F.substring(end, -1, 1).isin(*MARKS)
+
+
 def line_fails(line: Column, visible: Column) -> Column:
     """Whether a line with words is to be removed; visible: its characters in words."""
     noisy = _count(line, NOISE) - FREE_MARKS > visible * F.lit(NOISE_SHARE)
-    open_end = ~line.rlike(CLOSED) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}") & ~line.rlike(LONG_UNSPACED)
+    open_end = ~_closed(line) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}") & ~line.rlike(LONG_UNSPACED)
     cued = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(c) for c in CUES]))
     return noisy | open_end | line.rlike(NAVIGATION) | (cued & line.rlike(BOILERPLATE))
 

@@ -65,6 +65,15 @@ def test_boilerplate_holds_a_cue(spark, line):
     assert row.cleaned_text.split("\n") == LINES
 
 
+@pytest.mark.parametrize("mark", ["", *qr.MARKS])
+def test_closed_from_the_end(spark, mark):
+    ends = ["", " ", "\t\x0b \f\r", "\"", "')”", "]」 ", "» x", " )", "a", mark + "a"]
+    lines = [head + mark + end for head in ("", "é w", "no. stop") for end in ends]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", qr._closed(F.col("line")).alias("closed")).collect():
+        assert r.closed == bool(re.search(qr.CLOSED, r.line)), repr(r.line)
+
+
 OTHERS = [
     "Alle Rechte vorbehalten, 2021, Beispiel GmbH.", "Wir verwenden Cookies, um diese Seite besser zu machen.", "Bitte lesen Sie unsere Datenschutzerklärung und die Nutzungsbedingungen.", "Jetzt unseren Newsletter abonnieren und nichts verpassen.",
     "Tous droits réservés, 2021, la société.", "Ce site utilise des cookies pour mesurer son audience.", "Voir notre POLITIQUE DE CONFIDENTIALITÉ pour en savoir plus.", "Abonnez-vous à notre newsletter dès maintenant, merci.", "Consultez les conditions générales de vente ici, merci.",
