@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .jpeg import jpeg
+
 SIDE = 224
 #: means and deviations of the image model's channels (fixed values)
 MEAN = np.array([0.48145466, 0.4578275, 0.40821073], np.float32)
@@ -202,12 +204,12 @@ def descriptor(image: np.ndarray) -> np.ndarray:
 
 
 def thumbnail(image: np.ndarray) -> bytes:
-    """A PNG that fits THUMBNAIL (photographs, too: there is no JPEG encoder here)."""
+    """The image within THUMBNAIL: a PNG if it has alpha, else a JPEG."""
     h, w = image.shape[:2]
     if h > THUMBNAIL[1] or w > THUMBNAIL[0]:
         h, w = _fit(h, w, THUMBNAIL[1], THUMBNAIL[0])
         image = np.clip(np.rint(_area(image, h, w)), 0, 255).astype(np.uint8)
-    return png(image)
+    return png(image) if image.shape[2] == 4 else jpeg(image)
 
 
 def png(image: np.ndarray) -> bytes:

@@ -149,7 +149,7 @@ def test_descriptor_properties():
 
 
 def test_thumbnails(spark):
-    data = images.thumbnail(np.zeros((1000, 2000, 3), np.uint8))
+    data = images.thumbnail(np.zeros((1000, 2000, 4), np.uint8))
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and int.from_bytes(data[16:20], "big") == 420 and int.from_bytes(data[20:24], "big") == 210
     rows = spark.createDataFrame([item(1, thumb="thumb:a"), item(2, thumb="/file.png"), item(3, thumb="thumb:z")], ITEMS)
     got = {r.id: r.data and bytes(r.data) for r in files.thumbnails_of(rows, spark.createDataFrame([("thumb:a", b"x")], THUMBNAILS)).collect()}
