@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: a key is hot if it has over 1 / HOT of all rows, and over LEAST_HOT; so there are under HOT hot keys, however large the input
 HOT, LEAST_HOT = 4096, 256
+#: inputs below the first are not worth a shuffle, those above the second, for each core, have splits enough
+LEAST_BYTES, MOST_BYTES = 4 << 20, 8 << 20
 
 _open: list[list[tuple[SparkSession, str]]] = []
 
@@ -127,6 +129,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df in as many parts as there are cores where it is small: a file of one row group is one task.  A large input has splits enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if LEAST_BYTES <= plan_bytes(df) <= MOST_BYTES * cores else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, warc
+from . import fill_middle, mixing, quality_rules, warc
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -123,5 +123,22 @@ def op10() -> str:
     """
 
 
+def op12() -> str:
+    f = fill_middle
+    number = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    cut = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (f.PREFIX, f.SUFFIX, f.MIDDLE))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{f.LINE}') AS u, sha256('{f.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    c AS (SELECT *, len(u) AS n, {number(0)} % (len(u) + 1) AS c1, {number(1)} % (len(u) + 1) AS c2,
+            CASE WHEN t = '' OR {marked} OR {number(2)} % 100 >= {f.RATE} THEN 'plain' WHEN {number(3)} % 100 < {f.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, {cut(1, "least(c1, c2)")} AS prefix, {cut("least(c1, c2) + 1", "greatest(c1, c2)")} AS middle, {cut("greatest(c1, c2) + 1", "n")} AS suffix FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+      sha256(CASE form WHEN 'psm' THEN '{f.PREFIX}' || prefix || '{f.SUFFIX}' || suffix || '{f.MIDDLE}' || middle
+             WHEN 'spm' THEN '{f.SUFFIX}' || suffix || '{f.PREFIX}' || prefix || '{f.MIDDLE}' || middle ELSE t END) AS output_sha256,
+      sha256(CASE WHEN form = 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256 FROM p
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": op1(), "op2_mixing": op2(), "op4_warc": op4(), "op7_near_dedup": op7(), "op10_quality_rules": op10()}
+    return {"op1_suffix_dedup": op1(), "op2_mixing": op2(), "op4_warc": op4(), "op7_near_dedup": op7(), "op10_quality_rules": op10(), "op12_fill_middle": op12()}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, near_dup, quality_model, quality_rules, sharding, suffix_dedup, token_counts, warc
+from . import decontaminate, fill_middle, html_text, mixing, near_dup, piece_model, quality_model, quality_rules, sharding, suffix_dedup, token_counts, warc
+from .cluster import dealt
 from .oracle import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -59,5 +60,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_model.decode(piece_model.encode(dealt(_table(spark, sf_dir, "documents"), "doc_id")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.transform(dealt(_table(spark, sf_dir, "documents"), "doc_id"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(text.cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op6_decontamination, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op6_decontamination, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules, op11_sentencepiece, op12_fill_middle)}

@@ -1,0 +1,72 @@
+import random
+
+import pytest
+import sentencepiece
+
+from heliograph.llm import piece_model as pm
+
+
+@pytest.fixture(scope="module")
+def own():
+    return pm.Vocabulary(open(pm.model_path(), "rb").read())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pm.model_path())
+
+
+def test_random_texts(own, library):
+    rng = random.Random(1)
+    for _ in range(5000):
+        text = "".join(rng.choice("ab theouing  ▁\n\n\té😀日本\x00'sion1234<s>") for _ in range(rng.randrange(90)))
+        assert (own.encode(text) if text else []) == library.encode(text), text
+
+
+@pytest.mark.parametrize("text", ["x" * 3000, "0123456789abcdef" * 200, " " * 5000, "▁" * 777, "日本語漢字" * 300, "hello" * 500, "\n" * 2000, "<unk></s><0x41>", " a", "a ", "ab" * 24, "ﬁ‍👨‍👩‍👧"])
+def test_stretches_without_borders(own, library, text):
+    assert own.encode(text) == library.encode(text)
+
+
+def test_list_and_heap_agree(own):
+    rng = random.Random(2)
+    for _ in range(3000):
+        symbols = [rng.choice("theanouigrs▁") for _ in range(rng.randrange(1, 60))]
+        assert own._from_list(list(symbols)) == own._from_heap(list(symbols))
+
+
+def test_equal_scores_leftmost_first(own):
+    """The two pieces of blanks alone have one score."""
+    assert {own.scores["▁▁"], own.scores["▁▁▁▁"]} == {1e9}
+    assert own._from_heap(list("▁▁▁a")) == own._from_list(list("▁▁▁a"))
+
+
+def test_memory_is_bounded(own, monkeypatch):
+    monkeypatch.setattr(pm, "REMEMBERED", 10)
+    own.memory.clear()
+    own.encode(" ".join(str(k) for k in range(100)) + " " + "y" * 100)
+    assert len(own.memory) <= 10 and all(len(s) <= pm.SHORT for s in own.memory)
+
+
+def test_documents(nasty, nasty_rows, library, monkeypatch):
+    rows = pm.decode(pm.encode(nasty)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(r[0], library.encode(r[1] or "")) for r in nasty_rows]
+    assert sorted(((r.doc_id, list(r.ids)) for r in rows), key=key) == sorted(want, key=key)
+    assert all(r.n_tokens == len(r.ids) and r.decoded == library.decode(list(r.ids)) for r in rows)
+
+
+def test_batches_are_cut(spark, library, monkeypatch):
+    texts = [f"text number {k} " * 50 for k in range(40)]
+    monkeypatch.setattr(pm, "FLUSH", 300)
+    rows = pm.decode(pm.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.decoded for r in rows} == dict(enumerate(texts))
+
+
+def test_null_ids_decode_to_nothing(spark):
+    rows = spark.createDataFrame([(1, 0, None), (2, 0, [])], "doc_id long, n_tokens long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in pm.decode(rows).collect()} == {1: "", 2: ""}
+
+
+def test_empty(nothing):
+    assert pm.decode(pm.encode(nothing)).collect() == []
