@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fill_middle, mixing, quality_rules, warc
+from . import fill_middle, mixing, prefix_trie, quality_rules, warc
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -140,5 +140,32 @@ def op12() -> str:
     """
 
 
+def op13() -> str:
+    t = prefix_trie
+    bits = "list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda p, q: xor(p >> 1, 3988292384::BIGINT * (p & 1)))"
+    crc32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(str_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {bits}), 4294967295)"
+    return f"""
+    WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, {crc32} % {t.MOST_HEAD + 1} AS h FROM (SELECT DISTINCT conv_id FROM o)),
+    r AS (SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % {t.BASE} AND o.pos < c.h
+          UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+    p AS (SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, ',') OVER w) AS k, length(text) AS chars
+          FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+          UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    l AS (SELECT conv_id, max(depth) AS n FROM p GROUP BY conv_id),
+    q AS (SELECT p.*, l.n = p.depth AS ends, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM p JOIN l USING (conv_id)),
+    g AS (SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM q GROUP BY depth, k),
+    ch AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+    n AS (SELECT g.*, coalesce(ch.n_children, 0) AS n_children FROM g LEFT JOIN ch USING (depth, k)),
+    s AS (SELECT p.depth, p.k, sum((n.n_convs - 1) * n.chars) AS saved_tokens, sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+          FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.k)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+      s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM n JOIN s USING (depth, k) LEFT JOIN n u ON u.depth = n.depth - 1 AND u.k = n.up
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": op1(), "op2_mixing": op2(), "op4_warc": op4(), "op7_near_dedup": op7(), "op10_quality_rules": op10(), "op12_fill_middle": op12()}
+    return {"op1_suffix_dedup": op1(), "op2_mixing": op2(), "op4_warc": op4(), "op7_near_dedup": op7(), "op10_quality_rules": op10(), "op12_fill_middle": op12(), "op13_prefix_trie": op13()}

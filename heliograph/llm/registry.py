@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, html_text, mixing, near_dup, piece_model, quality_model, quality_rules, sharding, suffix_dedup, token_counts, warc
+from . import decontaminate, fill_middle, html_text, mixing, near_dup, piece_model, prefix_trie, quality_model, quality_rules, sharding, suffix_dedup, token_counts, warc
 from .cluster import dealt
 from .oracle import oracle_sql
 
@@ -72,5 +72,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(text.cast("binary"), 256).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations")).select(columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op6_decontamination, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules, op11_sentencepiece, op12_fill_middle)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_token_counts, op6_decontamination, op7_near_dedup, op8_sharding, op9_html_extraction, op10_quality_rules, op11_sentencepiece, op12_fill_middle, op13_prefix_trie)}
