@@ -22,19 +22,23 @@ columns are ignored.  The time for a stretch without borders grows as n log n.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import pairwise
 from math import inf
+from operator import add
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: stretches of up to so many characters are remembered, so many at once
-SHORT, REMEMBERED = 48, 500_000
+SHORT, REMEMBERED = 48, 1_000_000
 #: for up to so many symbols the agenda is a list
 LISTED = 48
 #: an output batch is handed on once it holds so many ids or characters
@@ -49,16 +53,27 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(piece: int) -> bytes:
+    return piece.to_bytes(4, sys.byteorder)
+
+
 class _Memory(dict):
-    """Ids by stretch; an unknown stretch is encoded, and kept if it is short."""
+    """Packed ids by stretch.  An unknown stretch is encoded, and kept if it is short.
+
+    Once half of REMEMBERED came in, they become the older half, and the older half before them goes, but for
+    what is met again: so frequent stretches stay.
+    """
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = self.encode(stretch)
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is None:
+            ids = self.encode(stretch)
         if len(stretch) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
@@ -72,46 +87,47 @@ class Vocabulary:
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
-        self.bytes: dict[int, int] = {}
+        self.bytes: dict[int, bytes] = {}
         for k in range(sp.get_piece_size()):
             if sp.is_byte(k):
-                self.bytes[int(sp.id_to_piece(k)[3:5], 16)] = k
+                self.bytes[int(sp.id_to_piece(k)[3:5], 16)] = _packed(k)
             elif not (sp.is_control(k) or sp.is_unknown(k)):
                 if sp.is_unused(k):
                     raise ValueError("vocabularies with unused pieces are not supported")
                 self.ids[sp.id_to_piece(k)] = k
         self.scores = {piece: -sp.get_score(k) for piece, k in self.ids.items()}
+        self.packed = {piece: _packed(k) for piece, k in self.ids.items()}
         bordered = not any(SPACE in piece.lstrip(SPACE) or "\n" in piece and len(piece) > 1 for piece in self.ids)
         self.stretches = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if bordered else "(?s).+").findall
         self.memory = _Memory(self.merged)
 
-    def spelled(self, symbol: str) -> list[int]:
+    def spelled(self, symbol: str) -> bytes:
         """The piece's id, or those of its bytes."""
-        known = self.ids.get(symbol)
+        known = self.packed.get(symbol)
         if known is not None:
-            return [known]
-        return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.library.unk_id()]
+            return known
+        return b"".join([self.bytes[b] for b in symbol.encode()]) if self.bytes else _packed(self.library.unk_id())
 
-    def merged(self, stretch: str) -> list[int]:
+    def merged(self, stretch: str) -> bytes:
         """Ids of a stretch, by the agenda."""
         symbols = self._from_list(list(stretch)) if len(stretch) <= LISTED else self._from_heap(list(stretch))
-        return list(chain.from_iterable(map(self.spelled, symbols)))
+        return b"".join(map(self.spelled, symbols))
 
     def _from_list(self, symbols: list[str]) -> list[str]:
         """The agenda as a list by place, whose least entry comes first: quicker for few symbols."""
         score, never = self.scores.get, inf
-        agenda = [score(a + b, never) for a, b in pairwise(symbols)]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
+        pairs = list(map(add, symbols, symbols[1:]))
+        agenda = [score(pair, never) for pair in pairs]
+        while agenda and (best := min(agenda)) < never:
             k = agenda.index(best)
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-            del agenda[k]
+            symbols[k] = pair = pairs[k]
+            del symbols[k + 1], pairs[k], agenda[k]
             if k:
-                agenda[k - 1] = score(symbols[k - 1] + symbols[k], never)
+                pairs[k - 1] = wider = symbols[k - 1] + pair
+                agenda[k - 1] = score(wider, never)
             if k < len(agenda):
-                agenda[k] = score(symbols[k] + symbols[k + 1], never)
+                pairs[k] = wider = pair + symbols[k + 1]
+                agenda[k] = score(wider, never)
         return symbols
 
     def _from_heap(self, symbols: list[str]) -> list[str]:
@@ -135,9 +151,9 @@ class Vocabulary:
                 left_of[after] = k
         return [s for s in symbols if s]
 
-    def encode(self, text: str) -> list[int]:
-        normal = self.library.normalize(text)
-        return list(chain.from_iterable(map(self.memory.__getitem__, self.stretches(normal))))
+    def encode(self, text: str) -> np.ndarray:
+        stretches = self.stretches(self.library.normalize(text))
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, stretches)), np.int32)
 
 
 def vocabulary(model: bytes) -> Vocabulary:
@@ -148,37 +164,49 @@ def vocabulary(model: bytes) -> Vocabulary:
     return _vocabularies[key]
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids of every document.  The model (about half a MB) is read by the driver and broadcast."""
+def _shared(spark: SparkSession, model: str | None) -> Broadcast:
+    """The bytes of a model (about half a MB), read by the driver and broadcast."""
     with open(model or model_path(), "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids of every document; with ``decoded``, also the text that the library decodes from the ids."""
+    shared = _shared(docs.sparkSession, model)
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(shared.value)
         for b in batches:
-            first, held, out = 0, 0, []
+            first, held, out, back = 0, 0, [], []
             for k, text in enumerate(b.column(1)):
                 text = text.as_py() or ""
-                ids = own.encode(text) if text else []
-                if ids != own.library.encode_as_numpy(text, num_threads=1).tolist():
+                ids = own.encode(text) if text else np.empty(0, np.int32)
+                if not np.array_equal(ids, own.library.encode_as_numpy(text, num_threads=1)):
                     raise ValueError(f"document {b.column(0)[k].as_py()}: the ids are not those of the sentencepiece library")
                 out.append(ids)
-                held += len(ids)
+                if decoded:
+                    back.append(own.library.decode(ids.tolist()) if text else "")
+                held += len(text)
                 if held > FLUSH or k == b.num_rows - 1:
-                    n = pa.array(map(len, out), pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0)[first : k + 1], n, pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
-                    first, held, out = k + 1, 0, []
+                    columns = [b.column(0)[first : k + 1], pa.array(map(len, out), pa.int64()), _lists(out), *[pa.array(back, pa.string())] * decoded]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    first, held, out, back = k + 1, 0, [], []
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     """The rows of ``encode`` with the text that the library decodes from their ids (null ids: an empty text)."""
-    with open(model or model_path(), "rb") as f:
-        shared = rows.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(rows.sparkSession, model)
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = vocabulary(shared.value).library
         for b in batches:
             first, held, out = 0, 0, []
@@ -191,4 +219,4 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(c[first : k + 1] for c in b.columns[:3]), pa.array(out, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
                     first, held, out = k + 1, 0, []
 
-    return rows.select("doc_id", "n_tokens", "ids").mapInArrow(decoded, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return rows.select("doc_id", "n_tokens", "ids").mapInArrow(texts, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -61,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = piece_model.decode(piece_model.encode(dealt(_table(spark, sf_dir, "documents"), "doc_id")))
+    rows = piece_model.encode(dealt(_table(spark, sf_dir, "documents"), "doc_id"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 import sentencepiece
@@ -20,12 +21,12 @@ def test_random_texts(own, library):
     rng = random.Random(1)
     for _ in range(5000):
         text = "".join(rng.choice("ab theouing  ▁\n\n\té😀日本\x00'sion1234<s>") for _ in range(rng.randrange(90)))
-        assert (own.encode(text) if text else []) == library.encode(text), text
+        assert own.encode(text).tolist() == library.encode(text), text
 
 
 @pytest.mark.parametrize("text", ["x" * 3000, "0123456789abcdef" * 200, " " * 5000, "▁" * 777, "日本語漢字" * 300, "hello" * 500, "\n" * 2000, "<unk></s><0x41>", " a", "a ", "ab" * 24, "ﬁ‍👨‍👩‍👧"])
 def test_stretches_without_borders(own, library, text):
-    assert own.encode(text) == library.encode(text)
+    assert own.encode(text).tolist() == library.encode(text)
 
 
 def test_list_and_heap_agree(own):
@@ -41,15 +42,19 @@ def test_equal_scores_leftmost_first(own):
     assert own._from_heap(list("▁▁▁a")) == own._from_list(list("▁▁▁a"))
 
 
-def test_memory_is_bounded(own, monkeypatch):
+def test_memory_is_bounded(own, library, monkeypatch):
     monkeypatch.setattr(pm, "REMEMBERED", 10)
     own.memory.clear()
-    own.encode(" ".join(str(k) for k in range(100)) + " " + "y" * 100)
-    assert len(own.memory) <= 10 and all(len(s) <= pm.SHORT for s in own.memory)
+    own.memory.older = {}
+    text = "often " + " ".join(f"often {k}" for k in range(100)) + " " + "y" * 100
+    assert own.encode(text).tolist() == library.encode(text)
+    assert 0 < len(own.memory) + len(own.memory.older) <= 10 and "▁often" in own.memory and all(len(s) <= pm.SHORT for s in own.memory)
 
 
 def test_documents(nasty, nasty_rows, library, monkeypatch):
     rows = pm.decode(pm.encode(nasty)).collect()
+    both = pm.encode(nasty, decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in rows) == Counter((r.doc_id, tuple(r.ids), r.decoded) for r in both)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = [(r[0], library.encode(r[1] or "")) for r in nasty_rows]
     assert sorted(((r.doc_id, list(r.ids)) for r in rows), key=key) == sorted(want, key=key)
