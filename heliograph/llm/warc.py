@@ -119,18 +119,20 @@ def parsed(rows: DataFrame, record: str = "record") -> DataFrame:
     # length; a cast keeps the bytes and substring_index looks for bytes, so no payload is decoded; both headers are ASCII apart from the URI
     head = lambda n: F.substring_index(whole.cast("string"), CRLF * 2, n).cast("binary")
     warc = F.decode(head(1), "ISO-8859-1")
-    field = lambda name: F.regexp_extract(F.col("_warc"), rf"(?m)^{name}: ?([^\r\n]*)\r?$", 1)
-    rows = rows.select(warc.alias("_warc"), F.octet_length(head(2)).alias("_head"), F.length(warc).alias("_first"), whole.alias("_record"))
+    # a field is a line that begins with its name, and lines end with CR LF alone: other line ends of Unicode are part of a value
+    field = lambda name: F.ltrim(F.substring(F.coalesce(F.get(F.filter(F.col("_fields"), lambda x: F.lower(F.substring(x, 1, len(name) + 1)) == f"{name.lower()}:"), F.lit(0)), F.lit("")), len(name) + 2, 1 << 30))
+    rows = rows.select(F.split(warc, CRLF).alias("_fields"), F.octet_length(head(2)).alias("_head"), F.length(warc).alias("_first"), whole.alias("_record"))
     rows = rows.select("*", field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest").alias("_sha1"), field("WARC-Payload-Length").cast("long").alias("payload_bytes"), field("Content-Length").cast("long").alias("_block"))
     rows = rows.withColumn("payload", F.when(F.col("record_type") == "response", F.expr("substring(_record, _head + 5)")))
     own = F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))
     good = F.col("payload").isNull() | ((own == F.col("_sha1")) & (F.octet_length("payload") == F.col("payload_bytes")) & (F.octet_length("_record") - F.col("_first") - 4 == F.col("_block")))
-    page = F.regexp_extract(F.col("_warc"), r"(?m)^WARC-Record-ID: <urn:page:([^:>]*):", 1)
-    refers = F.regexp_extract(F.col("_warc"), r"(?m)^WARC-Refers-To: <urn:page:([^:>]*):", 1)
+    page, refers = (F.regexp_extract(field(name), "^<urn:page:([^:>]*):", 1) for name in ("WARC-Record-ID", "WARC-Refers-To"))
+    # a filter, so that the check holds whatever columns are asked for
+    rows = rows.filter(F.coalesce(good, F.lit(False)) | F.raise_error(F.lit("record does not match its digest or length")).cast("boolean"))
     return rows.select(
         F.when(page != "null", page).cast("long").alias("page_id"),
         "payload_bytes",
-        F.when(good, F.substring(F.col("_sha1"), 6, 32)).otherwise(F.raise_error(F.lit("record does not match its digest or length"))).alias("payload_digest"),
+        F.substring(F.col("_sha1"), 6, 32).alias("payload_digest"),
         "record_type",
         F.when((F.col("record_type") == "revisit") & (refers != "null"), refers).cast("long").alias("refers_to"),
         F.decode(F.encode(field("WARC-Target-URI"), "ISO-8859-1"), "UTF-8").alias("url"),

@@ -126,3 +126,30 @@ def test_long_urls(spark, size):
 
 def test_empty(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("mark", ["Å", "\x85", "\u2028", "\x0b", "\x0c", "%0A", "\r", "\n", "\r\n"])
+def test_a_url_forges_no_field(spark, mark):
+    """Whatever a url holds, the fields are the record's own, also where a single column is asked for."""
+    names = ["WARC-Type", "WARC-Payload-Length", "WARC-Payload-Digest", "WARC-Record-ID", "WARC-Refers-To", "Content-Length", "WARC-Target-URI"]
+    rows = [(k, f"http://x/{mark}{name}: 7{mark}", f"page {k}") for k, name in enumerate(names)] + [(10, f"{mark}WARC-Type: response", "page 0")]
+    df = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    asked = {r.page_id: r for r in df.collect()}
+    assert {k: r.payload_bytes for k, r in asked.items()} == {k: 6 for k, _, _ in rows}
+    assert {k: r.refers_to for k, r in asked.items() if r.record_type == "revisit"} == {0: 10}
+    assert {k: r.url for k, r in asked.items()} == {k: url.replace("\r", "%0D").replace("\n", "%0A") for k, url, _ in rows}
+    assert Counter(tuple(r) for r in df.select("page_id", "payload_bytes").collect()) == Counter((k, 6) for k, _, _ in rows)
+
+
+def test_a_record_that_lies_is_found_whatever_is_asked(spark):
+    """The check holds for a projection without the digest."""
+    good = warc.records(spark, _written(spark)).head()["record"]
+    lie = spark.createDataFrame([(bytes(good).replace(b"WARC-Payload-Length: ", b"WARC-Payload-Length: 1"),)], "record binary")
+    with pytest.raises(Exception, match="does not match its digest or length"):
+        warc.parsed(lie).select("page_id").collect()
+
+
+def _written(spark):
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/lie"
+    warc.write(spark.createDataFrame([(1, "u", "some text")], "page_id long, url string, html string"), folder)
+    return folder
