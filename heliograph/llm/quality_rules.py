@@ -52,6 +52,8 @@ _LINKS = (
     r"compartir|suscribirse|s[íÍ]guenos|(leer|ver|mostrar|cargar) m[áÁ]s|mapa del sitio|ayuda|imprimir|comentarios?|haga clic aqu[íÍ]|saltar al contenido|aviso legal"
 )
 NAVIGATION = rf"(?i)^\W*({_LINKS})(\W+({_LINKS}))*\W*$"
+#: the same for Java, whose engine takes a stack frame for each turn of a group that may be given back; this one keeps what it has, as each link ends with its word
+NAVIGATION_KEPT = rf"(?i)^\W*(?:{_LINKS})(?!\w)(?:\W+(?:{_LINKS})(?!\w))*+\W*$"
 BOILERPLATE = (
     r"(?i)(\bcookie (policy|settings|notice)|\b(uses|accept( all)?) cookies\b|\bprivacy policy\b|\bterms (of|and) (use|service|conditions)\b|"
     r"\ball rights reserved\b|©|\bcopyright (\(c\)|\d{4})|\blorem ipsum\b|\benable javascript\b|\bjavascript is (disabled|required)\b|"
@@ -149,7 +151,7 @@ def line_fails(line: Column, visible: Column) -> Column:
     noisy = _count(line, NOISE) - FREE_MARKS > visible * F.lit(NOISE_SHARE)
     open_end = ~_closed(line) & ~line.rlike(f"^{SPACE}*({WORD}+{SPACE}+){{{SHORT_LINE - 1}}}{WORD}") & ~line.rlike(LONG_UNSPACED)
     cued = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(c) for c in CUES]))
-    return noisy | open_end | line.rlike(NAVIGATION) | (cued & line.rlike(BOILERPLATE))
+    return noisy | open_end | line.rlike(NAVIGATION_KEPT) | (cued & line.rlike(BOILERPLATE))
 
 
 def _judged(line: Column) -> Column:

@@ -115,3 +115,30 @@ def test_empty_and_native(nothing, nasty):
     assert qr.clean_lines(nothing).collect() == []
     assert "Python" not in qr.clean_lines(nasty)._jdf.queryExecution().toString()
     assert "tag" in qr.clean_lines(nasty, keep=("tag",)).columns
+
+
+@pytest.mark.parametrize("unit", ["home ", "read more \u00b7 ", "contacto, Zurück-"])
+def test_long_lines_of_menu_words(spark, unit):
+    """A megabyte of links on one line is a line of navigation, with and without a word that is none."""
+    many = unit * (1_000_000 // len(unit))
+    rows = [(1, "\n".join([*LINES, many])), (2, "\n".join([*LINES, many + "unlike any of the words above it is."]))]
+    got = {r.doc_id: r for r in qr.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].cleaned_text.split("\n") == LINES
+    assert len(got[2].cleaned_text) > 900_000
+
+
+def test_both_patterns_agree(spark):
+    """The pattern for Java says what the one for RE2 says, over strings of links, halves of links, and separators."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(4)
+    words = "home menu search searchs contact contacto contactez-nous contact us us about back back to top top log in login sign up weiter weiterlesen zurück nach oben über uns menü menüs accueil à propos volver arriba volver más leer más rss homepage x next".split(" ")
+    rows = [("".join(rng.choice([" ", " | ", "-", "", "/", "é"]) + rng.choice(words) for _ in range(rng.randrange(1, 6))),) for _ in range(4000)]
+    got = spark.createDataFrame(rows, "x string").select("x", F.col("x").rlike(qr.NAVIGATION_KEPT).alias("y")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", rows)
+    want = dict(con.execute("SELECT x, regexp_matches(x, ?) FROM t", [qr.NAVIGATION]).fetchall())
+    assert 100 < sum(r.y for r in got) and [(r.x, r.y) for r in got if r.y != want[r.x]] == []
