@@ -19,14 +19,15 @@ from pyspark.sql import types as T
 
 from ..functions import images as I
 from ..functions.text import composed, search_name
-from ..schema import APPEARANCE_VERSION, APPEARANCES, CURRENT_MODELS, FOLDERS, ITEMS, TEXT_COLUMNS, THUMBNAILS, Catalog
+from ..schema import APPEARANCE_VERSION, APPEARANCES, CURRENT_MODELS, FOLDERS, ITEMS, THUMBNAILS, Catalog
 from ..sources import files as S
-from . import dml, indexing, labels, lexical, stats
+from . import dml, indexing, labels, stats
+from .segments import Segments, changes
 from .versions import Versions
 
-POSTINGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("term", T.StringType())])
-LENGTHS = T.StructType([T.StructField("id", T.LongType()), T.StructField("length", T.LongType())])
-TABLES = {"items": ITEMS, "appearances": APPEARANCES, "thumbnails": THUMBNAILS, "folders": FOLDERS, "postings": POSTINGS, "lengths": LENGTHS}
+TABLES = {"appearances": APPEARANCES, "thumbnails": THUMBNAILS, "folders": FOLDERS}
+#: how a state names its segments, before their place
+SEGMENT = "segment-"
 FILES_A_BATCH = 5_000
 #: images that a model is given at once (fixed value)
 EMBED_BATCH = 16
@@ -36,8 +37,8 @@ DESCRIPTOR = 512
 class Library:
     """The tables below a folder, which change together; one writer at a time.
 
-    The full-text index (``postings`` in the order of terms, ``lengths``) goes with
-    the items: it is made anew for those alone whose texts change.
+    Items and their full-text index lie in ``segments``, so an edit writes the rows that it touches; the
+    other tables are written whole.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -47,37 +48,52 @@ class Library:
         if missing:
             self.versions.publish(**missing)
 
+    def _segments(self, state: dict[str, str]) -> Segments:
+        return Segments(self.spark, tuple(f"{self.root}/{state[name]}" for name in sorted(state) if name.startswith(SEGMENT)))
+
+    def segments(self) -> Segments:
+        return self._segments(self.versions.current()[1])
+
     def table(self, name: str) -> DataFrame:
-        return self.versions.table(name, TABLES[name])
+        return self.segments().items() if name == "items" else self.versions.table(name, TABLES[name])
 
     def catalog(self) -> Catalog:
         """All tables of one state."""
-        folders = self.versions.current()[1]
-        t = {name: self.spark.read.schema(schema).parquet(f"{self.root}/{folders[name]}") for name, schema in TABLES.items()}
-        return Catalog(t["items"], t["appearances"], t["thumbnails"], t["folders"], lexical.Index(t["postings"], t["lengths"]))
+        state = self.versions.current()[1]
+        t = {name: self.spark.read.schema(schema).parquet(f"{self.root}/{state[name]}") for name, schema in TABLES.items()}
+        own = self._segments(state)
+        return Catalog(own.items(), t["appearances"], t["thumbnails"], t["folders"], own.index() if own.folders else None)
 
     def stage(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
         return self.versions.stage(name, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]))
 
+    def stage_items(self, items: DataFrame, touched: DataFrame | None = None) -> Segments:
+        """The segments with one more for the items that differ from the present ones (touched: id and texts of those, where they are known)."""
+        own = self.segments()
+        if touched is None:
+            touched = changes(own.items(), items).persist()
+            if touched.isEmpty():
+                touched.unpersist()
+                return own
+        out = own.append(f"{self.root}/segments", items, touched)
+        touched.unpersist()
+        return out
+
     def publish(self, **tables: DataFrame) -> None:
         """Make new versions of some tables current, all at once; with the items goes their index."""
-        self.commit({name: self.stage(name, df) for name, df in tables.items()})
-
-    def commit(self, staged: dict[str, tuple[str, DataFrame]]) -> None:
-        """Make staged tables current, all at once, and the index of the items with them."""
-        if "items" in staged:
-            staged = staged | self._reindexed(self.table("items"), staged["items"][1])
-        self.versions.commit({name: folder for name, (folder, _) in staged.items()})
-
-    def _reindexed(self, old: DataFrame, new: DataFrame) -> dict[str, tuple[str, DataFrame]]:
-        text = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c, _ in TEXT_COLUMNS])
-        both = old.select("id", text.alias("a")).join(new.select("id", text.alias("b")), "id", "full")
-        changed = both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("id")
-        if changed.limit(1).count() == 0:
-            return {}
-        fresh = new.join(changed, "id", "left_semi")
-        lengths = self.table("lengths").join(changed, "id", "left_anti").unionByName(lexical.lengths(fresh))
-        return {"postings": self.stage("postings", lexical.sorted_postings(lexical.updated_postings(self.table("postings"), new, changed))), "lengths": self.stage("lengths", lengths)}
+        items = tables.pop("items", None)
+        self.commit({name: self.stage(name, df) for name, df in tables.items()}, None if items is None else self.stage_items(items))
+
+    def commit(self, staged: dict[str, tuple[str, DataFrame]], segments: Segments | None = None) -> None:
+        """Make staged tables and segments current, all at once."""
+        folders: dict[str, str | None] = {name: folder for name, (folder, _) in staged.items()}
+        if segments is not None:
+            made = segments.compacted(f"{self.root}/segments")
+            folders |= {name: None for name in self.versions.current()[1] if name.startswith(SEGMENT)}
+            folders |= {f"{SEGMENT}{k:06d}": f.removeprefix(f"{self.root}/") for k, f in enumerate(made.folders)}
+            for folder in set(segments.folders) - set(made.folders) - set(self.segments().folders):  # merged before any state named it
+                self.versions.delete(folder.removeprefix(f"{self.root}/"))
+        self.versions.commit(folders)
 
     @contextmanager
     def writer(self) -> Iterator[None]:
@@ -111,13 +127,19 @@ class Library:
             names = ("items", "appearances", "thumbnails", "folders")
             self.publish(**dict(zip(names, dml.remove_folder(c.items, c.appearances, c.thumbnails, c.folders, S.canonical(self.spark, folder)), strict=True)))
 
-    def set_notes(self, item: int, notes: str) -> None:
+    def _edit(self, item: int, texts: bool, change: Callable[[DataFrame], DataFrame]) -> None:
         with self.writer():
-            self.publish(items=dml.set_notes(self.table("items"), F.col("id") == item, F.lit(notes)))
+            row = self.table("items").filter(F.col("id") == item)
+            new = change(row).persist()
+            if not new.isEmpty():
+                self.commit({}, self.stage_items(new, new.select("id", F.lit(texts).alias("texts"))))
+            new.unpersist()
+
+    def set_notes(self, item: int, notes: str) -> None:
+        self._edit(item, True, lambda row: dml.set_notes(row, F.col("id") == item, F.lit(notes)))
 
     def set_favorite(self, item: int, favorite: bool) -> None:
-        with self.writer():
-            self.publish(items=dml.set_favorite(self.table("items"), F.col("id") == item, F.lit(favorite)))
+        self._edit(item, False, lambda row: dml.set_favorite(row, F.col("id") == item, F.lit(favorite)))
 
 
 LOOKED = T.StructType(
@@ -282,8 +304,8 @@ class Indexer:
             gone = c.items.join(reachable, "folder", "left_semi").join(seen, ["folder", "path"], "left_anti").limit(1).count() > 0
             items = left
         if waiting or gone:
-            staged = {"items": lib.stage("items", items)}
-            items = staged["items"][1]
+            staged, segments = {}, lib.stage_items(items)
+            items = segments.items()
             if waiting:
                 offered = good.select("path", "modified", "bytes", F.lit(APPEARANCE_VERSION).alias("version"), "descriptor")
                 appearances = dml.guarded_replace(appearances, items, offered)
@@ -291,7 +313,7 @@ class Indexer:
                 thumbnails = dml.prune_thumbnails(thumbnails, items)
             staged["appearances"] = lib.stage("appearances", dml.cascade(appearances, items))
             staged["thumbnails"] = lib.stage("thumbnails", thumbnails)
-            lib.commit(staged)
+            lib.commit(staged, segments)
         lib.versions.delete("pending")
 
     def _rows(self, new: DataFrame) -> DataFrame:

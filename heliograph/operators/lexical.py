@@ -3,7 +3,7 @@
 Two ways give the same evidence.  ``evidence`` scans: a row's tokens are an array
 per column, made where a word of the query is somewhere in the row's text, so
 matching and scoring are row-local.  ``Index`` holds the tokens as postings in the
-order of terms, as a library publishes them; a query reads those of its terms alone.
+order of terms, as ``segments`` keeps them; a query reads those of its terms alone.
 Either way the corpus statistics and the best score, a row of numbers each, come to the driver
 first, so that the plan of the answer reads its source once.
 """
@@ -104,11 +104,6 @@ def matched(rows: DataFrame, terms: list[Term]) -> DataFrame:
     return out.withColumns({"_all": _all([F.col(f"_h{i}") > 0 for i in range(len(terms))]), "trusted": _all([F.col(f"_r{i}") for i in range(len(terms))])})
 
 
-def _having(n: int) -> list[Column]:
-    """The number of rows that match each term."""
-    return [F.coalesce(F.sum((F.col(f"_h{i}") > 0).cast("long")), F.lit(0)).alias(f"n{i}") for i in range(n)]
-
-
 def _relevance(n: int, mean: float, having: list[int]) -> Column:
     """BM25 of a matched row, from the number of rows, their mean length, and the rows that have each term."""
     score: Column = F.lit(0.0)
@@ -149,41 +144,61 @@ def evidence(items: DataFrame, terms: list[Term], scope: Column | None = None, o
 
 @dataclass(frozen=True)
 class Index:
-    """postings (id, col, pos, term), best in the order of terms, and the length (id, length) of every item."""
+    """postings (id, col, pos, term), best in the order of terms, and the length (id, length) of every item.
+
+    Postings of segments also have the item's length and the segment's number (seq); totals is then the number
+    of items and tokens (n, tokens, one row), and replaced the ids whose older postings are void (id, last).
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    totals: DataFrame | None = None
+    replaced: DataFrame | None = None
 
     def _hits(self, term: Term) -> DataFrame:
-        """id and col of every hit of a term."""
-        first = self.postings.filter(F.col("term").startswith(term.words[0]) if term.prefix else F.col("term") == term.words[0]).select("id", "col", "pos")
+        """id and col of every hit of a term, with what else the postings tell."""
+        more = [c for c in ("seq", "length") if c in self.postings.columns]
+        first = self.postings.filter(F.col("term").startswith(term.words[0]) if term.prefix else F.col("term") == term.words[0]).select("id", "col", "pos", *more)
         for k, word in enumerate(term.words[1:], 1):
-            after = self.postings.filter(F.col("term") == word).select("id", "col", (F.col("pos") - k).alias("pos"))
-            first = first.join(after, ["id", "col", "pos"], "left_semi")
-        return first.select("id", "col")
+            after = self.postings.filter(F.col("term") == word).select("id", "col", (F.col("pos") - k).alias("pos"), *more[:1])
+            first = first.join(after, ["id", "col", "pos", *more[:1]], "left_semi")
+        return first.select("id", "col", *more)
 
-    def evidence(self, terms: list[Term], ids: DataFrame | None = None) -> DataFrame:
-        """id, relevance, trusted and lexical of the items that match; ids: those in scope."""
+    def _matches(self, terms: list[Term]) -> DataFrame:
+        """id, hits by term (_h0 and so on, weighted in _f0, whether in trusted columns in _r0) and _length of the items with a hit."""
         every = reduce(lambda a, b: a.unionByName(b), [self._hits(t).withColumn("i", F.lit(i)) for i, t in enumerate(terms)])
+        if self.replaced is not None:
+            every = every.join(self.replaced, "id", "left").filter(F.col("last").isNull() | (F.col("seq") >= F.col("last")))
         weight = reduce(lambda x, y: x.when(F.col("col") == y[0], F.lit(y[1])), TEXT_COLUMNS[1:], F.when(F.col("col") == TEXT_COLUMNS[0][0], F.lit(TEXT_COLUMNS[0][1])))
         sums = []
         for i in range(len(terms)):
             own = F.col("i") == i
             sums += [F.count(F.when(own, 1)).alias(f"_h{i}"), F.coalesce(F.sum(F.when(own, weight)), F.lit(0.0)).alias(f"_f{i}"), (F.count(F.when(own & F.col("col").isin(*TRUSTED_COLUMNS), 1)) > 0).alias(f"_r{i}")]
-        rows = every.groupBy("id").agg(*sums)
-        having = rows.agg(*_having(len(terms))).head()
-        corpus = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).head()
-        rows = rows.filter(_all([F.col(f"_h{i}") > 0 for i in range(len(terms))]))
-        rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
-        rows = rows.join(self.lengths.select("id", F.col("length").alias("_length")), "id")
-        rows = rows.select("id", _relevance(corpus["n"], corpus["mean"] or 1.0, list(having)).alias("relevance"), _all([F.col(f"_r{i}") for i in range(len(terms))]).alias("trusted"))
-        best = rows.agg(F.max("relevance")).head()[0]
-        return rows.withColumn("lexical", _scaled(best))
-
+        if "length" in every.columns:
+            return every.groupBy("id").agg(*sums, F.max("length").alias("_length"))
+        return every.groupBy("id").agg(*sums).join(self.lengths.select("id", F.col("length").alias("_length")), "id")
 
-def sorted_postings(rows: DataFrame) -> DataFrame:
-    """Postings in the order of terms, so that the statistics of a file's row groups tell a reader which terms are where."""
-    return rows.repartitionByRange("term").sortWithinPartitions("term", "id", "col", "pos")
+    def evidence(self, terms: list[Term], ids: DataFrame | None = None) -> DataFrame:
+        """id, relevance, trusted and lexical of the items that match; ids: those in scope."""
+        n, every = len(terms), self._matches(terms)
+        totals = self.totals if self.totals is not None else self.lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+        corpus = totals.head()
+        mean = corpus["tokens"] / corpus["n"] if corpus["tokens"] else 1.0
+        whole = _all([F.col(f"_h{i}") > 0 for i in range(n)])
+        # one pass: items that count alike are one group, whose shortest scores best
+        alike = [*[f"_f{i}" for i in range(n)], *[(F.col(f"_h{i}") > 0).cast("long").alias(f"_h{i}") for i in range(n)]]
+        groups = every.groupBy(*alike).agg(F.count(F.lit(1)).alias("rows"), F.min("_length").alias("_length")).persist()
+        having = list(groups.agg(*[F.coalesce(F.sum(F.col("rows") * F.col(f"_h{i}")), F.lit(0)) for i in range(n)]).head())
+        relevance = _relevance(corpus["n"], mean, having)
+        rows = every.filter(whole)
+        if ids is None:
+            best = groups.filter(whole).agg(F.max(relevance)).head()[0]
+        else:
+            rows = rows.join(ids.select("id"), "id", "left_semi")
+            best = rows.agg(F.max(relevance)).head()[0]
+        groups.unpersist()
+        rows = rows.select("id", relevance.alias("relevance"), _all([F.col(f"_r{i}") for i in range(n)]).alias("trusted"))
+        return rows.withColumn("lexical", _scaled(best))
 
 
 def lengths(items: DataFrame) -> DataFrame:

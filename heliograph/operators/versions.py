@@ -82,11 +82,11 @@ class Versions:
         df.write.parquet(f"{self.root}/{folder}")
         return folder, self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
 
-    def commit(self, folders: dict[str, str]) -> int:
-        """Make staged versions current, all at once; other tables stay as they are."""
+    def commit(self, folders: dict[str, str | None]) -> int:
+        """Make staged versions current, all at once; other tables stay as they are, and those without a folder go."""
         _, state = self.current()
         number = max(self._states(), default=0) + 1
-        if not self.create(f"states/{number:012d}", json.dumps({**state, **folders})):
+        if not self.create(f"states/{number:012d}", json.dumps({name: at for name, at in {**state, **folders}.items() if at})):
             raise RuntimeError(f"{self.root} was changed by another writer")
         self._sweep()
         return number
