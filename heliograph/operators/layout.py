@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: inputs below the first are not worth a shuffle; above the second, for each core, a table has as many splits as there is work
 LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables go that a session makes for itself: the folder that driver and executors share.  Only a local session may go without the setting."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="heliograph-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, bytes and time of change of the files of a table: what tells one version of it from another."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listing = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while listing.hasNext():
+        f = listing.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables that a frame reads, as the optimiser knows them (a table of unknown size counts as huge)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

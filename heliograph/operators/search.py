@@ -26,7 +26,7 @@ from ..schema import (
     Similarity,
     Sort,
 )
-from . import filters
+from . import filters, pages
 from .lexical import Index, analysed, evidence, lexical
 
 EXACT_NAME = 0.65
@@ -179,8 +179,8 @@ def page(rows: DataFrame, by: list[Column], offset: int, limit: int) -> DataFram
 class Searcher:
     """Searches over a catalog, with cursors that stay on one snapshot of the results.
 
-    A cursor's matches are kept by Spark until another search replaces them;
-    later pages are top-k queries over them.  keep_tokens: also keep the token
+    The first page is a bounded top-k.  Who asks for a second has the matches stored in order, with
+    a directory of their parts, until another search replaces them; a page then reads its own part.  keep_tokens: also keep the token
     arrays of the items, for a session of many text searches.  A catalog with
     an index is searched by that.
     """
@@ -191,12 +191,17 @@ class Searcher:
         self.latest = 0
         self._cursors = itertools.count(1)
         self._last: tuple[SearchRequest, SearchResult, DataFrame, list[Column]] | None = None
+        self._pages: pages.Directory | None = None
+
+    def close(self) -> None:
+        """Forget the results so far."""
+        if self._pages:
+            self._pages.forget()
+        self._last = self._pages = None
 
     def reload(self, catalog: Catalog | None = None) -> None:
         """Forget the results so far, and use another snapshot of the catalog."""
-        if self._last:
-            self._last[2].unpersist()
-        self._last = None
+        self.close()
         self._use(catalog or self.catalog)
 
     def _use(self, catalog: Catalog) -> None:
@@ -276,15 +281,15 @@ class Searcher:
                 matches, ranks, status = self.plan(request)
             except ValueError as e:
                 return SearchResult(request.generation, 0, 0, 0, False, str(e), None, True, (time.monotonic() - began) * 1000)
-            if last:
-                last[2].unpersist()
-            kept = matches.persist()
+            self.close()
             by = order(request, ranks or bool(request.text))
-            result = SearchResult(request.generation, next(self._cursors), 0, kept.count(), ranks, status())
-            self._last = last = (request, result, kept, by)
-        _, result, kept, by = last
+            result = SearchResult(request.generation, next(self._cursors), 0, matches.count(), ranks, status())
+            self._last = last = (request, result, matches, by)
+        _, result, matches, by = last
         offset = min(request.offset, result.total) if goes_on else 0
-        rows = page(kept, by, offset, request.limit)
+        if goes_on and self._pages is None:
+            self._pages = pages.stored(matches, by)
+        rows = self._pages.page(offset, request.limit) if goes_on else page(matches, by, 0, request.limit)
         return replace(result, generation=request.generation, offset=offset, page=rows, elapsed_ms=(time.monotonic() - began) * 1000)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters, search
+from ..operators.layout import shared_folder
 from ..operators.lexical import indexed, lexical
 from ..schema import DIMENSIONS, Mode, Orientation, SearchRequest, Similarity, Sort
 from ..sources import catalog as C
@@ -27,7 +28,7 @@ def _embedder(spark: SparkSession, d: str) -> search.FixedEmbedder:
 
 
 def _page(spark: SparkSession, d: str, request: SearchRequest, columns: tuple[str, ...] = ("id", "name", "score", "reason"), paged: bool = True) -> DataFrame:
-    searcher = search.Searcher(C.catalog(spark, d), _embedder(spark, d) if request.text and request.mode is not Mode.TEXT and not request.has_reference else None)
+    searcher = search.Searcher(C.catalog(spark, d, index=bool(request.text)), _embedder(spark, d) if request.text and request.mode is not Mode.TEXT and not request.has_reference else None)
     rows, ranks, _ = searcher.plan(request)
     if paged:
         rows = search.page(rows, search.order(request, ranks or bool(request.text)), request.offset, request.limit)
@@ -92,7 +93,7 @@ _FILE = SearchRequest(reference_path="/outside/picture.png", query="red", simila
 @query(S.search(_FILE, _VECTOR))
 def similar_by_file(spark: SparkSession, d: str) -> DataFrame:
     """A picture outside of the catalog, embedded on the way."""
-    rows = C.catalog(spark, d)
+    rows = C.catalog(spark, d, index=True)
     own = search.semantic(rows).filter("id = 0").select("vector").head()["vector"]
     searcher = search.Searcher(rows, search.FixedEmbedder({_FILE.reference_path: list(own)}))
     found, ranks, _ = searcher.plan(_FILE)
@@ -102,7 +103,7 @@ def similar_by_file(spark: SparkSession, d: str) -> DataFrame:
 @query(S.search(_VISUAL))
 def visual_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Without a vector for the query the text decides."""
-    searcher = search.Searcher(C.catalog(spark, d))
+    searcher = search.Searcher(C.catalog(spark, d, index=True))
     rows, ranks, _ = searcher.plan(_VISUAL)
     return search.page(rows, search.order(_VISUAL, True), 0, _VISUAL.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
 
@@ -152,7 +153,7 @@ def page_second(spark: SparkSession, d: str) -> DataFrame:
     """A continuation through a cursor, as a caller would ask for it."""
     from dataclasses import replace
 
-    searcher = search.Searcher(C.catalog(spark, d))
+    searcher = search.Searcher(C.catalog(spark, d, index=True))
     first = searcher.search(replace(_SECOND, offset=0))
     rows = searcher.search(replace(_SECOND, cursor=first.cursor)).page
     return rows.select("id", "name", F.round("score", 6).alias("score"))
@@ -166,7 +167,7 @@ def page_walk(spark: SparkSession, d: str) -> DataFrame:
     """Three pages of one cursor: no row twice, none left out."""
     from dataclasses import replace
 
-    searcher, request = search.Searcher(C.catalog(spark, d)), replace(_WALK, limit=20)
+    searcher, request = search.Searcher(C.catalog(spark, d, index=True)), replace(_WALK, limit=20)
     first = searcher.search(request)
     pages = [first.page, *(searcher.search(replace(request, offset=k, cursor=first.cursor)).page for k in (20, 40))]
     return reduce(lambda a, b: a.unionByName(b), [p.select("id") for p in pages])
@@ -198,7 +199,7 @@ _REL = "id, round(relevance, 6) AS relevance"
 
 
 def _lexical(spark: SparkSession, d: str, q: str, mode: Mode = Mode.HYBRID, scope=None) -> DataFrame:
-    return lexical(C.items(spark, d), q, mode, scope)
+    return lexical(C.items(spark, d), q, mode, scope, index=C.indexed(spark, d).index())
 
 
 @query(_lexical_sql("red the", _REL))
@@ -206,6 +207,18 @@ def lexical_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, "red the").select("id", F.round("relevance", 6).alias("relevance"))
 
 
+@query(_lexical_sql("red the", _REL))
+def lexical_scanned(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: the texts are folded and counted on the way."""
+    return lexical(C.items(spark, d), "red the").select("id", F.round("relevance", 6).alias("relevance"))
+
+
+@query(S.search(_TEXT))
+def text_search_scanned(spark: SparkSession, d: str) -> DataFrame:
+    rows, ranks, _ = search.Searcher(C.catalog(spark, d)).plan(_TEXT)
+    return search.page(rows, search.order(_TEXT, True), 0, _TEXT.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
+
+
 @query(_lexical_sql("red good", _REL, Mode.TEXT))
 def lexical_and(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, "red good", Mode.TEXT).select("id", F.round("relevance", 6).alias("relevance"))
@@ -238,6 +251,23 @@ def lexical_indexed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round("relevance", 6).alias("relevance"), "trusted", F.round("lexical", 6).alias("lexical"))
 
 
+_REWRITTEN = f"(SELECT * REPLACE (CASE WHEN id % 20 = 3 THEN 'red note' WHEN id % 20 = 5 THEN '' ELSE notes END AS notes, CASE WHEN id % 20 = 5 THEN '' ELSE ocr END AS ocr) FROM ({C.ITEMS_SQL}) WHERE id % 20 <> 4)"
+
+
+@query(f"WITH items AS {_REWRITTEN}, {S.lexical('\"of the\" re*', Mode.TEXT, 'true')} SELECT {_REL}, trusted, round(lexical, 6) AS lexical FROM lex")
+def lexical_segments(spark: SparkSession, d: str) -> DataFrame:
+    """From the stored index, three segments of edits and the merge of two of them: some items gone, some with another note, some emptied."""
+    items = C.items(spark, d).drop("embedding").withColumn("embedding", F.lit(None).cast("array<float>"))
+    root, here = f"{shared_folder(spark)}/text-index", F.col("id") % 20
+    touched = lambda k: items.filter(here == k).select("id", F.lit(True).alias("texts"))
+    noted = items.withColumn("notes", F.when(here == 3, F.lit("red note")).otherwise(F.col("notes")))
+    emptied = noted.withColumns({"notes": F.when(here == 5, F.lit("")).otherwise(F.col("notes")), "ocr": F.when(here == 5, F.lit("")).otherwise(F.col("ocr"))})
+    edited = C.indexed(spark, d).append(root, items.limit(0), touched(4), keep_items=False).append(root, noted, touched(3), keep_items=False)
+    index = edited.merged(1, root, keep_items=False).append(root, emptied, touched(5), keep_items=False).index()
+    rows = lexical(items, '"of the" re*', Mode.TEXT, index=index)
+    return rows.select("id", F.round("relevance", 6).alias("relevance"), "trusted", F.round("lexical", 6).alias("lexical"))
+
+
 @query(_lexical_sql("pla*", _REL))
 def lexical_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, "pla*").select("id", F.round("relevance", 6).alias("relevance"))

@@ -5,9 +5,13 @@ The same SQL text makes the view in Spark and in the SQL that checks it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import search_name
+from ..operators.layout import files, shared_folder
+from ..operators.segments import Segments, built
 from ..schema import Catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,6 +34,8 @@ FROM items i JOIN embeddings e ON e.vec_id = i.id WHERE i.id % 3 <> 0"""
 THUMBNAILS_SQL = "SELECT concat('thumb:', cast(doc_id AS varchar(20))) AS key, encode(concat('preview ', cast(doc_id AS varchar(20)))) AS data FROM documents"
 FOLDERS_SQL = "SELECT DISTINCT concat('/lib/', source) AS path FROM documents"
 
+_indexes: dict[tuple[str, str], Segments] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +59,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("search_name", search_name("name")).select(*names[:4], "search_name", *names[4:])
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> Segments:
+    """The full-text index of the items, which lies in the session's shared folder: made where the session has none of the tables' present files.
+
+    The first who asks pays for it, as a scan would when it saves; later queries read the postings of their terms.
+    """
+    used = [files(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "part", "labels")]
+    key = (spark.sparkContext.applicationId, hashlib.sha256(repr(used).encode()).hexdigest())
+    if key not in _indexes:
+        _indexes[key] = built(spark, f"{shared_folder(spark)}/text-index", items(spark, sf_dir).drop("embedding"))
+    return Segments(spark, _indexes[key].folders)
+
+
 def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, APPEARANCES_SQL, items=run_sql(spark, sf_dir, ITEMS_SQL))
 
@@ -61,5 +79,6 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, THUMBNAILS_SQL.replace("20)))) AS data", "20))), 'UTF-8') AS data"))
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog(items(spark, sf_dir), appearances(spark, sf_dir), thumbnails(spark, sf_dir), run_sql(spark, sf_dir, FOLDERS_SQL))
+def catalog(spark: SparkSession, sf_dir: str, index: bool = False) -> Catalog:
+    """The tables; index: with the full-text index, else texts are searched by a scan."""
+    return Catalog(items(spark, sf_dir), appearances(spark, sf_dir), thumbnails(spark, sf_dir), run_sql(spark, sf_dir, FOLDERS_SQL), indexed(spark, sf_dir).index() if index else None)
