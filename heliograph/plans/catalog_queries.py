@@ -177,9 +177,19 @@ def stage_timings(spark: SparkSession, d: str) -> DataFrame:
     return stats.stage_timings(table(spark, d, "events"), "event_type", "value").withColumn("ms", F.round("ms", 6))
 
 
+def _tree_sql() -> str:
+    """The levels of a digest's tree, one SELECT each."""
+    out, below = [], "r"
+    for depth in range(stats.LEVELS + 1):
+        above = f"k >> {stats.BITS}" if depth < stats.LEVELS else "0::BIGINT"
+        out.append(f"l{depth} AS (SELECT part, up AS k, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM (SELECT *, {above} AS up FROM {below}) GROUP BY part, up)")
+        below = f"l{depth}"
+    return ", ".join(out)
+
+
 @query(
-    """WITH r AS (SELECT doc_id % 8 AS part, doc_id, sha256(encode(concat(octet_length(encode(source)), ':', source, octet_length(encode(text)), ':', text))) AS h FROM documents)
-    SELECT part, count(*) AS n, sha256(string_agg(h, '' ORDER BY doc_id)) AS digest FROM r GROUP BY part"""
+    f"""WITH e AS (SELECT doc_id % 8 AS part, doc_id AS k, sha256(encode(concat(octet_length(encode(source)), ':', source, octet_length(encode(text)), ':', text))) AS h FROM documents),
+    r AS (SELECT part, k, concat(h, ':', count(*)) AS h, count(*) AS n FROM e GROUP BY part, k, e.h), {_tree_sql()} SELECT part, n, h AS digest FROM l{stats.LEVELS}"""
 )
 def result_digest(spark: SparkSession, d: str) -> DataFrame:
     return stats.result_digest(table(spark, d, "documents"), "doc_id", ["source", "text"], F.col("doc_id") % 8)

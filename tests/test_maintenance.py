@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,37 @@ def test_order_statistics(spark):
     assert got == {"a": (7, s[3], s[6], s[5]), "b": (1, 4.0, 4.0, 4.0)}
 
 
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_hot_groups_are_selected_from_in_passes(spark, monkeypatch, kind):
+    """Ranges are narrowed until few values are left; the plain groups beside them, ties, one value alone, and null groups."""
+    monkeypatch.setattr(stats, "LEAST_HOT", 100)
+    monkeypatch.setattr(stats, "HOT", 8)
+    monkeypatch.setattr(stats, "FEW", 10)
+    rng = random.Random(3)
+    rows = [("hot", rng.gauss(0, 1000)) for _ in range(5000)] + [(None, float(rng.randrange(4))) for _ in range(4000)] + [("same", 7.0)] * 3000 + [("tied", float(rng.choice([1, 1, 1, rng.randrange(1000)]))) for _ in range(3000)]
+    rows += [("cold", float(k)) for k in range(90)] + [("cold", None), ("one", -1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").select("k", F.col("v").cast(kind).alias("v")).repartition(5)
+    picks = {"p50": stats.p50(), "p95": stats.p95(), "last": stats.p95_of_last(), "least": F.lit(0), "most": F.col("n") - 1}
+    got = {r.k: tuple(r)[1:] for r in stats.ranked_values(df, "v", ("k",), picks).collect()}
+    for k in ("hot", None, "same", "tied", "cold", "one"):
+        s = sorted(v if kind == "double" else int(v) for g, v in rows if g == k and v is not None)
+        n = len(s)
+        assert got[k] == (n, s[n // 2], s[int(n * 0.95)], s[(n - 1) * 95 // 100], s[0], s[-1]), k
+    whole = stats.ranked_values(df.filter("k = 'hot'"), "v", (), picks).head()
+    assert tuple(whole) == got["hot"]
+
+
+def test_digest_is_a_tree_over_keys(spark):
+    """The same from any partitioning; other at any change; equal rows count; keys of both signs."""
+    rng = random.Random(1)
+    rows = [(rng.randrange(-(2**62), 2**62), str(k), None) for k in range(200)] + [(k, "dense", "x") for k in range(-50, 50)] + [(5, "twin", ""), (5, "twin", "")]
+    digest = lambda rows, parts=1: tuple(stats.result_digest(spark.createDataFrame(rows, "id long, a string, b string").repartition(parts), "id", ["a", "b"], F.lit(1)).head())
+    first = digest(rows)
+    assert first[1] == len(rows) and digest(rows, 7) == digest(rows[::-1], 3) == first
+    assert len({first[2], digest(rows[:-1])[2], digest([(rows[1][0], *rows[0][1:]), (rows[0][0], *rows[1][1:]), *rows[2:]])[2], digest([*rows[:-1], (5, "twin", "y")])[2]}) == 4
+    assert stats.result_digest(spark.createDataFrame([], "id long, a string"), "id", ["a"], F.lit(1)).collect() == []
+
+
 def test_digest_depends_on_order_and_bounds(spark):
     digest = lambda rows: stats.result_digest(spark.createDataFrame(rows, "id int, a string, b string"), "id", ["a", "b"], F.lit(1)).head().digest
     assert digest([(1, "x", "yz"), (2, "", "")]) == digest([(2, "", ""), (1, "x", "yz")])
