@@ -94,6 +94,62 @@ def focused_similarity(a: Column | str, b: Column | str, kind: Similarity, dimen
     return let(focused(a, kind, dimensions), lambda x: let(focused(b, kind, dimensions), lambda y: both(x, y)))
 
 
+def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are lists of so many places, and those as a matrix of doubles (a null place is no number)."""
+    vectors = vectors.cast(pa.list_(pa.float64()))
+    whole = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+    flat = vectors.filter(whole).flatten().to_numpy(zero_copy_only=False)
+    return whole.to_numpy(zero_copy_only=False), flat.reshape(-1, width)
+
+
+def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at length 1, and which of them had a direction; the others are zeros."""
+    n = np.einsum("ij,ij->i", m, m)
+    good = np.isfinite(n) & (n >= LEAST_NORM)
+    return np.where(good[:, None], m / np.sqrt(np.where(good, n, 1.0))[:, None], 0.0), good
+
+
+def scored(vector: Column | str, known: Column, query: Iterable[float], dimensions: int, kind: Similarity = Similarity.SUBJECT) -> Column:
+    """Struct of available (as ``usable``, where known holds) and score: the inner product of the vector at length 1, or of its focus, and a query; 0 where unavailable.
+
+    A batch of rows is one matrix, read once, in place of an expression for each place of a vector.
+    """
+    q = np.asarray(list(query), float)
+    spans = parts(kind, dimensions) if kind in (Similarity.SHAPE, Similarity.COLOR) else None
+
+    @F.arrow_udf("available boolean, score double")
+    def run(vectors: pa.Array, known: pa.Array) -> pa.Array:
+        whole, m = _matrix(vectors, dimensions)
+        finite = np.isfinite(m).all(axis=1)
+        unit, good = _unit(np.where(finite[:, None], m, 0.0))
+        unit = unit.astype(np.float32).astype(float)  # vectors are kept in single precision
+        if spans is not None:
+            unit = _unit(np.concatenate([unit[:, a : a + n] for a, n in spans], axis=1))[0]
+        width = min(unit.shape[1], len(q))
+        available, scores = np.zeros(len(whole), bool), np.zeros(len(whole))
+        available[whole] = good & finite
+        # not a library product: equal rows must have equal scores wherever they are in a batch
+        scores[whole] = np.einsum("ij,j->i", unit[:, :width], q[:width])
+        available &= known.fill_null(False).to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([pa.array(available), pa.array(np.where(available, scores, 0.0))], names=["available", "score"])
+
+    return run(_c(vector), known)
+
+
+def products(vector: Column | str, bank: list[list[float]]) -> Column:
+    """The inner products with each vector of a bank, to 9 places, from one matrix multiplication a batch; null where the length is another."""
+    width = len(bank[0]) if bank else 0
+    b = np.asarray(bank, float).reshape(len(bank), width)
+
+    @F.arrow_udf("array<double>")
+    def run(vectors: pa.Array) -> pa.Array:
+        whole, m = _matrix(vectors, width)
+        ends = np.r_[0, np.cumsum(np.where(whole, len(b), 0))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[~whole, False]), pa.array(np.round(m @ b.T, 9).ravel()))
+
+    return run(_c(vector))
+
+
 def unpack(blob: Column | str) -> Column:
     """Little-endian float32 bytes as array<float> (null where the length does not fit)."""
 

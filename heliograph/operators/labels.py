@@ -41,11 +41,12 @@ def mean_bank(vectors: DataFrame, label: str, vector: str, dimensions: int) -> D
 def zero_shot(items: DataFrame, bank: list[tuple[str, list[float]]], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key and labels: up to MOST names, best first, of scores of at least LEAST and within BEHIND of the best.
 
-    The bank is a fixed list of labels, so it is a constant of the plan and each
-    item is labelled row by row, without a join.  Ties go to the earlier label.
+    The bank is a fixed list of labels, so it is a constant of the plan: a batch of items is multiplied with all of it
+    at once, without a join.  Ties go to the earlier label.
     """
-    scores = F.array(*[F.struct(F.round(-V.dot(vector, V.literal(v)), 9).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, v) in enumerate(bank)])
-    best = F.slice(F.array_sort(F.filter(scores, lambda x: x["s"].isNotNull())), 1, MOST)
-    rows = items.select(key, best.alias("best"))
+    names = F.array(*[F.lit(name) for name, _ in bank]).cast("array<string>")
+    scores = F.transform(V.products(vector, [v for _, v in bank]), lambda s, i: F.struct((-s).alias("s"), i.alias("i"), F.get(names, i).alias("name")))
+    best = F.slice(F.array_sort(F.filter(scores, lambda x: ~F.isnan(x["s"]))), 1, MOST)
+    rows = items.select(key, F.coalesce(best, F.array().cast("array<struct<s:double,i:int,name:string>>")).alias("best"))
     good = F.filter("best", lambda x: -x["s"] >= F.greatest(F.lit(LEAST), -F.col("best")[0]["s"] - F.lit(BEHIND)))
     return rows.select(key, F.array_join(F.transform(good, lambda x: x["name"]), ", ").alias("labels"))

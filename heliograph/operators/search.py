@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import itertools
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..functions.text import parse_query, stem
@@ -99,6 +103,16 @@ def appearance(catalog: Catalog, similarity: Similarity = Similarity.APPEARANCE,
     return rows
 
 
+def scored(catalog: Catalog, query: list[float], similarity: Similarity = Similarity.SUBJECT, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Items with ``semantic_available`` and ``cosine`` to a query: as ``semantic`` or ``appearance`` and an inner product, in one pass over each vector."""
+    if similarity is Similarity.SUBJECT:
+        rows, vector, known = catalog.items, "embedding", F.coalesce(F.col("model").isin(*known_models()), F.lit(False))
+    else:
+        rows, vector, known = current_descriptors(catalog), "descriptor", F.lit(True)
+    rows = rows.withColumn("_v", V.scored(vector, known, query, dimensions, similarity)).drop(vector)
+    return rows.withColumns({"semantic_available": F.col("_v.available"), "cosine": F.col("_v.score")}).drop("_v")
+
+
 def availability(catalog: Catalog, dimensions: int = DIMENSIONS) -> DataFrame:
     """One row: usable vectors, those of older models among them, and items without one."""
     good = V.usable("embedding", "model", dimensions)
@@ -114,8 +128,8 @@ def exact_name(query: str) -> Column:
 def ranked(rows: DataFrame, request: SearchRequest, query_vector: list[float] | None, text_items: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """The matches of a request with ``score``, ``evidence`` and ``reason``, not yet ordered.
 
-    rows: the catalog in the form that the request needs, with ``vector`` and
-    ``semantic_available`` if there is a query vector.  The full text is searched in rows, in one pass with the
+    rows: the catalog in the form that the request needs, with ``semantic_available`` and
+    ``vector`` or ``cosine`` if there is a query vector.  The full text is searched in rows, in one pass with the
     vectors, or in text_items (analysed) or an index where these are given.
     """
     text, scope = request.text, filters.scope(request)
@@ -136,7 +150,7 @@ def ranked(rows: DataFrame, request: SearchRequest, query_vector: list[float] |
     if semantic_search:
         if request.has_reference:
             out = out.filter("semantic_available")
-        cosine = F.when(F.col("semantic_available"), V.dot("vector", V.literal(query_vector))).otherwise(F.lit(0.0))
+        cosine = F.col("cosine") if "cosine" in out.columns else F.when(F.col("semantic_available"), V.dot("vector", V.literal(query_vector))).otherwise(F.lit(0.0))
         has_vector = F.col("semantic_available")
     else:
         cosine, has_vector = F.lit(0.0), F.lit(False)
@@ -248,6 +262,8 @@ class Searcher:
             without = vector is None
         if without:  # text alone decides
             rows = self.catalog.items
+        elif vector is not None:
+            rows = scored(self.catalog, vector, request.similarity if request.has_reference else Similarity.SUBJECT, self.dimensions)
         matches = ranked(rows, request, vector, self._text_items(), self.catalog.index)
         return matches, vector is not None, lambda: self._status(request, vector is not None, looks, without)
 
@@ -293,12 +309,35 @@ class Searcher:
         return replace(result, generation=request.generation, offset=offset, page=rows, elapsed_ms=(time.monotonic() - began) * 1000)
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, dimensions: int = DIMENSIONS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows with the greatest inner product, ties to the smaller key; k <= 0 or a query of another length: none."""
+def top_k(vectors: DataFrame, query: list[float], k: int, dimensions: int = DIMENSIONS, key: str = "vec_id", vector: str = "embedding", norm: str | None = None) -> DataFrame:
+    """The k rows with the greatest inner product, ties to the smaller key; k <= 0 or a query of another length: none.
+
+    Each task keeps the best k of its batches, each a matrix, so k rows a task are ordered at the end.  norm: a column with
+    the length of each vector; a batch that is too short to reach the k-th score by it is not multiplied.
+    """
     if k <= 0 or len(query) != dimensions:
         return vectors.select(key, F.lit(0.0).alias("score")).limit(0)
-    rows = vectors.filter(F.size(vector) == dimensions).select(key, V.dot(vector, V.literal(query)).alias("score"))
-    return rows.orderBy(F.col("score").desc(), F.col(key).asc()).limit(k)
+    q = np.asarray(query, float)
+    reach = float(np.sqrt(q @ q)) * (1 + 1e-9)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, scores = np.empty(0, np.int64), np.empty(0)
+        for b in batches:
+            if not b.num_rows or norm and len(keys) == k and pc.max(b.column(2)).as_py() * reach < scores[-1]:
+                continue
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dimensions)
+            keys, scores = np.concatenate([keys, b.column(0).to_numpy()]), np.concatenate([scores, np.einsum("ij,j->i", m, q)])
+            if len(keys) > k:
+                scores_or_none = np.where(np.isnan(scores), -np.inf, scores)
+                least = np.partition(scores_or_none, -k)[-k]
+                some = np.flatnonzero(scores_or_none >= least)
+                some = some[np.lexsort((keys[some], -scores_or_none[some]))][:k]
+                keys, scores = keys[some], scores[some]
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(scores)], names=[key, "score"])
+
+    rows = vectors.filter(F.size(vector) == dimensions).select(F.col(key).cast("long").alias(key), vector, *([F.col(norm).cast("double")] if norm else []))
+    return rows.mapInArrow(best, T.StructType([T.StructField(key, T.LongType()), T.StructField("score", T.DoubleType())])).orderBy(F.col("score").desc(), F.col(key).asc()).limit(k)
 
 
 def known_models() -> tuple[str, ...]:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions import vectors as V
-from heliograph.operators import evaluate, labels
+from heliograph.operators import evaluate, labels, search
 from heliograph.schema import Similarity
 from heliograph.sources.files import synthetic_vectors
 
@@ -116,3 +116,44 @@ def test_synthetic_source(spark):
     rows = synthetic_vectors(spark, 50, 16).collect()
     again = synthetic_vectors(spark, 50, 16).repartition(3).orderBy("vec_id").collect()
     assert rows == again and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
+
+
+ODD = [[3.0, 4.0, 0.0, 1.0], [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], None, [1.0, 2.0], [1.0, None, 1.0, 1.0], [1e-7] * 4, [1e-30] * 4, [1e30] * 4, [-1.0, 0.5, 0.25, 2.0]]
+
+
+@pytest.mark.parametrize("kind", list(Similarity))
+def test_scores_by_batch_and_by_expression_agree(spark, kind):
+    rng = np.random.default_rng(5)
+    vectors = ODD + [rng.normal(size=4).astype(np.float32).tolist() for _ in range(300)]
+    df = spark.createDataFrame([(i, v, ["cpu-v3", "foreign", None][i % 3 if i > 20 else 0]) for i, v in enumerate(vectors)], "id int, v array<float>, model string").repartition(3)
+    query = rng.normal(size=len(vectors[0]) if kind in (Similarity.SUBJECT, Similarity.APPEARANCE) else sum(n for _, n in V.parts(kind, 4))).tolist()
+    good = V.usable("v", "model", 4)
+    unit = V.projected(V.normalized_or_zero("v", good, 4), kind, 4)
+    known = F.coalesce(F.col("model").isin("cpu-v3"), F.lit(False))
+    rows = df.select("id", good.alias("g"), F.when(good, V.dot(unit, V.literal(query))).otherwise(0.0).alias("d"), V.scored("v", known, query, 4, kind).alias("s")).collect()
+    assert [r.id for r in rows if r.g != r.s.available or abs(r.d - r.s.score) > 1e-12] == []
+    assert 50 < sum(r.g for r in rows) < 150
+
+
+def test_products(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [0.0, -1.0])], "id int, v array<float>")
+    assert {r.id: r.p for r in df.select("id", V.products("v", [[1.0, 1.0], [0.5, 0.0], [0.0, 3.0]]).alias("p")).collect()} == {1: [3.0, 0.5, 6.0], 2: None, 3: None, 4: [-1.0, 0.0, -3.0]}
+
+
+@pytest.mark.parametrize("norm", [None, "n"])
+def test_top_k_over_batches(spark, norm):
+    """Against a full sort, with equal vectors across batches, lengths that let batches be left out, and vectors of other lengths."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 8)).astype(np.float32) * np.linspace(0.01, 3, 4000)[::-1, None].astype(np.float32)
+    v[1000:1040] = v[17]
+    rows = [(i, x.tolist(), float(np.sqrt((x.astype(float) ** 2).sum()))) for i, x in enumerate(v)] + [(5000, [1.0], 1.0), (5001, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n double").coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    try:
+        for query in (v[17], v[3], -v[900]):
+            scores = np.einsum("ij,j->i", v.astype(float), query.astype(float))
+            for k in (1, 10, 100):
+                got = [r.vec_id for r in search.top_k(df, query.astype(float).tolist(), k, 8, norm=norm).collect()]
+                assert got == np.lexsort((np.arange(4000), -scores))[:k].tolist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
