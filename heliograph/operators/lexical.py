@@ -104,7 +104,7 @@ def matched(rows: DataFrame, terms: list[Term]) -> DataFrame:
     return out.withColumns({"_all": _all([F.col(f"_h{i}") > 0 for i in range(len(terms))]), "trusted": _all([F.col(f"_r{i}") for i in range(len(terms))])})
 
 
-def _relevance(n: int, mean: float, having: list[int]) -> Column:
+def _relevance(n: int, mean: float, having: list[int] | list[Column]) -> Column:
     """BM25 of a matched row, from the number of rows, their mean length, and the rows that have each term."""
     score: Column = F.lit(0.0)
     for i, m in enumerate(having):
@@ -115,10 +115,10 @@ def _relevance(n: int, mean: float, having: list[int]) -> Column:
     return score
 
 
-def _scaled(best: float | None) -> Column:
+def _scaled(best: float | Column | None) -> Column:
     """Evidence of 0.04 to 0.20 by relevance, and 0.25 more where the match is trusted."""
-    relevance = F.col("relevance")
-    share = F.lit(BASE) + F.lit(SPREAD) * relevance / F.lit(best) if best and best > 0 else relevance
+    relevance, best = F.col("relevance"), F.lit(best)
+    share = F.when(best > 0, F.lit(BASE) + F.lit(SPREAD) * relevance / best).otherwise(relevance)
     return share + F.when(F.col("trusted"), F.lit(TRUST)).otherwise(F.lit(0.0))
 
 
@@ -147,12 +147,12 @@ class Index:
     """postings (id, col, pos, term), best in the order of terms, and the length (id, length) of every item.
 
     Postings of segments also have the item's length and the segment's number (seq); totals is then the number
-    of items and tokens (n, tokens, one row), and replaced the ids whose older postings are void (id, last).
+    of items and of tokens, and replaced the ids whose older postings are void (id, last).
     """
 
     postings: DataFrame
     lengths: DataFrame
-    totals: DataFrame | None = None
+    totals: tuple[int, int] | None = None
     replaced: DataFrame | None = None
 
     def _hits(self, term: Term) -> DataFrame:
@@ -179,26 +179,19 @@ class Index:
         return every.groupBy("id").agg(*sums).join(self.lengths.select("id", F.col("length").alias("_length")), "id")
 
     def evidence(self, terms: list[Term], ids: DataFrame | None = None) -> DataFrame:
-        """id, relevance, trusted and lexical of the items that match; ids: those in scope."""
+        """id, relevance, trusted and lexical of the items that match; ids: those in scope.
+
+        The numbers of items that have each term, and the best score, are one row each that is joined with every match.
+        """
         n, every = len(terms), self._matches(terms)
-        totals = self.totals if self.totals is not None else self.lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
-        corpus = totals.head()
-        mean = corpus["tokens"] / corpus["n"] if corpus["tokens"] else 1.0
-        whole = _all([F.col(f"_h{i}") > 0 for i in range(n)])
-        # one pass: items that count alike are one group, whose shortest scores best
-        alike = [*[f"_f{i}" for i in range(n)], *[(F.col(f"_h{i}") > 0).cast("long").alias(f"_h{i}") for i in range(n)]]
-        groups = every.groupBy(*alike).agg(F.count(F.lit(1)).alias("rows"), F.min("_length").alias("_length")).persist()
-        having = list(groups.agg(*[F.coalesce(F.sum(F.col("rows") * F.col(f"_h{i}")), F.lit(0)) for i in range(n)]).head())
-        relevance = _relevance(corpus["n"], mean, having)
-        rows = every.filter(whole)
-        if ids is None:
-            best = groups.filter(whole).agg(F.max(relevance)).head()[0]
-        else:
-            rows = rows.join(ids.select("id"), "id", "left_semi")
-            best = rows.agg(F.max(relevance)).head()[0]
-        groups.unpersist()
-        rows = rows.select("id", relevance.alias("relevance"), _all([F.col(f"_r{i}") for i in range(n)]).alias("trusted"))
-        return rows.withColumn("lexical", _scaled(best))
+        items, words = self.totals or self.lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).head()
+        having = every.agg(*[F.coalesce(F.sum((F.col(f"_h{i}") > 0).cast("long")), F.lit(0)).alias(f"_n{i}") for i in range(n)])
+        rows = every.filter(_all([F.col(f"_h{i}") > 0 for i in range(n)]))
+        rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
+        scored = rows.crossJoin(F.broadcast(having)).withColumn("relevance", _relevance(items, words / items if words else 1.0, [F.col(f"_n{i}") for i in range(n)]))
+        best = scored.agg(F.max("relevance").alias("_best"))
+        scored = scored.select("id", "relevance", _all([F.col(f"_r{i}") for i in range(n)]).alias("trusted")).crossJoin(F.broadcast(best))
+        return scored.select("id", "relevance", "trusted", _scaled(F.col("_best")).alias("lexical"))
 
 
 def lengths(items: DataFrame) -> DataFrame:

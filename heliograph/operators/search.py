@@ -109,8 +109,9 @@ def scored(catalog: Catalog, query: list[float], similarity: Similarity = Simila
         rows, vector, known = catalog.items, "embedding", F.coalesce(F.col("model").isin(*known_models()), F.lit(False))
     else:
         rows, vector, known = current_descriptors(catalog), "descriptor", F.lit(True)
-    rows = rows.withColumn("_v", V.scored(vector, known, query, dimensions, similarity)).drop(vector)
-    return rows.withColumns({"semantic_available": F.col("_v.available"), "cosine": F.col("_v.score")}).drop("_v")
+    # a generator of one row: a filter on what is available would be put below with a second run of the function, but for this
+    one = F.inline(F.array(V.scored(vector, known, query, dimensions, similarity)))
+    return rows.select(*[c for c in rows.columns if c != vector], one).withColumnsRenamed({"available": "semantic_available", "score": "cosine"})
 
 
 def availability(catalog: Catalog, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -12,14 +12,16 @@ and a row is written again as often.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tokens
 from ..schema import ITEMS, TEXT_COLUMNS
-from .lexical import Index, analysed
+from .layout import dealt
+from .lexical import Index
 
 #: a segment joins the merge of those after it if it is at most so many times as large as they are together; so many are merged at least
 RATIO, WIDTH = 2, 4
@@ -42,10 +44,16 @@ def due(sizes: list[int]) -> int | None:
     return start if len(sizes) - start >= WIDTH else None
 
 
-def _postings(items: DataFrame) -> DataFrame:
+def _tokens(items: DataFrame) -> DataFrame:
+    """id, the token array of each text column, and their number (length); a generator of one row, so that no use of a token array makes it again."""
+    rows = dealt(items, "id").select("id", F.inline(F.array(F.struct(*[tokens(c).alias(c) for c, _ in TEXT_COLUMNS]))))
+    return rows.withColumn("length", reduce(lambda a, b: a + b, [F.size(c) for c, _ in TEXT_COLUMNS]).cast("long"))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
     """id, col, pos, term of every token, with the length of its item."""
-    arrays = [F.struct(F.lit(c).alias("col"), F.col(f"_t_{c}").alias("words")) for c, _ in TEXT_COLUMNS]
-    rows = analysed(items).select("id", F.col("_length").cast("long").alias("length"), F.explode(F.array(*arrays)).alias("x"))
+    arrays = [F.struct(F.lit(c).alias("col"), F.col(c).alias("words")) for c, _ in TEXT_COLUMNS]
+    rows = rows.select("id", "length", F.explode(F.array(*arrays)).alias("x"))
     return rows.select("id", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"), "length")
 
 
@@ -75,15 +83,20 @@ class Segments:
         return self.live(self._read("items")).drop("seq")
 
     def index(self) -> Index:
-        totals = self._read("totals").agg(F.coalesce(F.sum("items"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        totals = (sum(r["items"] for r in self.counts), sum(r["tokens"] for r in self.counts))
         return Index(self._read("postings"), self.live(self._read("lengths"), texts=True).drop("seq"), totals, self.replaced(texts=True))
 
+    @cached_property
+    def counts(self) -> list[Row]:
+        """The totals of each segment, oldest first: a row a segment."""
+        return self._read("totals").orderBy("seq").collect()
+
     def sizes(self) -> list[int]:
         """Ids touched by each segment."""
-        return [r["touched"] for r in self._read("totals").orderBy("seq").collect()]  # a row a segment
+        return [r["touched"] for r in self.counts]
 
     def number(self) -> int:
-        return 0 if not self.folders else self._read("totals").agg(F.max("seq")).head()[0]
+        return max((r["seq"] for r in self.counts), default=0)
 
     def _write(self, folder: str, seq: int, **tables: DataFrame) -> None:
         for name, df in tables.items():
@@ -101,8 +114,9 @@ class Segments:
         touched = self.spark.read.schema(REPLACED).parquet(f"{folder}/replaced")
         changed = items.join(touched.select("id"), "id", "left_semi") if self.folders else items
         texts = changed.join(touched.filter("texts").select("id"), "id", "left_semi") if self.folders else items
-        lengths = analysed(texts).select("id", F.col("_length").alias("length"))
-        self._write(folder, seq, **({"items": changed} if keep_items else {}), postings=_postings(texts), lengths=lengths)
+        words = _tokens(texts).persist()  # read for the ranges, the postings and the lengths
+        self._write(folder, seq, **({"items": changed} if keep_items else {}), postings=_postings(words), lengths=words.select("id", "length"))
+        words.unpersist()
         new = self.spark.read.schema(LENGTHS).parquet(f"{folder}/lengths").select(F.lit(1).alias("sign"), "length")
         old = self.live(self._read("lengths"), texts=True).join(touched.filter("texts").select("id"), "id", "left_semi").select(F.lit(-1).alias("sign"), "length")
         ids = touched.count() if self.folders else new.count()

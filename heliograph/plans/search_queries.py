@@ -22,13 +22,13 @@ _VECTOR = "(SELECT vector FROM vec WHERE id = 0)"
 
 def _embedder(spark: SparkSession, d: str) -> search.FixedEmbedder:
     """Stands in for a text model: the vector of item 0, for any of the queries below."""
-    rows = C.catalog(spark, d)
-    own = search.semantic(rows).filter("id = 0").select("vector").head()["vector"]
+    own = search.semantic(C.catalog(spark, d, whole=False)).filter("id = 0").select("vector").head()["vector"]
     return search.FixedEmbedder({r.text: list(own) for r in _BY_TEXT})
 
 
 def _page(spark: SparkSession, d: str, request: SearchRequest, columns: tuple[str, ...] = ("id", "name", "score", "reason"), paged: bool = True) -> DataFrame:
-    searcher = search.Searcher(C.catalog(spark, d, index=bool(request.text)), _embedder(spark, d) if request.text and request.mode is not Mode.TEXT and not request.has_reference else None)
+    looks = request.has_reference and request.similarity is not Similarity.SUBJECT
+    searcher = search.Searcher(C.catalog(spark, d, index=bool(request.text), whole=looks), _embedder(spark, d) if request.text and request.mode is not Mode.TEXT and not request.has_reference else None)
     rows, ranks, _ = searcher.plan(request)
     if paged:
         rows = search.page(rows, search.order(request, ranks or bool(request.text)), request.offset, request.limit)
@@ -93,7 +93,7 @@ _FILE = SearchRequest(reference_path="/outside/picture.png", query="red", simila
 @query(S.search(_FILE, _VECTOR))
 def similar_by_file(spark: SparkSession, d: str) -> DataFrame:
     """A picture outside of the catalog, embedded on the way."""
-    rows = C.catalog(spark, d, index=True)
+    rows = C.catalog(spark, d, index=True, whole=False)
     own = search.semantic(rows).filter("id = 0").select("vector").head()["vector"]
     searcher = search.Searcher(rows, search.FixedEmbedder({_FILE.reference_path: list(own)}))
     found, ranks, _ = searcher.plan(_FILE)
@@ -103,7 +103,7 @@ def similar_by_file(spark: SparkSession, d: str) -> DataFrame:
 @query(S.search(_VISUAL))
 def visual_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Without a vector for the query the text decides."""
-    searcher = search.Searcher(C.catalog(spark, d, index=True))
+    searcher = search.Searcher(C.catalog(spark, d, index=True, whole=False))
     rows, ranks, _ = searcher.plan(_VISUAL)
     return search.page(rows, search.order(_VISUAL, True), 0, _VISUAL.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
 
@@ -153,7 +153,7 @@ def page_second(spark: SparkSession, d: str) -> DataFrame:
     """A continuation through a cursor, as a caller would ask for it."""
     from dataclasses import replace
 
-    searcher = search.Searcher(C.catalog(spark, d, index=True))
+    searcher = search.Searcher(C.catalog(spark, d, index=True, whole=False))
     first = searcher.search(replace(_SECOND, offset=0))
     rows = searcher.search(replace(_SECOND, cursor=first.cursor)).page
     return rows.select("id", "name", F.round("score", 6).alias("score"))
@@ -167,7 +167,7 @@ def page_walk(spark: SparkSession, d: str) -> DataFrame:
     """Three pages of one cursor: no row twice, none left out."""
     from dataclasses import replace
 
-    searcher, request = search.Searcher(C.catalog(spark, d, index=True)), replace(_WALK, limit=20)
+    searcher, request = search.Searcher(C.catalog(spark, d, index=True, whole=False)), replace(_WALK, limit=20)
     first = searcher.search(request)
     pages = [first.page, *(searcher.search(replace(request, offset=k, cursor=first.cursor)).page for k in (20, 40))]
     return reduce(lambda a, b: a.unionByName(b), [p.select("id") for p in pages])

@@ -68,7 +68,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> Segments:
     key = (spark.sparkContext.applicationId, hashlib.sha256(repr(used).encode()).hexdigest())
     if key not in _indexes:
         _indexes[key] = built(spark, f"{shared_folder(spark)}/text-index", items(spark, sf_dir).drop("embedding"))
-    return Segments(spark, _indexes[key].folders)
+    return _indexes[key]
 
 
 def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,7 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, THUMBNAILS_SQL.replace("20)))) AS data", "20))), 'UTF-8') AS data"))
 
 
-def catalog(spark: SparkSession, sf_dir: str, index: bool = False) -> Catalog:
-    """The tables; index: with the full-text index, else texts are searched by a scan."""
-    return Catalog(items(spark, sf_dir), appearances(spark, sf_dir), thumbnails(spark, sf_dir), run_sql(spark, sf_dir, FOLDERS_SQL), indexed(spark, sf_dir).index() if index else None)
+def catalog(spark: SparkSession, sf_dir: str, index: bool = False, whole: bool = True) -> Catalog:
+    """The tables; index: with the full-text index, else texts are searched by a scan; whole: with more than the items."""
+    rows, own = items(spark, sf_dir), indexed(spark, sf_dir).index() if index else None
+    return Catalog(rows, appearances(spark, sf_dir), thumbnails(spark, sf_dir), run_sql(spark, sf_dir, FOLDERS_SQL), own) if whole else Catalog(rows, index=own)
