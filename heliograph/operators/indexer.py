@@ -8,6 +8,7 @@ import json
 import os
 import socket
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -22,6 +23,7 @@ from ..functions.text import composed, search_name
 from ..schema import APPEARANCE_VERSION, APPEARANCES, CURRENT_MODELS, FOLDERS, ITEMS, THUMBNAILS, Catalog
 from ..sources import files as S
 from . import dml, indexing, labels, stats
+from .layout import tagged
 from .segments import Segments, changes
 from .versions import Versions
 
@@ -217,9 +219,12 @@ class Indexer:
         self.library, self.model, self.bank = library, model, bank
         self.embed = Model(embed) if embed is not None and not isinstance(embed, Model) else embed
         self.cancelled = False
+        self._tag = f"scan-{uuid.uuid4().hex}"
 
     def cancel(self) -> None:
+        """Stop a scan, also in the middle of a batch, from any thread: its running jobs end, and finished batches stay."""
         self.cancelled = True
+        self.library.spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def scan(self, folders: list[str] | None = None, force: bool = False, appearance_only: bool = False, files_a_batch: int = FILES_A_BATCH) -> dict:
         """Bring the library up to date; returns counts, errors (the first 30) and times."""
@@ -246,7 +251,14 @@ class Indexer:
             if self.cancelled:
                 out["cancelled"] = True
                 break
-            self._batch(spark.createDataFrame(batch, jobs.schema), [r["path"] for r in batch], out)
+            try:
+                with tagged(spark, self._tag):
+                    self._batch(spark.createDataFrame(batch, jobs.schema), [r["path"] for r in batch], out)
+            except Exception:
+                if not self.cancelled:
+                    raise
+                out["cancelled"] = True
+                break
         if self.cancelled or appearance_only or not reachable:
             self._merge()
         else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Protocol
@@ -31,6 +32,7 @@ from ..schema import (
     Sort,
 )
 from . import filters, pages
+from .layout import tagged
 from .lexical import Index, analysed, evidence, lexical
 
 EXACT_NAME = 0.65
@@ -207,6 +209,12 @@ class Searcher:
         self._cursors = itertools.count(1)
         self._last: tuple[SearchRequest, SearchResult, DataFrame, list[Column]] | None = None
         self._pages: pages.Directory | None = None
+        self._tag = f"search-{uuid.uuid4().hex}"
+
+    def supersede(self, generation: int) -> None:
+        """A later request is coming: jobs of the search that is running end now, from whatever thread this is said, and it gives None."""
+        self.latest = max(self.latest, generation)
+        self.catalog.items.sparkSession.sparkContext.cancelJobsWithTag(self._tag)
 
     def close(self) -> None:
         """Forget the results so far."""
@@ -287,10 +295,23 @@ class Searcher:
 
     def search(self, request: SearchRequest) -> SearchResult | None:
         """A page of results; None if a later generation has been asked for meanwhile."""
-        began = time.monotonic()
-        if self.latest and request.generation and request.generation < self.latest:
+        if self._stale(request):
             return None
         self.latest = max(self.latest, request.generation)
+        try:
+            with tagged(self.catalog.items.sparkSession, self._tag):
+                result = self._search(request)
+        except Exception:
+            if self._stale(request):
+                return None
+            raise
+        return None if self._stale(request) else result
+
+    def _stale(self, request: SearchRequest) -> bool:
+        return bool(self.latest and request.generation and request.generation < self.latest)
+
+    def _search(self, request: SearchRequest) -> SearchResult:
+        began = time.monotonic()
         last = self._last
         goes_on = last and request.offset > 0 and request.cursor and request.cursor == last[1].cursor and request.identity() == last[0].identity()
         if not goes_on:

@@ -1,4 +1,6 @@
 import os
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -118,6 +120,33 @@ def test_a_cancelled_scan_keeps_what_is_done(setup):
     assert indexer.scan([f"file:{root}"], files_a_batch=1)["cancelled"] and len(names(library)) == 1
 
 
+def test_a_running_batch_is_cancelled(setup, tmp_path):
+    """The second batch hangs in the model; its job ends at once, and the first batch stays."""
+    root, library = setup
+    started = tmp_path / "started"
+
+    def hangs(x):
+        if x.shape[0] == 3 and x[0].mean() < x[2].mean():  # the blue image
+            started.write_text("x")
+            time.sleep(300)
+        return embed(x)
+
+    (root / "BlueShield2.png").rename(root / "zz_blue.png")
+    indexer, out = Indexer(library, hangs), {}
+    scan = threading.Thread(target=lambda: out.update(indexer.scan([f"file:{root}"], files_a_batch=2)))
+    scan.start()
+    until = time.monotonic() + 120
+    while not started.exists() and time.monotonic() < until:
+        time.sleep(0.1)
+    cancelled = time.monotonic()
+    indexer.cancel()
+    scan.join(100)
+    assert not scan.is_alive() and out["cancelled"] and out["batches"] == 1 and time.monotonic() - cancelled < 60
+    assert names(library) == ["copy.png", "red_sword.png"] and library.versions.names("pending") == []
+    again = Indexer(library, embed).scan()
+    assert (again["changed"], again["skipped"]) == (1, 2)
+
+
 def test_index_and_scan_agree(setup, spark):
     root, library = setup
     indexer = Indexer(library, embed)

@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -135,6 +137,24 @@ def test_text_fallback_and_references(spark):
     assert s.search(SearchRequest(query="red", reference_path="/ref")).page.head().score > 1.25
 
 
+def test_a_stale_search_ends(spark):
+    """A search that a later request supersedes stops in the middle of its job and gives None; the next goes through."""
+    slow = F.udf(lambda i: (time.sleep(60), i)[1], "long")
+    rows = catalog(spark, [item(1, name="red.png")])
+    s, out = se.Searcher(Catalog(rows.items.filter(slow("id") == 1), rows.appearances), None, 4), []
+    thread = threading.Thread(target=lambda: out.append(s.search(SearchRequest(generation=1))))
+    thread.start()
+    until, tracker = time.monotonic() + 30, spark.sparkContext.statusTracker()
+    while not tracker.getActiveJobsIds() and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(1)
+    s.supersede(2)
+    thread.join(40)
+    assert not thread.is_alive() and out == [None]
+    s.reload(rows)
+    assert s.search(SearchRequest(generation=2)).total == 1 and s.search(SearchRequest(generation=1)) is None
+
+
 def test_top_k(spark):
     df = spark.createDataFrame([(0, [0.2]), (1, [0.9]), (2, [-0.1])], "vec_id long, embedding array<float>")
     top = lambda q, k: [r.vec_id for r in se.top_k(df, q, k, 1).collect()]

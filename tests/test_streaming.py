@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from heliograph.streaming import events
@@ -36,9 +37,38 @@ def test_latest_wins(spark):
     assert sorted(map(tuple, events.latest_wins(df, "k", F.col("g"), F.col("v")).collect())) == [(1, 3, "new"), (2, 1, "only")]
 
 
-def test_throttle(spark, tmp_path):
-    rows = [{"k": 1, "ts": f"2024-01-01T00:00:00.{ms:03d}", "v": str(ms)} for ms in (0, 10, 30, 40, 50, 100)]
-    s = stream(spark, tmp_path / "in", [rows[:3], rows[3:]], "k long, ts timestamp, v string")
-    out = collected(spark, events.throttled(s, "k", "ts", "v", 35), "throttled")
-    base = 1704067200000
-    assert sorted((r.fired_ms - base, r.value) for r in out) == [(35, "30"), (75, "50")]
+@pytest.fixture
+def with_state(spark):
+    """Timers need the store that Spark keeps on disk."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+BASE = 1704067200000
+
+
+def at(k, ms, v="x"):
+    return {"k": k, "ts": f"2024-01-01T00:{ms // 60000:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}", "v": v}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_throttle(spark, tmp_path, with_state, kind):
+    """Six events of one key over 100 ms fire twice, at the ends of their intervals; a lone event of another key fires too, and so does the last."""
+    one, two, nine = (1, 2, 9) if kind == "long" else ("1", "2", "9")
+    rows = [at(one, ms, str(ms)) for ms in (0, 10, 30, 40, 50, 100)]
+    s = stream(spark, tmp_path / "in", [[*rows[:3], at(two, 5, "lone")], rows[3:], [at(nine, 60_000)], [at(nine, 60_001)]], f"k {kind}, ts timestamp, v string")
+    out = collected(spark, events.throttled(s, "k", "ts", "v", 35), f"throttled_{kind}")
+    assert sorted((str(r.key), r.fired_ms - BASE, r.value) for r in out) == [("1", 35, "30"), ("1", 75, "50"), ("1", 135, "100"), ("2", 40, "lone")]
+
+
+def test_refreshes(spark, tmp_path, with_state):
+    """After enough changes and enough time, whichever comes last."""
+    fast = [at("a", k) for k in range(10)]  # ten changes, no time
+    slow = [at("a", 3000), at("a", 3001)]
+    more = [at("a", 3500), at("a", 9000)]  # time, but few changes
+    many = [at("a", 9001 + k) for k in range(6)]
+    s = stream(spark, tmp_path / "in", [fast, slow, more, many], "k string, ts timestamp, v string")
+    out = collected(spark, events.refreshes(s, "k", "ts", changes=8, milliseconds=2000), "refreshes")
+    assert [(r.key, r.at_ms - BASE, r.changed) for r in out] == [("a", 3000, 11), ("a", 9005, 19)]
