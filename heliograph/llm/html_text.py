@@ -12,7 +12,9 @@ hold, that is the characters outside links:
   ``entry related-topic``) are cut off, unless half of the prose around them is in them.
 
 A name counts by the words that it is about: ``site-footer`` is a footer,
-``has-sidebar``, ``no-sidebar`` and ``comments-open`` tell of a state.
+``has-sidebar``, ``no-sidebar`` and ``comments-open`` tell of a state.  Headings and links within a sentence
+are not judged by name; parts of an article that begin with a heading and whose id alone is a marked word
+(``<section id="cookies">``, as outlines make them) go only where half of them is links or a form is in them.
 
 Each paragraph then passes points for its length and commas to its ancestors,
 less with each level; a container's points are discounted by its link density.
@@ -20,8 +22,9 @@ The container with most points is kept, raised to the article or main element
 around it, or else to the outermost one that holds siblings like it or half as much
 prose again, and with it the siblings that score well; outside article and main, also those that
 hold prose, however short.  Its text is given block by block, in page order;
-lists and divisions that are nearly all links are menus and left out, inside of article
-only where the links are short.
+all articles beside the best one are kept.
+Lists and divisions that are nearly all links are menus and left out, inside of article
+and main only where the links are short.
 
 Defined cases: a null, empty or tag-only html gives an empty text; a page
 without any scoring paragraph gives what is left of its body; ties go to the
@@ -79,6 +82,9 @@ STATES = frozenset("has no not non with without is show hide open opened closed
 TOP = frozenset(("header", "masthead", "topbar"))
 POSITIVE = frozenset("article content entry post story main body page text blog single".split())
 SAFE = frozenset(("html", "body", "main", "article"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: of the nouns, those of what readers write
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: elements whose names are judged
 NAMED = BLOCK | {"span", "a", "ins", "small", "label"}
 PARAGRAPH = frozenset(("p", "td", "pre", "blockquote", "li", "dd", "div", "section", "article", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))
@@ -188,6 +194,8 @@ def _about(name: str) -> tuple[bool, bool, bool]:
 def _grade(node: Node, inside: bool) -> int:
     """0: kept, 1: doubtful, 2: marked; inside: of an article or main element."""
     tag, found = node.tag, {}
+    if tag in HEADINGS and node.attributes:  # a heading's id is made of its words
+        return 2 if HIDDEN_TAG.search(node.attributes) else 0
     out = 2 if tag in MARKED else 1 if tag in DOUBTFUL or tag == "header" and not inside else 0
     if node.attributes and not node.attributes.isspace():
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
@@ -200,12 +208,46 @@ def _grade(node: Node, inside: bool) -> int:
         out = max(out, 1)
     if tag in SAFE or tag not in NAMED:
         return out
+    if tag == "a" and _in_sentence(node):
+        return out
     about = [_about(name) for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
     if any(x[0] for x in about):
+        if inside and tag in ("section", "div") and _headed(node) and not any(_about(name)[0] for name in found.get("class", "").split()) and not READERS & {w.lower() for w in WORDS.findall(found["id"])}:
+            return out or UNSURE
         return 1 if any(x[2] for x in about) else 2
     return max(out, 1) if not inside and any(x[1] for x in about) else out
 
 
+#: a grade of headed sections of an article whose id alone is a marked word, as documents that were made from outlines have them: their links and forms decide
+UNSURE = -1
+HIDDEN_TAG = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+
+
+def _headed(node: Node) -> bool:
+    """Whether a part begins with a heading, be it in a header of its own."""
+    for c in node.children:
+        if isinstance(c, Node):
+            return c.tag in HEADINGS or c.tag in ("header", "hgroup") and _headed(c)
+        if c.strip():
+            return False
+    return False
+
+
+def _has_form(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        below = [c for c in todo.pop().children if isinstance(c, Node)]
+        if any(c.tag in ("form", "input", "textarea") for c in below):
+            return True
+        todo += below
+    return False
+
+
+def _in_sentence(node: Node) -> bool:
+    """Whether words stand beside an inline element in its parent."""
+    return any(isinstance(c, str) and len(c.split()) > 1 for c in node.parent.children)
+
+
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -232,10 +274,19 @@ def _cut_off(root: Node) -> list[Node]:
         up = node.parent
         scope[node] = root if up is None else up if up.tag in ("article", "main") else scope[up]
         grades[node] = 0 if up is None else _grade(node, scope[node] is not root)
-    for grade in (2, 1):
+    for grade in (2, 1, UNSURE):
         if grade not in grades.values():
             continue
         lengths = _lengths(nodes)
+        if grade == UNSURE:
+            for node in nodes:
+                if grades[node] == UNSURE and not node.parent.cut:
+                    total, linked, _ = lengths[node]
+                    node.cut = 2 * linked >= total or _has_form(node)
+                else:
+                    node.cut = node.parent is not None and node.parent.cut
+            nodes = [n for n in nodes if not n.cut]
+            continue
         heads: dict[Node, int] = {}
         articles: dict[Node, int] = {}
         first = next((n for n in nodes if n.tag == "h1"), None)
@@ -383,7 +434,7 @@ def main_text(html: str | None) -> str:
                 break
         up = up.parent
     best = found or _raised(best, lengths)
-    in_article = best.tag == "article"
+    in_article = best.tag in ("article", "main")
     kept = [best]
     if best.parent is not None and best.tag != "body":
         for c in best.parent.children:
@@ -393,8 +444,9 @@ def main_text(html: str | None) -> str:
                 prose = c.tag == "p" and total >= 80 and linked < 0.25 * total
                 # where no article or main marks the whole, parts beside the best one that hold prose belong to it, however short
                 part = found is None and (c.points > 0 or c.tag == "p") and c.tag in BLOCK and linked < 0.25 * total
+                also = best.tag == c.tag == "article" and c.points > 0 and linked < 0.25 * total  # a page may hold several
                 heading = c.tag in ("h1", "h2") and found is None and total > 0 and linked < 0.5 * total
-                if good or prose or part or heading:
+                if good or prose or part or heading or also:
                     kept.append(c)
     kept.sort(key=order.__getitem__)
     return " ".join(x for n in kept for x in (_blocks(n, lengths, in_article)))

@@ -277,10 +277,12 @@ def brute(page):
             few = linked(c) < 0.25 * chars(c)
             if c[0] in ht.BLOCK and points[id(c)] >= max(10, ht.SIBLING * most) or c[0] == "p" and chars(c) >= 80 and few:
                 kept.append(c)
+            elif best[0] == c[0] == "article" and points[id(c)] > 0 and few:
+                kept.append(c)
             elif not outer and (c[0] in ht.BLOCK and (points[id(c)] > 0 or c[0] == "p") and few or c[0] in ("h1", "h2") and chars(c) and linked(c) < 0.5 * chars(c)):
                 kept.append(c)
     kept.sort(key=lambda n: next(k for k, x in enumerate(elements) if x is n))
-    return " ".join(x for n in kept for x in texts(n, best[0] == "article"))
+    return " ".join(x for n in kept for x in texts(n, best[0] in ("article", "main")))
 
 
 def grown(rng, depth=0):
@@ -305,3 +307,51 @@ def test_against_an_independent_scorer():
         assert ht.main_text(page) == brute(page), page
         different.add(len(brute(page)))
     assert len(different) > 300
+
+
+PROSE = "The river rises in the hills, runs past three mills, and meets the sea beyond the old harbour wall. "
+
+
+@pytest.mark.parametrize("heading", ['<h2 id="search">Search here</h2>', '<h2 id="notifications">Notifications set</h2>', '<h3 id="navigation" class="nav-title">Navigation keys</h3>', '<h2 id="comments">Comments in code</h2>', '<h2 id="cookies"><a href="#cookies">Cookies jar</a></h2>'])
+def test_ids_of_headings_are_words_of_theirs(heading):
+    """Outlines give a heading the id of its words; the heading stays, with what is below it."""
+    page = f"<html><body><nav><a href='/'>Home</a></nav><main><article><h1>Guide</h1><p>{PROSE * 3}</p>{heading}<p>{PROSE}</p></article></main><footer>End</footer></body></html>"
+    words = re.sub("<[^>]*>", "", heading)
+    assert ht.main_text(page) == " ".join(f"Guide {PROSE * 3} {words} {PROSE}".split())
+
+
+@pytest.mark.parametrize("name", ["cookies", "search", "notifications", "menus", "login", "sharing", "widgets"])
+def test_headed_sections_of_an_article_stay(name):
+    page = f'<html><body><main><article><h1>Guide</h1><p>{PROSE * 3}</p><section id="{name}"><h2>On {name}</h2><p>{PROSE}</p></section><div id="{name}"><header><h3>More</h3></header><p>{PROSE}</p></div></article></main></body></html>'
+    assert ht.main_text(page) == " ".join(f"Guide {PROSE * 3} On {name} {PROSE} More {PROSE}".split())
+
+
+def test_headed_sections_of_readers_links_and_forms_go():
+    bad = (
+        f'<section id="comments"><h2>Comments</h2><p>{PROSE}</p></section>'
+        f'<section id="related"><h2>Read on</h2><ul><li><a href="a">{PROSE}</a></li><li><a href="b">{PROSE}</a></li></ul></section>'
+        f'<section id="newsletter"><h2>Letters</h2><p>{PROSE}</p><form><input name="mail"></form></section>'
+        f'<section id="promo" class="promo-box"><h2>Buy</h2><p>{PROSE}</p></section>'
+        f'<section id="sidebar"><p>{PROSE}</p></section>'
+        f'<h2 id="x" hidden>Secret</h2><h2 style="display:none">Secret</h2>'
+    )
+    page = f"<html><body><main><article><h1>Guide</h1><p>{PROSE * 4}</p>{bad}<p>{PROSE}</p></article></main></body></html>"
+    assert ht.main_text(page) == " ".join(f"Guide {PROSE * 4} {PROSE}".split())
+
+
+def test_links_within_a_sentence_keep_their_words():
+    page = f'<html><body><main><article><h1>Guide</h1><p>{PROSE} See <a class="tooltip-banner" href="x">the banner page</a> for more of it, please.</p><p><a class="banner" href="y">Win a prize</a></p><p>{PROSE}</p></article></main></body></html>'
+    assert ht.main_text(page) == " ".join(f"Guide {PROSE} See the banner page for more of it, please. {PROSE}".split())
+
+
+def test_all_articles_of_a_page():
+    card = '<article><h2><a href="c">A card with a link and no more than it</a></h2></article>'
+    page = f"<html><body><main><article><h2>One</h2><p>{PROSE * 5}</p></article><article><h2>Two</h2><p>{PROSE}</p></article>{card}</main></body></html>"
+    assert ht.main_text(page) == " ".join(f"One {PROSE * 5} Two {PROSE}".split())
+
+
+def test_references_in_main():
+    links = "".join(f'<li><a href="r{k}">A report on the rivers of the north, part {k}</a></li>' for k in range(3))
+    menu = "".join(f'<li><a href="m{k}">Part {k}</a></li>' for k in range(4))
+    page = f"<html><body><main><h1>Guide</h1><p>{PROSE * 3}</p><ul>{menu}</ul><h2>References</h2><ul>{links}</ul></main></body></html>"
+    assert ht.main_text(page) == " ".join(f"Guide {PROSE * 3} References {' '.join(f'A report on the rivers of the north, part {k}' for k in range(3))}".split())
