@@ -30,6 +30,8 @@ from .cluster import row_key, shuffle_parts, spread_join, stored, unused
 from .quality_rules import WORD
 
 MOST_PASSES = 3
+#: longest array that one row is exploded into at once
+SPAN = 100_000
 #: sources that one task may order
 FEW_SOURCES = 100_000
 WEIGHTS = (1, 2, 3)
@@ -119,9 +121,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES
     blocks = blocks.select("source", "bucket", (F.sum("held").over(Window.partitionBy("source").orderBy("bucket")) - F.col("held")).alias("offset"))
     plan = targets(by_source.drop("n"), weights, most, n_sources <= FEW_SOURCES)
     starts = blocks.withColumnRenamed("source", "_s").join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
-    placed = rows.withColumn("before", F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", *keys)) - F.col("size"))
+    # rows alike are one row with their number until each has its place, so no bucket depends on how often one repeats
+    alike = rows.groupBy("source", "bucket", "order", "doc_id", "size", *keys).agg(F.count(F.lit(1)).alias("copies"))
+    words = F.col("size") * F.col("copies")
+    placed = alike.withColumn("before", F.sum(words).over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", *keys)) - words)
     placed = placed.withColumnsRenamed({"source": "_s", "bucket": "_b"}).join(starts, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_b") == F.col("bucket")))
-    before = F.col("offset") + F.col("before")
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / F.lit(SPAN)))))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.col("block") * SPAN, F.least(F.col("block") * SPAN + SPAN, F.col("copies")) - 1)))
+    before = F.col("offset") + F.col("before") + F.col("nth") * F.col("size")
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
     part = F.col("target") - whole * F.col("source_size")
     passes = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(whole + (before + F.col("size") / F.lit(2.0) < part).cast("long"))

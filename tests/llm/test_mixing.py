@@ -118,3 +118,17 @@ def test_mixed_documents(nasty, nasty_rows):
 def test_empty(nothing):
     assert mx.mix(nothing).collect() == []
     assert mx.mixed_documents(nothing).collect() == []
+
+
+def test_many_rows_alike(spark, monkeypatch):
+    """Each has its own place in the mix, and they are counted before they are ordered."""
+    monkeypatch.setattr(mx, "SPAN", 7)
+    docs = spark.range(400).select(F.when(F.col("id") < 200, F.lit(None)).otherwise(F.lit(5)).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("one").alias("source"))
+    docs = docs.unionByName(spark.range(50).select((F.col("id") + 10).alias("doc_id"), F.lit("two words").alias("text"), F.lit("other").alias("source")))
+    rows = mx.mix(docs).collect()
+    assert len(rows) == 450 and sum(r["size"] for r in rows) == 1300
+    by = {s: sum(r.taken for r in rows if r.source_size == s) for s in (1200, 100)}
+    assert abs(by[1200] - next(r.target for r in rows if r.source_size == 1200)) <= 3 and abs(by[100] - next(r.target for r in rows if r.source_size == 100)) <= 2
+    taken = [p for r in rows if r["size"] == 3 for p in r.positions]
+    assert len(set(taken)) == len(taken) > 300
+    assert mx.mixed_documents(docs).count() == sum(len(r.positions) for r in rows)
