@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import delete, shared_folder, spread_join, stored, swept
@@ -35,6 +35,8 @@ from .cluster import delete, shared_folder, spread_join, stored, swept
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: longest array that one row is exploded into at once
+SPAN = 100_000
 #: about the size of an exported file
 FILE_BYTES = 256 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,7 +66,7 @@ def header(kind: Column) -> Column:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("nth").cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("nth"), F.lit(">")),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
@@ -88,12 +90,20 @@ def write(pages: DataFrame, folder: str) -> None:
     # of equal payloads the largest page_id responds: an aggregation with map-side combine, then a join on the digest
     answers = stored(thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")), "warc-answers")
     own = spread_join(thin, answers.select("digest", "refers_to"), "digest", answers.select("digest", "n"), F.xxhash64("page_id", "url"))
-    # repeated rows of the responding page: only the first of them responds
-    twins = Window.partitionBy("digest", "page_id").orderBy("url")
-    candidates = own.filter(F.col("page_id").eqNullSafe(F.col("refers_to"))).withColumn("nth", F.row_number().over(twins) - 1)
-    others = own.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).withColumn("nth", F.lit(0))
+    # of the rows of the responding page, the first of those with the least url responds; rows alike are one row with their number till then
+    answering = own.filter(F.col("page_id").eqNullSafe(F.col("refers_to")))
+    alike = answering.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("copies"))
+    first = answering.groupBy("digest").agg(F.min("url").alias("first"))
+    counted = spread_join(alike, first, "digest", alike.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), F.xxhash64("url"))
+    counted = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / F.lit(SPAN)))))
+    counted = counted.withColumn("copy", F.explode(F.sequence(F.col("block") * SPAN, F.least(F.col("block") * SPAN + SPAN, F.col("copies")) - 1)))
+    responds = (F.col("url") == F.col("first")) & (F.col("copy") == 0)
+    # what tells records of one page and payload apart; the response has 0
+    nth = F.when(responds, F.lit("0")).otherwise(F.concat(F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 16), F.lit("-"), F.col("copy").cast("string")))
+    candidates = counted.select(*own.columns, nth.alias("nth"))
+    others = own.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).withColumn("nth", F.lit("0"))
     marked = candidates.unionByName(others)
-    kind = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("nth") == 0), "response").otherwise("revisit")
+    kind = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("nth") == "0"), "response").otherwise("revisit")
     with swept(spark):
         marked.select("page_id", "digest", header(kind).alias("header")).write.parquet(f"{folder}/headers")
         records.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")

@@ -153,3 +153,12 @@ def _written(spark):
     folder = f"{spark.conf.get('spark.checkpoint.dir')}/lie"
     warc.write(spark.createDataFrame([(1, "u", "some text")], "page_id long, url string, html string"), folder)
     return folder
+
+
+def test_many_rows_alike(spark, monkeypatch):
+    """One page over and over, and pages without an id that share a payload: one response each, the rest revisits."""
+    monkeypatch.setattr(warc, "SPAN", 7)
+    rows = [(1, "u", "same")] * 100 + [(None, f"u{k % 30}", "empty") for k in range(90)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == {(1, "response", None): 1, (1, "revisit", 1): 99, (None, "response", None): 1, (None, "revisit", None): 89}
+    assert Counter(r.url for r in got) == Counter(r[1] for r in rows)
