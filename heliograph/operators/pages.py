@@ -54,3 +54,38 @@ def stored(rows: DataFrame, by: list[Column]) -> Directory:
         files.append((r["path"], total, r["at"]))
         total += r["n"]
     return Directory(back, folder, tuple(files), total)
+
+
+def digests(directory: Directory, values: list[str], size: int, cut: int | None = None) -> DataFrame:
+    """page, n and digest of each page of an ordered result: SHA-256 over its rows' own digests, in order.
+
+    cut: a number of rows at which the page that holds it is parted; the first part keeps the page's number, the second is left out.
+    """
+    spark = directory.rows.sparkSession
+    files = F.broadcast(spark.createDataFrame(list(directory.files), "path string, before long, first long"))  # a row a file
+    text = [F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values]
+    own = F.sha2(F.concat(*[x for t in text for x in (F.octet_length(t).cast("string"), F.lit(":"), t)]).cast("binary"), 256)
+    rows = directory.rows.select(F.col("_metadata.file_path").alias("path"), "_at", own.alias("own")).join(files, "path")
+    rows = rows.select((F.col("before") + F.col("_at") - F.col("first")).alias("pos"), "own")
+    rows = rows if cut is None else rows.filter(F.col("pos") < cut)
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"])
+    return rows.groupBy(F.floor(F.col("pos") / size).alias("page")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(entries, "").cast("binary"), 256).alias("digest"))
+
+
+def continuation(shown: Directory, now: Directory, values: list[str], size: int) -> DataFrame:
+    """One row that says how a view of the shown result goes on: action, same_pages, n_shown, n_now.
+
+    ``append`` where all that is shown is a prefix of the present result, so that only rows behind it are added; else ``reset``, and
+    same_pages leading pages need not be drawn again.
+    """
+    a = digests(shown, values, size).select("page", F.col("digest").alias("a"))
+    b = digests(now, values, size, shown.total).select("page", F.col("digest").alias("b"))
+    pages = -(-shown.total // size)
+    first = F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("page")))
+    unlike = a.join(b, "page", "left").agg(first.alias("first"))
+    return unlike.select(
+        F.when(F.col("first").isNull(), F.lit("append")).otherwise(F.lit("reset")).alias("action"),
+        F.coalesce("first", F.lit(pages)).cast("long").alias("same_pages"),
+        F.lit(shown.total).cast("long").alias("n_shown"),
+        F.lit(now.total).cast("long").alias("n_now"),
+    )

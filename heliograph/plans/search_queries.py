@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, search
+from ..operators import filters, pages, search
 from ..operators.layout import shared_folder
 from ..operators.lexical import indexed, lexical
 from ..schema import DIMENSIONS, Mode, Orientation, SearchRequest, Similarity, Sort
@@ -173,6 +173,29 @@ def page_walk(spark: SparkSession, d: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select("id") for p in pages])
 
 
+_SIZE = 30
+#: what was shown, and what there is now: one result that grew at its end, one with an edited row, one that lost a row
+_CASES = {"grown": ("doc_id % 10 < 9 AND doc_id < 120", "doc_id % 10 < 9", "source"), "edited": ("doc_id < 150", "true", "CASE WHEN doc_id = 97 THEN 'edited' ELSE source END"), "lost": ("true", "doc_id <> 40", "source")}
+
+
+def _continued_sql(case: str) -> str:
+    shown, now, edit = _CASES[case]
+    side = lambda where, source: f"(SELECT doc_id, {source} AS source, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE {where})"
+    return f"""SELECT '{case}' AS scenario, CASE WHEN min(u) IS NULL THEN 'append' ELSE 'reset' END AS action, coalesce(min(u), (max(pos) + {_SIZE}) // {_SIZE})::BIGINT AS same_pages, count(*) AS n_shown, (SELECT count(*) FROM documents WHERE {now}) AS n_now
+    FROM (SELECT a.pos, CASE WHEN b.pos IS NULL OR a.doc_id <> b.doc_id OR a.source <> b.source THEN a.pos // {_SIZE} END AS u FROM {side(shown, "source")} a LEFT JOIN {side(now, edit)} b ON a.pos = b.pos)"""
+
+
+@query(" UNION ALL ".join(_continued_sql(case) for case in _CASES))
+def append_or_reset(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a shown result goes on or begins anew, by the digests of its pages."""
+    docs, by, out = table(spark, d, "documents"), [F.col("doc_id").asc()], []
+    for case, (shown, now, edit) in _CASES.items():
+        old = pages.stored(docs.filter(shown).select("doc_id", "source"), by)
+        new = pages.stored(docs.filter(now).select("doc_id", F.expr(edit).alias("source")), by)
+        out.append(pages.continuation(old, new, ["doc_id", "source"], _SIZE).select(F.lit(case).alias("scenario"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query(S.search(_SCOPED, columns="count(*) AS total", paged=False))
 def result_total(spark: SparkSession, d: str) -> DataFrame:
     return _page(spark, d, _SCOPED, ("id",), paged=False).agg(F.count(F.lit(1)).alias("total"))

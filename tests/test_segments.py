@@ -144,3 +144,17 @@ def test_a_page_reads_its_own_files(spark):
     assert len(directory.files) > 2
     late = directory.page(19_000, 10)
     assert len(late.inputFiles()) == 1 and [r.id for r in late.collect()] == list(range(19_000, 19_010))
+
+
+def test_how_a_view_goes_on(spark):
+    by = [F.col("id").asc()]
+    stored = lambda rows: pages.stored(spark.createDataFrame(rows, "id long, v string").repartition(3), by)
+    base = [(i, f"v{i}") for i in range(25)]
+    say = lambda a, b: tuple(pages.continuation(stored(a), stored(b), ["id", "v"], 10).head())
+    assert say(base, base) == ("append", 3, 25, 25)
+    assert say(base, [*base, (99, "new")]) == ("append", 3, 25, 26)
+    assert say(base, [*base[:24], (24, "changed"), (99, "new")]) == ("reset", 2, 25, 26)
+    assert say(base, base[:20]) == ("reset", 2, 25, 20)
+    assert say(base, base[1:]) == ("reset", 0, 25, 24)
+    assert say([], base) == ("append", 0, 0, 25)
+    assert say(base, []) == ("reset", 0, 25, 0)
