@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.streaming import events
+from heliograph.streaming import events, watch
 
 
 def collected(spark, df, name, mode="append"):
@@ -72,3 +72,22 @@ def test_refreshes(spark, tmp_path, with_state):
     s = stream(spark, tmp_path / "in", [fast, slow, more, many], "k string, ts timestamp, v string")
     out = collected(spark, events.refreshes(s, "k", "ts", changes=8, milliseconds=2000), "refreshes")
     assert [(r.key, r.at_ms - BASE, r.changed) for r in out] == [("a", 3000, 11), ("a", 9005, 19)]
+
+
+def test_listings_tell_of_additions_changes_and_removals(spark, tmp_path, with_state, monkeypatch):
+    """Four listings: files, then one deleted, one renamed and one changed, then none, then one again."""
+    monkeypatch.setattr(watch, "BUCKETS", 3)
+    listings = [{"a": (1, 1), "b": (1, 1), "c": (1, 1), "d": (1, 1)}, {"a": (1, 1), "renamed": (1, 1), "d": (2, 1)}, {}, {"b": (5, 5)}]
+    for k, files in enumerate(listings):
+        found = spark.createDataFrame([(path, *x) for path, x in files.items()], "path string, modified long, bytes long")
+        watch.listed(found, "/pics", k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    parts = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    for k, f in enumerate(parts):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    s = spark.readStream.schema(watch.LISTING).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = collected(spark, watch.differences(s), "differences")
+    assert sorted((r.listing, r.path, r.change) for r in out) == [
+        (0, "a", "added"), (0, "b", "added"), (0, "c", "added"), (0, "d", "added"),
+        (1, "b", "removed"), (1, "c", "removed"), (1, "d", "changed"), (1, "renamed", "added"),
+        (2, "a", "removed"), (2, "d", "removed"), (2, "renamed", "removed"), (3, "b", "added"),
+    ]
