@@ -14,7 +14,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,21 +281,23 @@ class Indexer:
         now = spark.read.format("binaryFile").load(paths).select("path", F.unix_millis("modificationTime").alias("_m"), F.col("length").alias("_b"))
         same = ((F.col("_m") == F.col("modified")) & (F.col("_b") == F.col("bytes"))).eqNullSafe(F.lit(True))
         checked = _looked_at(raw).join(jobs, "path").join(now, "path", "left").withColumn("error", F.when(F.col("error").isNull() & ~same, F.lit("changed while it was read")).otherwise(F.col("error")))
-        checked.withColumn("model", F.lit(self.model if self.embed else None).cast("string")).select(*[f.name for f in LOOKED]).write.parquet(f"{at}/looked")
+        # what is counted is counted on the way to the disk
+        seen, made = Observation(), Observation()
+        found = checked.withColumn("model", F.lit(self.model if self.embed else None).cast("string")).select(*[f.name for f in LOOKED])
+        found.observe(seen, F.count(F.when(F.col("error").isNull(), 1)).alias("good"), F.count("error").alias("bad"), F.count(F.when(F.col("error").isNull() & F.col("embed"), 1)).alias("new")).write.parquet(f"{at}/looked")
         looked = spark.read.schema(LOOKED).parquet(f"{at}/looked")
         good, bad = indexing.split_errors(looked)
         new = good.filter("embed")
         vectors = self._vectors(raw, new) if self.embed else spark.createDataFrame([], VECTORS)
-        vectors.write.parquet(f"{at}/vectors")  # with this the batch is complete
-        counts = looked.agg(F.count(F.when(F.col("error").isNull(), 1)).alias("good"), F.count("error").alias("bad"), F.count(F.when(F.col("error").isNull() & F.col("embed"), 1)).alias("new")).head()
+        vectors.observe(made, F.count(F.lit(1)).alias("n")).write.parquet(f"{at}/vectors")  # with this the batch is complete
+        counts = seen.get
         if counts["bad"]:
             out["errors"] += [f"{r['path']}: {r['error']}" for r in indexing.error_log(bad, "path").collect()]
         out["failed"] += counts["bad"]
         out["changed"] += counts["good"]
         if self.embed:
-            distinct = spark.read.schema(VECTORS).parquet(f"{at}/vectors").count()
-            out["inference"] += distinct
-            out["reused"] += counts["new"] - distinct
+            out["inference"] += made.get["n"]
+            out["reused"] += counts["new"] - made.get["n"]
         out["batches"] += 1
 
     def _merge(self, seen: DataFrame | None = None, reachable: DataFrame | None = None) -> None:
