@@ -39,6 +39,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Path, bytes and time of change of the files of a table: what tells one version of it from another."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

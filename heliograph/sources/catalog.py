@@ -10,7 +10,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import search_name
-from ..operators.layout import files, shared_folder
+from ..operators.layout import exists, files, shared_folder
 from ..operators.segments import Segments, built
 from ..schema import Catalog
 
@@ -66,7 +66,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> Segments:
     """
     used = [files(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "part", "labels")]
     key = (spark.sparkContext.applicationId, hashlib.sha256(repr(used).encode()).hexdigest())
-    if key not in _indexes:
+    if key not in _indexes or not all(exists(spark, f"{folder}/totals/_SUCCESS") for folder in _indexes[key].folders):
         _indexes[key] = built(spark, f"{shared_folder(spark)}/text-index", items(spark, sf_dir).drop("embedding"))
     return _indexes[key]
 

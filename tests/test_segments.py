@@ -158,3 +158,14 @@ def test_how_a_view_goes_on(spark):
     assert say(base, base[1:]) == ("reset", 0, 25, 24)
     assert say([], base) == ("append", 0, 0, 25)
     assert say(base, []) == ("reset", 0, 25, 0)
+
+
+def test_the_registered_index_is_made_once_and_again_where_it_is_gone(spark, sf):
+    from heliograph.operators.layout import delete
+    from heliograph.sources import catalog as C
+
+    first = C.indexed(spark, sf)
+    assert C.indexed(spark, sf) is first
+    delete(spark, first.folders[0])
+    again = C.indexed(spark, sf)
+    assert again is not first and again.index().evidence(parse_query("red")).count() > 0
