@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 #: hosts that a download may be redirected to (fixed values)
 DOWNLOAD_HOSTS = ("github.com", "release-assets.githubusercontent.com", "objects.githubusercontent.com")
 VERSION = r"^(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})$"
@@ -17,6 +19,24 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _to_places(x: Column, places: int) -> Column:
+    power = F.lit(10.0**places)
+    scaled = F.abs(x) * power
+    down = F.floor(scaled)
+    # from 2**52 on a double has no places; infinite and no numbers stay as they are
+    return F.when(scaled < F.lit(2.0**52), F.signum(x) * ((down + (scaled - down >= 0.5).cast("int")) / power)).otherwise(x)
+
+
+def rounded(x: Column | str, places: int) -> Column:
+    """A double to some places, halves away from zero, in doubles throughout: what is rounded to nothing keeps its sign (-0.0), as in SQL, where Spark's own has 0.0."""
+    return _to_places(F.col(x), places) if isinstance(x, str) else let(x, lambda y: _to_places(y, places))
+
+
+def rounded_all(v: Column | str, places: int) -> Column:
+    """Each place of a vector, as a double, ``rounded``."""
+    return F.transform(_c(v), lambda x: _to_places(x.cast("double"), places))
+
+
 def file_size(n: Column | str) -> Column:
     """Bytes for people: GB and MB with one decimal, else whole KB."""
     n = _c(n)

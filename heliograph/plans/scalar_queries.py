@@ -44,7 +44,7 @@ def format_file_size(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("o_orderkey") * (F.col("o_custkey") + 13) * 7919 + 333).alias("n")
     rows = table(spark, d, "orders").select("o_orderkey", n).withColumn("shown", scalars.file_size("n"))
     scale = F.when(F.col("n") >= 1 << 30, F.lit(float(1 << 30))).when(F.col("n") >= 1 << 20, F.lit(float(1 << 20))).otherwise(F.lit(1024.0))
-    return rows.select("o_orderkey", F.substring_index("shown", " ", -1).alias("unit"), F.round(F.col("n") / scale, 1).alias("amount"))
+    return rows.select("o_orderkey", F.substring_index("shown", " ", -1).alias("unit"), scalars.rounded(F.col("n") / scale, 1).alias("amount"))
 
 
 @query("SELECT event_id, strftime(ts, '%b %-d, %Y') AS shown FROM events")
@@ -81,12 +81,12 @@ def math_functions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.round(F.sqrt("l_extendedprice"), 6).alias("root"),
-        F.round(F.atan2(c("l_tax") - 0.04, c("l_discount") - 0.05), 6).alias("angle"),
+        scalars.rounded(F.sqrt("l_extendedprice"), 6).alias("root"),
+        scalars.rounded(F.atan2(c("l_tax") - 0.04, c("l_discount") - 0.05), 6).alias("angle"),
         F.floor(c("l_quantity") / 7).alias("part"),
         (c("l_orderkey") % 7).alias("rest"),
         scalars.clamp("l_quantity", 10.0, 40.0).alias("held"),
-        F.round("l_extendedprice", 1).alias("rounded"),
+        scalars.rounded("l_extendedprice", 1).alias("rounded"),
     )
 
 
@@ -94,7 +94,7 @@ def math_functions(spark: SparkSession, d: str) -> DataFrame:
     """SELECT l_orderkey, l_linenumber, round(CASE WHEN t < 1 THEN ((1.5::DOUBLE * t - 2.5::DOUBLE) * t) * t + 1 WHEN t < 2 THEN (((-0.5::DOUBLE * t + 2.5::DOUBLE) * t) - 4) * t + 2 ELSE 0 END, 6) AS w FROM (SELECT l_orderkey, l_linenumber, abs(l_discount * 50 - 2.5::DOUBLE) AS t FROM lineitem)"""
 )
 def cubic_kernel(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalars.cubic_weight(F.col("l_discount") * 50 - 2.5), 6).alias("w"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.rounded(scalars.cubic_weight(F.col("l_discount") * 50 - 2.5), 6).alias("w"))
 
 
 _VERSIONS = "SELECT p_partkey, concat(p_size % 4, '.', p_partkey % 12, '.', p_partkey % 101, CASE WHEN p_partkey % 19 = 0 THEN '-beta' ELSE '' END) AS v FROM part"
@@ -166,7 +166,7 @@ def fold_text(spark: SparkSession, d: str) -> DataFrame:
 def blob_codec(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").withColumn("blob", vectors.pack("embedding"))
     back = vectors.unpack("blob")
-    return rows.select("vec_id", F.octet_length("blob").alias("n_bytes"), F.transform(back, lambda x: F.round(x.cast("double"), 6)).alias("v"), vectors.finite("embedding").alias("whole"))
+    return rows.select("vec_id", F.octet_length("blob").alias("n_bytes"), scalars.rounded_all(back, 6).alias("v"), vectors.finite("embedding").alias("whole"))
 
 
 _MANIFESTS = """SELECT p_partkey, concat('{"schema":', CASE p_partkey % 9 WHEN 1 THEN '2' ELSE '1' END, ',"tag_name":"', CASE p_partkey % 9 WHEN 2 THEN '' ELSE 'v' END, p_size, '.', p_partkey % 7, '.0",',
