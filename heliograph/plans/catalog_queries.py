@@ -40,7 +40,7 @@ _ROUNDED = "list_transform(vector, lambda x: round(x::DOUBLE, 5))"
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "semantic_available", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+    return rows.select("id", "semantic_available", scalars.rounded_all("vector", 5).alias("vector"))
 
 
 @query(
@@ -169,12 +169,12 @@ def order_stat_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def median_by_group(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     runs = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("runs"))
-    return stats.medians(events, ("event_type",), "value").select("event_type", F.round("median", 9).alias("median")).join(runs, "event_type")
+    return stats.medians(events, ("event_type",), "value").select("event_type", scalars.rounded("median", 9).alias("median")).join(runs, "event_type")
 
 
 @query("SELECT event_type, round(sum(value / 1000), 6) AS ms, count(*) AS n FROM events GROUP BY event_type")
 def stage_timings(spark: SparkSession, d: str) -> DataFrame:
-    return stats.stage_timings(table(spark, d, "events"), "event_type", "value").withColumn("ms", F.round("ms", 6))
+    return stats.stage_timings(table(spark, d, "events"), "event_type", "value").withColumn("ms", scalars.rounded("ms", 6))
 
 
 def _tree_sql() -> str:
