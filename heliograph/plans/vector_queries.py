@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.scalars import rounded, rounded_all
 from ..operators import evaluate, labels
 from ..schema import DIMENSIONS, Similarity
 from ..sources.catalog import table
@@ -23,7 +24,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT vec_id, round({S.dot('a', 'b')}, 6) AS dot FROM {_PAIRS}")
 def vector_dot(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("vec_id", F.round(V.dot("a", "b"), 6).alias("dot"))
+    return _pairs(spark, d).select("vec_id", rounded(V.dot("a", "b"), 6).alias("dot"))
 
 
 @query(f"SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt({S.norm2('embedding')}), 6)) AS v FROM embeddings")
@@ -37,7 +38,7 @@ def _projection_sql(kind: Similarity) -> str:
 
 
 def _projection(spark: SparkSession, d: str, kind: Similarity) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.transform(V.projected("embedding", kind, DIMENSIONS), lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", rounded_all(V.projected("embedding", kind, DIMENSIONS), 6).alias("v"))
 
 
 @query(_projection_sql(Similarity.SHAPE))
@@ -57,7 +58,7 @@ def _focus_sql(kind: Similarity) -> str:
 
 @query(f"SELECT vec_id, {_focus_sql(Similarity.SHAPE)} AS shape, {_focus_sql(Similarity.COLOR)} AS color FROM {_PAIRS}")
 def appearance_similarity(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {k.value: F.round(V.focused_similarity("a", "b", k, DIMENSIONS), 6).alias(k.value) for k in (Similarity.SHAPE, Similarity.COLOR)}
+    kinds = {k.value: rounded(V.focused_similarity("a", "b", k, DIMENSIONS), 6).alias(k.value) for k in (Similarity.SHAPE, Similarity.COLOR)}
     return _pairs(spark, d).select("vec_id", *kinds.values())
 
 
@@ -90,4 +91,4 @@ def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     nearest = evaluate.nearest_others(e, _K)
     out = evaluate.retrieval_quality(nearest, e.select(F.col("vec_id").alias("id"), F.col("label").alias("family")), _K)
-    return out.select(F.round("precision_at_1", 6).alias("precision_at_1"), F.round("recall_at_k", 6).alias("recall_at_k"), "queries")
+    return out.select(rounded("precision_at_1", 6).alias("precision_at_1"), rounded("recall_at_k", 6).alias("recall_at_k"), "queries")
