@@ -29,7 +29,7 @@ def vector_dot(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt({S.norm2('embedding')}), 6)) AS v FROM embeddings")
 def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.transform(V.normalized("embedding"), lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", rounded_all(V.normalized("embedding"), 6).alias("v"))
 
 
 def _projection_sql(kind: Similarity) -> str:

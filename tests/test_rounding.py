@@ -29,7 +29,7 @@ def test_rounding_keeps_the_sign_of_what_becomes_nothing(spark):
     assert math.isnan(odd["x"]) and odd["y"] is None and odd["v"] is None
 
 
-@pytest.mark.parametrize("name", ["blob_codec", "catalog_appearance", "catalog_semantic", "project_color", "project_shape"])
+@pytest.mark.parametrize("name", ["blob_codec", "catalog_appearance", "catalog_semantic", "project_color", "project_shape", "vector_normalize"])
 def test_small_negative_places_are_as_in_sql(spark, sf, tmp_path, name):
     """Every place is small beside the first, so that many are rounded to nothing; the sign counts."""
     for table in TABLES:
