@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.scalars import rounded
 from ..operators import filters, pages, search
 from ..operators.layout import shared_folder
 from ..operators.lexical import indexed, lexical
@@ -32,7 +33,7 @@ def _page(spark: SparkSession, d: str, request: SearchRequest, columns: tuple[st
     rows, ranks, _ = searcher.plan(request)
     if paged:
         rows = search.page(rows, search.order(request, ranks or bool(request.text)), request.offset, request.limit)
-    return rows.withColumn("score", F.round("score", 6)).select(*columns)
+    return rows.withColumn("score", rounded("score", 6)).select(*columns)
 
 
 _TEXT = SearchRequest(query="red", mode=Mode.TEXT)
@@ -97,7 +98,7 @@ def similar_by_file(spark: SparkSession, d: str) -> DataFrame:
     own = search.semantic(rows).filter("id = 0").select("vector").head()["vector"]
     searcher = search.Searcher(rows, search.FixedEmbedder({_FILE.reference_path: list(own)}))
     found, ranks, _ = searcher.plan(_FILE)
-    return search.page(found, search.order(_FILE, ranks), 0, _FILE.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
+    return search.page(found, search.order(_FILE, ranks), 0, _FILE.limit).select("id", "name", rounded("score", 6).alias("score"), "reason")
 
 
 @query(S.search(_VISUAL))
@@ -105,7 +106,7 @@ def visual_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Without a vector for the query the text decides."""
     searcher = search.Searcher(C.catalog(spark, d, index=True, whole=False))
     rows, ranks, _ = searcher.plan(_VISUAL)
-    return search.page(rows, search.order(_VISUAL, True), 0, _VISUAL.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
+    return search.page(rows, search.order(_VISUAL, True), 0, _VISUAL.limit).select("id", "name", rounded("score", 6).alias("score"), "reason")
 
 
 # orders and pages
@@ -156,7 +157,7 @@ def page_second(spark: SparkSession, d: str) -> DataFrame:
     searcher = search.Searcher(C.catalog(spark, d, index=True, whole=False))
     first = searcher.search(replace(_SECOND, offset=0))
     rows = searcher.search(replace(_SECOND, cursor=first.cursor)).page
-    return rows.select("id", "name", F.round("score", 6).alias("score"))
+    return rows.select("id", "name", rounded("score", 6).alias("score"))
 
 
 _WALK = SearchRequest(query="red", mode=Mode.TEXT, limit=60)
@@ -227,35 +228,35 @@ def _lexical(spark: SparkSession, d: str, q: str, mode: Mode = Mode.HYBRID, scop
 
 @query(_lexical_sql("red the", _REL))
 def lexical_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, "red the").select("id", F.round("relevance", 6).alias("relevance"))
+    return _lexical(spark, d, "red the").select("id", rounded("relevance", 6).alias("relevance"))
 
 
 @query(_lexical_sql("red the", _REL))
 def lexical_scanned(spark: SparkSession, d: str) -> DataFrame:
     """The same without an index: the texts are folded and counted on the way."""
-    return lexical(C.items(spark, d), "red the").select("id", F.round("relevance", 6).alias("relevance"))
+    return lexical(C.items(spark, d), "red the").select("id", rounded("relevance", 6).alias("relevance"))
 
 
 @query(S.search(_TEXT))
 def text_search_scanned(spark: SparkSession, d: str) -> DataFrame:
     rows, ranks, _ = search.Searcher(C.catalog(spark, d)).plan(_TEXT)
-    return search.page(rows, search.order(_TEXT, True), 0, _TEXT.limit).select("id", "name", F.round("score", 6).alias("score"), "reason")
+    return search.page(rows, search.order(_TEXT, True), 0, _TEXT.limit).select("id", "name", rounded("score", 6).alias("score"), "reason")
 
 
 @query(_lexical_sql("red good", _REL, Mode.TEXT))
 def lexical_and(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, "red good", Mode.TEXT).select("id", F.round("relevance", 6).alias("relevance"))
+    return _lexical(spark, d, "red good", Mode.TEXT).select("id", rounded("relevance", 6).alias("relevance"))
 
 
 @query(_lexical_sql('"of the" red', _REL))
 def lexical_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, '"of the" red').select("id", F.round("relevance", 6).alias("relevance"))
+    return _lexical(spark, d, '"of the" red').select("id", rounded("relevance", 6).alias("relevance"))
 
 
 @query(_lexical_sql("red or", _REL, Mode.TEXT))
 def lexical_operators(spark: SparkSession, d: str) -> DataFrame:
     """Operators, brackets and quotes are words or nothing."""
-    return _lexical(spark, d, 'red") -or:*', Mode.TEXT).select("id", F.round("relevance", 6).alias("relevance"))
+    return _lexical(spark, d, 'red") -or:*', Mode.TEXT).select("id", rounded("relevance", 6).alias("relevance"))
 
 
 @query(f"WITH items AS ({C.ITEMS_SQL}), {S.lexical('the of', Mode.HYBRID)} SELECT id, relevance FROM lex")
@@ -271,7 +272,7 @@ def lexical_indexed(spark: SparkSession, d: str) -> DataFrame:
     """The same evidence from postings."""
     items = C.items(spark, d)
     rows = lexical(items, '"of the" re*', Mode.TEXT, filters.scope(SearchRequest(favorites=True)), index=indexed(items))
-    return rows.select("id", F.round("relevance", 6).alias("relevance"), "trusted", F.round("lexical", 6).alias("lexical"))
+    return rows.select("id", rounded("relevance", 6).alias("relevance"), "trusted", rounded("lexical", 6).alias("lexical"))
 
 
 _REWRITTEN = f"(SELECT * REPLACE (CASE WHEN id % 20 = 3 THEN 'red note' WHEN id % 20 = 5 THEN '' ELSE notes END AS notes, CASE WHEN id % 20 = 5 THEN '' ELSE ocr END AS ocr) FROM ({C.ITEMS_SQL}) WHERE id % 20 <> 4)"
@@ -288,29 +289,29 @@ def lexical_segments(spark: SparkSession, d: str) -> DataFrame:
     edited = C.indexed(spark, d).append(root, items.limit(0), touched(4), keep_items=False).append(root, noted, touched(3), keep_items=False)
     index = edited.merged(1, root, keep_items=False).append(root, emptied, touched(5), keep_items=False).index()
     rows = lexical(items, '"of the" re*', Mode.TEXT, index=index)
-    return rows.select("id", F.round("relevance", 6).alias("relevance"), "trusted", F.round("lexical", 6).alias("lexical"))
+    return rows.select("id", rounded("relevance", 6).alias("relevance"), "trusted", rounded("lexical", 6).alias("lexical"))
 
 
 @query(_lexical_sql("pla*", _REL))
 def lexical_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, "pla*").select("id", F.round("relevance", 6).alias("relevance"))
+    return _lexical(spark, d, "pla*").select("id", rounded("relevance", 6).alias("relevance"))
 
 
 @query(_lexical_sql("red", "id, round(lexical - CASE WHEN trusted THEN 0.25::DOUBLE ELSE 0 END, 6) AS scaled"))
 def lexical_scaled(spark: SparkSession, d: str) -> DataFrame:
     rows = _lexical(spark, d, "red")
-    return rows.select("id", F.round(F.col("lexical") - F.when(F.col("trusted"), F.lit(0.25)).otherwise(F.lit(0.0)), 6).alias("scaled"))
+    return rows.select("id", rounded(F.col("lexical") - F.when(F.col("trusted"), F.lit(0.25)).otherwise(F.lit(0.0)), 6).alias("scaled"))
 
 
 @query(_lexical_sql("good", "id, trusted, round(lexical, 6) AS lexical"))
 def lexical_trusted(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, "good").select("id", "trusted", F.round("lexical", 6).alias("lexical"))
+    return _lexical(spark, d, "good").select("id", "trusted", rounded("lexical", 6).alias("lexical"))
 
 
 @query(_lexical_sql("red", f"{_REL}, round(lexical, 6) AS lexical", Mode.TEXT, S.scope(_SCOPED)))
 def lexical_scoped(spark: SparkSession, d: str) -> DataFrame:
     rows = _lexical(spark, d, "red", Mode.TEXT, filters.scope(_SCOPED))
-    return rows.select("id", F.round("relevance", 6).alias("relevance"), F.round("lexical", 6).alias("lexical"))
+    return rows.select("id", rounded("relevance", 6).alias("relevance"), rounded("lexical", 6).alias("lexical"))
 
 
 @query("SELECT item_id, w AS words, len(w)::INT AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)")
@@ -345,4 +346,4 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     own = rows.filter("vec_id = 0").select("embedding").head()["embedding"]
-    return search.top_k(rows, list(own), 100, DIMENSIONS).select("vec_id", F.round("score", 6).alias("score"))
+    return search.top_k(rows, list(own), 100, DIMENSIONS).select("vec_id", rounded("score", 6).alias("score"))
