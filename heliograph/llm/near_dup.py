@@ -17,7 +17,8 @@ Jaccard similarity of their sets (Dahlgaard, Knudsen and Thorup, 2017).
    for pairs inside the largest component, goes to one task.  So a bucket costs in proportion to its
    members where few lie outside its largest component.  Members whose sketch agrees
    with none of another component are put aside first; the rest is compared on
-   full sets, until all in a block that can be linked are.
+   full sets, until all in a block that can be linked are.  Blocks are large beside WIDE, so
+   a bucket's rows are at most 2 * WIDE / BLOCK times its members, but where bytes bound a block.
 5. Wide buckets, with over WIDE members outside the largest component, are
    clouds of texts that are alike in part.  There members meet by shingle: of
    two similar sets, the rarest (1 - threshold) of each must have a shingle in
@@ -60,8 +61,12 @@ BANDS = T // BAND
 AGREE = 0.6
 #: least similarity, in hundredths, of two linked documents
 THRESHOLD = 80
+#: members of a hub that one task holds against it
+MEMBERS = 256
 #: members of one block, and bytes of sets in it; members outside the largest component from which a bucket is wide
-BLOCK, BLOCK_BYTES, WIDE = 256, 32 << 20, 8192
+BLOCK, BLOCK_BYTES, WIDE = 2048, 32 << 20, 8192
+#: bytes of bits that are held at once where the sets of a block are compared
+BITS_BYTES = 32 << 20
 CHUNK = 1 << 20
 
 _LOW = tv.U64((1 << 56) - 1)
@@ -177,6 +182,42 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of elements that the sets i[k] and j[k] have in common, for pairs in the order of i.
+
+    Elements of several sets get a bit each, some at a time, so a pair costs an AND of two rows;
+    where such elements are very many beside those of a set, the sets themselves are searched.
+    """
+    out = np.zeros(len(i), np.int64)
+    used = np.unique(np.r_[i, j])
+    if not len(used):
+        return out
+    sizes = np.array([len(sets[k]) for k in used])
+    _, place, times = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    several = times[place] > 1
+    rows, columns = np.repeat(np.arange(len(used)), sizes)[several], number[place[several]]
+    width = int(number[-1]) + 1
+    if width > 1000 * sizes.mean():
+        for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            a, b = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            out[k] = (b[at] == a).sum()
+        return out
+    i, j = np.searchsorted(used, i), np.searchsorted(used, j)
+    firsts, starts = np.unique(i, return_index=True)
+    step = max(64, BITS_BYTES // len(used) * 8 // 64 * 64)
+    for low in range(0, width, step):
+        here = (columns >= low) & (columns < low + step)
+        r, c = rows[here], columns[here] - low
+        bits = np.zeros((len(used), -(-min(step, width - low) // 64)), tv.U64)
+        np.bitwise_or.at(bits, (r, c >> 6), tv.U64(1) << (c & 63).astype(tv.U64))
+        for p, a, b in zip(firsts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
+            out[a:b] += np.bitwise_count(bits[j[a:b]] & bits[p]).sum(1, dtype=np.int64)
+    return out
+
+
 def _star_links(sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
     """The edges (id, hub) whose sets are similar.
 
@@ -184,7 +225,7 @@ def _star_links(sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
     partition, so a task holds one hub's set and one member's at a time.
     """
     sizes = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    parts = F.ceil(F.col("n") / F.lit(MEMBERS)).cast("int")
     salted = spread_join(edges, sizes.select("hub", parts.alias("parts")), "hub", sizes, F.col("id")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     hubs = sizes.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("role"))
     roles = salted.select("hub", "id", "salt", F.lit(1).alias("role")).unionByName(hubs)
@@ -307,14 +348,16 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             _, comp, i, j = _pairs(group, threshold)
-            sets_of = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["set"]]
+            sets_of = [np.frombuffer(s.as_buffer(), np.uint64) for column in group["set"].chunks for s in column]
+            both, sizes = shared(sets_of, i, j), np.array([len(s) for s in sets_of])
+            good = 100 * both >= threshold * (sizes[i] + sizes[j] - both)
             forest, a, b = _Forest(), [], []
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                u, v = forest.root(int(comp[p])), forest.root(int(comp[q]))
-                if u != v and similar(sets_of[p], sets_of[q], threshold):
+            for p, q in np.unique(np.stack([comp[i[good]], comp[j[good]]], 1), axis=0).tolist():
+                u, v = forest.root(p), forest.root(q)
+                if u != v:
                     forest.up[u] = v
-                    a.append(int(comp[p]))
-                    b.append(int(comp[q]))
+                    a.append(p)
+                    b.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = _blocks(members.withColumn("w", F.col("n") * 8), "w").join(sets, "id").select("bucket", "x", "y", "mine", "id", "comp", "n", "low", "set")

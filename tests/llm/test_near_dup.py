@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heliograph.llm import near_dup as nd
 
@@ -174,3 +175,32 @@ def test_keep_one(nasty, nasty_rows):
 def test_empty(nothing):
     assert nd.components(nothing).collect() == []
     assert nd.keep_one(nothing).collect() == []
+
+
+def test_rows_of_pairs_of_blocks_grow_with_the_members(spark):
+    """A bucket of unlike components beside a large one: each member in a few pairs of blocks, whatever the bucket's size."""
+    made = {}
+    for n in (3000, 6000):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), "id", F.when(F.col("id") < n // 3, F.lit(0)).otherwise(F.col("id")).alias("comp"), F.lit(0).cast("long").alias("top"), F.lit(128).alias("w"))
+        pairs = nd._blocks(rows, "w").select("x", "y", "mine", "id", "comp").toPandas()
+        made[n] = len(pairs)
+        others = pairs[pairs["comp"] > 0].groupby("id")["mine"].first()
+        # each two of the others, and each of them with the largest component, meet in one task at least
+        met = {(a, b) for a, b in zip(pairs["x"], pairs["y"], strict=True)}
+        blocks, large = set(others), set(pairs[pairs["comp"] == 0]["mine"])
+        assert len(others) == n - n // 3 and {(min(a, b), max(a, b)) for a in blocks for b in blocks | large} <= met
+    assert made[3000] <= 8 * 3000 and made[6000] <= 8 * 6000
+
+
+def test_shared_counts_are_those_of_the_sets(monkeypatch):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 300, int(r.integers(1, 120)))).astype(np.uint64) for _ in range(60)] + [np.array([10**9], np.uint64)]
+    i, j = np.triu_indices(len(sets), 1)
+    want = [len(np.intersect1d(sets[p], sets[q])) for p, q in zip(i, j, strict=True)]
+    for most in (nd.BITS_BYTES, 512):  # at once, and 64 bits at a time
+        monkeypatch.setattr(nd, "BITS_BYTES", most)
+        assert nd.shared(sets, i, j).tolist() == want
+    wide = [np.unique(np.r_[np.uint64(k), 10 + np.arange(2, dtype=np.uint64) + 2 * np.uint64(k // 2)]) for k in range(8000)]
+    a, b = np.arange(0, 8000, 2), np.arange(1, 8000, 2)  # elements are very many beside those of a set
+    assert nd.shared(wide, a, b).tolist() == [len(np.intersect1d(wide[p], wide[q])) for p, q in zip(a, b, strict=True)]
+    assert nd.shared(sets, i[:0], j[:0]).tolist() == []
