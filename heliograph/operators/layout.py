@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: inputs below the first are not worth a shuffle; above the second, for each core, a table has as many splits as there is work
 LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 20
+#: bytes of input behind one part of a table that is dealt out; from the second on a size is not known
+PART_BYTES, UNKNOWN_BYTES = 8 << 20, 1 << 60
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,10 +63,13 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt(df: DataFrame, key: str, held: bool = False) -> DataFrame:
     """df, in as many parts as there are cores where its input is small: a file of one row group is read by one task, and so would be worked on by one.
 
-    A large input has splits enough and is left as it is.
+    Parts are of PART_BYTES of input at most, so there are more where the input is larger.  A large input has splits
+    enough and is left as it is, but where its rows are held in another form than they are read (held), of which a split may be too much.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if LEAST_BYTES <= input_bytes(df) <= MOST_BYTES * cores else df
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(df)
+    if size < LEAST_BYTES or size >= UNKNOWN_BYTES or size > MOST_BYTES * cores and not held:
+        return df
+    return df.repartition(max(cores, -(-size // PART_BYTES)), key)

@@ -25,6 +25,8 @@ from .lexical import Index
 
 #: a segment joins the merge of those after it if it is at most so many times as large as they are together; so many are merged at least
 RATIO, WIDTH = 2, 4
+#: postings of one task that writes them: as few as the first while there are cores without work, never more than about the second
+LEAST_POSTINGS, MOST_POSTINGS = 1 << 18, 1 << 21
 
 _SEQ = T.StructField("seq", T.IntegerType())
 POSTINGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("term", T.StringType()), T.StructField("length", T.LongType()), _SEQ])
@@ -46,7 +48,7 @@ def due(sizes: list[int]) -> int | None:
 
 def _tokens(items: DataFrame) -> DataFrame:
     """id, the token array of each text column, and their number (length); a generator of one row, so that no use of a token array makes it again."""
-    rows = dealt(items, "id").select("id", F.inline(F.array(F.struct(*[tokens(c).alias(c) for c, _ in TEXT_COLUMNS]))))
+    rows = dealt(items, "id", held=True).select("id", F.inline(F.array(F.struct(*[tokens(c).alias(c) for c, _ in TEXT_COLUMNS]))))
     return rows.withColumn("length", reduce(lambda a, b: a + b, [F.size(c) for c, _ in TEXT_COLUMNS]).cast("long"))
 
 
@@ -57,6 +59,11 @@ def _postings(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"), "length")
 
 
+def parts(spark: SparkSession, postings: int) -> int:
+    """The number of tasks that write so many postings."""
+    return max(min(spark.sparkContext.defaultParallelism, -(-postings // LEAST_POSTINGS)), -(-postings // MOST_POSTINGS), 1)
+
+
 class Segments:
     """The segments in some folders, oldest first; a segment's number is its place in the order of edits."""
 
@@ -98,11 +105,11 @@ class Segments:
     def number(self) -> int:
         return max((r["seq"] for r in self.counts), default=0)
 
-    def _write(self, folder: str, seq: int, **tables: DataFrame) -> None:
+    def _write(self, folder: str, seq: int, n_postings: int = 0, **tables: DataFrame) -> None:
         for name, df in tables.items():
             rows = df.withColumn("seq", F.lit(seq)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
             if name == "postings":  # in the order of terms, so that the statistics of row groups tell a reader which terms are where; a frequent term is several parts
-                rows = rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col", "pos")
+                rows = rows.repartitionByRange(parts(self.spark, n_postings), "term", "id").sortWithinPartitions("term", "id", "col", "pos")
             elif name == "items":
                 rows = rows.repartitionByRange("id").sortWithinPartitions("id")
             rows.write.parquet(f"{folder}/{name}")
@@ -115,7 +122,8 @@ class Segments:
         changed = items.join(touched.select("id"), "id", "left_semi") if self.folders else items
         texts = changed.join(touched.filter("texts").select("id"), "id", "left_semi") if self.folders else items
         words = _tokens(texts).persist()  # read for the ranges, the postings and the lengths
-        self._write(folder, seq, **({"items": changed} if keep_items else {}), postings=_postings(words), lengths=words.select("id", "length"))
+        n_postings = words.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+        self._write(folder, seq, n_postings, **({"items": changed} if keep_items else {}), postings=_postings(words), lengths=words.select("id", "length"))
         words.unpersist()
         new = self.spark.read.schema(LENGTHS).parquet(f"{folder}/lengths").select(F.lit(1).alias("sign"), "length")
         old = self.live(self._read("lengths"), texts=True).join(touched.filter("texts").select("id"), "id", "left_semi").select(F.lit(-1).alias("sign"), "length")
@@ -135,7 +143,8 @@ class Segments:
         tables = {"items": own.live(own._read("items"))} if keep_items else {}
         tables |= {"postings": own.live(own._read("postings"), texts=True), "lengths": own.live(own._read("lengths"), texts=True)}
         # nothing lies before the first segment that could be replaced
-        self._write(folder, seq, replaced=replaced if start else replaced.limit(0), totals=totals.withColumn("touched", F.lit(ids)), **tables)
+        n_postings = own._read("postings").count()  # from the footers of its files
+        self._write(folder, seq, n_postings, replaced=replaced if start else replaced.limit(0), totals=totals.withColumn("touched", F.lit(ids)), **tables)
         return Segments(self.spark, (*self.folders[:start], folder))
 
     def compacted(self, root: str, keep_items: bool = True) -> Segments:

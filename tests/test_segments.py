@@ -169,3 +169,33 @@ def test_the_registered_index_is_made_once_and_again_where_it_is_gone(spark, sf)
     delete(spark, first.folders[0])
     again = C.indexed(spark, sf)
     assert again is not first and again.index().evidence(parse_query("red")).count() > 0
+
+
+def test_parts_grow_with_the_input(spark, monkeypatch):
+    """So a task's share stays as it is: of rows dealt out, and of postings written."""
+    from heliograph.operators import layout, segments
+
+    cores, rows = spark.sparkContext.defaultParallelism, spark.range(100)
+    for size, held, parts in ((2 * layout.PART_BYTES, False, cores), (5 * cores * layout.PART_BYTES, False, 5 * cores), (20 * cores * layout.PART_BYTES, True, 20 * cores)):
+        monkeypatch.setattr(layout, "input_bytes", lambda df, size=size: size)
+        assert layout.dealt(rows, "id", held).rdd.getNumPartitions() == parts
+    for size, held in ((20 * cores * layout.PART_BYTES, False), (1 << 62, True), (1 << 20, True)):
+        monkeypatch.setattr(layout, "input_bytes", lambda df, size=size: size)
+        assert layout.dealt(rows, "id", held) is rows
+    assert [segments.parts(spark, n * segments.MOST_POSTINGS) for n in (10, 20, 40)] == [10, 20, 40]
+    assert segments.parts(spark, 0) == 1 and segments.parts(spark, segments.LEAST_POSTINGS * 2) == min(2, cores)
+
+
+def test_postings_lie_in_bounded_parts_in_order(spark, sf, tmp_path, monkeypatch):
+    from heliograph.operators import segments
+    from heliograph.sources import catalog
+
+    monkeypatch.setattr(segments, "MOST_POSTINGS", 4000)
+    rows = catalog.items(spark, sf).drop("embedding").limit(60)
+    made = segments.built(spark, str(tmp_path), rows)
+    files = [(p.name, spark.read.parquet(str(p))) for p in sorted((tmp_path).glob("*/postings/part-*.parquet"))]
+    counts = [df.count() for _, df in files]
+    total = made.counts[0]["tokens"]
+    assert sum(counts) == total and len(counts) >= total / 4000 and max(counts) <= 3 * 4000
+    ends = [(df.agg({"term": "min"}).head()[0], df.agg({"term": "max"}).head()[0]) for _, df in files]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
