@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,15 @@ def discard(*frames: DataFrame) -> None:
         delete(df.sparkSession, df._stored_at)
 
 
+def release(spark: SparkSession) -> None:
+    """What finished steps left in the driver goes: Spark drops the broadcasts and plans of frames that are gone when the driver's garbage is collected.
+
+    For the ends of steps with wide plans; the driver's heap would else grow to its limit before it is collected.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes at its end every table stored within, but for the frames given to the function that it yields.

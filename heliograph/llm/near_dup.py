@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .cluster import discard, row_key, shuffle_parts, spread_join, stored, unused
+from .cluster import discard, release, row_key, shuffle_parts, spread_join, stored, unused
 from .quality_rules import WORD
 
 SHINGLE = 5
@@ -224,7 +224,7 @@ def _star_links(sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
     A hub's set goes once to each of its salts; members follow it in a sorted
     partition, so a task holds one hub's set and one member's at a time.
     """
-    sizes = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "hubs")
     parts = F.ceil(F.col("n") / F.lit(MEMBERS)).cast("int")
     salted = spread_join(edges, sizes.select("hub", parts.alias("parts")), "hub", sizes, F.col("id")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     hubs = sizes.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -245,7 +245,10 @@ def _star_links(sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
                     to.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(verify, "a long, b long")
+    out = stored(rows.mapInArrow(verify, "a long, b long"), "star")
+    discard(sizes)
+    release(out.sparkSession)
+    return out
 
 
 class _Forest:
@@ -271,16 +274,23 @@ def _several(members: DataFrame) -> DataFrame:
     return tops
 
 
-def _blocks(members: DataFrame, weight: str) -> DataFrame:
+def _numbers(members: DataFrame, weight: str) -> DataFrame:
+    """The buckets (bucket, n) that hold several components, and the numbers of blocks (a, b) of their largest component and of the others."""
+    size = lambda own: F.greatest(F.ceil(F.sum(own.cast("long")) / F.lit(BLOCK)), F.ceil(F.sum(F.when(own, F.col(weight)).otherwise(0)) / F.lit(BLOCK_BYTES))).cast("int")
+    major = F.col("comp") == F.col("top")
+    sizes = members.groupBy("bucket").agg(size(major).alias("a"), size(~major).alias("b"), size(F.lit(True)).alias("all"), F.count(F.lit(1)).alias("n")).filter("a > 0 AND b > 0")
+    # a bucket that fits is one block
+    return sizes.select("bucket", "n", F.when(F.col("all") > 1, F.col("a")).otherwise(0).alias("a"), F.when(F.col("all") > 1, F.col("b")).otherwise(1).alias("b"))
+
+
+def _blocks(members: DataFrame, weight: str, sizes: DataFrame | None = None) -> DataFrame:
     """members (bucket, id, comp, top, ...) -> a row for each pair of blocks that a member is in; ``mine`` tells its block.
 
     The largest component's blocks come first; they are paired with those of the others, which are paired with all.
+    ``sizes`` are the members' ``_numbers``, stored by who can delete them: they are read several times.
     """
-    size = lambda own: F.greatest(F.ceil(F.sum(own.cast("long")) / F.lit(BLOCK)), F.ceil(F.sum(F.when(own, F.col(weight)).otherwise(0)) / F.lit(BLOCK_BYTES))).cast("int")
+    sizes = _numbers(members, weight) if sizes is None else sizes
     major = F.col("comp") == F.col("top")
-    sizes = members.groupBy("bucket").agg(size(major).alias("a"), size(~major).alias("b"), size(F.lit(True)).alias("all"), F.count(F.lit(1)).alias("n")).filter("a > 0 AND b > 0")
-    # a bucket that fits is one block
-    sizes = sizes.select("bucket", "n", F.when(F.col("all") > 1, F.col("a")).otherwise(0).alias("a"), F.when(F.col("all") > 1, F.col("b")).otherwise(1).alias("b"))
     rows = spread_join(members, sizes.select("bucket", "a", "b"), "bucket", sizes.select("bucket", "n"), F.col("id"))
     h, first = F.xxhash64("id"), major & (F.col("a") > 0)
     rows = rows.withColumn("mine", F.when(first, F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.col("b"))).cast("int"))
@@ -329,21 +339,27 @@ def _pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, ...]:
 
 
 def _promising(members: DataFrame, threshold: int) -> DataFrame:
-    """The members (bucket, id) whose sketch agrees with one of another component in their bucket."""
+    """The members, stored, whose sketch agrees with one of another component in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             _, _, i, j = _pairs(group, threshold)
             some = np.unique(np.r_[i, j]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([group["bucket"].to_numpy()[some], group["id"].to_numpy()[some]], names=["bucket", "id"])
+            yield from group.select(names).take(pa.array(some)).combine_chunks().to_batches()
 
-    rows = _blocks(members.withColumn("w", F.lit(T)), "w").select("bucket", "x", "y", "mine", "id", "comp", "n", "low")
+    names = ["bucket", "id", "comp", "top", "n", "low"]
+    weighed = members.withColumn("w", F.lit(T))
+    sizes = stored(_numbers(weighed, "w"), "numbers")
+    rows = _blocks(weighed, "w", sizes).select("bucket", "x", "y", "mine", "id", "comp", "top", "n", "low")
     rows = rows.repartition(shuffle_parts(members.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return rows.mapInArrow(run, "bucket long, id long").distinct()
+    out = stored(rows.mapInArrow(run, "bucket long, id long, comp long, top long, n long, low binary").distinct(), "hopeful")
+    discard(sizes)
+    release(out.sparkSession)
+    return out
 
 
 def _block_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links between components, on full sets, that join all of a block that can be joined."""
+    """Links between components, stored, on full sets, that join all of a block that can be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -360,9 +376,14 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
                     b.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = _blocks(members.withColumn("w", F.col("n") * 8), "w").join(sets, "id").select("bucket", "x", "y", "mine", "id", "comp", "n", "low", "set")
+    weighed = members.withColumn("w", F.col("n") * 8)
+    sizes = stored(_numbers(weighed, "w"), "numbers")
+    rows = _blocks(weighed, "w", sizes).join(sets, "id").select("bucket", "x", "y", "mine", "id", "comp", "n", "low", "set")
     rows = rows.repartition(shuffle_parts(members.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return rows.mapInArrow(run, "a long, b long")
+    out = stored(rows.mapInArrow(run, "a long, b long"), "blocks")
+    discard(sizes)
+    release(out.sparkSession)
+    return out
 
 
 def _rare(sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
@@ -397,9 +418,8 @@ def _links_between(docs: DataFrame, nodes: DataFrame, members: DataFrame, thresh
     opened = spread_join(members, several.select("bucket", "top", "few"), "bucket", several, F.col("id")).join(sketch_of, "id")
     opened = stored(opened, "open")
     narrow = opened.filter(F.col("few") <= WIDE)
-    hopeful = stored(_promising(narrow, threshold), "hopeful")
-    rest = narrow.join(hopeful, ["bucket", "id"], "left_semi")
-    out = stored(_block_links(rest, _sets(docs, places(hopeful.select("id"))), threshold), "blocks")
+    hopeful = _promising(narrow, threshold)
+    out = _block_links(hopeful, _sets(docs, places(hopeful.select("id"))), threshold)
     wide = opened.filter(F.col("few") > WIDE).select("id", "comp", "n", "low").dropDuplicates(["id"])
     if several.filter(F.col("few") > WIDE).limit(1).count():
         wide = stored(wide, "wide")
@@ -408,9 +428,9 @@ def _links_between(docs: DataFrame, nodes: DataFrame, members: DataFrame, thresh
         rare = met.join(wide.select("id", "comp"), "id")
         several_rare = _several(rare)
         close = stored(spread_join(rare, several_rare.select("bucket", "top"), "bucket", several_rare, F.col("id")).join(sketch_of, "id"), "close")
-        near = stored(_promising(close, threshold), "near")
-        out = stored(out.unionByName(_block_links(close.join(near, ["bucket", "id"], "left_semi"), sets, threshold)), "blocks")
-        discard(wide, sets, met, several_rare, close, near)
+        near = _promising(close, threshold)
+        narrower, out = out, stored(out.unionByName(further := _block_links(near, sets, threshold)), "blocks")
+        discard(wide, sets, met, several_rare, close, near, narrower, further)
     discard(several, opened, hopeful)
     return out
 
@@ -469,7 +489,7 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # star: each node against the least node of its buckets
     edges = stored(members.filter("id != hub").groupBy("id").agg(F.min("hub").alias("hub")), "edges")
     ends = edges.select("id").unionByName(edges.select(F.col("hub").alias("id"))).distinct()
-    star = stored(_star_links(_sets(docs, nodes.select("id", "tag").join(ends, "id", "left_semi")), edges, threshold), "star")
+    star = _star_links(_sets(docs, nodes.select("id", "tag").join(ends, "id", "left_semi")), edges, threshold)
     first = _jump(star.distinct().select(F.col("a").alias("v"), F.col("b").alias("p")))
     own = first.select(F.col("v").alias("id"), F.col("p").alias("root"))
 
@@ -480,12 +500,13 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     discard(fresh)
     up = roots(more).select(F.col("v").alias("comp"), F.col("p").alias("top"))
     discard(more)
+    release(docs.sparkSession)
 
     labelled = nodes.select("id", "node", "doc_id", "copies").join(own, "id", "left").withColumn("comp", F.coalesce("root", "id"))
     labelled = spread_join(labelled, up, "comp", _counted(own, "root").withColumnRenamed("root", "comp"), F.col("id"), "left").withColumn("comp", F.coalesce("top", "comp"))
     labelled = stored(labelled.select("id", "node", "doc_id", "copies", "comp"), "labels")
     discard(first)
-    least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    least = stored(labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
     by_node = spread_join(labelled, least.drop("n"), "comp", least.select("comp", "n"), F.col("id")).select("node", "component_id", "comp")
     out = spread_join(rows.select("doc_id", "n_shingles", "node", "tag"), by_node, "node", nodes.select("node", F.col("copies").alias("n")), F.col("tag"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -204,3 +204,11 @@ def test_shared_counts_are_those_of_the_sets(monkeypatch):
     a, b = np.arange(0, 8000, 2), np.arange(1, 8000, 2)  # elements are very many beside those of a set
     assert nd.shared(wide, a, b).tolist() == [len(np.intersect1d(wide[p], wide[q])) for p, q in zip(a, b, strict=True)]
     assert nd.shared(sets, i[:0], j[:0]).tolist() == []
+
+
+def test_steps_that_are_read_again_are_stored(spark):
+    """What is left of a block comes as whole rows from files, so no later plan makes it again, and the driver plans few exchanges at once."""
+    low = bytes(nd.T)
+    rows = [(1, 10, 10, 10, 4, low), (1, 11, 11, 10, 4, low), (2, 12, 12, 12, 4, low), (2, 13, 13, 12, 400, low)]
+    out = nd._promising(spark.createDataFrame(rows, "bucket long, id long, comp long, top long, n long, low binary"), 80)
+    assert out.inputFiles() and sorted(map(tuple, out.collect())) == rows[:2]
