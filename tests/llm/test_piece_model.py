@@ -1,6 +1,8 @@
+import io
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -36,6 +38,44 @@ def test_list_and_heap_agree(own):
         assert own._from_list(list(symbols)) == own._from_heap(list(symbols))
 
 
+def test_matrix_and_list_agree(own):
+    """Rows of unlike lengths, letters that are no piece, letters in no piece, nothing."""
+    rng = random.Random(3)
+    stretches = ["", *("".join(rng.choice("theanouigrs▁0123é日😀\x00ʬ") for _ in range(rng.randrange(49))) for _ in range(3000)), "▁▁▁a", "▁" * 48]
+    assert own.merged_together(stretches) == [own.merged(s) for s in stretches]
+    assert own.merged_together([]) == [] and own.merged_together([""]) == [b""]
+
+
+def test_unknown_short_stretches_are_encoded_together(own, library, monkeypatch):
+    """One by one they took most of the operator's own time."""
+    alone = []
+    monkeypatch.setattr(own.memory, "encode", lambda s: alone.append(s) or own.merged(s))
+    text = "\n".join(f"together{k} {k * 7919}  {'ab' * 30}{k}" for k in range(2000))
+    assert own.encode(text).tolist() == library.encode(text)
+    assert len(alone) == 2000 and all(len(s) > pm.SHORT for s in alone)
+
+
+@pytest.mark.parametrize("borders", [True, False])
+def test_other_vocabularies(borders, monkeypatch):
+    """Few pieces, with and without pieces across blanks; matrices of few rows."""
+    monkeypatch.setattr(pm, "ROWS", 7)
+    rng, model = random.Random(4), io.BytesIO()
+    texts = [" ".join(rng.choice(["in the", "of a", "then", "thin", "anno", "12"]) for _ in range(9)) for _ in range(300)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_writer=model, model_type="bpe", vocab_size=290, byte_fallback=True, split_by_whitespace=borders, minloglevel=2)
+    small = pm.Vocabulary(model.getvalue())
+    assert small.bordered == borders
+    texts += ["", "zz in the", "in  the é", "then\nthin"]
+    assert [ids.tolist() for ids in small.encode_all(texts)] == small.library.encode(texts)
+
+
+def test_ids_unlike_the_library_end_the_job(own, library, monkeypatch):
+    monkeypatch.setitem(own.memory, "▁wrongly", own.packed["▁right"])
+    assert own.encode("wrongly").tolist() != library.encode("wrongly")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["rightly", "wrongly"]})
+    with pytest.raises(ValueError, match="document 2"):
+        list(pm._encoded(own, iter([batch]), decoded=True))
+
+
 def test_equal_scores_leftmost_first(own):
     """The two pieces of blanks alone have one score."""
     assert {own.scores["▁▁"], own.scores["▁▁▁▁"]} == {1e9}
