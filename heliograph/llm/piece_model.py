@@ -26,7 +26,7 @@ columns are ignored.  The time for a stretch without borders grows as n log n.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice, pairwise
 from math import inf
@@ -76,9 +76,13 @@ class _Memory(dict):
     def __init__(self, encode, encode_all):
         self.encode, self.encode_all, self.older = encode, encode_all, {}
 
-    def learn(self, stretches: Iterable[str]) -> None:
-        """Of these stretches, all different and none in the newer half, the short ones are encoded together, but for those in the older half."""
-        unknown = sorted((s for s in stretches if len(s) <= SHORT and s not in self.older), key=len)
+    def learn(self, stretches: set[str]) -> None:
+        """Of stretches that are not in the newer half, those in the older one are taken over, the other short ones encoded together."""
+        older = self.older
+        met = {s: ids for s in stretches if (ids := older.get(s)) is not None}
+        self.make_room(len(met))
+        self.update(met)
+        unknown = sorted((s for s in stretches if len(s) <= SHORT and s not in met), key=len)
         rows = max(1, min(ROWS, REMEMBERED // 2))
         for k in range(0, len(unknown), rows):
             some = unknown[k : k + rows]
